@@ -180,7 +180,7 @@ def repeated(filters: DataFrame) -> DataFrame:
     return filters.mapInArrow(read, "print long, count long")
 
 
-def _bit_map(prints: DataFrame):
+def bit_map(prints: DataFrame):
     """A map of bits that are set for ``prints``, of bounded size, for all tasks; and its size in bits."""
     spark = prints.sparkSession
     bits = min(MOST_MAP_BITS, max(LEAST_MAP_BITS, (16 * prints.count()).bit_length()))
@@ -190,7 +190,7 @@ def _bit_map(prints: DataFrame):
         marks[table.column("bit").to_numpy() & ((1 << SLICE_BITS) - 1)] = True
         return pa.table({"slice": table.column("slice")[:1], "marks": pa.array([np.packbits(marks).tobytes()], pa.binary())})
 
-    places = prints.select((F.col("print") % (1 << bits)).alias("bit")).distinct().withColumn("slice", F.expr(f"bit div {1 << SLICE_BITS}"))
+    places = prints.select(F.col("print").bitwiseAND((1 << bits) - 1).alias("bit")).distinct().withColumn("slice", F.expr(f"bit div {1 << SLICE_BITS}"))
     marks = np.zeros(1 << bits >> 3, np.uint8)
     for row in places.groupBy("slice").applyInArrow(put, "slice long, marks binary").collect():  # at most 64 MB
         at = row["slice"] << SLICE_BITS >> 3
@@ -198,6 +198,12 @@ def _bit_map(prints: DataFrame):
     return spark.sparkContext.broadcast(marks), bits
 
 
+def in_bit_map(prints: np.ndarray, marks: np.ndarray, bits: int) -> np.ndarray:
+    """Which of ``prints`` have their bit set."""
+    place = prints & np.uint64((1 << bits) - 1)
+    return (marks[(place >> np.uint64(3)).astype(np.int64)] >> (7 - (place & np.uint64(7))).astype(np.uint8)) & 1
+
+
 def find_copies(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, keep_id, group_size, kept, text_sha256, and ``row``.
 
@@ -211,15 +217,13 @@ def find_copies(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     table = stored(described.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     ranges = 1 << max(4, (table.count() // range_rows).bit_length())
     twice = stored(repeated(build_filters(table, ranges)).select("print"), "repeated")
-    marks, bits = _bit_map(twice)
+    marks, bits = bit_map(twice)
 
     def suspects(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 8 << 20):
             texts = _normal(byte_texts(batch.column("text")))
             prints = _prints(texts)
-            place = prints & np.uint64((1 << bits) - 1)
-            there = (marks.value[(place >> np.uint64(3)).astype(np.int64)] >> (7 - (place & np.uint64(7))).astype(np.uint8)) & 1
-            own = np.flatnonzero(there)
+            own = np.flatnonzero(in_bit_map(prints, marks.value, bits))
             if len(own):
                 yield pa.RecordBatch.from_arrays([pa.array(prints[own].astype(np.int64)), pa.array([texts[i] for i in own], pa.binary())], names=["print", "bytes"])
 

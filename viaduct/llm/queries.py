@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from viaduct.llm.decontamination import op5_decontamination
 from viaduct.llm.exact_dedup import op10_exact_dedup
 from viaduct.llm.language import op3_language
+from viaduct.llm.near_dedup import op9_near_dedup
 from viaduct.llm.packing import op2_packing
 from viaduct.llm.token_files import op1_token_files
 
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_language": op3_language,
     "op5_decontamination": op5_decontamination,
+    "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
