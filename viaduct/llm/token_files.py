@@ -24,8 +24,8 @@ import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from viaduct.llm.arrow import slices
 from viaduct.llm.tokens import default_vocabulary, encoder
@@ -40,7 +40,7 @@ FOOTER = struct.Struct("<IBI")
 
 FRAME_BYTES, LEVEL, END_ID = 1 << 18, 3, 2
 MANIFEST = "file string, first_doc long, docs long, tokens long, frames long, bytes long, seek_crc32 long"
-READ = "doc_id long, file string, in_file long, n_tokens long, ids_crc32 long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -199,12 +199,12 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = _open(path)
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for name, before in zip(*(batch.column(c).to_pylist() for c in ("file", "before")), strict=True):
                 with system.open_input_file(f"{folder}/{name}") as source:
                     held: list[tuple] = []
                     size = 0
                     for doc, at, ids in FrameReader(source).rows(wanted):
-                        held.append((doc, name, at, len(ids), zlib.crc32(ids), *([ids.astype(np.int64)] if with_ids else ())))
+                        held.append((doc, before + at, len(ids), zlib.crc32(ids), *([ids.astype(np.int64)] if with_ids else ())))
                         size += len(ids) * 8 * with_ids
                         if len(held) >= 20_000 or size > 16 << 20:
                             yield _batch(held, ddl)
@@ -212,14 +212,11 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
                     if held:
                         yield _batch(held, ddl)
 
+    # one small row per file: what stands before a file is a running sum over them; then each file is read by one task
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
-    # one row per file: what stands before a file is a running sum over this small table
-    before = F.coalesce(F.sum("tokens").over(W.Window.orderBy(F.col("file")).rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.select("file", before.alias("before"))
-    found = manifest.select("file").repartition("file").mapInArrow(read, ddl)
-    return found.join(files, "file").select(
-        "doc_id", (F.col("before") + F.col("in_file")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])
-    )
+    earlier = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
+    files = manifest.select("file", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("before"))
+    return files.repartition(max(1, manifest.count())).mapInArrow(read, ddl)
 
 
 def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:

@@ -14,7 +14,7 @@ _CHUNK = re.compile(r"(?:[^\S\x1c-\x1f])*[\S\x1c-\x1f]+|(?:[^\S\x1c-\x1f])+")
 #: Any white space but single spaces and line ends that touch no space.
 _RARE = r"  | \n|\n |[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Chunks whose ids a worker remembers, and chunks encoded in one call.
-REMEMBERED, BLOCK = 1_200_000, 400
+REMEMBERED, BLOCK = 1_000_000, 400
 
 
 class Encoder:
