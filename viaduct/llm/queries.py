@@ -11,13 +11,19 @@ from viaduct.llm.exact_dedup import op10_exact_dedup
 from viaduct.llm.language import op3_language
 from viaduct.llm.near_dedup import op9_near_dedup
 from viaduct.llm.packing import op2_packing
+from viaduct.llm.quality import op8_quality
+from viaduct.llm.secrets import op7_secrets
 from viaduct.llm.token_files import op1_token_files
+from viaduct.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
     "op3_language": op3_language,
     "op5_decontamination": op5_decontamination,
+    "op6_toxicity": op6_toxicity,
+    "op7_secrets": op7_secrets,
+    "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
