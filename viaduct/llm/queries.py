@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from viaduct.llm.decontamination import op5_decontamination
 from viaduct.llm.exact_dedup import op10_exact_dedup
 from viaduct.llm.language import op3_language
+from viaduct.llm.language_model import op4_language_model
 from viaduct.llm.near_dedup import op9_near_dedup
 from viaduct.llm.packing import op2_packing
 from viaduct.llm.quality import op8_quality
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_packing": op2_packing,
     "op3_language": op3_language,
+    "op4_language_model": op4_language_model,
     "op5_decontamination": op5_decontamination,
     "op6_toxicity": op6_toxicity,
     "op7_secrets": op7_secrets,
