@@ -17,16 +17,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, most_
     them, so long paths shrink quickly and a node with very many neighbours is only ever aggregated, never collected.
     ``nodes(graph_id, node)`` adds isolated nodes. Self-loops and rows with null ends are ignored.
     """
-    own = edges.select("graph_id", F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
-    own = stored(own.filter(F.col("src").isNotNull() & F.col("dst").isNotNull() & (F.col("a") != F.col("b"))).distinct(), "edges")
-    mark = _mark(own)
-    for _ in range(most_rounds):
-        own = stored(_small_star(_large_star(own)), "edges")
-        before, mark = mark, _mark(own)
-        if mark == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle within {most_rounds} rounds")
+    own = component_stars(edges, most_rounds)
     ends = edges.filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
     every = ends.select("graph_id", F.col("src").alias("node")).union(ends.select("graph_id", "dst"))
     if nodes is not None:
@@ -37,6 +28,19 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, most_
     )
 
 
+def component_stars(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(graph_id, a, b): every node but the least of its component, with that least node."""
+    own = edges.filter("src <> dst").select("graph_id", F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
+    own = stored(own, "edges")
+    mark = _mark(own)
+    for _ in range(most_rounds):
+        own = stored(_small_star(_large_star(own)), "edges")
+        before, mark = mark, _mark(own)
+        if mark == before:
+            return own
+    raise RuntimeError(f"components did not settle within {most_rounds} rounds")
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("graph_id", "a", "b"))).first()
     return tuple(row)
@@ -46,7 +50,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("graph_id", "b", "a"))
     least = both.groupBy("graph_id", "a").agg(F.min("b").alias("m"))
     larger = both.filter(F.col("b") > F.col("a")).join(least, ["graph_id", "a"])
-    return larger.select("graph_id", F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+    return larger.select("graph_id", F.col("b").alias("a"), F.least("m", "a").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
