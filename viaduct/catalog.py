@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viaduct.plans import graph_queries
+from viaduct.plans import graph_queries, table_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**graph_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**graph_queries.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**graph_queries.QUERIES, **table_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**graph_queries.ORACLE_SQL, **table_queries.ORACLE_SQL}
