@@ -222,6 +222,6 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all ``documents``, learned from labels outside the held-out fifth."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     found = score_quality(docs, quality_model(docs, labels))
-    return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+    return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 

@@ -172,4 +172,4 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
     model = train(*labelled_sample(docs, labels.filter(fold != 0), "toxic"))
-    return score_toxicity(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+    return score_toxicity(docs, model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
