@@ -93,12 +93,12 @@ def sigmoid(x) -> Column:
 
 
 def clamp(x, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), _c(x)))
+    return F.when(_c(x).isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), _c(x))))
 
 
 def percent_text(x, digits: int = 0, missing: str = "—") -> Column:
     """A share as a percentage, or the marker where it is missing."""
-    return F.coalesce(F.concat(F.format_number(clamp(x) * 100, digits), F.lit("%")), F.lit(missing))
+    return F.coalesce(F.concat(F.format_number(clamp(F.nanvl(_c(x), F.lit(None).cast("double"))) * 100, digits), F.lit("%")), F.lit(missing))
 
 
 def resilience_tier(index) -> Column:
