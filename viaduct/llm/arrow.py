@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +16,31 @@ WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
 LONG_WORD = 64
+#: glibc's call to return freed memory; other platforms do without.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def release() -> None:
+    """Give unused memory of this process back."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidy(work: Callable) -> Callable:
+    """``work`` on batches; when a task ends, its worker gives unused memory back, as workers outlive tasks."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds at most ``most`` bytes of ``column``, but one row at least."""
     for batch in batches:
@@ -53,8 +77,8 @@ def spans_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def hash_spans(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, equal for equal bytes."""
+def hash_spans(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray, factor: np.uint64 = _MULTIPLIER) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, equal for equal bytes; another odd ``factor`` gives another hash."""
     lengths = ends - starts
     order = np.argsort(np.minimum(lengths, LONG_WORD + 1).astype(np.uint8), kind="stable")
     at, size = starts[order], lengths[order]
@@ -62,9 +86,9 @@ def hash_spans(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     longest = int(min(size[-1], LONG_WORD)) if len(size) else 0
     for k in range(longest):
         first = int(np.searchsorted(size, k, side="right"))
-        out[first:] = out[first:] * _MULTIPLIER + (buffer[at[first:] + k].astype(np.uint64) + np.uint64(1))
+        out[first:] = out[first:] * factor + (buffer[at[first:] + k].astype(np.uint64) + np.uint64(1))
     for i in range(int(np.searchsorted(size, LONG_WORD, side="right")), len(size)):
-        out[i] = xxhash.xxh3_64_intdigest(buffer[at[i] : at[i] + size[i]].tobytes())
+        out[i] = xxhash.xxh3_64_intdigest(buffer[at[i] : at[i] + size[i]].tobytes(), seed=int(factor))
     hashes = np.empty_like(out)
     hashes[order] = mix(out)
     return hashes

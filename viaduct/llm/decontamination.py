@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaduct.llm.arrow import byte_texts, slices, words
+from viaduct.llm.arrow import byte_texts, slices, tidy, words
 from viaduct.session import ready, stored
 
 WINDOW, SLOP = 10, 2
@@ -62,7 +62,7 @@ def index_documents(docs: DataFrame, path: str | None = None, segment_bytes: int
             number += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(rows.mapInArrow(build, SEGMENT), "postings", path)
+    return stored(rows.mapInArrow(tidy(build), SEGMENT), "postings", path)
 
 
 def query_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -195,7 +195,7 @@ def search_index(index: DataFrame, windows: DataFrame, slop: int = 0, block_wind
     for k in range(blocks):
         rows = own.filter(F.col("digest") % blocks == k).select("terms", "items").collect()  # one block
         block = spark.sparkContext.broadcast([(bytes(r["terms"]), list(r["items"])) for r in rows])
-        parts.append(index.mapInArrow(_finder(block, slop, k == 0), FOUND))
+        parts.append(index.mapInArrow(tidy(_finder(block, slop, k == 0)), FOUND))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)

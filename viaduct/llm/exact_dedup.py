@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaduct.llm.arrow import byte_texts, slices
+from viaduct.llm.arrow import byte_texts, slices, tidy
 from viaduct.session import ready, stored
 
 #: Bits of a fingerprint; rows to a range of fingerprints whose filters one task merges.
@@ -130,7 +130,7 @@ def _prints(texts: list[bytes]) -> np.ndarray:
 
 
 def _described(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 8 << 20):
+    for batch in slices(batches, "text", 4 << 20):
         texts = _normal(byte_texts(batch.column("text")))
         yield pa.RecordBatch.from_arrays(
             [
@@ -213,21 +213,21 @@ def find_copies(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """
     ready(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = rows.mapInArrow(_described, "doc_id long, print long, sha binary, n_chars long")
+    described = rows.mapInArrow(tidy(_described), "doc_id long, print long, sha binary, n_chars long")
     table = stored(described.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     ranges = 1 << max(4, (table.count() // range_rows).bit_length())
     twice = stored(repeated(build_filters(table, ranges)).select("print"), "repeated")
     marks, bits = bit_map(twice)
 
     def suspects(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             texts = _normal(byte_texts(batch.column("text")))
             prints = _prints(texts)
             own = np.flatnonzero(in_bit_map(prints, marks.value, bits))
             if len(own):
                 yield pa.RecordBatch.from_arrays([pa.array(prints[own].astype(np.int64)), pa.array([texts[i] for i in own], pa.binary())], names=["print", "bytes"])
 
-    candidates = rows.select("text").mapInArrow(suspects, "print long, bytes binary")
+    candidates = rows.select("text").mapInArrow(tidy(suspects), "print long, bytes binary")
     # verification: equal means the same bytes; copies within a task meet before the shuffle, so no key is hot
     verified = candidates.join(twice, "print", "left_semi").groupBy("print", "bytes").agg(F.count(F.lit(1)).alias("group_size"))
     groups = verified.filter("group_size > 1").select(F.unhex(F.sha2("bytes", 256)).alias("sha"), "group_size")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaduct.llm.arrow import packed, slices
+from viaduct.llm.arrow import packed, slices, tidy
 from viaduct.llm.tokens import default_vocabulary, encoder
 from viaduct.session import ready
 
@@ -134,7 +134,7 @@ def _packer(vocabulary: str, window: int, end_id: int, block_docs: int, with_ids
         tails: list[np.ndarray] = []
         rows: list[tuple[np.ndarray, ...]] = []
         held = 0
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             ids, bounds = encoder(vocabulary).encode(batch.column("text"))
             ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
             bounds = bounds + np.arange(len(bounds))
@@ -201,7 +201,7 @@ def pack_documents(
     ready(docs.sparkSession)
     pack = _packer(vocabulary or default_vocabulary(), window, end_id, block_docs, with_ids)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(pack, PIECE + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(tidy(pack), PIECE + (", ids binary" if with_ids else ""))
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:

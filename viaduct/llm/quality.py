@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaduct.llm.arrow import WORD_BYTES, byte_texts, hash_spans, slices, spans_of
+from viaduct.llm.arrow import WORD_BYTES, byte_texts, hash_spans, slices, spans_of, tidy
 from viaduct.llm.training import Adam, labelled_sample, sigmoid
 from viaduct.session import ready
 
@@ -196,7 +196,7 @@ def score_quality(docs: DataFrame, model: QualityModel, accept: float = ACCEPT)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found), pa.array((found >= accept).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score, RESULT)
+    return rows.mapInArrow(tidy(score), RESULT)
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> QualityModel:
@@ -215,7 +215,7 @@ def keep_good(docs: DataFrame, model: QualityModel, accept: float = ACCEPT) -> D
             found = shared.value.scores(byte_texts(batch.column("text")))
             yield batch.filter(pa.array(found >= accept))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from viaduct.llm.arrow import slices
+from viaduct.llm.arrow import slices, tidy
 from viaduct.llm.tokens import default_vocabulary, encoder
 from viaduct.session import ready, scratch
 
@@ -152,7 +152,7 @@ def _writer(path: str, vocabulary: str, end_id: int, level: int, frame_bytes: in
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
         system, folder = _open(path)
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             if out is None:
                 # an attempt of its own name: a task that runs again never touches a file that another one wrote
                 name = f"tokens-{TaskContext.get().partitionId():09d}-{uuid.uuid4().hex}.zst"
@@ -183,7 +183,7 @@ def write_token_files(
     write = _writer(path, vocabulary or default_vocabulary(), end_id, level, frame_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    dealt.mapInArrow(write, MANIFEST).write.parquet(f"{path}/_manifest")
+    dealt.mapInArrow(tidy(write), MANIFEST).write.parquet(f"{path}/_manifest")
     return spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
 
 
