@@ -17,20 +17,25 @@ def max_normalised(value: str, digits: int = 4) -> Column:
     return F.when(top > 0, F.bround(F.col(value) / top, digits)).otherwise(0.0)
 
 
+def scored_network(nodes: DataFrame, edges: DataFrame, weight: str = "w") -> tuple[DataFrame, DataFrame]:
+    """Nodes with ``betweenness`` (of 1 at most); edges with ``raw`` and ``criticality``."""
+    of_nodes, of_edges = betweenness(nodes, edges, all_pairs(nodes, edges, weight), weight)
+    marked = nodes.join(of_nodes.withColumn("betweenness", max_normalised("betweenness")), ["graph_id", "node"])
+    scored = of_edges.withColumnRenamed("betweenness", "raw").withColumn("criticality", max_normalised("raw")).toDF("graph_id", "a", "b", "raw", "criticality")
+    keyed = edges.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst"))
+    return stored(marked, "nodes"), stored(keyed.join(scored, ["graph_id", "a", "b"], "left").drop("a", "b"), "edges")
+
+
 def annotate_network(nodes: DataFrame, edges: DataFrame, weight: str = "w") -> tuple[DataFrame, DataFrame]:
-    """Nodes with ``betweenness`` (of 1 at most) and ``is_articulation``; edges with ``raw``, ``criticality``, ``is_bridge``."""
-    dist = all_pairs(nodes, edges, weight)
-    of_nodes, of_edges = betweenness(nodes, edges, dist, weight)
+    """``scored_network`` with ``is_articulation`` of nodes and ``is_bridge`` of edges."""
+    marked, scored = scored_network(nodes, edges, weight)
     cuts = blocks(edges)
     points = articulation_points(edges, cuts).withColumn("is_articulation", F.lit(True))
-    marked = nodes.join(of_nodes.withColumn("betweenness", max_normalised("betweenness")), ["graph_id", "node"])
     marked = marked.join(points, ["graph_id", "node"], "left").withColumn("is_articulation", F.coalesce("is_articulation", F.lit(False)))
     alone = bridges(edges, cuts).withColumn("is_bridge", F.lit(True)).toDF("graph_id", "a", "b", "is_bridge")
-    scored = of_edges.withColumnRenamed("betweenness", "raw").withColumn("criticality", max_normalised("raw")).toDF("graph_id", "a", "b", "raw", "criticality")
-    keyed = edges.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst"))
-    done = keyed.join(scored, ["graph_id", "a", "b"], "left").join(alone, ["graph_id", "a", "b"], "left")
-    done = done.withColumn("is_bridge", F.coalesce("is_bridge", F.lit(False))).drop("a", "b")
-    return stored(marked, "nodes"), stored(done, "edges")
+    keyed = scored.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst"))
+    done = keyed.join(alone, ["graph_id", "a", "b"], "left").withColumn("is_bridge", F.coalesce("is_bridge", F.lit(False)))
+    return stored(marked, "nodes"), stored(done.drop("a", "b"), "edges")
 
 
 def gatekeepers(nodes: DataFrame, top_k: int = 8) -> DataFrame:

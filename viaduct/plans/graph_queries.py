@@ -208,6 +208,10 @@ def _annotated(spark: SparkSession, sf_dir: str):
     return annotate.annotate_network(*trade_network(spark, sf_dir))
 
 
+def _scored(spark: SparkSession, sf_dir: str):
+    return annotate.scored_network(*trade_network(spark, sf_dir))
+
+
 def annotate_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _annotated(spark, sf_dir)[1].select("edge_id", "src", "dst", "length_m", "travel_time", "road_class", "criticality", "is_bridge")
 
@@ -217,11 +221,11 @@ def gatekeepers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotate.top_edges(_annotated(spark, sf_dir)[1]).select("edge_id", "criticality", "rank")
+    return annotate.top_edges(_scored(spark, sf_dir)[1]).select("edge_id", "criticality", "rank")
 
 
 def criticality_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return annotate.criticality_histogram(_annotated(spark, sf_dir)[1]).select("bin", "edges")
+    return annotate.criticality_histogram(_scored(spark, sf_dir)[1]).select("bin", "edges")
 
 
 def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,12 +237,12 @@ def articulation_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attack_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _annotated(spark, sf_dir)[1].withColumn("raw", F.round("raw", 9))
+    edges = _scored(spark, sf_dir)[1].withColumn("raw", F.round("raw", 9))
     return resilience.attack_order(edges).select("edge_id", "rank")
 
 
 def resilience_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _annotated(spark, sf_dir)
+    nodes, edges = _scored(spark, sf_dir)
     edges = edges.withColumn("raw", F.round("raw", 9))
     base = resilience.graph_state(nodes, edges).select("graph_id", F.col("efficiency").alias("base_efficiency"))
     found = resilience.resilience_curve(nodes, edges, stored(base, "base"))
@@ -294,7 +298,7 @@ sg AS (SELECT id, count(*) AS k, max(size)/sum(size) AS giant FROM (SELECT id, c
 
 
 def impact_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _annotated(spark, sf_dir)
+    nodes, edges = _scored(spark, sf_dir)
     ends = edges.select("graph_id", F.col("edge_id").alias("id"), F.explode(F.array("src", "dst")).alias("node"))
     by_node = ends.select(F.concat(F.lit("n"), "node").alias("scenario_id"), "graph_id", F.lit("edge").alias("kind"), "id")
     index = nodes.select("graph_id").distinct().withColumn("resilience_index", F.lit(100))
