@@ -101,7 +101,11 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: floa
         return ToxicityModel(np.zeros(size, np.float32), float(np.log(rate_of / (1 - rate_of))), np.ones(size, np.float32))
     own = Subwords([t.encode("utf-8", "replace") for t in texts])
     flat, edges = own.listed()
-    used, flat = np.unique(flat, return_inverse=True)
+    del own.grams
+    used = np.flatnonzero(np.bincount(flat, minlength=size))
+    place = np.zeros(size, np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    flat = place[flat]
     starts, sizes, bounds = edges[:-1], own.sizes, own.bounds
     seen = np.bincount(own.whole, minlength=size) / max(1, len(own.whole))
     rarity = (COMMON / (COMMON + seen)).astype(np.float32)
