@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viaduct.llm.arrow import byte_texts, slices, tidy, words
+from viaduct.llm.rows import numbered
 from viaduct.session import ready, stored
 
 WINDOW, SLOP = 10, 2
@@ -238,10 +239,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean_of_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents, with all their columns, that hold no window of the benchmark; null ids are kept if clean."""
-    marked = docs.withColumn("_row", F.monotonically_increasing_id())
-    marked = stored(marked, "marked")
-    found = decontaminate(marked.select(F.col("_row").alias("doc_id"), "text"), items, window)
-    dirty = found.filter("contaminated").select(F.col("doc_id").alias("_row"))
-    return marked.join(dirty, "_row", "left_anti").drop("_row")
+    own, row = numbered(docs)
+    found = decontaminate(own.select(F.col(row).alias("doc_id"), "text"), items, window)
+    dirty = found.filter("contaminated").select(F.col("doc_id").alias(row))
+    return own.join(dirty, row, "left_anti").select(*docs.columns)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viaduct.llm.arrow import byte_texts, slices, tidy
+from viaduct.llm.rows import numbered, stored_rows, with_row
 from viaduct.session import ready, stored
 
 #: Bits of a fingerprint; rows to a range of fingerprints whose filters one task merges.
@@ -135,11 +136,12 @@ def _described(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
+                batch.column("row"),
                 pa.array(_prints(texts).astype(np.int64)),
                 pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()),
                 pc.cast(pc.fill_null(pc.utf8_length(batch.column("text")), 0), pa.int64()),
             ],
-            names=["doc_id", "print", "sha", "n_chars"],
+            names=["doc_id", "row", "print", "sha", "n_chars"],
         )
 
 
@@ -204,17 +206,17 @@ def in_bit_map(prints: np.ndarray, marks: np.ndarray, bits: int) -> np.ndarray:
     return (marks[(place >> np.uint64(3)).astype(np.int64)] >> (7 - (place & np.uint64(7))).astype(np.uint8)) & 1
 
 
-def find_copies(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+def find_copies(docs: DataFrame, range_rows: int = RANGE_ROWS, row: str | None = None) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, keep_id, group_size, kept, text_sha256, and ``row``.
 
     Texts are equal when identical after deleting space and the characters 09 to 0D; null counts as empty, and all
     empty texts are one group. Of equal texts the row with the most code points stays, then the smallest ``doc_id``
-    (null last), then the first row; exactly one row of a group is kept. ``row`` numbers the rows as stored.
+    (null last), then the first row; exactly one row of a group is kept. ``row`` is the column of that name, or numbers the rows.
     """
     ready(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = rows.mapInArrow(tidy(_described), "doc_id long, print long, sha binary, n_chars long")
-    table = stored(described.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    rows = with_row(docs, row)
+    described = rows.mapInArrow(tidy(_described), "doc_id long, row long, print long, sha binary, n_chars long")
+    table = stored_rows(described, row, "fingerprints")
     ranges = 1 << max(4, (table.count() // range_rows).bit_length())
     twice = stored(repeated(build_filters(table, ranges)).select("print"), "repeated")
     marks, bits = bit_map(twice)
@@ -247,10 +249,9 @@ def find_copies(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stay."""
-    marked = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "marked")
-    found = find_copies(marked.select(F.col("_row").alias("doc_id"), "text"))
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_row"))
-    return marked.join(gone, "_row", "left_anti").drop("_row")
+    own, row = numbered(docs)
+    gone = find_copies(own, row=row).filter(~F.col("kept")).select(F.col("row").alias(row))
+    return own.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
