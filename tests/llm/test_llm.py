@@ -290,6 +290,40 @@ def test_near_duplicates_against_brute_force(spark, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def near_truth(spark, texts, bands, rows):
+    """Signatures of texts (as many as there are bands) and every pair of texts that is similar, by brute force."""
+    table = near_dedup.frequency_weights(near_dedup.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string")), len(texts))
+    found, counts, bounds = near_dedup.shingles([t.encode() for t in texts])
+    weights = near_dedup.weights_of(found, counts, table)
+    drawn = near_dedup.samples(found, weights, bounds[:-1], bands * rows)
+    keys = [[tuple(drawn[i, k::bands]) for k in range(bands)] for i in range(len(texts))]
+    vectors = [tuple(x[a:b] for x in (found, weights, counts.astype(np.float32))) for a, b in zip(bounds, bounds[1:])]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if near_dedup._similarity(vectors[i], vectors[j]) >= near_dedup.SIMILAR]
+    return keys, pairs
+
+
+def near_classes(spark, texts, **options):
+    found = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **options)
+    return {r.doc_id: r.class_id for r in found.collect()}
+
+
+def test_near_duplicates_among_texts_of_one_body(spark):
+    rng = np.random.default_rng(16)
+    body = [f"b{i}" for i in range(174)]
+    texts = []
+    for k in range(240):  # below 0.8 to each other, but for pairs that share some more words
+        own = [f"o{k}x{i}" for i in range(26)]
+        texts.append(" ".join(body + own))
+        if k % 4 == 0:
+            texts.append(" ".join(body + own[:13] + [f"p{k}x{i}" for i in range(13)]))
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    _, pairs = near_truth(spark, texts, near_dedup.BANDS, near_dedup.ROWS)
+    assert len(pairs) == 60
+    found = near_classes(spark, texts)
+    assert [p for p in pairs if found[p[0]] != found[p[1]]] == []
+    assert len(set(found.values())) == len(texts) - 60
+
+
 def test_counting_filter_is_exact_and_merges():
     rng = np.random.default_rng(7)
     parts = [rng.integers(0, 60, 300).astype(np.uint64) << np.uint64(41) for _ in range(3)] + [np.zeros(0, np.uint64), np.array([2**48 - 1] * 3, np.uint64)]

@@ -4,7 +4,8 @@
 2. Each document is a weighted set of shingles (term frequency times a scaled inverse document frequency); consistent
    weighted samples (Ioffe 2010) of two sets agree with the probability of their weighted Jaccard similarity.
 3. Bands of samples are buckets. In a bucket, members are compared with one hub, not with each other; classes that
-   stay apart are compared in further rounds until a round finds no link.
+   stay apart are compared in further rounds by members elected anew, until a round finds no link. Of what is then
+   still apart in some bucket, every pair is compared that an exact prefix filter cannot exclude.
 4. Each compared pair is verified on the whole texts; linked documents form classes (connected components).
 
 Equal texts are one node throughout, so thousands of copies cost as much as one text.
@@ -34,8 +35,9 @@ WORDS, SIMILAR = 5, 0.8
 ROWS, BANDS = 3, 12
 #: Counters of the sketch (two rows of them) and the part of them that is one row of a shuffle.
 SKETCH_BITS, SLICE_BITS, SALTS = 20, 14, 64
-#: Up to so many classes of a bucket are compared each with each; a larger bucket is first split by a second band.
-FEW_CLASSES = 12
+#: Rounds with elected hubs before all pairs that may be similar are compared, rows of a token in a task, and what
+#: bounds are lowered by for rounding.
+TURNS, TOKEN_ROWS, SLACK = 3, 512, 1e-5
 _ONE = np.uint64(1)
 
 
@@ -186,21 +188,66 @@ def _links(tested: DataFrame) -> DataFrame:
     return tested.filter("linked").select(F.lit(0).alias("graph_id"), F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def _class_pairs(entries: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Pairs of classes that share a bucket, each class by its least member there; none if no bucket has two."""
-    own = entries.join(classes, "node", "left").groupBy("band", F.coalesce("comp", "node").alias("comp")).agg(F.min("node").alias("node"))
-    apart = own.groupBy("band").agg(F.count(F.lit(1)).alias("classes")).filter("classes > 1")
-    own = stored(own.join(apart, "band").select("band", "classes", "node"), "apart")
-    if own.isEmpty():
-        return None
-    few = own.filter(F.col("classes") <= FEW_CLASSES).groupBy("band").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
-    few = few.select("nodes", F.posexplode("nodes").alias("i", "b"))
-    pairs = few.select("b", F.explode(F.slice("nodes", F.col("i") + 2, FEW_CLASSES)).alias("a")).select("a", "b")
-    many = own.filter(F.col("classes") > FEW_CLASSES).select("band", "node")
-    if many.isEmpty():
-        return pairs
-    second = many.join(entries.select("node", F.col("band").alias("other")), "node").filter(F.col("band") < F.col("other"))
-    return pairs.union(_hub_pairs(second, ["band", "other"]))
+def _apart(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """(band, comp, node) of the members of buckets that hold two classes or more."""
+    own = entries.join(classes, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
+    spread = own.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("last")).filter("least < last")
+    return own.join(spread.select("band"), "band")
+
+
+def _class_pairs(apart: DataFrame, turn: int) -> DataFrame:
+    """In each bucket one member of a class with one of another, both elected anew in every turn."""
+    chance = F.xxhash64("node", F.lit(turn))
+    own = apart.groupBy("band", "comp").agg(F.min(F.struct(chance.alias("chance"), "node")).alias("x")).select("band", "x")
+    hubs = own.groupBy("band").agg(F.min("x").alias("hub"))
+    pairs = own.join(hubs, "band").filter("x <> hub").select(F.col("x.node").alias("x"), F.col("hub.node").alias("y"))
+    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+
+def _prefixes(table, documents: int, threshold: float):
+    """(node, comp, token, r1, w1, r2, w2): the shingles of which two similar texts share one at least.
+
+    Shingles stand in one order for all texts, by falling inverse document frequency; w is the weight of the text by
+    TF-IDF (1) and TF (2), r that of the shingle and all after it. Texts whose first common shingle is this one overlap
+    by the lesser r at most, which bounds their similarity. Shingles that the sketch knows from one document are left out.
+    """
+    once = frequency_weights(np.array([1.0, 2.0]), documents).mean()
+
+    def prefix(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in slices(batches, "packed", 1 << 17):
+            for node, comp, packed in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "packed")), strict=True):
+                found, counts, _ = shingles([unpack(packed)])
+                tf, tf_idf = counts.astype(np.float64), weights_of(found, counts, table.value).astype(np.float64)
+                idf = weights_of(found, np.ones(len(found), np.int64), table.value)
+                order = np.lexsort((found, -idf))
+                rest, whole = [], []
+                for w in (tf_idf, tf):
+                    rest.append(np.cumsum(w[order][::-1])[::-1])
+                    whole.append(w.sum())
+                kept = (rest[0] >= (threshold - SLACK) * whole[0]) | (rest[1] >= (threshold - SLACK) * whole[1])
+                kept &= idf[order] < once
+                n = int(kept.sum())
+                if n:
+                    numbers = [x for r, w in zip(rest, whole, strict=True) for x in (r[kept], np.full(n, w))]
+                    columns = [pa.array(np.full(n, node)), pa.array(np.full(n, comp)), pa.array(found[order][kept].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns + [pa.array(x.astype(np.float32)) for x in numbers], names=["node", "comp", "token", "r1", "w1", "r2", "w2"])
+
+    return prefix
+
+
+def _close_pairs(tokens: DataFrame, threshold: float) -> DataFrame:
+    """Every pair of texts of different classes that the bounds of ``_prefixes`` cannot exclude."""
+    tokens = stored(tokens, "tokens")
+    groups = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("least"), F.max("comp").alias("last")).filter("least < last")
+    groups = groups.select("token", F.ceil(F.col("n") / TOKEN_ROWS).cast("int").alias("parts"))
+    own = stored(tokens.join(groups, "token"), "shared")  # a large group is dealt to several tasks, each with all of the other side
+    left = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", "part", *[F.col(c).alias(f"{c}_a") for c in ("node", "comp", "r1", "w1", "r2", "w2")])
+    right = own.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("token", "part", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "r1", "w1", "r2", "w2")])
+    share = threshold / (1 + threshold) - SLACK
+    near = [F.least(f"r{k}_a", f"r{k}_b") >= share * (F.col(f"w{k}_a").cast("double") + F.col(f"w{k}_b")) for k in (1, 2)]
+    both = left.join(right, ["token", "part"]).filter((F.col("node_a") > F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (near[0] | near[1]))
+    return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _similarity(a: tuple, b: tuple) -> float:
@@ -278,7 +325,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
     """
     spark = ready(docs.sparkSession)
     texts = with_row(docs, row).withColumn("text", F.coalesce("text", F.lit("")))
-    table = spark.sparkContext.broadcast(frequency_weights(document_frequencies(texts), max(1, texts.select("doc_id").count())))
+    documents = max(1, texts.select("doc_id").count())
+    table = spark.sparkContext.broadcast(frequency_weights(document_frequencies(texts), documents))
     described = texts.mapInArrow(tidy(_describer(table, bands, rows)), "doc_id long, row long, key binary, bands array<long>")
     rows_of = stored_rows(described, row, "signatures")
     nodes = rows_of.groupBy("key").agg(F.min(F.struct("row", "bands")).alias("x")).select("key", F.col("x.row").alias("node"), F.col("x.bands").alias("bands"))
@@ -295,18 +343,27 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
 
     tested = verified(entries.filter("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
     stars = component_stars(_links(tested))
+    turn, linked = 0, True
     while True:
-        fresh = _class_pairs(entries, stars.select(F.col("a").alias("node"), F.col("b").alias("comp")))
-        if fresh is None:
-            break
-        fresh = stored(fresh.distinct().join(tested, ["a", "b"], "left_anti"), "fresh")
-        if fresh.isEmpty():
+        if linked:
+            apart = stored(_apart(entries, stars.select(F.col("a").alias("node"), F.col("b").alias("comp"))), "apart")
+        if apart.isEmpty():
             break
-        more = verified(fresh)
+        last = turn == TURNS
+        if last:
+            rest = packed.join(apart.select("node", "comp").distinct(), "node")
+            columns = "node long, comp long, token long, r1 float, w1 float, r2 float, w2 float"
+            fresh = _close_pairs(rest.mapInArrow(tidy(_prefixes(table, documents, threshold)), columns), threshold)
+        else:
+            fresh = _class_pairs(apart, turn).distinct()
+        more = verified(stored(fresh.join(tested, ["a", "b"], "left_anti"), "fresh"))
         tested = tested.unionByName(more)
-        if more.filter("linked").isEmpty():
+        linked = not more.filter("linked").isEmpty()
+        if linked:
+            stars = component_stars(_links(more).unionByName(stars.select("graph_id", F.col("a").alias("src"), F.col("b").alias("dst"))))
+        if last:
             break
-        stars = component_stars(_links(more).unionByName(stars.select("graph_id", F.col("a").alias("src"), F.col("b").alias("dst"))))
+        turn = turn + 1 if linked else TURNS
     classes = stars.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     linked = tested.filter("linked")
     degree = linked.select(F.col("a").alias("node")).union(linked.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
