@@ -324,6 +324,19 @@ def test_near_duplicates_among_texts_of_one_body(spark):
     assert len(set(found.values())) == len(texts) - 60
 
 
+def test_near_duplicates_in_a_chain_of_edits(spark):
+    texts = []
+    for k in range(30):  # the second is similar to the first and to the third, which are not similar to each other
+        own = [f"c{k}x{i}" for i in range(100)]
+        for at in (0, 6, 12):
+            texts.append(" ".join([f"n{k}x{i}" for i in range(at)] + own[at:]))
+    keys, pairs = near_truth(spark, texts, 1, 1)
+    assert len(pairs) == 60
+    found = near_classes(spark, texts, bands=1, rows=1)
+    assert sum(keys[3 * k] == keys[3 * k + 1] == keys[3 * k + 2] for k in range(30)) > 5
+    assert [(i, j) for i, j in pairs if keys[i] == keys[j] and found[i] != found[j]] == []
+
+
 def test_counting_filter_is_exact_and_merges():
     rng = np.random.default_rng(7)
     parts = [rng.integers(0, 60, 300).astype(np.uint64) << np.uint64(41) for _ in range(3)] + [np.zeros(0, np.uint64), np.array([2**48 - 1] * 3, np.uint64)]
