@@ -127,3 +127,12 @@ def test_osm_junctions_split_ways(spark, tmp_path):
     nodes, ways = networks.read_osm(spark, str(tmp_path / "o.json"))
     _, edges = networks.osm_to_network(nodes, ways)
     assert {(min(r.src, r.dst), max(r.src, r.dst), r.road_class) for r in edges.collect()} == {(0, 2, "arterial"), (2, 3, "arterial"), (2, 4, "local")}
+
+
+def test_half_width_reaches_across_the_tile(spark):
+    near = [("one", r, c) for r in range(0, 96, 5) for c in range(0, 96, 5) if (r, c) != (0, 0)]
+    full = [(t, r, c) for t in ("one", "none") for r in range(96) for c in range(96) if t == "none" or (r, c) != (0, 0)]
+    found = {(x.tile_id, x.r, x.c): x.d for x in raster.half_width(spark.createDataFrame(full, "tile_id string, r int, c int"), 96).collect()}
+    assert len(found) == len(full)
+    assert all(found[t, r, c] == pytest.approx((r * r + c * c) ** 0.5) for t, r, c in near)
+    assert found["one", 95, 95] == pytest.approx(95 * 2**0.5) and found["none", 50, 50] is None

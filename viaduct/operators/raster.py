@@ -223,15 +223,16 @@ def thin(mask: DataFrame, most_rounds: int = 1000) -> DataFrame:
     raise RuntimeError("thinning did not settle")
 
 
-def half_width(mask: DataFrame, size: int, most: int = 64) -> DataFrame:
-    """(tile_id, r, c, d): Euclidean distance to the nearest background pixel of the tile, null beyond ``most``.
+def half_width(mask: DataFrame, size: int) -> DataFrame:
+    """(tile_id, r, c, d): Euclidean distance to the nearest background pixel of the tile, null if it has none.
 
-    Only background next to the foreground matters; the search radius doubles for pixels without an answer.
+    Only background next to the foreground matters; the search radius doubles for pixels without an answer, up to the
+    tile's diagonal.
     """
     rim = dilate(mask, size, [(0, 0), *FOUR]).join(mask.select(*AT), AT, "left_anti")
     rim = stored(rim, "rim")
     left, radius, parts = stored(mask.select(*AT), "left"), 2, []
-    while radius <= most:
+    while True:
         cell = lambda df: df.withColumn("cy", F.floor(F.col("r") / radius)).withColumn("cx", F.floor(F.col("c") / radius))  # noqa: B023,E731
         near = cell(left).withColumn("o", _offsets([(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1)]))
         near = near.select(*AT, (F.col("cy") + F.col("o.dy")).alias("cy"), (F.col("cx") + F.col("o.dx")).alias("cx"))
@@ -241,7 +242,7 @@ def half_width(mask: DataFrame, size: int, most: int = 64) -> DataFrame:
         found = stored(found.select(*AT, F.sqrt("d2").alias("d")), "width")
         parts.append(found)
         left = stored(left.join(found, AT, "left_anti"), "left")
-        if left.isEmpty():
+        if radius * radius >= 2 * size * size or left.isEmpty():
             break
         radius *= 2
     out = parts[0]
