@@ -1,4 +1,4 @@
-"""Session helpers: worker import path, shared folder, tables written to cut lineage."""
+"""Session helpers: worker import path, shared folder, tables written to cut lineage, joins on keys that may be hot."""
 
 from __future__ import annotations
 
@@ -8,9 +8,13 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Keys that hold more than one in this many of all rows are hot; there can be no more of them than this.
+HOT_KEYS = 10_000
 _OWN: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -25,10 +29,13 @@ def ready(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, local mode) a temporary folder of this machine is set.
+    Where it is unset, a temporary folder of this machine is used in local mode only; a cluster has to name one.
     """
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         path = _OWN.get(app)
         if path is None:
@@ -39,7 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/viaduct/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/viaduct/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
@@ -48,3 +57,46 @@ def stored(df: DataFrame, name: str = "table", path: str | None = None) -> DataF
     path = path or scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def made(spark: SparkSession) -> int:
+    """How many paths were handed out so far: a mark for ``clear``."""
+    return len(_MADE.get(spark.sparkContext.applicationId, []))
+
+
+def clear(spark: SparkSession, since: int = 0, spare: tuple[str, ...] = ()) -> None:
+    """Delete what was written below the paths handed out after the mark ``since``, but for ``spare``.
+
+    For callers that have written their results: tables that were read from those paths are gone afterwards.
+    """
+    own = _MADE.get(spark.sparkContext.applicationId, [])
+    for path in own[since:]:
+        if path not in spare:
+            remove(spark, path)
+    own[since:] = [p for p in own[since:] if p in spare]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete one path, if it exists, on whatever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that nothing will read again, such as those of an earlier round of a loop."""
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            remove(table.sparkSession, path)
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: str, rows: str) -> DataFrame:
+    """``left`` joined to ``right``, which has each key once and, as ``rows``, how many rows of ``left`` have it.
+
+    Hot keys are broadcast, so that no task gets all rows of one; ``HOT_KEYS`` bounds how many there can be. Keys that
+    ``right`` lacks are kept with nulls. Both sides are read twice and should be stored tables.
+    """
+    total = right.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    hot = F.col(rows) > max(1000, total // HOT_KEYS)
+    few = F.broadcast(right.filter(hot))
+    plain = left.join(few.select(on), on, "left_anti").join(right.filter(~hot), on, "left")
+    return left.join(few, on).select(plain.columns).unionByName(plain)
