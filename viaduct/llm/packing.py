@@ -30,11 +30,10 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def combinations(window: int) -> np.ndarray:
     """Up to three lengths that fill a window; 0 stands for none.
 
-    Powers of two fill a sequence of their own without padding. Pairs cover each length once; triples of two equal
-    lengths, and of halves and quarters with a pair of the rest, give the solver other ways to use up a length.
+    Pairs cover each length once; triples of two equal lengths, and of halves and quarters with a pair of the rest,
+    give the solver other ways to use up a length.
     """
-    rows = [(1 << k, 0, 0) for k in range(window.bit_length()) if 1 << k < window]
-    rows += [(a, window - a, 0) for a in range(1, window // 2 + 1)]
+    rows = [(a, window - a, 0) for a in range(1, window // 2 + 1)]
     rows += [(a, a, window - 2 * a) for a in range(1, (window + 1) // 2) if window - 2 * a != a]
     for part in (window // 2, window // 4, window // 8):
         rest = window - part
