@@ -1,9 +1,7 @@
 """Stupid-backoff language-model scores (Brants et al. 2007), counted and joined relationally.
 
-The corpus is cut into blocks of whole documents. Each block sends the distinct n-grams of every order, sorted and
-counted, to the partition that its hash names. A partition sums up its part of the count tables and answers each
-block with the counts of what it sent; answers are joined to their blocks and summed by document. N-grams travel as
-packed sorted hashes, a few bytes each, rather than as rows.
+Count tables of the n-grams of every order, partitioned by hash, are summed up over all documents and joined back to the
+n-grams of each block of documents (``counts``); the terms are then summed by document.
 
 With S(w | u v) = c(u v w) / c(u v) where c(u v w) > 0, else 0.4 S(w | v), down to c(w) / N. By default a document's
 own n-grams are taken out of all counts before it is scored, so that it does not vouch for itself.
@@ -11,36 +9,19 @@ own n-grams are taken out of all counts before it is scored, so that it does not
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaduct.llm.arrow import WORD_BYTES, byte_texts, ngrams, slices, spans_of, words
-from viaduct.session import ready, stored
+from viaduct.llm.arrow import ngrams, words
+from viaduct.llm.counts import block_texts, count_keys, cut_blocks, with_totals, words_in
 
-ORDER, BACKOFF = 3, 0.4
-BLOCK_BYTES, HASH_BITS, LEAST_PARTITIONS = 8 << 20, 56, 16
-BLOCK = "block long, words long, doc_ids array<long>, sizes array<int>, texts binary"
-REQUEST = "part int, n int, block long, keys binary, counts binary"
-REPLY = "block long, n int, part int, totals binary"
+#: N-grams are told apart by so many bits: of 10^13 different ones, one in 100,000 shares its count with another.
+ORDER, BACKOFF, HASH_BITS = 3, 0.4, 60
 SCORE = "doc_id long, n_words long, log_score double, n_seen long"
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """64-bit integers byte by byte of each place: the upper places, mostly zero, then compress to little."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def _unplanes(raw: bytes) -> np.ndarray:
-    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(flat.reshape(8, -1).T).view("<u8").ravel()
-
-
 def _grams(texts: list[bytes], order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hashes of the n-grams, n from 1 to ``order``, one for each place where one begins, with bounds by text."""
     hashes, bounds = words(texts)
@@ -48,111 +29,40 @@ def _grams(texts: list[bytes], order: int) -> list[tuple[np.ndarray, np.ndarray]
     return [(h >> np.uint64(64 - HASH_BITS), b) for h, b in out]
 
 
-def cut_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The corpus in blocks of whole documents, texts compressed."""
-
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in slices(batches, "text", block_bytes):
-            texts = byte_texts(batch.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([number], pa.int64()),
-                    pa.array([len(spans_of(np.frombuffer((b" ".join(texts) + b" ").translate(WORD_BYTES), np.uint8) != 32)[0])], pa.int64()),
-                    pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                    pa.array([[len(t) for t in texts]], pa.list_(pa.int32())),
-                    pa.array([pack(b"".join(texts))], pa.binary()),
-                ],
-                names=["block", "words", "doc_ids", "sizes", "texts"],
-            )
-            number += 1
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, BLOCK)
-
-
-def _texts(row: dict) -> list[bytes]:
-    whole = zstandard.ZstdDecompressor().decompress(row["texts"], max_output_size=sum(row["sizes"]) or 1)
-    ends = np.cumsum(row["sizes"]).tolist()
-    return [whole[e - n : e] for e, n in zip(ends, row["sizes"], strict=True)]
-
-
-def _requester(order: int, parts: int):
-    shift = np.uint64(HASH_BITS - (parts - 1).bit_length())
-
-    def request(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                for n, (hashes, _) in enumerate(_grams(_texts(row), order), 1):
-                    keys, counts = np.unique(hashes, return_counts=True)
-                    edges = np.searchsorted(keys >> shift, np.arange(parts + 1, dtype=np.uint64))
-                    some = np.flatnonzero(np.diff(edges))
-                    packed = [(_planes(np.diff(keys[edges[p] : edges[p + 1]], prepend=np.uint64(0))), _planes(counts[edges[p] : edges[p + 1]])) for p in some]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(some.astype(np.int32)), pa.array([n] * len(some), pa.int32()), pa.array([row["block"]] * len(some), pa.int64()),
-                            pa.array([x for x, _ in packed], pa.binary()), pa.array([y for _, y in packed], pa.binary()),
-                        ],
-                        names=["part", "n", "block", "keys", "counts"],
-                    )
-
-    return request
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """Sum one part of a count table and tell each block the totals of its n-grams, in its order."""
-    keys = [np.cumsum(_unplanes(k), dtype=np.uint64) for k in table.column("keys").to_pylist()]
-    counts = np.concatenate([_unplanes(c) for c in table.column("counts").to_pylist()])
-    edges = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-    flat = np.concatenate(keys)
-    order = np.argsort(flat, kind="stable")
-    first = np.append(True, flat[order][1:] != flat[order][:-1])
-    totals = np.empty(len(flat), np.uint64)
-    totals[order] = np.add.reduceat(counts[order], np.flatnonzero(first))[np.cumsum(first) - 1]
-    packed = [_planes(totals[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return pa.table({"block": table.column("block"), "n": table.column("n"), "part": table.column("part"), "totals": pa.array(packed, pa.binary())})
-
-
 def _scorer(order: int, backoff: float, corpus: int, leave_out: bool):
-    def score(blocks: pa.Table, replies: pa.Table) -> pa.Table:
-        out = []
-        answers = replies.select(["n", "part", "totals"]).to_pylist()
-        for row in blocks.to_pylist():
-            texts = _texts(row)
-            grams = _grams(texts, order)
-            found: list[np.ndarray] = []
-            for n, (hashes, bounds) in enumerate(grams, 1):
-                own = sorted((a["part"], a["totals"]) for a in answers if a["n"] == n)
-                totals = np.concatenate([_unplanes(t) for _, t in own]).astype(np.int64) if own else np.zeros(0, np.int64)
-                _, rank = np.unique(hashes, return_inverse=True)
-                count = totals[rank]
-                if leave_out:
-                    doc = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(bounds))
-                    _, which, times = np.unique(doc * (len(totals) + 1) + rank, return_inverse=True, return_counts=True)
-                    count = count - times[which]
-                found.append(count)
-            sizes = np.diff(grams[0][1])
-            place = np.arange(len(found[0])) - np.repeat(grams[0][1][:-1], sizes)
-            size_of = np.repeat(sizes, sizes)
-            whole = (corpus - size_of if leave_out else np.full(len(place), corpus)).astype(float)
-            # from the shortest history up: a longer n-gram that is known replaces what the shorter ones gave
-            one = found[0]
-            value = np.log(np.maximum(one, 0.5) / np.maximum(whole, 1.0))
-            for n in range(2, order + 1):
-                value = np.where(place >= n - 1, value + np.log(backoff), value)
-                ends = np.flatnonzero(place >= n - 1)
-                longer = found[n - 1]
-                bounds, shorter = grams[n - 2][1], found[n - 2]
-                doc = np.repeat(np.arange(len(texts)), np.maximum(sizes - n + 1, 0))
-                history = shorter[bounds[:-1][doc] + place[ends] - (n - 1)]
-                known = (longer > 0) & (history > 0)
-                value[ends[known]] = np.log(longer[known] / history[known])
-            sums = np.concatenate(([0.0], np.cumsum(value)))
-            seen = np.concatenate(([0], np.cumsum(one > 0)))
-            low, high = grams[0][1][:-1], grams[0][1][1:]
-            out.append(pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_words": sizes.astype(np.int64), "log_score": sums[high] - sums[low], "n_seen": (seen[high] - seen[low]).astype(np.int64)}))
-        return pa.concat_tables(out)
+    def score(row: dict, totals_of) -> pa.Table:
+        texts = block_texts(row)
+        grams = _grams(texts, order)
+        found: list[np.ndarray] = []
+        for n, (hashes, bounds) in enumerate(grams, 1):
+            totals = totals_of(n)
+            _, rank = np.unique(hashes, return_inverse=True)
+            count = totals[rank]
+            if leave_out:
+                doc = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(bounds))
+                _, which, times = np.unique(doc * (len(totals) + 1) + rank, return_inverse=True, return_counts=True)
+                count = count - times[which]
+            found.append(count)
+        sizes = np.diff(grams[0][1])
+        place = np.arange(len(found[0])) - np.repeat(grams[0][1][:-1], sizes)
+        size_of = np.repeat(sizes, sizes)
+        whole = (corpus - size_of if leave_out else np.full(len(place), corpus)).astype(float)
+        # from the shortest history up: a longer n-gram that is known replaces what the shorter ones gave
+        one = found[0]
+        value = np.log(np.maximum(one, 0.5) / np.maximum(whole, 1.0))
+        for n in range(2, order + 1):
+            value = np.where(place >= n - 1, value + np.log(backoff), value)
+            ends = np.flatnonzero(place >= n - 1)
+            longer = found[n - 1]
+            bounds, shorter = grams[n - 2][1], found[n - 2]
+            doc = np.repeat(np.arange(len(texts)), np.maximum(sizes - n + 1, 0))
+            history = shorter[bounds[:-1][doc] + place[ends] - (n - 1)]
+            known = (longer > 0) & (history > 0)
+            value[ends[known]] = np.log(longer[known] / history[known])
+        sums = np.concatenate(([0.0], np.cumsum(value)))
+        seen = np.concatenate(([0], np.cumsum(one > 0)))
+        low, high = grams[0][1][:-1], grams[0][1][1:]
+        return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "n_words": sizes.astype(np.int64), "log_score": sums[high] - sums[low], "n_seen": (seen[high] - seen[low]).astype(np.int64)})
 
     return score
 
@@ -164,14 +74,10 @@ def score_documents(docs: DataFrame, order: int = ORDER, backoff: float = BACKOF
     occurrence. A text that is null or has no words has log_score 0 and a null mean; repeated rows are documents of
     their own, and each vouches for the other. Other columns are not read.
     """
-    spark = ready(docs.sparkSession)
-    blocks = stored(cut_blocks(docs), "blocks")
-    parts = 1 << max(LEAST_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
-    requests = blocks.select("block", "sizes", "texts").mapInArrow(_requester(order, parts), REQUEST)
-    replies = stored(requests.groupBy("part", "n").applyInArrow(_answer, REPLY), "counts")
-
-    corpus = blocks.agg(F.sum("words")).first()[0] or 0
-    scored = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scorer(order, backoff, corpus, leave_out), SCORE)
+    blocks = cut_blocks(docs)
+    corpus = words_in(blocks)
+    replies = count_keys(blocks, lambda texts: [h for h, _ in _grams(texts, order)], HASH_BITS, corpus)
+    scored = with_totals(blocks, replies, _scorer(order, backoff, corpus, leave_out), SCORE)
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
