@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from viaduct.functions.scalars import assign_split, foreground, percent_text, scene_id, unit_interval
-from viaduct.operators import raster
+from viaduct.operators import raster, vectorize
 from viaduct.operators.sampling import hold_out, sample_rows
 from viaduct.sources import files, networks
 
@@ -23,7 +23,7 @@ TEE = [(5, c) for c in range(1, 10)] + [(r, 5) for r in range(6, 10)]
 
 def test_tee_becomes_four_nodes_and_three_edges(spark):
     tee = mask(spark, TEE)
-    nodes, edges = raster.skeleton_to_network(tee)
+    nodes, edges = vectorize.skeleton_to_network(tee)
     assert {(5, 1), (5, 9), (9, 5)} <= cells(nodes) and (nodes.count(), edges.count()) == (4, 3)
 
 

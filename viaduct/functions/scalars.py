@@ -82,6 +82,15 @@ def geo_by_affine(r, c, affine) -> tuple[Column, Column]:
     return m[3] * _c(c) + m[4] * _c(r) + m[5], m[0] * _c(c) + m[1] * _c(r) + m[2]
 
 
+def place_by_pixel(r, c) -> tuple[Column, Column]:
+    """(y, x) of a pixel as it is, for rasters without a place on earth."""
+    return _c(r).cast("double"), _c(c).cast("double")
+
+
+def pixel_metres(r1, c1, r2, c2, metres_per_pixel: float = 1.0) -> Column:
+    return F.sqrt(F.pow(_c(r2) - _c(r1), 2) + F.pow(_c(c2) - _c(c1), 2)) * metres_per_pixel
+
+
 def foreground(value, threshold: float = 0.5, strict: bool = False) -> Column:
     """Whether a pixel is foreground; null and NaN are background."""
     v = F.coalesce(F.nanvl(_c(value).cast("double"), F.lit(float("-inf"))), F.lit(float("-inf")))
@@ -106,18 +115,27 @@ def resilience_tier(index) -> Column:
     return F.when(i.isNull(), "Unknown").when(i >= 80, "Resilient").when(i >= 60, "Moderate").otherwise("Fragile")
 
 
-def ramp_colour(value, stops=((0.0, (34, 197, 94)), (0.5, (234, 179, 8)), (1.0, (239, 68, 68)))) -> Column:
-    """rgb(r,g,b) on a piecewise-linear ramp over [0, 1]."""
+# The stops of the colour ramp, from not critical to critical.
+RAMP = ((0.0, (167, 215, 197)), (0.5, (255, 217, 125)), (1.0, (255, 122, 78)))
+
+
+def ramp_colour(value, stops=RAMP) -> Column:
+    """"rgb(r, g, b)" on a piecewise-linear ramp over [0, 1]; values beyond are clamped."""
     v = clamp(value)
     out = None
     for (a, low), (b, high) in zip(stops[:-1], stops[1:], strict=True):
         t = (v - a) / (b - a)
         channels = [F.round(F.lit(float(x)) + (y - x) * t).cast("int").cast("string") for x, y in zip(low, high, strict=True)]
-        text = F.concat(F.lit("rgb("), F.concat_ws(",", *channels), F.lit(")"))
+        text = F.concat(F.lit("rgb("), F.concat_ws(", ", *channels), F.lit(")"))
         out = F.when(v <= b, text) if out is None else out.when(v <= b, text)
     return out
 
 
+def resilience_colour(index) -> Column:
+    """The ramp for an index of 0 to 100, on which the most resilient is the least critical."""
+    return ramp_colour(1 - _c(index) / 100)
+
+
 def edge_weight_px(criticality, disabled) -> Column:
     """Drawn width of an edge."""
     return F.when(_c(disabled), 1.5).otherwise(1.5 + 3.5 * F.coalesce(_c(criticality), F.lit(0.0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from viaduct.operators.centrality import betweenness
@@ -11,24 +11,28 @@ from viaduct.operators.paths import all_pairs
 from viaduct.session import stored
 
 
-def max_normalised(value: str, digits: int = 4) -> Column:
-    """A value over the largest of its graph; 0 where that is 0."""
-    top = F.max(value).over(Window.partitionBy("graph_id"))
-    return F.when(top > 0, F.bround(F.col(value) / top, digits)).otherwise(0.0)
+def max_normalised(df: DataFrame, value: str, name: str, digits: int = 4) -> DataFrame:
+    """``df`` with a value over the largest of its graph as ``name``; 0 where that is 0."""
+    top = df.groupBy("graph_id").agg(F.max(value).alias("_top"))  # one row a graph
+    share = F.when(F.col("_top") > 0, F.bround(F.col(value) / F.col("_top"), digits)).otherwise(0.0)
+    return df.join(top, "graph_id").withColumn(name, share).drop("_top")
 
 
-def scored_network(nodes: DataFrame, edges: DataFrame, weight: str = "w") -> tuple[DataFrame, DataFrame]:
-    """Nodes with ``betweenness`` (of 1 at most); edges with ``raw`` and ``criticality``."""
-    of_nodes, of_edges = betweenness(nodes, edges, all_pairs(nodes, edges, weight), weight)
-    marked = nodes.join(of_nodes.withColumn("betweenness", max_normalised("betweenness")), ["graph_id", "node"])
-    scored = of_edges.withColumnRenamed("betweenness", "raw").withColumn("criticality", max_normalised("raw")).toDF("graph_id", "a", "b", "raw", "criticality")
+def scored_network(nodes: DataFrame, edges: DataFrame, weight: str = "w", most_sources: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes with ``betweenness`` (of 1 at most); edges with ``raw`` and ``criticality``.
+
+    Paths start at all nodes, or at ``most_sources`` sampled ones of each graph.
+    """
+    of_nodes, of_edges = betweenness(nodes, edges, all_pairs(nodes, edges, weight, most_sources), weight)
+    marked = nodes.join(max_normalised(of_nodes, "betweenness", "betweenness"), ["graph_id", "node"])
+    scored = max_normalised(of_edges.withColumnRenamed("betweenness", "raw"), "raw", "criticality").select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b"), "raw", "criticality")
     keyed = edges.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst"))
     return stored(marked, "nodes"), stored(keyed.join(scored, ["graph_id", "a", "b"], "left").drop("a", "b"), "edges")
 
 
-def annotate_network(nodes: DataFrame, edges: DataFrame, weight: str = "w") -> tuple[DataFrame, DataFrame]:
+def annotate_network(nodes: DataFrame, edges: DataFrame, weight: str = "w", most_sources: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``scored_network`` with ``is_articulation`` of nodes and ``is_bridge`` of edges."""
-    marked, scored = scored_network(nodes, edges, weight)
+    marked, scored = scored_network(nodes, edges, weight, most_sources)
     cuts = blocks(edges)
     points = articulation_points(edges, cuts).withColumn("is_articulation", F.lit(True))
     marked = marked.join(points, ["graph_id", "node"], "left").withColumn("is_articulation", F.coalesce("is_articulation", F.lit(False)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viaduct.operators.paths import both_ways
-from viaduct.session import stored
+from viaduct.session import observed, stored
 
 KEY = ["graph_id", "s"]
 MOST_ROUNDS = 10_000
@@ -21,8 +21,8 @@ def _pushed(start: DataFrame, tight: DataFrame, on: str, to: str, value: str) ->
     levels = [start]
     for _ in range(MOST_ROUNDS):
         step = levels[-1].withColumnRenamed("v", on).join(tight, [*KEY, on]).groupBy(*KEY, F.col(to).alias("v")).agg(F.sum(value).alias(value))
-        step = stored(step, value)
-        if step.isEmpty():
+        step, seen = observed(step, value)
+        if not seen["n"]:
             break
         levels.append(step)
     total = levels[0]
@@ -50,18 +50,22 @@ def _flows(edges: DataFrame, dist: DataFrame, weight: str) -> tuple[DataFrame, D
 def betweenness(nodes: DataFrame, edges: DataFrame, dist: DataFrame, weight: str = "w") -> tuple[DataFrame, DataFrame]:
     """(graph_id, node, betweenness) and (graph_id, src, dst, betweenness) from ``dist`` of every node as a source.
 
-    Normalised as for undirected graphs; endpoints do not count. Nodes and edges on no path have 0.
+    Normalised as for undirected graphs; endpoints do not count. Nodes and edges on no path have 0. From ``dist`` of
+    sampled sources the sums are scaled up to all.
     """
+    dist = stored(dist, "dist")
     tight, sigma, share = _flows(edges, dist, weight)
     n = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    n = n.join(dist.filter("s = v").groupBy("graph_id").agg(F.count(F.lit(1)).alias("k")), "graph_id", "left")
+    up = F.col("n") / F.coalesce(F.col("k"), F.col("n"))
     both = sigma.join(share, [*KEY, "v"])
     passed = both.filter("s <> v").groupBy("graph_id", F.col("v").alias("node")).agg(F.sum(F.col("paths") * F.col("share") - 1).alias("raw"))
     scale = F.when(F.col("n") > 2, 1 / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.0)
     of_nodes = nodes.select("graph_id", "node").join(passed, ["graph_id", "node"], "left").join(n, "graph_id")
-    of_nodes = of_nodes.select("graph_id", "node", (F.coalesce("raw", F.lit(0.0)) * scale).alias("betweenness"))
+    of_nodes = of_nodes.select("graph_id", "node", (F.coalesce("raw", F.lit(0.0)) * scale * up).alias("betweenness"))
     used = tight.join(sigma.withColumnRenamed("v", "src"), [*KEY, "src"]).join(share.withColumnRenamed("v", "dst"), [*KEY, "dst"])
     used = used.groupBy("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum(F.col("paths") * F.col("share")).alias("raw"))
     pairs = edges.select("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     scale = F.when(F.col("n") > 1, 1 / (F.col("n") * (F.col("n") - 1))).otherwise(0.0)
     of_edges = pairs.join(used, ["graph_id", "src", "dst"], "left").join(n, "graph_id")
-    return of_nodes, of_edges.select("graph_id", "src", "dst", (F.coalesce("raw", F.lit(0.0)) * scale).alias("betweenness"))
+    return of_nodes, of_edges.select("graph_id", "src", "dst", (F.coalesce("raw", F.lit(0.0)) * scale * up).alias("betweenness"))

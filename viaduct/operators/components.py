@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.session import stored
+from viaduct.session import drop_stored, observed
 
 MOST_ROUNDS = 100
 
@@ -29,21 +29,24 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, most_
 
 
 def component_stars(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
-    """(graph_id, a, b): every node but the least of its component, with that least node."""
+    """(graph_id, a, b): every node but the least of its component, with that least node.
+
+    A node that very many edges share is split by Spark's own handling of skewed joins; nothing gathers its neighbours.
+    """
     own = edges.filter("src <> dst").select("graph_id", F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
-    own = stored(own, "edges")
-    mark = _mark(own)
+    own, mark = _marked(own)
     for _ in range(most_rounds):
-        own = stored(_small_star(_large_star(own)), "edges")
-        before, mark = mark, _mark(own)
-        if mark == before:
+        before, last = own, mark
+        own, mark = _marked(_small_star(_large_star(own)))
+        drop_stored(before)
+        if mark == last:
             return own
     raise RuntimeError(f"components did not settle within {most_rounds} rounds")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("graph_id", "a", "b"))).first()
-    return tuple(row)
+def _marked(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """``edges``, stored, and their number and a hash of them all."""
+    return observed(edges, "edges", n=F.count(F.lit(1)), hash=F.bit_xor(F.xxhash64("graph_id", "a", "b")))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

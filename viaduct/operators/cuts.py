@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from viaduct.operators.components import connected_components
 from viaduct.operators.paths import both_ways, shortest_paths
-from viaduct.session import stored
+from viaduct.session import observed, stored
 
 K = "graph_id"
 
@@ -24,33 +24,50 @@ def _tree(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored(level.join(parents, [K, "v"], "left"), "tree"), simple
 
 
-def _ancestors(tree: DataFrame) -> DataFrame:
-    """(graph_id, v, a) for every ancestor or self; the covered height doubles in each round."""
-    known = tree.select(K, "v", F.col("v").alias("a"))
-    jump = stored(tree.filter("parent is not null").select(K, "v", F.col("parent").alias("j")), "jump")
-    while not jump.isEmpty():
-        up = jump.select(K, F.col("v"), F.col("j"))
-        above = known.select(K, F.col("v").alias("j"), "a")
-        known = stored(known.union(up.join(above, [K, "j"]).select(K, "v", "a")), "ancestors")
-        jump = stored(up.join(jump.select(K, F.col("v").alias("j"), F.col("j").alias("k")), [K, "j"]).select(K, "v", F.col("k").alias("j")), "jump")
-    return known
+def _jumps(tree: DataFrame) -> list[DataFrame]:
+    """(graph_id, v, j) with j the ancestor 1, 2, 4, ... levels above, one stored table for each, until there is none."""
+    jump, seen = observed(tree.filter("parent is not null").select(K, "v", F.col("parent").alias("j")), "jump")
+    jumps: list[DataFrame] = []
+    while seen["n"]:
+        jumps.append(jump)
+        jump, seen = observed(jump.join(jump.select(K, F.col("v").alias("j"), F.col("j").alias("k")), [K, "j"]).select(K, "v", F.col("k").alias("j")), "jump")
+    return jumps
+
+
+def _from_below(values: DataFrame, jumps: list[DataFrame], how: dict) -> DataFrame:
+    """``values(graph_id, v, ...)`` aggregated over all descendants of v and v itself.
+
+    What covers 2^i levels below every node, taken at v and at the nodes 2^i levels below v, covers 2^(i+1); so there
+    are as many rounds as the depth has bits, and never more rows than nodes.
+    """
+    for jump in jumps:
+        below = values.join(jump, [K, "v"]).select(K, F.col("j").alias("v"), *how)
+        values = stored(values.unionByName(below).groupBy(K, "v").agg(*[f(c).alias(c) for c, f in how.items()]), "below")
+    return values
+
+
+def _from_above(values: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """``values(graph_id, v, pre)`` with ``pre`` summed over v and all its ancestors, in as many rounds."""
+    for jump in jumps:
+        above = values.select(K, F.col("v").alias("j"), F.col("pre").alias("more"))
+        joined = values.join(jump, [K, "v"], "left").join(above, [K, "j"], "left")
+        values = stored(joined.select(K, "v", (F.col("pre") + F.coalesce("more", F.lit(0))).alias("pre")), "above")
+    return values
 
 
 def blocks(edges: DataFrame) -> DataFrame:
     """(graph_id, src, dst, block) of every simple edge; a block is named by the least lower end of its tree edges."""
     tree, simple = _tree(edges)
-    lines = _ancestors(tree)
-    size = lines.groupBy(K, F.col("a").alias("v")).agg(F.count(F.lit(1)).alias("size"))
+    jumps = _jumps(tree)
+    size = _from_below(tree.select(K, "v", F.lit(1).cast("long").alias("size")), jumps, {"size": F.sum})
     earlier = Window.partitionBy(K, "parent").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     sized = tree.join(size, [K, "v"])
     offset = F.when(F.col("parent").isNull(), 0).otherwise(1 + F.coalesce(F.sum("size").over(earlier), F.lit(0)))
-    offsets = sized.select(K, F.col("v").alias("a"), offset.alias("offset"))
-    order = lines.join(offsets, [K, "a"]).groupBy(K, "v").agg(F.sum("offset").alias("pre"))
-    # numbers of different trees of a graph overlap, so the root comes along wherever they are compared
-    root = lines.join(tree.filter("parent is null").select(K, F.col("v").alias("a")), [K, "a"]).select(K, "v", F.col("a").alias("root"))
-    nodes = stored(sized.join(order, [K, "v"]).join(root, [K, "v"]), "nodes")
+    # numbers of different trees of a graph overlap, but only ends of one edge, so of one tree, are ever compared
+    order = _from_above(stored(sized.select(K, "v", offset.cast("long").alias("pre")), "offsets"), jumps)
+    nodes = stored(sized.join(order, [K, "v"]), "nodes")
     tree_pairs = nodes.filter("parent is not null").select(K, F.least("v", "parent").alias("src"), F.greatest("v", "parent").alias("dst"))
-    others = stored(simple.select(K, "src", "dst").join(tree_pairs, [K, "src", "dst"], "left_anti"), "others")
+    others = simple.select(K, "src", "dst").join(tree_pairs, [K, "src", "dst"], "left_anti")
     ends = nodes.select(K, F.col("v"), "pre", "size")
     spans = others.join(ends.toDF(K, "src", "pre_a", "size_a"), [K, "src"]).join(ends.toDF(K, "dst", "pre_b", "size_b"), [K, "dst"])
     first = F.col("pre_a") < F.col("pre_b")
@@ -61,7 +78,8 @@ def blocks(edges: DataFrame) -> DataFrame:
     )
     spans = stored(spans, "spans")
     touched = spans.select(K, F.col("u").alias("v"), F.col("pre_x").alias("p")).union(spans.select(K, "x", "pre_u")).union(nodes.select(K, "v", "pre"))
-    reach = lines.join(touched, [K, "v"]).groupBy(K, F.col("a").alias("v")).agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    touched = touched.groupBy(K, "v").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    reach = _from_below(touched, jumps, {"low": F.min, "high": F.max})
     apart = spans.filter("pre_u + size_u <= pre_x").select(K, F.col("u").alias("src"), F.col("x").alias("dst"))
     upper = nodes.select(K, F.col("v").alias("parent"), F.col("pre").alias("pre_p"), F.col("size").alias("size_p"), F.col("parent").alias("top"))
     leaves = nodes.filter("parent is not null").join(reach, [K, "v"]).join(upper, [K, "parent"]).filter("top is not null")

@@ -52,12 +52,19 @@ def spanning_links(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> Data
 
 
 def heal_network(
-    nodes: DataFrame, edges: DataFrame, within_m: float = TOLERANCE_M, road_class: str = "local", fallback_all: bool = False, enabled: bool = True
-) -> DataFrame:
-    """``edges`` and the healing ones, with ``healed``; ids are heal-a-b. Not ``enabled`` adds none."""
+    nodes: DataFrame, edges: DataFrame, within_m: float = TOLERANCE_M, road_class: str = "local", fallback_all: bool = False, enabled: bool = True,
+    views: DataFrame | None = None,
+) -> DataFrame:
+    """``edges`` and the healing ones, with ``healed``; ids are heal-a-b.
+
+    Not ``enabled`` adds none; ``views(graph_id, enabled)`` says so for each graph, and graphs it lacks are left as they are.
+    """
     base = edges.withColumn("healed", F.lit(False))
     if not enabled:
         return base
+    if views is not None:
+        own = views.filter("enabled").select("graph_id").distinct()
+        nodes, edges = nodes.join(own, "graph_id", "left_semi"), edges.join(own, "graph_id", "left_semi")
     links = spanning_links(nodes, edges, endpoint_pairs(nodes, edges, within_m, fallback_all))
     length = F.bround("dist_m", 1)
     new = links.select(

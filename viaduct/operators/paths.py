@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from viaduct.session import stored
+from viaduct.functions.scalars import hash_unit
+from viaduct.session import drop_stored, observed, stored
 
-MOST_ROUNDS = 10_000
+#: Rounds at most, and rounds after which what they improved is merged.
+MOST_ROUNDS, MERGE = 10_000, 8
+#: Sources that stand for all where a caller asks for a sample, and the seed of their draw.
+SAMPLED_SOURCES, SOURCE_SEED = 64, 5
 
 
 def both_ways(edges: DataFrame, weight: str = "w") -> DataFrame:
@@ -21,36 +25,59 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "w", most
     """(graph_id, s, v, dist) of all nodes that ``sources(graph_id, s)`` reach over undirected ``edges``.
 
     Semi-naive Bellman-Ford: each round extends only what the last one improved, for all graphs and sources together,
-    and combines candidates before they are shuffled. Weights are whole and not negative.
+    combines candidates before they are shuffled, and writes only what it improves. Weights are whole and not negative.
     """
     steps = stored(both_ways(edges, weight), "steps")
-    state = sources.select("graph_id", "s", F.col("s").alias("v"), F.lit(0).cast("long").alias("dist")).distinct()
-    state = stored(state.withColumn("fresh", F.lit(True)), "dist")
-    for _ in range(most_rounds):
-        front = state.filter("fresh").select("graph_id", "s", F.col("v").alias("src"), "dist")
-        found = front.join(steps, ["graph_id", "src"]).groupBy("graph_id", "s", F.col("dst").alias("v")).agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
-        old = state.select("graph_id", "s", "v", "dist", F.col("dist").alias("before"))
-        both = old.unionByName(found.withColumn("before", F.lit(None).cast("long")))
+    start = sources.select("graph_id", "s", F.col("s").alias("v"), F.lit(0).cast("long").alias("dist")).distinct()
+    known = [stored(start, "dist")]
+    for k in range(most_rounds):
+        front = known[-1].select("graph_id", "s", F.col("v").alias("src"), "dist")
+        found = front.join(steps, ["graph_id", "src"]).select("graph_id", "s", F.col("dst").alias("v"), (F.col("dist") + F.col("w")).alias("dist"))
+        none = F.lit(None).cast("long")
+        both = found.withColumn("before", none)
+        for part in known:
+            both = both.unionByName(part.select("graph_id", "s", "v", none.alias("dist"), F.col("dist").alias("before")))
         both = both.groupBy("graph_id", "s", "v").agg(F.min("dist").alias("dist"), F.min("before").alias("before"))
-        fresh = F.col("before").isNull() | (F.col("dist") < F.col("before"))
-        state = stored(both.select("graph_id", "s", "v", "dist", fresh.alias("fresh")), "dist")
-        if state.filter("fresh").isEmpty():
-            return state.drop("fresh")
+        fresh, seen = observed(both.filter("dist is not null and (before is null or dist < before)").drop("before"), "dist")
+        known.append(fresh)
+        if seen["n"] == 0:
+            drop_stored(steps)
+            return _merged(known[:-1])
+        if k % MERGE == MERGE - 1:
+            whole = stored(_merged(known), "dist")
+            drop_stored(*known[:-1])
+            known = [whole, known[-1]]
     raise RuntimeError(f"paths did not settle within {most_rounds} rounds")
 
 
-def all_pairs(nodes: DataFrame, edges: DataFrame, weight: str = "w") -> DataFrame:
-    """Distances between all nodes; for contracted networks, as it has a row for each reachable pair."""
-    return shortest_paths(edges, nodes.select("graph_id", F.col("node").alias("s")), weight)
+def _merged(known: list[DataFrame]) -> DataFrame:
+    """The least distances of some tables."""
+    whole = known[0]
+    for part in known[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy("graph_id", "s", "v").agg(F.min("dist").alias("dist")) if len(known) > 1 else whole
+
+
+def sampled_sources(nodes: DataFrame, most: int = SAMPLED_SOURCES, seed: int = SOURCE_SEED) -> DataFrame:
+    """(graph_id, s): the ``most`` nodes of each graph, or all, with the least hashes of seed and node."""
+    rank = F.row_number().over(Window.partitionBy("graph_id").orderBy(hash_unit(F.lit(seed), "node"), "node"))
+    return nodes.select("graph_id", F.col("node").alias("s"), rank.alias("rank")).filter(F.col("rank") <= most).drop("rank")
+
+
+def all_pairs(nodes: DataFrame, edges: DataFrame, weight: str = "w", most_sources: int | None = None) -> DataFrame:
+    """Distances from all nodes, a row for each reachable pair; or, for large networks, from ``most_sources`` of each."""
+    sources = nodes.select("graph_id", F.col("node").alias("s")) if most_sources is None else sampled_sources(nodes, most_sources)
+    return shortest_paths(edges, sources, weight)
 
 
 def global_efficiency(nodes: DataFrame, dist: DataFrame, unit: float = 10.0) -> DataFrame:
     """(graph_id, n, efficiency): mean of 1/d over ordered pairs; unreachable pairs add 0, n below 2 gives 0.
 
-    ``unit`` of ``dist`` make one second.
+    ``unit`` of ``dist`` make one second. Of sampled sources it is the mean over their pairs.
     """
-    total = dist.filter("dist > 0").groupBy("graph_id").agg(F.sum(unit / F.col("dist")).alias("total"))
+    near = F.when(F.col("dist") > 0, unit / F.col("dist"))
+    total = dist.groupBy("graph_id").agg(F.sum(near).alias("total"), F.count_if(F.col("s") == F.col("v")).alias("sources"))
     count = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
-    pairs = F.col("n") * (F.col("n") - 1)
-    value = F.when(F.col("n") > 1, F.coalesce("total", F.lit(0.0)) / pairs).otherwise(0.0)
+    pairs = F.col("sources") * (F.col("n") - 1)
+    value = F.when((F.col("n") > 1) & (F.col("sources") > 0), F.coalesce("total", F.lit(0.0)) / pairs).otherwise(0.0)
     return count.join(total, "graph_id", "left").select("graph_id", "n", value.alias("efficiency"))

@@ -18,7 +18,8 @@ EPS, MICRO_EPS = 1e-7, 1e-6
 EIGHT = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
 FOUR = [(-1, 0), (0, 1), (1, 0), (0, -1)]
 DISK2 = [(y, x) for y in range(-2, 3) for x in range(-2, 3) if y * y + x * x <= 4]
-BIG = 1 << 20
+#: Columns that a pixel's number leaves room for.
+BIG = 1 << 31
 
 
 def _offsets(steps) -> Column:
@@ -81,10 +82,16 @@ def consistency(pixels: DataFrame, clip: float = 1e-6) -> DataFrame:
     return pixels.groupBy("tile_id").agg((F.sum(d * d * m) / n).alias("mse"), (F.sum(kl * m) / n).alias("kl"), F.avg(F.abs(d)).alias("mean_abs"))
 
 
-def robust_score(supervised: DataFrame, kept: DataFrame, weight: float = 0.1) -> DataFrame:
-    """(tile_id, supervised, consistency, total) with total = supervised + weight consistency."""
-    both = supervised.join(kept, "tile_id").withColumn("supervised", 0.5 * (F.col("dice_loss") + F.col("bce")))
-    return both.select("tile_id", "supervised", F.col("mse").alias("consistency"), (F.col("supervised") + weight * F.col("mse")).alias("total"))
+def robust_score(clean: DataFrame, occluded: DataFrame, kept: DataFrame, weight: float = 0.1, dice_weight: float = 0.5) -> DataFrame:
+    """(tile_id, sup_clean, sup_occluded, consistency, total): half of both supervised losses and weight x consistency.
+
+    ``clean`` and ``occluded`` are ``soft_losses`` of the two predictions; a supervised loss is BCE and Dice, mixed by
+    ``dice_weight``. ``kept`` is from ``consistency``.
+    """
+    mixed = (1 - dice_weight) * F.col("bce") + dice_weight * F.col("dice_loss")
+    both = clean.select("tile_id", mixed.alias("sup_clean")).join(occluded.select("tile_id", mixed.alias("sup_occluded")), "tile_id")
+    total = 0.5 * (F.col("sup_clean") + F.col("sup_occluded")) + weight * F.col("mse")
+    return both.join(kept, "tile_id").select("tile_id", "sup_clean", "sup_occluded", F.col("mse").alias("consistency"), total.alias("total"))
 
 
 def otsu_threshold(pixels: DataFrame, value: str = "prob", bins: int = 256) -> DataFrame:
@@ -102,6 +109,36 @@ def otsu_threshold(pixels: DataFrame, value: str = "prob", bins: int = 256) -> D
     return rng.select("tile_id").join(best, "tile_id", "left")
 
 
+def otsu_foreground(pixels: DataFrame, value: str = "prob") -> DataFrame:
+    """The pixels that reach Otsu's threshold of their tile; of a constant tile, those above its least value, so none."""
+    low = pixels.groupBy("tile_id").agg(F.min(value).alias("_low"))  # one row a tile
+    own = pixels.join(otsu_threshold(pixels, value).join(low, "tile_id"), "tile_id")
+    return own.filter(F.coalesce(F.col(value) >= F.col("threshold"), F.col(value) > F.col("_low"))).drop("threshold", "_low")
+
+
+def scaled_foreground(pixels: DataFrame, value: str = "v", threshold: float = 0.5) -> DataFrame:
+    """The pixels of whole-number maps that reach ``threshold`` as a share of their tile's largest value; none of an all-zero tile."""
+    top = pixels.groupBy("tile_id").agg(F.max(value).alias("_top")).filter("_top > 0")
+    return pixels.join(top, "tile_id").filter(F.col(value) / F.col("_top") >= threshold).drop("_top")
+
+
+def join_masks(pred: DataFrame, target: DataFrame, occluded: DataFrame | None, tiles: DataFrame, target_tiles: DataFrame) -> DataFrame:
+    """(tile_id, r, c, pred, target, occluded) of sparse masks; pixels that are in none are left out.
+
+    ``tiles`` and ``target_tiles`` hold (tile_id, h, w); a tile that only one of them has, or with another extent, is an
+    error.
+    """
+    odd = tiles.select("tile_id", "h", "w").exceptAll(target_tiles.select("tile_id", "h", "w")).union(target_tiles.select("tile_id", "h", "w").exceptAll(tiles.select("tile_id", "h", "w")))
+    first = odd.orderBy("tile_id").first()
+    if first is not None:
+        raise ValueError(f"prediction and target differ in extent, first at tile {first['tile_id']}")
+    mark = lambda df, name: df.select(*AT).distinct().withColumn(name, F.lit(True))
+    both = mark(pred, "pred").join(mark(target, "target"), AT, "full")
+    if occluded is not None:
+        both = both.join(mark(occluded, "occluded"), AT, "full")
+    return both.select(*AT, *[F.coalesce(c, F.lit(False)).alias(c) for c in both.columns if c not in AT])
+
+
 def seam_blend(pixels: DataFrame, tiles: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(scene_id, r, c, prob, road): overlapping tiles averaged; ``tiles(tile_id, scene_id, y0, x0)`` places them."""
     own = pixels.join(tiles, "tile_id").groupBy("scene_id", (F.col("r") + F.col("y0")).alias("r"), (F.col("c") + F.col("x0")).alias("c"))
@@ -123,11 +160,38 @@ def tile_offsets(scenes: DataFrame, size: int = 512, overlap: int = 64) -> DataF
     return rows.select("scene_id", "row", "y0", F.posexplode(starts("w")).alias("col", "x0")).select("scene_id", "row", "col", "y0", "x0")
 
 
-def cut_tiles(pixels: DataFrame, offsets: DataFrame, size: int) -> DataFrame:
-    """Pixels of scenes as pixels of tiles; a pixel under several tiles stands in each."""
-    inside = F.col("r").between(F.col("y0"), F.col("y0") + size - 1) & F.col("c").between(F.col("x0"), F.col("x0") + size - 1)
-    name = F.concat_ws("_", "scene_id", F.concat(F.lit("r"), "row"), F.concat(F.lit("c"), "col"))
-    return pixels.join(offsets, "scene_id").filter(inside).select(name.alias("tile_id"), (F.col("r") - F.col("y0")).alias("r"), (F.col("c") - F.col("x0")).alias("c"), "v")
+def covering(place, extent, size: int = 512, overlap: int = 64) -> Column:
+    """The tiles over a place on one axis as array<struct<i, start>>, by arithmetic: those of the step, and the last one."""
+    p, n, step = F.col(place).cast("long"), F.col(extent).cast("long"), size - overlap
+    last = F.greatest(F.lit(0).cast("long"), n - size)
+    most = F.floor(last / step)
+    low, high = F.greatest(F.lit(0).cast("long"), F.ceil((p - size + 1) / step)), F.least(F.floor(p / step), most)
+    every = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    flush = F.when((last % step != 0) & (p >= last), F.array(most + 1)).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(F.concat(every, flush), lambda i: F.struct(i.cast("int").alias("i"), F.least(i * step, last).alias("start")))
+
+
+def chip_name(scene="scene_id", row="row", col="col") -> Column:
+    return F.format_string("%s_r%d_c%d", F.col(scene), F.col(row), F.col(col))
+
+
+def cut_tiles(pixels: DataFrame, scenes: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
+    """Pixels (scene_id, r, c, ...) as pixels of tiles, with scene_id, row and col; a pixel under several tiles stands in each.
+
+    ``scenes(scene_id, h, w)`` has the extents, one row a scene; a tile is named scene_rROW_cCOL.
+    """
+    rest = [c for c in pixels.columns if c not in ("scene_id", "r", "c")]
+    own = pixels.join(scenes.select("scene_id", "h", "w"), "scene_id")
+    own = own.withColumn("_y", F.explode(covering("r", "h", size, overlap))).withColumn("_x", F.explode(covering("c", "w", size, overlap)))
+    own = own.select("scene_id", F.col("_y.i").alias("row"), F.col("_x.i").alias("col"), (F.col("r") - F.col("_y.start")).cast("int").alias("r"), (F.col("c") - F.col("_x.start")).cast("int").alias("c"), *rest)
+    return own.select(chip_name().alias("tile_id"), "*")
+
+
+def coverage(scenes: DataFrame, offsets: DataFrame, size: int = 512) -> DataFrame:
+    """(scene_id, covered): whether the tiles of a scene end at its borders, or are as large as it."""
+    ends = offsets.groupBy("scene_id").agg(F.max("y0").alias("y"), F.max("x0").alias("x"))
+    flush = lambda at, n: F.greatest(F.col(at) + size, F.lit(size)) == F.greatest(F.col(n), F.lit(size))
+    return scenes.join(ends, "scene_id", "left").select("scene_id", F.coalesce(flush("y", "h") & flush("x", "w"), F.lit(False)).alias("covered"))
 
 
 def padded(pixels: DataFrame, tiles: DataFrame, size: int, fill: float = 0.0) -> DataFrame:
@@ -145,6 +209,22 @@ def resize_nearest(pixels: DataFrame, height: int, width: int, to: int) -> DataF
     return grid.join(pixels, AT).select("tile_id", F.col("r2").alias("r"), F.col("c2").alias("c"), "v")
 
 
+def resize_bilinear(pixels: DataFrame, height: int, width: int, to: int) -> DataFrame:
+    """A height x width tile resampled to ``to`` x ``to``: four neighbours of each pixel's centre, by nearness."""
+    span = F.explode(F.sequence(F.lit(0), F.lit(to - 1)))
+    grid = pixels.select("tile_id").distinct().withColumn("r2", span).withColumn("c2", span)
+
+    def sides(at: str, n: int) -> Column:
+        place = F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), (F.col(at) + 0.5) * n / to - 0.5))
+        low = F.floor(place).cast("int")
+        return F.array(F.struct(low.alias("at"), (1 - (place - low)).alias("share")), F.struct(F.least(F.lit(n - 1), low + 1).alias("at"), (place - low).alias("share")))
+
+    four = grid.withColumn("y", F.explode(sides("r2", height))).withColumn("x", F.explode(sides("c2", width)))
+    four = four.select("tile_id", "r2", "c2", F.col("y.at").alias("r"), F.col("x.at").alias("c"), (F.col("y.share") * F.col("x.share")).alias("share"))
+    found = four.join(pixels.select(*AT, "v"), AT).groupBy("tile_id", F.col("r2").alias("r"), F.col("c2").alias("c"))
+    return found.agg(F.round(F.sum(F.col("v") * F.col("share")), 9).alias("v"))
+
+
 # --- morphology ----------------------------------------------------------------------------------------------------
 
 
@@ -180,14 +260,14 @@ def closing(mask: DataFrame, size: int) -> DataFrame:
 
 def pixel_components(mask: DataFrame, steps=None) -> DataFrame:
     """(tile_id, r, c, comp) of connected pixels, over four neighbours or the given steps."""
-    node = F.col("r").cast("long") * BIG + F.col("c")
+    node = F.col("r").cast("long") * F.lit(BIG).cast("long") + F.col("c")
     own = mask.select(F.col("tile_id").alias("graph_id"), node.alias("node"))
     half = [s for s in (steps or FOUR) if s > (0, 0)]
     moved = shifted(mask, half).withColumn("dst", node)
     back = F.element_at(F.array(*[F.lit(-(y * BIG + x)).cast("long") for y, x in half]), F.col("k") + 1)
     edges = moved.select(F.col("tile_id").alias("graph_id"), (F.col("dst") + back).alias("src"), "dst").join(own.withColumnRenamed("node", "dst"), ["graph_id", "dst"], "left_semi")
     found = connected_components(edges, own)
-    return found.select(F.col("graph_id").alias("tile_id"), F.floor(F.col("node") / BIG).cast("int").alias("r"), (F.col("node") % BIG).cast("int").alias("c"), "comp")
+    return found.select(F.col("graph_id").alias("tile_id"), F.expr(f"node div {BIG}").cast("int").alias("r"), (F.col("node") % BIG).cast("int").alias("c"), "comp")
 
 
 def drop_small(mask: DataFrame, least: int = 64) -> DataFrame:
@@ -270,38 +350,6 @@ def junction_clusters(mask: DataFrame) -> DataFrame:
     return best.select("tile_id", "cluster", F.col("x.r").alias("r"), F.col("x.c").alias("c"), "size")
 
 
-def skeleton_to_network(mask: DataFrame, metres_per_pixel: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of thinned lines: chains of pixels between clusters of node pixels.
-
-    No walk is made: connected components of chain pixels are the edges, and the clusters next to them their ends.
-    Self-loops are dropped; of parallel chains the longest stays.
-    """
-    nodes = stored(junction_clusters(mask), "junctions")
-    members = stored(pixel_components(node_pixels(mask), EIGHT).withColumnRenamed("comp", "cluster"), "members")
-    chain_mask = stored(neighbour_count(mask).filter("n = 2").select(*AT), "chains")
-    chains = stored(pixel_components(chain_mask, EIGHT).withColumnRenamed("comp", "chain"), "chains")
-    touch = shifted(chain_mask, EIGHT).withColumnRenamed("k", "dir")
-    back_y = F.element_at(F.array(*[F.lit(-y) for y, _ in EIGHT]), F.col("dir") + 1)
-    back_x = F.element_at(F.array(*[F.lit(-x) for _, x in EIGHT]), F.col("dir") + 1)
-    touch = touch.withColumn("py", F.col("r") + back_y).withColumn("px", F.col("c") + back_x)
-    step = F.when(F.col("dir") % 2 == 0, 1.0).otherwise(2.0**0.5)
-    ids = chains.select("tile_id", F.col("r").alias("py"), F.col("c").alias("px"), "chain")
-    inner = touch.join(chain_mask, AT, "left_semi").join(ids, ["tile_id", "py", "px"]).groupBy("tile_id", "chain").agg((F.sum(step) / 2).alias("inner"))
-    rep = nodes.select("tile_id", "cluster", F.col("r").alias("y"), F.col("c").alias("x"))
-    ends = touch.join(members, AT).join(ids, ["tile_id", "py", "px"]).join(rep, ["tile_id", "cluster"])
-    hop = F.sqrt(F.pow(F.col("py") - F.col("y"), 2) + F.pow(F.col("px") - F.col("x"), 2))
-    ends = ends.groupBy("tile_id", "chain", "cluster", "py", "px").agg(F.min(hop).alias("hop")).groupBy("tile_id", "chain", "cluster").agg(F.min("hop").alias("hop"))
-    two = ends.groupBy("tile_id", "chain").agg(F.min("cluster").alias("src"), F.max("cluster").alias("dst"), F.sum("hop").alias("hops")).filter("src < dst")
-    made = two.join(inner, ["tile_id", "chain"], "left").withColumn("length_m", F.round((F.coalesce("inner", F.lit(0.0)) + F.col("hops")) * metres_per_pixel, 6))
-    edges = made.groupBy(F.col("tile_id").alias("graph_id"), "src", "dst").agg(F.max("length_m").alias("length_m"))
-    return nodes.select(F.col("tile_id").alias("graph_id"), F.col("cluster").alias("node"), "r", "c"), edges
-
-
-def mask_to_skeleton(mask: DataFrame, size: int, least: int = 64) -> DataFrame:
-    """Closing, removal of small objects and holes, thinning."""
-    return thin(fill_holes(drop_small(closing(mask, size), least), size, least))
-
-
 # --- occlusion -----------------------------------------------------------------------------------------------------
 
 
@@ -321,13 +369,6 @@ def cover(value: Column, alpha: Column, kind: str, strength: float = 1.0) -> Col
     return F.floor(value * (1 - alpha * strength) + COVER[kind] * alpha * strength).cast("int")
 
 
-def rectangles(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
-    """``pixels`` with ``v`` overwritten by ``boxes(tile_id, ord, y0, x0, y1, x1, grey)``, the last of them on top."""
-    hit = pixels.select(*AT).join(boxes, "tile_id").filter(F.col("r").between(F.col("y0"), F.col("y1") - 1) & F.col("c").between(F.col("x0"), F.col("x1") - 1))
-    top = hit.groupBy(*AT).agg(F.max_by("grey", "ord").alias("grey"))
-    return pixels.join(top, AT, "left").withColumn("v", F.coalesce("grey", "v")).drop("grey")
-
-
 # How often each effect is drawn, and any at all.
 GATES = {"cloud": 0.6, "shadow": 0.7, "canopy": 0.7, "building": 0.3}
 ANY_GATE = 0.9

@@ -5,12 +5,12 @@ Steps of a curve and scenarios become graphs of their own, rows of one key, so o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viaduct.operators.components import connected_components
 from viaduct.operators.paths import all_pairs, global_efficiency, shortest_paths
-from viaduct.operators.sampling import sample_pairs
+from viaduct.operators.sampling import ranked, sample_pairs
 from viaduct.session import stored
 
 STEPS, MOST_FRACTION, SAMPLES, SEED = 10, 0.5, 60, 7
@@ -28,9 +28,9 @@ def index_of(efficiency, base, giant):
     return F.when(base > 0, F.bround(F.round(value, 9), 0)).otherwise(0).cast("int")
 
 
-def graph_state(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, n, efficiency, components, giant) of every graph."""
-    eff = global_efficiency(nodes, all_pairs(nodes, edges))
+def graph_state(nodes: DataFrame, edges: DataFrame, most_sources: int | None = None) -> DataFrame:
+    """(graph_id, n, efficiency, components, giant) of every graph; efficiency from all nodes or sampled sources."""
+    eff = global_efficiency(nodes, all_pairs(nodes, edges, most_sources=most_sources))
     conn = connectivity(nodes, connected_components(edges, nodes)).drop("n")
     return stored(eff.join(conn, "graph_id"), "state")
 
@@ -42,29 +42,30 @@ def resilience_index(state: DataFrame, base: DataFrame) -> DataFrame:
 
 def attack_order(edges: DataFrame) -> DataFrame:
     """Edges ranked by raw betweenness, once, ties by id."""
-    return edges.withColumn("rank", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("raw"), "edge_id")))
+    return ranked(edges, ["graph_id"], F.desc("raw"), "edge_id")
 
 
-def resilience_curve(nodes: DataFrame, edges: DataFrame, base: DataFrame, steps: int = STEPS, most: float = MOST_FRACTION) -> DataFrame:
+def resilience_curve(
+    nodes: DataFrame, edges: DataFrame, base: DataFrame, steps: int = STEPS, most: float = MOST_FRACTION, most_sources: int | None = None
+) -> DataFrame:
     """(graph_id, step, removed_fraction, efficiency, giant) while the most critical edges are taken out.
 
-    Efficiency is relative to ``base(graph_id, base_efficiency)``. A graph without edges has one point, step 0.
+    Efficiency is relative to ``base(graph_id, base_efficiency)``, from all nodes or sampled sources of each step. A graph
+    without edges has one point, step 0.
     """
-    ranked = attack_order(edges)
-    m = Window.partitionBy("graph_id")
-    per = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(m) * most / steps))
-    ranked = ranked.withColumn("m", F.count(F.lit(1)).over(m)).withColumn("per", per).withColumn("gone_at", F.ceil(F.col("rank") / F.col("per")))
-    ranked = stored(ranked.select("graph_id", "src", "dst", "w", "m", "per", "gone_at"), "ranked")
-    sizes = ranked.groupBy("graph_id").agg(F.first("m").alias("m"), F.first("per").alias("per"))
+    m = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("m")).withColumn("per", F.greatest(F.lit(1), F.floor(F.col("m") * most / steps)))
+    order = attack_order(edges).join(m, "graph_id").withColumn("gone_at", F.ceil(F.col("rank") / F.col("per")))
+    order = stored(order.select("graph_id", "src", "dst", "w", "m", "per", "gone_at"), "order")
+    sizes = order.groupBy("graph_id").agg(F.first("m").alias("m"), F.first("per").alias("per"))
     every = nodes.select("graph_id").distinct().join(sizes, "graph_id", "left").fillna(0, ["m", "per"])
     grid = every.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("removed", F.col("step") * F.col("per"))
     grid = grid.filter("step = 0 or (m > 0 and removed < m)")
     key = F.concat_ws("#", "graph_id", F.col("step").cast("string"))
     grid = stored(grid.withColumn("key", key), "steps")
     at = grid.select("graph_id", "step", "key")
-    own = ranked.join(at, "graph_id").filter(F.col("gone_at") > F.col("step")).select(F.col("key").alias("graph_id"), "src", "dst", "w")
+    own = order.join(at, "graph_id").filter(F.col("gone_at") > F.col("step")).select(F.col("key").alias("graph_id"), "src", "dst", "w")
     there = nodes.select("graph_id", "node").join(at, "graph_id").select(F.col("key").alias("graph_id"), "node")
-    found = graph_state(stored(there, "nodes"), stored(own, "edges")).withColumnRenamed("graph_id", "key")
+    found = graph_state(stored(there, "nodes"), stored(own, "edges"), most_sources).withColumnRenamed("graph_id", "key")
     share = F.when(F.col("m") > 0, F.bround(F.col("removed") / F.col("m"), 3)).otherwise(0.0)
     relative = F.when(F.col("base_efficiency") > 0, F.bround(F.round(F.col("efficiency") / F.col("base_efficiency"), 9), 3)).otherwise(0.0)
     giant = F.when(F.col("step") == 0, F.col("giant")).otherwise(F.bround("giant", 3))
@@ -87,15 +88,18 @@ def closed_networks(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame) ->
     return n, e
 
 
-def simulate_removal(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, base: DataFrame, samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
+def simulate_removal(
+    nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, base: DataFrame, samples: int = SAMPLES, seed: int = SEED, most_sources: int | None = None
+) -> DataFrame:
     """Per scenario: resilience_index_after, time_increase_pct, newly_disconnected_zones, broken_routes, sampled_routes.
 
-    Routes between sampled pairs, joined before, are compared; one whose end is closed or cut off is broken.
+    Routes between sampled pairs, joined before, are compared; one whose end is closed or cut off is broken. Efficiency is
+    from all nodes, or from ``most_sources`` sampled ones where ``base`` is too.
     """
     n, e = closed_networks(nodes, edges, scenarios)
     key = F.col("scenario_id").alias("graph_id")
     after_nodes, after_edges = stored(n.select(key, "node"), "nodes"), stored(e.select(key, "src", "dst", "w"), "edges")
-    after = graph_state(after_nodes, after_edges).withColumnRenamed("graph_id", "scenario_id")
+    after = graph_state(after_nodes, after_edges, most_sources).withColumnRenamed("graph_id", "scenario_id")
     before = connectivity(nodes, connected_components(edges, nodes)).select("graph_id", F.col("components").alias("zones"))
     drawn = stored(sample_pairs(nodes, samples, seed), "routes")
     old = shortest_paths(edges, drawn.select("graph_id", "s")).withColumnRenamed("v", "t").withColumnRenamed("dist", "old")

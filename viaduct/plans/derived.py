@@ -1,7 +1,7 @@
 """Road networks and rasters derived from the star-schema tables, in Spark and as SQL with the same names.
 
-``trade``: nations joined by their strongest trade; ``grid``: customers on a lattice with gaps. Rasters: ``emb`` from
-embeddings and ``lines`` from lineitem. Each SQL constant is a list of common table expressions.
+``trade``: nations joined by their strongest trade; ``grid``: customers on a lattice with gaps; ``users``: users who follow
+each other in the events. Rasters: ``emb`` from embeddings and ``lines`` from lineitem. Each SQL constant is a list of common table expressions.
 """
 
 from __future__ import annotations
@@ -120,13 +120,38 @@ px AS (SELECT tile_id, r, c, prob, target, occluded, round(prob*(CASE WHEN occlu
 
 
 def line_pixels(spark: SparkSession, sf_dir: str, size: int = 96) -> DataFrame:
-    """(tile_id, r, c, prob): lineitem counted into tiles by supplier; grows with the fact table."""
+    """(tile_id, r, c, prob): lineitem counted into a tile for each supplier; tiles and pixels grow with the fact table."""
     own = table(spark, sf_dir, "lineitem").groupBy(
-        F.concat(F.lit("t"), (F.col("l_suppkey") % 50).cast("string")).alias("tile_id"), (F.col("l_orderkey") % size).cast("int").alias("r"), (F.col("l_partkey") % size).cast("int").alias("c")
+        F.concat(F.lit("t"), F.col("l_suppkey").cast("string")).alias("tile_id"), (F.col("l_orderkey") % size).cast("int").alias("r"), (F.col("l_partkey") % size).cast("int").alias("c")
     )
     return own.agg(F.round(F.avg(F.col("l_discount") * 10), 6).alias("prob"))
 
 
 LINES_SQL = """
-px AS (SELECT 't'||(l_suppkey%50) AS tile_id, (l_orderkey%96)::INT AS r, (l_partkey%96)::INT AS c, round(avg(l_discount*10),6) AS prob FROM lineitem GROUP BY ALL)
+px AS (SELECT 't'||l_suppkey AS tile_id, (l_orderkey%96)::INT AS r, (l_partkey%96)::INT AS c, round(avg(l_discount*10),6) AS prob FROM lineitem GROUP BY ALL)
+"""
+
+
+def user_network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of ``users``: who follows whom within an hour and type of event, the two most frequent of each."""
+    own = table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("a"), "event_type", "ts", "event_id")
+    nodes = own.select(F.lit("users").alias("graph_id"), F.col("a").alias("node")).distinct()
+    hour = Window.partitionBy("event_type", F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
+    steps = own.select("a", F.lead("a").over(hour).alias("b")).filter("a <> b")
+    pairs = steps.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.count(F.lit(1)).alias("volume"))
+    both = pairs.select(F.col("src").alias("n"), F.col("dst").alias("o"), "*").union(pairs.select("dst", "src", "*"))
+    rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("volume"), "o"))
+    kept = both.withColumn("rank", rank).filter("rank <= 2").select("src", "dst", "volume").distinct()
+    edges = kept.select(F.lit("users").alias("graph_id"), F.concat(F.lit("u_"), "src", F.lit("_"), "dst").alias("edge_id"), "src", "dst", (1 + F.floor(F.lit(100) / F.col("volume"))).cast("long").alias("w"))
+    return stored(nodes, "nodes"), stored(edges, "edges")
+
+
+USER_SQL = """
+nodes AS (SELECT DISTINCT 'users' AS graph_id, user_id::BIGINT AS node FROM events),
+sq AS (SELECT user_id::BIGINT AS a, lead(user_id::BIGINT) OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS b FROM events),
+pairs AS (SELECT least(a,b) AS src, greatest(a,b) AS dst, count(*) AS volume FROM sq WHERE a<>b GROUP BY ALL),
+sym0 AS (SELECT src AS n, dst AS o, * FROM pairs UNION ALL SELECT dst, src, * FROM pairs),
+edges AS (SELECT DISTINCT 'users' AS graph_id, 'u_'||src||'_'||dst AS edge_id, src, dst, 1+100//volume AS w FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY volume DESC, o) AS rk FROM sym0) WHERE rk<=2),
+sym AS (SELECT src, dst, w, edge_id FROM edges UNION ALL SELECT dst, src, w, edge_id FROM edges),
+source AS (SELECT node AS s FROM nodes ORDER BY ('0x'||substr(sha256('5|'||node),1,8))::BIGINT, node LIMIT 64)
 """

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -59,6 +59,14 @@ def stored(df: DataFrame, name: str = "table", path: str | None = None) -> DataF
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str = "table", **metrics) -> tuple[DataFrame, dict]:
+    """``stored``, and aggregates of its rows that are taken while it is written; without any, ``n``, their number."""
+    seen = Observation()
+    columns = [c.alias(k) for k, c in (metrics or {"n": F.count(F.lit(1))}).items()]
+    own = stored(df.observe(seen, *columns), name)
+    return own, seen.get
+
+
 def made(spark: SparkSession) -> int:
     """How many paths were handed out so far: a mark for ``clear``."""
     return len(_MADE.get(spark.sparkContext.applicationId, []))

@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viaduct.functions.scalars import assign_split, scene_id, unit_interval
+from viaduct.operators.raster import chip_name, cut_tiles, tile_offsets
 from viaduct.session import ready
 
 ROWS = "tile_id string, r int, vals array<float>"
@@ -87,9 +89,71 @@ def scan_manifest(spark: SparkSession, path: str, split: str) -> DataFrame:
     return rows.withColumn("row", F.col("row").cast("int")).withColumn("col", F.col("col").cast("int"))
 
 
-def write_chips(pixels: DataFrame, path: str, kind: str, split: str) -> None:
-    """Pixels of named chips as Parquet, by split and kind."""
-    pixels.withColumn("split", F.lit(split)).withColumn("kind", F.lit(kind)).write.partitionBy("split", "kind").mode("append").parquet(path)
+def scan_chip_pairs(chips: DataFrame, listing: DataFrame, split: str) -> DataFrame:
+    """(image_path, mask_path) of a split's rows of a manifest whose image and mask are both in ``listing(path)``."""
+    own = chips.filter((F.col("split") == split) & (F.col("image_path") != "") & (F.col("mask_path") != ""))
+    there = listing.select("path").distinct()
+    for name in ("image_path", "mask_path"):
+        own = own.join(there.withColumnRenamed("path", name), name, "left_semi")
+    return own.select("image_path", "mask_path")
+
+
+def pair_by_name(listing: DataFrame, split: str) -> DataFrame:
+    """(image_path, mask_path) of files of one name under ``split``/images and ``split``/masks, where there is no manifest."""
+    of = lambda kind: F.regexp_extract("path", rf"/{split}/{kind}/([^/]+)$", 1)
+    images = listing.select(of("images").alias("name"), F.col("path").alias("image_path")).filter("name <> ''")
+    masks = listing.select(of("masks").alias("name"), F.col("path").alias("mask_path")).filter("name <> ''")
+    return images.join(masks, "name").select("image_path", "mask_path")
+
+
+def build_chips(images: DataFrame, masks: DataFrame, scenes: DataFrame, path: str, size: int = 512, overlap: int = 64, salt: str = "route-resilience") -> DataFrame:
+    """Cut scenes into chips, write those of images and masks by split, and return the manifest.
+
+    ``images`` and ``masks`` are pixels (scene_id, r, c, v) of ``scenes(scene_id, h, w)``; a scene without a mask has a
+    null ``mask_path``. A chip is named scene_rROW_cCOL; chips lie in ``path``/split=.../kind=.../.
+    """
+    split = assign_split(unit_interval("scene_id", salt))
+    for kind, pixels in (("images", images), ("masks", masks)):
+        chips = cut_tiles(pixels, scenes, size, overlap).withColumn("split", split).withColumn("kind", F.lit(kind))
+        chips.write.partitionBy("split", "kind").mode("append").parquet(path)
+    own = tile_offsets(scenes, size, overlap).join(masks.select("scene_id", F.lit(True).alias("_has")).distinct(), "scene_id", "left")
+    where = lambda kind: F.concat_ws("/", F.lit(path), F.concat(F.lit("split="), split), F.lit(f"kind={kind}"), chip_name())
+    return own.select("scene_id", split.alias("split"), "row", "col", where("images").alias("image_path"), F.when(F.col("_has"), where("masks")).alias("mask_path"))
+
+
+def read_chips(spark: SparkSession, path: str) -> DataFrame:
+    """Pixels of chips written by ``build_chips``, with split and kind."""
+    return ready(spark).read.parquet(path)
+
+
+def transform_pairs(images: DataFrame, masks: DataFrame, transform: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """``transform(image, mask)`` of each tile's arrays, as pixels (tile_id, r, c, v, mask).
+
+    ``images`` and ``masks`` are raster rows (tile_id, r, vals) of the same extent; tiles that one lacks are left out.
+    """
+    both = images.select("tile_id", "r", "vals").join(masks.select("tile_id", "r", F.col("vals").alias("marks")), ["tile_id", "r"])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("r")
+        image, mask = transform(np.stack(part["vals"].to_list()), np.stack(part["marks"].to_list()))
+        r, c = np.indices(image.shape)
+        return pd.DataFrame({"tile_id": part["tile_id"].iloc[0], "r": r.ravel(), "c": c.ravel(), "v": image.ravel(), "mask": mask.ravel()})
+
+    return both.groupBy("tile_id").applyInPandas(run, "tile_id string, r int, c int, v double, mask double")  # one tile at a time
+
+
+def write_raster_npy(rows: DataFrame, path: str) -> None:
+    """Each raster of ``rows(tile_id, r, vals)`` as a .npy file below ``path``."""
+    def save(part: pd.DataFrame) -> pd.DataFrame:
+        system, folder = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        system.create_dir(folder, recursive=True)
+        held = io.BytesIO()
+        np.save(held, np.stack(part.sort_values("r")["vals"].to_list()))
+        with system.open_output_stream(f"{folder}/{part['tile_id'].iloc[0]}.npy") as out:
+            out.write(held.getvalue())
+        return pd.DataFrame({"tile_id": part["tile_id"].iloc[:1]})
+
+    rows.groupBy("tile_id").applyInPandas(save, "tile_id string").count()  # one tile at a time
 
 
 def split_summary(chips: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from viaduct.functions.scalars import class_by_stem, class_by_tag, haversine_m, travel_time_s
+from viaduct.functions.scalars import class_by_stem, class_by_tag, first_present, haversine_m, travel_time_s
 from viaduct.session import ready
 
 FEATURE = (
@@ -99,9 +99,12 @@ def geojson_chain(lines: DataFrame, weight: str = "lengthM") -> DataFrame:
     return _first_pair(steps, last=True).drop("feature")
 
 
-def read_osm(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(id, lat, lon) of the nodes and (id, nodes, tags) of the ways, with two nodes at least, of OSM JSON documents."""
-    e = ready(spark).read.schema(OSM).json(path, multiLine=True).select(F.explode("elements").alias("e")).select("e.*")
+def read_osm(spark: SparkSession, path: str, by_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(id, lat, lon) of the nodes and (id, nodes, tags) of the ways, with two nodes at least, of OSM JSON documents.
+
+    A file holds one document, or, ``by_line``, one on each line.
+    """
+    e = ready(spark).read.schema(OSM).json(path, multiLine=not by_line).select(F.explode("elements").alias("e")).select("e.*")
     return e.filter("type = 'node'").select("id", "lat", "lon"), e.filter("type = 'way' and size(nodes) >= 2").select("id", "nodes", "tags")
 
 
@@ -156,6 +159,17 @@ def multigraph_to_network(nodes: DataFrame, edges: DataFrame, last: bool = False
     return points, simple.withColumn("travel_time", travel_time_s("length_m", "road_class"))
 
 
+def multigraph_plain(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (graph_id, node, x, y) and edges (graph_id, src, dst, length) of a multigraph, as path similarity needs them.
+
+    Coordinates may be named x and y, lng and lat, or lon and lat. The last of parallel edges by key stays, without
+    another length than its own.
+    """
+    x, y = first_present(nodes.columns, "x", "lng", "lon"), first_present(nodes.columns, "y", "lat")
+    simple = _first_pair(edges.select("graph_id", "key", "src", "dst", "length"), "key", last=True).drop("key")
+    return nodes.select("graph_id", "node", x.alias("x"), y.alias("y")), simple
+
+
 def centerlines(lines: DataFrame) -> DataFrame:
     """(graph_id, feature, part, points array<struct<x,y>>) of LineStrings and of each part of MultiLineStrings."""
     own = _features(lines).select("graph_id", "feature", F.col("f.geometry.type").alias("type"), F.col("f.geometry.coordinates").alias("raw"))
