@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viaduct.functions import scalars as S
-from viaduct.operators import annotate, healing, occlusion, raster, reports, resilience, sampling
-from viaduct.plans.derived import EMB_SQL, GRID_SQL, TRADE_SQL, USER_SQL, customer_grid, embedding_pixels, table, trade_network, user_network
+from viaduct.operators import annotate, healing, occlusion, raster, reports, resilience, sampling, vectorize
+from viaduct.plans.derived import EMB_SQL, GRID_SQL, TRADE_SQL, USER_SQL, _hav, customer_grid, embedding_pixels, line_pixels, table, trade_network, user_network
 from viaduct.plans.graph_queries import CUT_SQL, DIST_SQL, FLOW_SQL, SIMULATE_SQL, VIEW_SQL, _DEG, _scenarios, _scored, _state, _views
-from viaduct.plans.table_queries import _SC, _TILES, WAYS_SQL, _pairs, _scenes, _ways
+from viaduct.plans.table_queries import _SC, _TILES, SIZE, WAYS_SQL, _pairs, _scenes, _ways
 from viaduct.session import scratch, stored
 from viaduct.sources import files, networks
 
@@ -135,6 +135,13 @@ def view_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("input", "model", "iou", "dice", "occlusion_recall", "resilience_index", "n", "edges")
 
 
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The views that can be asked for, with the size of their networks."""
+    _, edges = _views(spark, sf_dir)
+    size = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges"))
+    return size.join(views_table(spark), "graph_id").select(F.lit("trade").alias("city"), "input", "model", "edges").distinct()
+
+
 def _annotated_views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return annotate.annotate_network(*_views(spark, sf_dir))
 
@@ -267,6 +274,16 @@ def transform_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tile_id", "r", "c", F.round("v", 5).alias("v"), F.col("mask").cast("int").alias("mask"))
 
 
+def skeleton_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of lineitem, widened, as skeletons and networks: share of road, pixels of skeleton, edges by class."""
+    px = line_pixels(spark, sf_dir).filter(S.foreground("prob", 0.8))
+    mask = stored(raster.dilate(px, SIZE), "mask")
+    lines = stored(vectorize.skeletonize(mask.withColumn("prob", F.lit(1.0)), SIZE, 0.5, 16), "skeleton")
+    edges = vectorize.skeleton_to_network(lines, vectorize.Projection.pixels(30.0))[1]
+    tiles = mask.select("tile_id").distinct().withColumns({"h": F.lit(SIZE), "w": F.lit(SIZE)})
+    return vectorize.skeleton_stats(mask, lines, edges, tiles).withColumn("road_fraction", F.round("road_fraction", 9))
+
+
 def _image(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     px = embedding_pixels(spark, sf_dir)
     grey = F.floor(F.col("prob") * 255).cast("int")
@@ -292,7 +309,7 @@ QUERIES = {
     "view_network": view_network, "view_curve": view_curve, "view_changes": view_changes, "toggle_impact": toggle_impact,
     "critical_edges": critical_edges, "highest_edge": highest_edge, "curve_rows": curve_rows, "kpi_text": kpi_text, "heal_views": heal_views,
     "tile_pixels": tile_pixels, "build_chips": build_chips, "padded": padded, "resized": resized, "normalised": normalised,
-    "masks_joined": masks_joined, "scaled_masks": scaled_masks, "transform_pairs": transform_pairs, "occluded_images": occluded_images,
+    "masks_joined": masks_joined, "scaled_masks": scaled_masks, "skeleton_stats": skeleton_stats, "catalogue": catalogue, "transform_pairs": transform_pairs, "occluded_images": occluded_images,
     "building_cover": building_cover,
 }
 
@@ -388,6 +405,13 @@ ORACLE_SQL = {
     "manifest_csv": _CHIPS + " SELECT scene_id, row, col, image_path, coalesce(mask_path,'') AS mask_path FROM ch WHERE split='val'",
     "hold_out": f"WITH {_SC} SELECT scene_id, CASE WHEN row_number() OVER (ORDER BY ('0x'||substr(sha256('3|'||scene_id),1,8))::BIGINT, scene_id)<=greatest(1,round_even(count(*) OVER ()*0.1,0)) THEN 'val' ELSE 'train' END AS split FROM sc",
     "tile_coverage": f"WITH {_SC}, {_TILES}, mx AS (SELECT scene_id, max(y0) AS y, max(x0) AS x FROM tl GROUP BY 1) SELECT sc.scene_id, greatest(y+512,512)=greatest(h,512) AND greatest(x+512,512)=greatest(w,512) AS covered FROM sc JOIN mx USING (scene_id)",
+    "lattice": f"""WITH s AS (SELECT ceil(sqrt(count(*)))::BIGINT AS m FROM customer), a AS (SELECT m, unnest(generate_series(0,m-1)) AS r FROM s), g AS (SELECT m, r, unnest(generate_series(0,m-1)) AS c FROM a),
+n0 AS (SELECT 'n'||r||'_'||c AS node, round_even(12.90::DOUBLE+(13.04::DOUBLE-12.90::DOUBLE)*r/(m-1),6) AS lat, round_even(77.52::DOUBLE+(77.66::DOUBLE-77.52::DOUBLE)*c/(m-1),6) AS lng FROM g),
+sp AS (SELECT 's_south' AS node, 'n0_2' AS base, -0.012::DOUBLE AS dy, 0.0::DOUBLE AS dx UNION ALL SELECT 's_north', 'n'||(m-1)||'_'||(m-3), 0.012, 0.0 FROM s UNION ALL SELECT 's_west', 'n2_0', 0.0, -0.012 UNION ALL SELECT 's_east', 'n'||(m-3)||'_'||(m-1), 0.0, 0.012 FROM s),
+n AS (SELECT * FROM n0 UNION ALL SELECT sp.node, round_even(lat+dy,6), round_even(lng+dx,6) FROM sp JOIN n0 ON n0.node=base),
+l AS (SELECT 'n'||r||'_'||c AS src, 'n'||r||'_'||(c+1) AS dst, r=m//2 AS main FROM g WHERE c<m-1 UNION ALL SELECT 'n'||r||'_'||c, 'n'||(r+1)||'_'||c, c=m//2 FROM g WHERE r<m-1 UNION ALL SELECT base, node, false FROM sp),
+e AS (SELECT 'e_'||src||'__'||dst AS edge_id, src, dst, round_even(round({_hav('a.lat', 'a.lng', 'b.lat', 'b.lng')},6),1) AS length_m, CASE WHEN main THEN 'arterial' ELSE 'local' END AS road_class FROM l JOIN n a ON a.node=src JOIN n b ON b.node=dst)
+SELECT *, round_even(length_m/((CASE WHEN road_class='arterial' THEN 50.0 ELSE 30.0 END)*1000/3600),1) AS travel_time FROM e""",
     "plain_multigraph": _T + ", mg AS (SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, l_quantity AS length, row_number() OVER (PARTITION BY least(c_nationkey,s_nationkey), greatest(c_nationkey,s_nationkey) ORDER BY l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_quantity DESC) AS k FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN supplier ON l_suppkey=s_suppkey WHERE c_nationkey<>s_nationkey) SELECT src, dst, length, round(lng,6) AS x, round(lat,6) AS y FROM mg JOIN nodes ON node=src WHERE k=1",
     "node_link": _T + "SELECT (SELECT count(*) FROM nodes)::INT AS nodes, src AS source, dst AS target, edge_id AS id FROM edges",
     "distinct_pairs": f"WITH RECURSIVE {USER_SQL}, dr AS (SELECT i AS draw, floor(('0x'||substr(sha256('11|users|'||i||'|s'),1,8))::BIGINT/4294967296.0*(SELECT count(*) FROM nodes))::BIGINT AS a, floor(('0x'||substr(sha256('11|users|'||i||'|t'),1,8))::BIGINT/4294967296.0*(SELECT count(*) FROM nodes))::BIGINT AS b FROM (SELECT unnest(generate_series(0,1999)) AS i)), ix AS (SELECT node, row_number() OVER (ORDER BY node)-1 AS i FROM nodes), pr AS (SELECT least(p.node,q.node) AS s, greatest(p.node,q.node) AS t, min(draw) AS draw FROM dr JOIN ix p ON p.i=a JOIN ix q ON q.i=b WHERE a<>b GROUP BY ALL) SELECT draw::INT AS draw, s, t FROM (SELECT *, row_number() OVER (ORDER BY draw) AS rk FROM pr) WHERE rk<=500",
@@ -396,6 +420,7 @@ ORACLE_SQL = {
     "view_curve": f"SELECT input, model, step, removed_fraction, efficiency, giant FROM (SELECT 'intact' AS view, * FROM ({_view('intact', FLOW_SQL, _VCURVE)} SELECT * FROM res) UNION ALL SELECT 'fragmented', * FROM ({_view('fragmented', FLOW_SQL, _VCURVE)} SELECT * FROM res)) JOIN {_V} USING (view)",
     "view_changes": f"WITH whole AS ({_view('intact', FLOW_SQL)} {_TOP}), part AS ({_view('fragmented', FLOW_SQL)} {_TOP}), links AS ({_view('intact')} SELECT edge_id FROM edges WHERE edge_id NOT IN (SELECT edge_id FROM vedges WHERE view='fragmented')) SELECT 'link' AS kind, edge_id AS id, 'lost' AS change FROM links UNION ALL SELECT 'gatekeeper', node::VARCHAR, 'lost' FROM whole WHERE node NOT IN (SELECT node FROM part) UNION ALL SELECT 'gatekeeper', node::VARCHAR, 'recovered' FROM part WHERE node NOT IN (SELECT node FROM whole)",
     "toggle_impact": _T + f",{DIST_SQL},{SIMULATE_SQL}, fin AS (SELECT sc.id, round_even(round(100*(0.6*least(total/(n*(n-1))/(SELECT eff FROM base),1.0)+0.4*giant),9),0)::INT AS a, broken FROM sc JOIN ne USING (id) JOIN se USING (id) JOIN sg USING (id) JOIN rt USING (id)), own AS (SELECT max(size)/sum(size) AS g FROM (SELECT comp, count(*) AS size FROM (SELECT s, min(v) AS comp FROM dist GROUP BY s) GROUP BY comp)) SELECT id AS scenario_id, a AS resilience_index_after, a-round_even(round(100*(0.6+0.4*(SELECT g FROM own)),9),0)::INT AS index_change, round(broken/60*100,0)::INT AS cut_pct FROM fin",
+    "catalogue": _T + f",{VIEW_SQL} SELECT 'trade' AS city, q.input, q.model, count(*) AS edges FROM vedges e JOIN {_V} ON q.view=e.view GROUP BY ALL",
     "critical_edges": _T + f",{FLOW_SQL} SELECT edge_id, criticality, (SELECT count(*) FROM eb2) AS edges, (SELECT count(*) FROM eb2 WHERE criticality>=0.75) AS critical FROM eb2 WHERE criticality>=0.75",
     "highest_edge": _T + f",{FLOW_SQL} SELECT edge_id, criticality FROM eb2 ORDER BY criticality DESC, edge_id LIMIT 1",
     "curve_rows": "SELECT l_orderkey, (i-1)::INT AS i, round(least(1.0,greatest(0.0,l_discount*11))*100,1) AS removed, round(least(1.0,greatest(0.0,l_tax*10))*100,1) AS efficiency, round(least(1.0,greatest(0.0,l_quantity*0.02))*100,1) AS giant FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_discount, l_tax, l_quantity) AS i, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem) WHERE i<m",

@@ -159,19 +159,6 @@ def resilience_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("graph_id").alias("view"), F.round("efficiency", 9).alias("efficiency"), "components", F.round("giant", 9).alias("giant"), "resilience_index")
 
 
-def view_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of each view with the constants of segmentation quality that belong to it."""
-    _, edges, state, base = _state(spark, sf_dir)
-    # IoU, Dice and occlusion recall by input and model.
-    quality = spark.createDataFrame(
-        [("intact", "clean", "robust", 0.526, 0.689, 0.665), ("fragmented", "occluded", "baseline", 0.439, 0.610, 0.528)],
-        "graph_id string, input string, model string, iou double, dice double, occlusion_recall double",
-    )
-    size = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges"))
-    found = resilience.resilience_index(state, base).join(F.broadcast(quality), "graph_id").join(size, "graph_id")
-    return found.select("input", "model", "iou", "dice", "occlusion_recall", "resilience_index", "n", "edges")
-
-
 def view_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links that the fragmented view lost."""
     _, edges = _views(spark, sf_dir)
@@ -188,12 +175,6 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.filter("graph_id = 'intact'").select(F.lit("trade").alias("source"), F.bround(F.round("efficiency", 9), 6).alias("base_efficiency"))
 
 
-def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct views."""
-    nodes, _ = _views(spark, sf_dir)
-    return nodes.select(F.col("graph_id").alias("view")).distinct()
-
-
 def node_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = trade_network(spark, sf_dir)
     return betweenness(nodes, edges, all_pairs(nodes, edges))[0].select("node", F.round("betweenness", 9).alias("betweenness"))
@@ -318,11 +299,24 @@ def sampled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_pairs(nodes, 60, 7).select("draw", "s", "t")
 
 
+APLS_SQL = """
+asym AS (SELECT view, src, dst, round(length_m*1000)::BIGINT AS w FROM vedges UNION ALL SELECT view, dst, src, round(length_m*1000)::BIGINT FROM vedges),
+ad(view, s, v, d) USING KEY (view, s, v) AS (SELECT view, node, node, 0::BIGINT FROM vnodes
+  UNION SELECT x.view, x.s, e.dst, min(x.d+e.w) FROM ad x JOIN asym e ON e.view=x.view AND e.src=x.v LEFT JOIN recurring.ad r ON r.view=x.view AND r.s=x.s AND r.v=e.dst
+  WHERE r.d IS NULL OR x.d+e.w<r.d GROUP BY x.view, x.s, e.dst),
+ix AS (SELECT node, row_number() OVER (ORDER BY node)-1 AS i FROM nodes),
+dr AS (SELECT i AS draw, floor(('0x'||substr(sha256('0|trade|'||i||'|s'),1,8))::BIGINT/4294967296.0*(SELECT count(*) FROM nodes))::BIGINT AS a, floor(('0x'||substr(sha256('0|trade|'||i||'|t'),1,8))::BIGINT/4294967296.0*(SELECT count(*) FROM nodes))::BIGINT AS b FROM (SELECT unnest(generate_series(0,399)) AS i)),
+pq AS (SELECT least(p.node,q.node) AS s, greatest(p.node,q.node) AS t, min(draw) AS draw FROM dr JOIN ix p ON p.i=a JOIN ix q ON q.i=b WHERE a<>b GROUP BY ALL),
+pk AS (SELECT s, t FROM (SELECT *, row_number() OVER (ORDER BY draw) AS rk FROM pq) WHERE rk<=100),
+sc AS (SELECT w.view, avg(CASE WHEN h.d IS NULL THEN 0.0 WHEN w.d<=0 THEN 1.0 ELSE greatest(0.0,1-abs(h.d-w.d)/w.d) END) AS score FROM pk JOIN ad w ON w.s=pk.s AND w.v=pk.t LEFT JOIN ad h ON h.view<>w.view AND h.s=pk.s AND h.v=pk.t GROUP BY w.view)
+"""
+
+
 QUERIES = {
     "trade_edges": trade_edges, "network_meta": network_meta, "components": components, "connectivity_ratio": connectivity_ratio,
     "largest_component": largest_component, "degree": degree, "endpoint_pairs": endpoint_pairs, "nearest_snap": nearest_snap, "heal": heal,
-    "shortest_paths": shortest_paths, "global_efficiency": efficiency, "resilience_index": resilience_index, "view_metrics": view_metrics,
-    "view_diff": view_diff, "fragment": fragment, "health": health, "catalogue": catalogue, "node_betweenness": node_betweenness,
+    "shortest_paths": shortest_paths, "global_efficiency": efficiency, "resilience_index": resilience_index,
+    "view_diff": view_diff, "fragment": fragment, "health": health, "node_betweenness": node_betweenness,
     "edge_betweenness": edge_betweenness, "annotate_network": annotate_network, "gatekeepers": gatekeepers, "top_edges": top_edges,
     "criticality_histogram": criticality_histogram, "bridges": bridges, "articulation_points": articulation_points, "attack_order": attack_order,
     "resilience_curve": resilience_curve, "simulate_removal": simulate_removal, "impact_estimate": impact_estimate, "apls": apls, "sampled_pairs": sampled_pairs,
@@ -347,11 +341,9 @@ SELECT 'heal-'||a||'-'||b AS edge_id, a AS src, b AS dst, round_even(dist_m,1) A
     "shortest_paths": _trade_sql(DIST_SQL) + "SELECT s, v, d AS dist FROM dist",
     "global_efficiency": _trade_sql(DIST_SQL) + "SELECT (SELECT count(*) FROM nodes) AS n, round(sum(CASE WHEN d>0 THEN 10.0/d ELSE 0 END)/(SELECT count(*)*(count(*)-1) FROM nodes),9) AS efficiency FROM dist",
     "resilience_index": _trade_sql(VIEW_SQL) + "SELECT view, round(efficiency,9) AS efficiency, components, round(giant,9) AS giant, resilience_index FROM vindex",
-    "view_metrics": _trade_sql(VIEW_SQL) + "SELECT q.input, q.model, q.iou, q.dice, q.occlusion_recall, resilience_index, n::BIGINT AS n, (SELECT count(*) FROM vedges e WHERE e.view=v.view) AS edges FROM vindex v JOIN (VALUES ('intact','clean','robust',0.526::DOUBLE,0.689::DOUBLE,0.665::DOUBLE),('fragmented','occluded','baseline',0.439::DOUBLE,0.610::DOUBLE,0.528::DOUBLE)) q(view,input,model,iou,dice,occlusion_recall) ON q.view=v.view",
     "view_diff": _trade_sql(VIEW_SQL) + "SELECT edge_id, road_class FROM vedges WHERE view='intact' AND edge_id NOT IN (SELECT edge_id FROM vedges WHERE view='fragmented')",
     "fragment": _trade_sql(VIEW_SQL) + "SELECT edge_id, src, dst, road_class, w FROM vedges WHERE view='fragmented'",
     "health": _trade_sql(VIEW_SQL) + "SELECT 'trade' AS source, round_even(round(efficiency,9),6) AS base_efficiency FROM vstate WHERE view='intact'",
-    "catalogue": _trade_sql(VIEW_SQL) + "SELECT DISTINCT view FROM vnodes",
     "node_betweenness": _trade_sql(FLOW_SQL) + "SELECT node, round(betweenness,9) AS betweenness FROM nb",
     "edge_betweenness": _trade_sql(FLOW_SQL) + "SELECT src, dst, round(raw,9) AS betweenness FROM eb",
     "annotate_network": _trade_sql(FLOW_SQL, CUT_SQL) + "SELECT e.edge_id, e.src, e.dst, e.length_m, e.travel_time, e.road_class, x.criticality, e.edge_id IN (SELECT edge_id FROM bridge) AS is_bridge FROM edges e JOIN eb2 x ON x.edge_id=e.edge_id",
@@ -364,5 +356,6 @@ SELECT 'heal-'||a||'-'||b AS edge_id, a AS src, b AS dst, round_even(dist_m,1) A
     "resilience_curve": _trade_sql(FLOW_SQL, CURVE_SQL) + "SELECT t.step::INT AS step, round_even(t.step*per/m,3) AS removed_fraction, round_even(round(eff/(SELECT eff FROM ce WHERE step=0),9),3) AS efficiency, CASE WHEN t.step=0 THEN round(giant,9) ELSE round_even(giant,3) END AS giant FROM steps t JOIN ce ON ce.step=t.step JOIN cg ON cg.step=t.step",
     "simulate_removal": _trade_sql(DIST_SQL, SIMULATE_SQL) + "SELECT sc.id AS scenario_id, round_even(round(100*(0.6*least(total/(n*(n-1))/(SELECT eff FROM base),1.0)+0.4*giant),9),0)::INT AS resilience_index_after, round_even(round(coalesce(pct,0.0),9),1) AS time_increase_pct, greatest(0,k-(SELECT k FROM zones))::INT AS newly_disconnected_zones, broken::INT AS broken_routes, 60::INT AS sampled_routes FROM sc JOIN ne USING (id) JOIN se USING (id) JOIN sg USING (id) JOIN rt USING (id)",
     "impact_estimate": _trade_sql(FLOW_SQL) + "SELECT scenario_id, greatest(8, round(100-22*total,0))::INT AS index_after, round(14*total,1) AS time_pct, least(5, floor(1.8*total))::INT AS zones, round(6*total,0)::INT AS broken, 50::INT AS sampled FROM (SELECT 'n'||node AS scenario_id, round(sum(criticality),9) AS total FROM (SELECT src AS node, criticality FROM eb2 UNION ALL SELECT dst, criticality FROM eb2) GROUP BY node)",
+    "apls": _trade_sql(VIEW_SQL, APLS_SQL) + "SELECT 'trade' AS graph_id, round((coalesce((SELECT score FROM sc WHERE view='intact'),0)+coalesce((SELECT score FROM sc WHERE view='fragmented'),0))/2,9) AS apls",
     "sampled_pairs": _trade_sql(DIST_SQL, SIMULATE_SQL) + "SELECT draw::INT AS draw, x.node AS s, y.node AS t FROM draws JOIN idx x ON x.i=a JOIN idx y ON y.i=b WHERE a<>b",
 }

@@ -211,7 +211,7 @@ def small_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.fill_holes(stored(raster.dilate(line_pixels(spark, sf_dir).filter(S.foreground("prob", 0.5)), SIZE), "mask"), SIZE, 6)
+    return raster.fill_holes(stored(raster.dilate(line_pixels(spark, sf_dir), SIZE), "mask"), SIZE, 6)
 
 
 def thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,8 +338,9 @@ SELECT l_orderkey, l_linenumber, CASE WHEN i>=80 THEN 'Resilient' WHEN i>=60 THE
     "connectivity_labels": _L + f" SELECT m.tile_id, m.r, m.c, bool_or(k=0 AND n.r IS NOT NULL) AS n, bool_or(k=1 AND n.r IS NOT NULL) AS ne, bool_or(k=2 AND n.r IS NOT NULL) AS e, bool_or(k=3 AND n.r IS NOT NULL) AS se, bool_or(k=4 AND n.r IS NOT NULL) AS s, bool_or(k=5 AND n.r IS NOT NULL) AS sw, bool_or(k=6 AND n.r IS NOT NULL) AS w, bool_or(k=7 AND n.r IS NOT NULL) AS nw FROM mask m CROSS JOIN {_EIGHT} LEFT JOIN mask n ON n.tile_id=m.tile_id AND n.r=m.r+dy AND n.c=m.c+dx GROUP BY ALL",
     "closing": _L + f", dl AS (SELECT DISTINCT tile_id, (r+dy)::INT AS r, (c+dx)::INT AS c FROM mask CROSS JOIN {_DISK} WHERE r+dy BETWEEN 0 AND 95 AND c+dx BETWEEN 0 AND 95) SELECT m.tile_id, m.r, m.c FROM dl m CROSS JOIN {_DISK} LEFT JOIN dl n ON n.tile_id=m.tile_id AND n.r=m.r+dy AND n.c=m.c+dx GROUP BY ALL HAVING count(*) FILTER (WHERE n.r IS NULL AND m.r+dy BETWEEN 0 AND 95 AND m.c+dx BETWEEN 0 AND 95)=0",
     "small_objects": _L + ", lab(tile_id, r, c, comp) USING KEY (tile_id, r, c) AS (SELECT tile_id, r, c, r*100000+c FROM mask UNION SELECT m.tile_id, m.r, m.c, min(l.comp) FROM lab l JOIN (VALUES (-1,0),(0,1),(1,0),(0,-1)) o(dy,dx) ON true JOIN recurring.lab m ON m.tile_id=l.tile_id AND m.r=l.r+dy AND m.c=l.c+dx WHERE l.comp<m.comp GROUP BY ALL) SELECT tile_id, r, c FROM (SELECT *, count(*) OVER (PARTITION BY tile_id, comp) AS n FROM lab) WHERE n>=3",
-    "fill_holes": _L + f", dl AS (SELECT DISTINCT tile_id, (r+dy)::INT AS r, (c+dx)::INT AS c FROM mask CROSS JOIN {_DISK} WHERE r+dy BETWEEN 0 AND 95 AND c+dx BETWEEN 0 AND 95), bg AS (SELECT * FROM {_GRID96} EXCEPT SELECT * FROM dl), lab(tile_id, r, c, comp) USING KEY (tile_id, r, c) AS (SELECT tile_id, r, c, r*100000+c FROM bg UNION SELECT m.tile_id, m.r, m.c, min(l.comp) FROM lab l JOIN (VALUES (-1,0),(0,1),(1,0),(0,-1)) o(dy,dx) ON true JOIN recurring.lab m ON m.tile_id=l.tile_id AND m.r=l.r+dy AND m.c=l.c+dx WHERE l.comp<m.comp GROUP BY ALL) SELECT tile_id, r, c FROM dl UNION ALL SELECT tile_id, r, c FROM (SELECT *, count(*) OVER (PARTITION BY tile_id, comp) AS n FROM lab) WHERE n<6",
+    "fill_holes": _L.replace("prob>=0.5", "prob>=0") + f", dl AS (SELECT DISTINCT tile_id, (r+dy)::INT AS r, (c+dx)::INT AS c FROM mask CROSS JOIN {_DISK} WHERE r+dy BETWEEN 0 AND 95 AND c+dx BETWEEN 0 AND 95), bg AS (SELECT * FROM {_GRID96} EXCEPT SELECT * FROM dl), lab(tile_id, r, c, comp) USING KEY (tile_id, r, c) AS (SELECT tile_id, r, c, r*100000+c FROM bg UNION SELECT m.tile_id, m.r, m.c, min(l.comp) FROM lab l JOIN (VALUES (-1,0),(0,1),(1,0),(0,-1)) o(dy,dx) ON true JOIN recurring.lab m ON m.tile_id=l.tile_id AND m.r=l.r+dy AND m.c=l.c+dx WHERE l.comp<m.comp GROUP BY ALL) SELECT tile_id, r, c FROM dl UNION ALL SELECT tile_id, r, c FROM (SELECT *, count(*) OVER (PARTITION BY tile_id, comp) AS n FROM lab) WHERE n<6",
     "half_width": _L + f", dl AS (SELECT DISTINCT tile_id, (r+dy)::INT AS r, (c+dx)::INT AS c FROM mask CROSS JOIN {_DISK} WHERE r+dy BETWEEN 0 AND 95 AND c+dx BETWEEN 0 AND 95), bg AS (SELECT * FROM {_GRID96} EXCEPT SELECT * FROM dl) SELECT dl.tile_id, dl.r, dl.c, round(sqrt(min(pow(dl.r-bg.r,2)+pow(dl.c-bg.c,2))),9) AS d FROM dl JOIN bg ON bg.tile_id=dl.tile_id AND bg.r BETWEEN dl.r-24 AND dl.r+24 GROUP BY dl.tile_id, dl.r, dl.c",
+    "junction_clusters": _L + f", nc AS (SELECT m.tile_id, m.r, m.c, count(n.r) AS n FROM mask m CROSS JOIN {_EIGHT} LEFT JOIN mask n ON n.tile_id=m.tile_id AND n.r=m.r+dy AND n.c=m.c+dx GROUP BY ALL), np AS (SELECT tile_id, r, c FROM nc WHERE n=1 OR n>=3), lab(tile_id, r, c, comp) USING KEY (tile_id, r, c) AS (SELECT tile_id, r, c, r::BIGINT*2147483648+c FROM np UNION SELECT m.tile_id, m.r, m.c, min(l.comp) FROM lab l JOIN {_EIGHT} ON true JOIN recurring.lab m ON m.tile_id=l.tile_id AND m.r=l.r+dy AND m.c=l.c+dx WHERE l.comp<m.comp GROUP BY ALL), mi AS (SELECT tile_id, comp, avg(r) AS my, avg(c) AS mx, count(*) AS size FROM lab GROUP BY ALL), dd AS (SELECT lab.tile_id, comp, r, c, size, row_number() OVER (PARTITION BY lab.tile_id, comp ORDER BY round(pow(r-my,2)+pow(c-mx,2),9), r, c) AS k FROM lab JOIN mi USING (tile_id, comp)) SELECT tile_id, comp AS cluster, r, c, size FROM dd WHERE k=1",
     "blob_mask": _E + f", {_BL} SELECT tile_id, r, c, round(alpha,9) AS alpha, round(alpha,9)>=0.5 AS occluded FROM al",
     "overlay": _E + f", {_BL}, ov AS (SELECT tile_id, r, c, round(prob*255,3) AS v, round(alpha,6)*0.7 AS a FROM al) SELECT tile_id, r, c, floor(v*(1-a)+255*a)::INT AS cloud, floor(v*(1-a)+0*a)::INT AS shadow, floor(v*(1-a)+110*a)::INT AS canopy FROM ov",
     "random_occlude": f"WITH {_SC}, g AS (SELECT scene_id AS tile_id, unnest(['cloud','shadow','canopy','building']) AS effect, unnest([0.6,0.7,0.7,0.3]) AS p FROM sc) SELECT tile_id, effect FROM g WHERE ('0x'||substr(sha256('0|'||tile_id||'|any'),1,8))::BIGINT/4294967296.0<0.9 AND ('0x'||substr(sha256('0|'||tile_id||'|'||effect),1,8))::BIGINT/4294967296.0<p",

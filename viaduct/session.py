@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from pathlib import Path
 
@@ -13,12 +14,19 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parent.parent)
 #: Keys that hold more than one in this many of all rows are hot; there can be no more of them than this.
 HOT_KEYS = 10_000
+#: Spark's bound of the bytes of an Arrow batch.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _OWN: dict[str, str] = {}
-_MADE: dict[str, list[str]] = {}
+_MADE: dict[tuple[str, int], list[str]] = {}
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it is not installed (local runs)."""
+    """Let Python workers import this package when it is not installed (local runs), and bound the batches they get.
+
+    A session that sets the size of Arrow batches itself keeps its own.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
     env = spark.sparkContext.environment
     paths = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
@@ -47,10 +55,15 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     path = f"{shared_dir(spark)}/viaduct/{name}-{uuid.uuid4().hex}"
-    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _made(spark).append(path)
     return path
 
 
+def _made(spark: SparkSession) -> list[str]:
+    """The paths handed out to this thread."""
+    return _MADE.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
+
+
 def stored(df: DataFrame, name: str = "table", path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: its lineage ends there."""
     spark = df.sparkSession
@@ -68,16 +81,16 @@ def observed(df: DataFrame, name: str = "table", **metrics) -> tuple[DataFrame,
 
 
 def made(spark: SparkSession) -> int:
-    """How many paths were handed out so far: a mark for ``clear``."""
-    return len(_MADE.get(spark.sparkContext.applicationId, []))
+    """How many paths this thread was handed out so far: a mark for ``clear``."""
+    return len(_made(spark))
 
 
 def clear(spark: SparkSession, since: int = 0, spare: tuple[str, ...] = ()) -> None:
-    """Delete what was written below the paths handed out after the mark ``since``, but for ``spare``.
+    """Delete what was written below the paths handed out to this thread after the mark ``since``, but for ``spare``.
 
     For callers that have written their results: tables that were read from those paths are gone afterwards.
     """
-    own = _MADE.get(spark.sparkContext.applicationId, [])
+    own = _made(spark)
     for path in own[since:]:
         if path not in spare:
             remove(spark, path)
@@ -97,14 +110,14 @@ def drop_stored(*tables: DataFrame) -> None:
             remove(table.sparkSession, path)
 
 
-def join_counted(left: DataFrame, right: DataFrame, on: str, rows: str) -> DataFrame:
+def join_counted(left: DataFrame, right: DataFrame, on: str, rows: str, how: str = "left") -> DataFrame:
     """``left`` joined to ``right``, which has each key once and, as ``rows``, how many rows of ``left`` have it.
 
-    Hot keys are broadcast, so that no task gets all rows of one; ``HOT_KEYS`` bounds how many there can be. Keys that
-    ``right`` lacks are kept with nulls. Both sides are read twice and should be stored tables.
+    Hot keys are broadcast, so that no task gets all rows of one; ``HOT_KEYS`` bounds how many there can be. ``how`` says
+    whether keys that ``right`` lacks are kept with nulls. ``right`` is stored here; ``left`` is read twice.
     """
-    total = right.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
-    hot = F.col(rows) > max(1000, total // HOT_KEYS)
+    right, seen = observed(right, "counted", total=F.coalesce(F.sum(rows), F.lit(0)))
+    hot = F.col(rows) > max(1000, seen["total"] // HOT_KEYS)
     few = F.broadcast(right.filter(hot))
-    plain = left.join(few.select(on), on, "left_anti").join(right.filter(~hot), on, "left")
+    plain = left.join(few.select(on), on, "left_anti").join(right.filter(~hot), on, how)
     return left.join(few, on).select(plain.columns).unionByName(plain)
