@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viaduct.llm.arrow import byte_texts, slices, tidy
-from viaduct.llm.rows import numbered, stored_rows, with_row
-from viaduct.session import ready, stored
+from viaduct.llm.rows import numbered, stored_rows, with_row, without
+from viaduct.session import join_counted, ready, stored
 
 #: Bits of a fingerprint; rows to a range of fingerprints whose filters one task merges.
 FINGERPRINT_BITS, RANGE_ROWS = 48, 4 << 20
@@ -230,14 +230,16 @@ def find_copies(docs: DataFrame, range_rows: int = RANGE_ROWS, row: str | None =
                 yield pa.RecordBatch.from_arrays([pa.array(prints[own].astype(np.int64)), pa.array([texts[i] for i in own], pa.binary())], names=["print", "bytes"])
 
     candidates = rows.select("text").mapInArrow(tidy(suspects), "print long, bytes binary")
-    # verification: equal means the same bytes; copies within a task meet before the shuffle, so no key is hot
-    verified = candidates.join(twice, "print", "left_semi").groupBy("print", "bytes").agg(F.count(F.lit(1)).alias("group_size"))
+    # verification: equal means the same bytes; copies within a task are counted before they are shuffled, so no text is hot
+    verified = candidates.groupBy("print", "bytes").agg(F.count(F.lit(1)).alias("group_size"))
     groups = verified.filter("group_size > 1").select(F.unhex(F.sha2("bytes", 256)).alias("sha"), "group_size")
     groups = stored(groups, "groups")
     best = F.struct(F.col("n_chars"), (-F.coalesce("doc_id", F.lit(2**63 - 1))).alias("small"), (-F.col("row")).alias("first"))
-    stays = table.join(groups, "sha").groupBy("sha", "group_size").agg(F.max_by(F.struct("doc_id", "row"), best).alias("keep"))
+    # the rows of a hash meet in their tasks first; then each hash has one row on either side
+    firsts = table.groupBy("sha").agg(F.max_by(F.struct("doc_id", "row"), best).alias("keep"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    stays = firsts.join(groups, "sha").drop("rows")
     alone = F.col("keep").isNull()
-    return table.join(stays, "sha", "left").select(
+    return join_counted(table, stays, "sha", "group_size").select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -248,10 +250,13 @@ def find_copies(docs: DataFrame, range_rows: int = RANGE_ROWS, row: str | None =
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stay."""
+    """The rows of ``docs``, with all their columns, that stay; the others are found and dropped as ``find_copies`` says.
+
+    A null ``doc_id`` gives way to any other, rows alike in all columns are one group, an empty table stays empty, and
+    other columns, whatever their names, are only carried.
+    """
     own, row = numbered(docs)
-    gone = find_copies(own, row=row).filter(~F.col("kept")).select(F.col("row").alias(row))
-    return own.join(gone, row, "left_anti").select(*docs.columns)
+    return without(own, row, find_copies(own, row=row).filter(~F.col("kept")).select("row"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

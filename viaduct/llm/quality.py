@@ -206,7 +206,11 @@ def quality_model(docs: DataFrame, labels: DataFrame) -> QualityModel:
 
 
 def keep_good(docs: DataFrame, model: QualityModel, accept: float = ACCEPT) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text is accepted."""
+    """The rows of ``docs``, with all their columns, whose text is accepted.
+
+    A null or empty text is one empty line and scored like any other; ids are not read, so null and repeated ones are
+    rows like any other; an empty table stays empty, and other columns, whatever their names, are only carried.
+    """
     spark = ready(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 
@@ -223,5 +227,3 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     found = score_quality(docs, quality_model(docs, labels))
     return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
-
-

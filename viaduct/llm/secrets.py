@@ -148,5 +148,3 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.expr(f"cast(size(filter(spans, s -> s.rule = '{r.name}')) as long)").alias(f"n_{r.kind}") for r in BASE_RULES]
     base = F.sha2(spans_text("spans", BASE_RULES), 256).alias("base_sha256")
     return found.select("doc_id", *counts, base, spans_text("spans", RULES).alias("spans"))
-
-
