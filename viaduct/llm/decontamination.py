@@ -2,10 +2,11 @@
 
 The corpus is indexed in segments, each a run of whole documents: for every term the sorted positions at which it
 stands, as one row of packed arrays in a stored table. A search takes a block of query windows to every segment,
-starts from the term of a window with the fewest postings there, and intersects the other lists, each shifted by
-its offset in the window, so that a phrase is found where all shifted lists meet. Lists are met within ``slop`` of
-the expected place for proximity matches. Whole documents lie in one segment, so a search shuffles no postings; the
-query windows are sent in blocks of bounded size, however large the benchmark is.
+leaves out windows of which the segment lacks a term, starts from the term of a window with the fewest postings there,
+and intersects the other lists, each shifted by its offset in the window, so that a phrase is found where all shifted
+lists meet. Lists are met within ``slop`` of the expected place for proximity matches. Whole documents lie in one
+segment, so a search shuffles no postings; the query windows are sent in blocks of bounded size, however large the
+benchmark is. Matches name windows; which items a window belongs to is joined afterwards.
 
 Words are compared by 64-bit hashes.
 """
@@ -16,31 +17,33 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaduct.llm.arrow import byte_texts, slices, tidy, words
-from viaduct.llm.rows import numbered
-from viaduct.session import ready, stored
+from viaduct.llm.arrow import byte_texts, slices, squeezed, tidy, unsqueezed, words
+from viaduct.llm.rows import numbered, without
+from viaduct.session import drop_stored, join_counted, ready, stored
 
 WINDOW, SLOP = 10, 2
 SEGMENT_BYTES = 4 << 20
-#: Windows sent to all tasks at once; at ten words of eight bytes about 5 MB.
-BLOCK_WINDOWS = 1 << 16
+#: Windows sent to all tasks at once, at four bytes a word some 10 MB and as much for their vocabulary at most.
+BLOCK_WINDOWS = 1 << 18
+#: Pairs of windows and items that are broadcast; more are joined in salted parts.
+MOST_PAIRS, SALTS = 1 << 20, 16
 
-SEGMENT = "segment long, doc_ids array<long>, bounds binary, terms binary, ends binary, positions binary"
-WINDOWS = "item_id string, terms binary, digest long"
+SEGMENT = "segment long, doc_ids array<long>, bounds binary, terms binary, counts binary, positions binary"
+WINDOWS = "item_id string, terms binary"
 FOUND = (
     "segment long, row int, doc_id long, n_words long, spans array<struct<start:long,end:long>>, "
-    "items array<string>, near array<string>"
+    "exact array<long>, near array<long>"
 )
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_LONGS = pa.list_(pa.int64())
 
 
 def index_documents(docs: DataFrame, path: str | None = None, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """The stored positional index of ``docs(doc_id, text)``, one row a segment.
+    """The stored positional index of ``docs(doc_id, text)``, one row a segment; lists hold differences, compressed.
 
     Null text has no words; such and empty documents are kept with none. Rows with repeated or null ids are
     documents of their own.
@@ -51,13 +54,13 @@ def index_documents(docs: DataFrame, path: str | None = None, segment_bytes: int
         number = TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text", segment_bytes):
             hashes, bounds = words(byte_texts(batch.column("text")))
-            terms, rank = np.unique(hashes, return_inverse=True)
+            terms, rank, counts = np.unique(hashes, return_inverse=True, return_counts=True)
             postings = np.sort((rank.astype(np.uint64) << np.uint64(32)) | np.arange(len(hashes), dtype=np.uint64))
-            ends = np.searchsorted(postings, (np.arange(1, len(terms) + 1, dtype=np.uint64)) << np.uint64(32))
+            positions = np.diff((postings & np.uint64(0xFFFFFFFF)).astype("<u4"), prepend=np.uint32(0))
             arrays = [
                 pa.array([number], pa.int64()),
-                pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                *(pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in ((bounds, "<u4"), (terms, "<u8"), (ends, "<u4"), (postings, "<u4"))),
+                pa.array([batch.column("doc_id").to_pylist()], _LONGS),
+                *(pa.array([squeezed(x)], pa.binary()) for x in (np.diff(bounds).astype("<u4"), np.diff(terms, prepend=np.uint64(0)), counts.astype("<u4"), positions)),
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in SEGMENT.split(", ")])
             number += 1
@@ -79,32 +82,44 @@ def query_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                 for k in range(max(1, len(own) - window + 1) if len(own) else 0):
                     ids.append(item)
                     terms.append(own[k : k + window].tobytes())
-            digests = [xxhash.xxh3_64_intdigest(t) >> 1 for t in terms]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(terms, pa.binary()), pa.array(digests, pa.int64())], names=["item_id", "terms", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(terms, pa.binary())], names=["item_id", "terms"])
 
     rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(cut, WINDOWS)
 
 
+class Block:
+    """Windows as rows of a matrix of numbers of terms; shorter windows are filled up with the number after the last."""
+
+    def __init__(self, numbers: list[int], windows: list[bytes]):
+        own = [np.frombuffer(w, "<u8") for w in windows]
+        self.numbers = np.array(numbers, np.int64)
+        self.sizes = np.array([len(w) for w in own], np.int64)
+        self.vocabulary, rank = np.unique(np.concatenate([np.zeros(0, "<u8"), *own]), return_inverse=True)
+        self.terms = np.full((len(own), int(self.sizes.max(initial=0))), len(self.vocabulary), np.int32)
+        self.terms[np.arange(self.terms.shape[1]) < self.sizes[:, None]] = rank
+
+
 class Segment:
     """The postings of one segment and the searches in them."""
 
     def __init__(self, row: dict):
-        self.bounds, self.ends, self.positions = (np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("bounds", "ends", "positions"))
-        self.terms = np.frombuffer(row["terms"], "<u8")
+        self.bounds = np.concatenate(([0], np.cumsum(unsqueezed(row["bounds"], "<u4"), dtype=np.int64)))
+        self.terms = np.cumsum(unsqueezed(row["terms"]), dtype=np.uint64)
+        self.edges = np.concatenate(([0], np.cumsum(unsqueezed(row["counts"], "<u4"), dtype=np.int64)))
+        self.positions = np.cumsum(unsqueezed(row["positions"], "<u4"), dtype=np.uint32)
 
     def postings(self, term: int) -> np.ndarray:
-        return self.positions[self.ends[term - 1] if term else 0 : self.ends[term]]
-
-    def candidates(self, windows: list[np.ndarray]) -> list[tuple[int, np.ndarray]]:
-        """The windows all of whose terms stand in this segment, with the numbers of their terms."""
-        if not len(self.terms) or not windows:
-            return []
-        flat = np.concatenate(windows)
-        at = np.minimum(np.searchsorted(self.terms, flat), len(self.terms) - 1)
-        edges = np.concatenate(([0], np.cumsum([len(w) for w in windows])))
-        there = np.logical_and.reduceat(self.terms[at] == flat, edges[:-1])
-        return [(int(i), at[edges[i] : edges[i + 1]]) for i in np.flatnonzero(there)]
+        return self.positions[self.edges[term] : self.edges[term + 1]].astype(np.int64)
+
+    def candidates(self, block: Block) -> Iterator[tuple[int, np.ndarray]]:
+        """The windows all of whose terms stand in this segment, each with the numbers of its terms here."""
+        if not len(self.terms) or not len(block.vocabulary):
+            return
+        at = np.minimum(np.searchsorted(self.terms, block.vocabulary), len(self.terms) - 1)
+        there = np.append(self.terms[at] == block.vocabulary, True)
+        for i in np.flatnonzero(there[block.terms].all(axis=1)):
+            yield int(i), at[block.terms[i, : block.sizes[i]]]
 
     def search(self, terms: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of exact and of proximity matches; each term of the latter stands within ``slop`` of its place."""
@@ -138,35 +153,32 @@ class Segment:
         return starts[exact], starts
 
 
-def _finder(block, slop: int, every: bool):
+def _finder(shared, slop: int, every: bool):
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = [np.frombuffer(t, "<u8") for t, _ in block.value]
-        owners = [items for _, items in block.value]
+        block = shared.value
         for batch in batches:
             for row in batch.to_pylist():
                 segment, n = Segment(row), len(row["doc_ids"])
-                hits: dict[int, list] = {}
-                for i, terms in segment.candidates(windows):
-                    exact, near = segment.search(terms, slop)
-                    for starts, k in ((exact, 0), (near, 1)):
+                spans: dict[int, list] = {}
+                names: tuple[dict[int, set], dict[int, set]] = ({}, {})
+                for i, terms in segment.candidates(block):
+                    for starts, own in zip(segment.search(terms, slop), names, strict=True):
                         docs = np.searchsorted(segment.bounds, np.maximum(starts, 0), side="right") - 1
                         for doc in np.unique(docs):
-                            own = hits.setdefault(int(doc), [[], set(), set()])
-                            own[1 + k].update(x for x in owners[i] if x is not None)
-                            if k == 0:
-                                own[0].append((starts[docs == doc] - segment.bounds[doc], len(terms)))
-                shown = range(n) if every else sorted(hits)
+                            own.setdefault(int(doc), set()).add(int(block.numbers[i]))
+                            if own is names[0]:
+                                spans.setdefault(int(doc), []).append((starts[docs == doc] - segment.bounds[doc], len(terms)))
+                shown = range(n) if every else sorted(names[1])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["segment"]] * len(shown), pa.int64()),
                         pa.array(list(shown), pa.int32()),
                         pa.array([row["doc_ids"][i] for i in shown], pa.int64()),
                         pa.array([int(segment.bounds[i + 1] - segment.bounds[i]) for i in shown], pa.int64()),
-                        pa.array([_merged(hits[i][0]) if i in hits else [] for i in shown], _SPANS),
-                        pa.array([sorted(hits[i][1]) if i in hits else [] for i in shown], pa.list_(pa.string())),
-                        pa.array([sorted(hits[i][2]) if i in hits else [] for i in shown], pa.list_(pa.string())),
+                        pa.array([_merged(spans.get(i, [])) for i in shown], _SPANS),
+                        *(pa.array([sorted(own.get(i, ())) for i in shown], _LONGS) for own in names),
                     ],
-                    names=["segment", "row", "doc_id", "n_words", "spans", "items", "near"],
+                    names=["segment", "row", "doc_id", "n_words", "spans", "exact", "near"],
                 )
 
     return find
@@ -183,38 +195,68 @@ def _merged(found: list[tuple[np.ndarray, int]]) -> list[dict]:
     return out
 
 
-def search_index(index: DataFrame, windows: DataFrame, slop: int = 0, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """For every indexed document the spans of words in exact matches, their items, and items matched nearby.
+def number_windows(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(win, terms) of the distinct windows, and (win, item_id) of the items that have them; both stored."""
+    every = stored(windows.distinct(), "windows")
+    distinct = every.groupBy("terms").agg(F.count(F.lit(1)).alias("items")).withColumn("win", F.monotonically_increasing_id())
+    distinct = stored(distinct, "distinct")
+    pairs = join_counted(every, distinct, "terms", "items").filter(F.col("item_id").isNotNull()).select("win", "item_id")
+    return distinct.select("win", "terms"), stored(pairs, "pairs")
+
 
-    Columns doc_id, n_words, spans (starts and exclusive ends of words, disjoint, ascending), items, near_items.
-    ``windows`` are dealt into blocks by a hash; each block is sent to all segments on its own.
+def search_index(index: DataFrame, windows: DataFrame, slop: int = 0, block_windows: int = BLOCK_WINDOWS, every: bool = True) -> DataFrame:
+    """Matches of ``windows(win, terms)`` by indexed document: segment, row, doc_id, n_words, spans, exact, near.
+
+    ``spans`` are the words in exact matches (starts and exclusive ends, ascending), ``exact`` and ``near`` the windows
+    matched exactly, and exactly or nearby. Documents without a match are shown only if ``every``. Windows are dealt
+    into blocks by a hash; each block is sent to all segments on its own.
     """
     spark = ready(index.sparkSession)
-    own = stored(windows.groupBy("terms", "digest").agg(F.collect_set("item_id").alias("items")), "windows")
-    blocks = max(1, -(-own.count() // block_windows))
+    blocks = max(1, -(-windows.count() // block_windows))
     parts = []
     for k in range(blocks):
-        rows = own.filter(F.col("digest") % blocks == k).select("terms", "items").collect()  # one block
-        block = spark.sparkContext.broadcast([(bytes(r["terms"]), list(r["items"])) for r in rows])
-        parts.append(index.mapInArrow(tidy(_finder(block, slop, k == 0)), FOUND))
+        rows = windows.filter(F.pmod(F.xxhash64("terms"), F.lit(blocks)) == k).collect()  # one block
+        shared = spark.sparkContext.broadcast(Block([r["win"] for r in rows], [bytes(r["terms"]) for r in rows]))
+        parts.append(index.mapInArrow(tidy(_finder(shared, slop, every and k == 0)), FOUND))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
     if blocks > 1:
-        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near")]
+        lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "exact", "near")]
         found = found.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *lists)
-    items = F.array_distinct("items")
-    near = F.array_except("near", "items") if slop else F.array().cast("array<string>")
-    return found.select("doc_id", "n_words", F.array_sort("spans").alias("spans"), items.alias("items"), near.alias("near_items"))
+        found = found.withColumn("spans", F.array_sort("spans"))
+    return found
+
+
+def named_items(found: DataFrame, pairs: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """The stored matches ``found`` with items and near_items (those matched nearby only) by ``pairs(win, item_id)``."""
+    some = F.size("near") > 0
+    hits = found.filter(some)
+    wins = hits.select("segment", "row", F.explode("near").alias("win"), "exact").withColumn("exact", F.array_contains("exact", F.col("win")))
+    if pairs.count() <= most_pairs:
+        named = wins.join(F.broadcast(pairs), "win")
+    else:  # a window that many documents hold is dealt to several tasks
+        salted = pairs.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        named = wins.withColumn("salt", F.pmod(F.xxhash64("segment", "row"), F.lit(SALTS)).cast("int")).join(salted, ["win", "salt"])
+    lists = [F.collect_set(F.when(which, F.col("item_id"))).alias(c) for which, c in ((F.col("exact"), "items"), (~F.col("exact"), "near_items"))]
+    listed = named.groupBy("segment", "row").agg(*lists)
+    none = F.array().cast("array<string>")
+    items, near = (F.coalesce(c, none) for c in ("items", "near_items"))
+    columns = ["doc_id", "n_words", "spans"]
+    own = hits.join(listed, ["segment", "row"], "left").select(*columns, items.alias("items"), F.array_except(near, items).alias("near_items"))
+    return found.filter(~some).select(*columns, none.alias("items"), none.alias("near_items")).unionByName(own)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
     """Per document: n_words, n_hit (words in any occurrence of a window), spans, items, near_items, contaminated.
 
     An empty benchmark or one without words leaves every document clean. Items without an id count for ``n_hit``
-    but are not listed.
+    but are not listed; rows with equal ids are one item.
     """
-    found = search_index(index_documents(docs), query_windows(items, window), slop)
+    windows, pairs = number_windows(query_windows(items, window))
+    index = index_documents(docs)
+    found = stored(search_index(index, windows, slop), "matches")
+    drop_stored(index)
     union = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("end")),
@@ -223,7 +265,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop:
             F.greatest(a["end"], s["end"]).alias("end"),
         ),
     )["hit"]
-    return found.withColumn("n_hit", union).withColumn("contaminated", F.col("n_hit") > 0)
+    return named_items(found, pairs).withColumn("n_hit", union).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,10 +280,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_of_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents, with all their columns, that hold no window of the benchmark; null ids are kept if clean."""
-    own, row = numbered(docs)
-    found = decontaminate(own.select(F.col(row).alias("doc_id"), "text"), items, window)
-    dirty = found.filter("contaminated").select(F.col("doc_id").alias(row))
-    return own.join(dirty, row, "left_anti").select(*docs.columns)
-
+    """The documents, with all their columns, that hold no window of the benchmark.
 
+    Documents without words are clean, null and repeated ids are rows like any other, an empty table or benchmark drops
+    nothing, and other columns, whatever their names, are only carried.
+    """
+    own, row = numbered(docs)
+    windows = number_windows(query_windows(items, window))[0]
+    index = index_documents(own.select(F.col(row).alias("doc_id"), "text"))
+    dirty = stored(search_index(index, windows, every=False).filter(F.size("spans") > 0).select(F.col("doc_id").alias("row")).distinct(), "dirty")
+    drop_stored(index)
+    return without(own, row, dirty)
