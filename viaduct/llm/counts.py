@@ -18,12 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.llm.arrow import WORD_BYTES, byte_texts, slices, spans_of, squeezed, tidy, unsqueezed
+from viaduct.llm.arrow import WORD_BYTES, byte_texts, release, slices, spans_of, squeezed, tidy, unsqueezed
 from viaduct.llm.rows import with_row
 from viaduct.session import ready, stored
 
 #: Bytes of a block, words to a part of a table, and parts at least.
-BLOCK_BYTES, PART_WORDS, LEAST_PARTS = 8 << 20, 2 << 20, 16
+BLOCK_BYTES, PART_WORDS, LEAST_PARTS = 4 << 20, 1 << 20, 16
+#: Keys of a part and words of a block after which a worker gives memory back.
+LARGE = 1 << 18
 BLOCK = "block long, words long, doc_ids array<long>, rows array<long>, sizes array<int>, texts binary"
 REQUEST = "part int, n int, block long, keys binary, counts binary"
 REPLY = "block long, n int, part int, totals binary"
@@ -110,6 +112,9 @@ def _answer(table: pa.Table) -> pa.Table:
     totals = np.empty(len(flat), np.uint64)
     totals[order] = np.add.reduceat(counts[order], np.flatnonzero(first))[np.cumsum(first) - 1]
     packed = [squeezed(totals[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    if len(flat) > LARGE:  # its worker outlives it
+        del flat, counts, order, first, totals
+        release()
     return pa.table({"block": table.column("block"), "n": table.column("n"), "part": table.column("part"), "totals": pa.array(packed, pa.binary())})
 
 
@@ -123,7 +128,11 @@ def with_totals(blocks: DataFrame, replies: DataFrame, work: Callable, schema: s
             some = sorted((a["part"], a["totals"]) for a in told if a["n"] == n)
             return np.concatenate([unsqueezed(t) for _, t in some]).astype(np.int64) if some else np.zeros(0, np.int64)
 
-        return pa.concat_tables([work(row, totals) for row in own.to_pylist()])
+        rows = own.to_pylist()
+        done = pa.concat_tables([work(row, totals) for row in rows])
+        if any(row["words"] > LARGE for row in rows):
+            release()
+        return done
 
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
 

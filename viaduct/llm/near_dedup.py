@@ -1,11 +1,11 @@
 """Near-duplicate detection by improved consistent weighted sampling over TF-IDF shingles.
 
-1. A count-min sketch of fixed size holds in how many documents each shingle of five words stands.
+1. A table of counts, partitioned by hash, tells in how many documents each shingle of five words stands (``counts``).
 2. Each document is a weighted set of shingles (term frequency times a scaled inverse document frequency); consistent
    weighted samples (Ioffe 2010) of two sets agree with the probability of their weighted Jaccard similarity.
 3. Bands of samples are buckets. In a bucket, members are compared with one hub, not with each other; classes that
-   stay apart are compared in further rounds by members elected anew, until a round finds no link. Of what is then
-   still apart in some bucket, every pair is compared that an exact prefix filter cannot exclude.
+   stay apart are compared once more by members elected anew, several at a time. Of what is then still apart in some
+   bucket, every pair is compared that an exact prefix filter cannot exclude.
 4. Each compared pair is verified on the whole texts; linked documents form classes (connected components).
 
 Equal texts are one node throughout, so thousands of copies cost as much as one text.
@@ -20,24 +20,26 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaduct.llm.arrow import byte_texts, mix, ngrams, slices, tidy, words
-from viaduct.llm.exact_dedup import bit_map, in_bit_map
-from viaduct.llm.rows import numbered, stored_rows, with_row
+from viaduct.llm.arrow import mix, ngrams, slices, squeezed, tidy, unsqueezed, words
+from viaduct.llm.counts import block_texts, count_keys, cut_blocks, with_totals, words_in
+from viaduct.llm.rows import numbered, only, stored_rows, without
 from viaduct.operators.components import component_stars
-from viaduct.session import ready, stored
+from viaduct.session import drop_stored, join_counted, observed, ready, stored
 
 WORDS, SIMILAR = 5, 0.8
 #: Samples in a band and bands: a pair at the threshold meets with a probability of 1 - (1 - 0.8^3)^12 = 0.9998.
 ROWS, BANDS = 3, 12
-#: Counters of the sketch (two rows of them) and the part of them that is one row of a shuffle.
-SKETCH_BITS, SLICE_BITS, SALTS = 20, 14, 64
-#: Rounds with elected hubs before all pairs that may be similar are compared, rows of a token in a task, and what
-#: bounds are lowered by for rounding.
-TURNS, TOKEN_ROWS, SLACK = 3, 512, 1e-5
+#: Hubs elected in a round, rounds before all pairs that may be similar are compared, rows of a token and pairs of a hub in
+#: a task, and what bounds are lowered by for rounding.
+ELECTIONS, TURNS, TOKEN_ROWS, HUB_PAIRS, SLACK = 3, 1, 512, 2000, 1e-5
+#: Rows of a table of pairs or nodes, and bytes of hubs' texts, up to which they are broadcast.
+FEW_ROWS, FEW_BYTES = 200_000, 16 << 20
+SIGNATURE = "doc_id long, row long, key binary, bands array<long>, packed binary, frequencies binary"
+#: Bytes of texts whose samples are drawn at once.
+DRAWN_BYTES = 1 << 19
 _ONE = np.uint64(1)
 
 
@@ -63,56 +65,10 @@ def shingles(texts: list[bytes], n: int = WORDS) -> tuple[np.ndarray, np.ndarray
     return found[first], counts, np.searchsorted(doc[first], np.arange(len(texts) + 1))
 
 
-def document_frequencies(texts: DataFrame) -> np.ndarray:
-    """The sketch, two rows of counters; every document counts each of its shingles once."""
-    size = 1 << SKETCH_BITS
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, size), np.int64)
-        for batch in slices(batches, "text", 1 << 20):
-            found, _, _ = shingles(byte_texts(batch.column("text")))
-            for row, place in enumerate(_places(found)):
-                held[row] += np.bincount(place, minlength=size)
-        salt = TaskContext.get().partitionId() % SALTS
-        for slot, part in enumerate(held.reshape(-1, 1 << SLICE_BITS)):
-            if part.any():
-                yield _slot(slot, salt, part)
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << SLICE_BITS, np.int64)
-        for raw in table.column("counts").to_pylist():
-            part = np.frombuffer(raw[1:], f"<i{raw[0]}")
-            total += part
-        return pa.Table.from_batches([_slot(table.column("slot")[0].as_py(), 0, total)])
-
-    schema = "slot int, salt int, counts binary"
-    parts = texts.select("text").mapInArrow(tidy(count), schema)
-    parts = parts.groupBy("slot", "salt").applyInArrow(add, schema).groupBy("slot").applyInArrow(add, schema)
-    out = np.zeros((2 * size >> SLICE_BITS, 1 << SLICE_BITS), np.int64)
-    for row in parts.collect():  # of fixed size
-        out[row["slot"]] = np.frombuffer(bytes(row["counts"])[1:], f"<i{row['counts'][0]}")
-    return out.reshape(2, size)
-
-
-def _slot(slot: int, salt: int, counts: np.ndarray) -> pa.RecordBatch:
-    width = 2 if counts.max() < 1 << 15 else 4 if counts.max() < 1 << 31 else 8
-    raw = bytes([width]) + counts.astype(f"<i{width}").tobytes()
-    return pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([salt], pa.int32()), pa.array([raw], pa.binary())], names=["slot", "salt", "counts"])
-
-
-def _places(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), (found & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
-
-
-def frequency_weights(sketch: np.ndarray, documents: int) -> np.ndarray:
-    """Inverse document frequency by counter, scaled to 1 (in every document) to 2 (in one)."""
-    top = np.log(documents + 1.0)
-    return (1.0 + np.clip(np.log((documents + 1.0) / (sketch + 1.0)) / max(top, 1e-9), 0, 1)).astype(np.float32)
-
-
-def weights_of(found: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
-    a, b = _places(found)
-    return counts.astype(np.float32) * np.maximum(table[0][a], table[1][b])
+def inverse_frequency(frequencies: np.ndarray, documents: int) -> np.ndarray:
+    """Inverse document frequency, scaled to 1 (in every document) to 2 (in one)."""
+    top = np.log((documents + 1.0) / 2)
+    return (1.0 + np.clip(np.log((documents + 1.0) / (frequencies + 1.0)) / max(top, 1e-9), 0, 1)).astype(np.float32)
 
 
 @lru_cache
@@ -155,33 +111,63 @@ def samples(found: np.ndarray, weights: np.ndarray, starts: np.ndarray, count: i
     return out
 
 
-def _describer(table, bands: int, rows: int):
-    def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 19):
-            texts = byte_texts(batch.column("text"))
-            found, counts, bounds = shingles(texts)
+def _describer(documents: int, bands: int, rows: int):
+    """Bands, text and document frequencies of the shingles of every document of a block."""
+
+    def describe(block: dict, totals_of) -> pa.Table:
+        texts = block_texts(block)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        totals, parts, held = totals_of(1), [], []
+        every = None
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]) + DRAWN_BYTES, DRAWN_BYTES)) if len(ends) else np.zeros(0, np.int64)
+        edges = np.unique(np.concatenate(([0], cuts, [len(texts)])))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            held.append(shingles(texts[a:b]))
+        every = np.unique(np.concatenate([found for found, _, _ in held])) if held else np.zeros(0, np.uint64)
+        for (found, counts, bounds), a, b in zip(held, edges[:-1], edges[1:], strict=True):
+            own = texts[a:b]
+            frequencies = totals[np.searchsorted(every, found)]
             some = np.flatnonzero(np.diff(bounds))
-            keys: list[list[int]] = [[] for _ in texts]
+            keys: list[list[int]] = [[] for _ in own]
             if len(some):
-                drawn = samples(found, weights_of(found, counts, table.value), bounds[:-1][some], bands * rows)
-                held = np.zeros((len(some), bands), np.uint64)
+                weights = counts.astype(np.float32) * inverse_frequency(frequencies, documents)
+                drawn = samples(found, weights, bounds[:-1][some], bands * rows)
+                joint = np.zeros((len(some), bands), np.uint64)
                 for k in range(rows):
-                    held = held * np.uint64(0x9E3779B97F4A7C15) + drawn[:, k::rows]
-                held = mix(held + np.arange(bands, dtype=np.uint64)).astype(np.int64)
-                for i, own in zip(some, held.tolist(), strict=True):
-                    keys[i] = own
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "row", "key", "bands"],
-            )
+                    joint = joint * np.uint64(0x9E3779B97F4A7C15) + drawn[:, k::rows]
+                joint = mix(joint + np.arange(bands, dtype=np.uint64)).astype(np.int64)
+                for i, listed in zip(some, joint.tolist(), strict=True):
+                    keys[i] = listed
+            narrow = np.minimum(frequencies, 2**32 - 1).astype("<u4")
+            parts.append(
+                pa.table({
+                    "doc_id": pa.array(block["doc_ids"][a:b], pa.int64()), "row": pa.array(block["rows"][a:b], pa.int64()),
+                    "key": pa.array([xxhash.xxh3_128_digest(t) for t in own], pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64())),
+                    "packed": pa.array([pack(t) for t in own], pa.binary()),
+                    "frequencies": pa.array([squeezed(narrow[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
+                })
+            )
+        return pa.concat_tables(parts)
 
     return describe
 
 
-def _hub_pairs(entries: DataFrame, by: list[str]) -> DataFrame:
-    """Each member of a bucket with the least member of it."""
-    hubs = entries.groupBy(*by).agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").drop("last")
-    return entries.join(hubs, by).filter(F.col("node") > F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+class Vectors:
+    """Shingles, TF-IDF and TF weights and inverse frequencies of texts, of which the last are kept."""
+
+    def __init__(self, documents: int, most: int = 256):
+        self.documents, self.most, self.held = documents, most, {}
+        self.unpack = zstandard.ZstdDecompressor().decompress
+
+    def of(self, node: int, packed: bytes, frequencies: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if node not in self.held:
+            if len(self.held) >= self.most:
+                self.held.clear()
+            found, counts, _ = shingles([self.unpack(packed)])
+            rarity = inverse_frequency(unsqueezed(frequencies, "<u4"), self.documents)
+            self.held[node] = (found, counts.astype(np.float32) * rarity, counts.astype(np.float32), rarity)
+        return self.held[node]
 
 
 def _links(tested: DataFrame) -> DataFrame:
@@ -196,33 +182,36 @@ def _apart(entries: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _class_pairs(apart: DataFrame, turn: int) -> DataFrame:
-    """In each bucket one member of a class with one of another, both elected anew in every turn."""
-    chance = F.xxhash64("node", F.lit(turn))
-    own = apart.groupBy("band", "comp").agg(F.min(F.struct(chance.alias("chance"), "node")).alias("x")).select("band", "x")
-    hubs = own.groupBy("band").agg(F.min("x").alias("hub"))
-    pairs = own.join(hubs, "band").filter("x <> hub").select(F.col("x.node").alias("x"), F.col("hub.node").alias("y"))
-    return pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    """In each bucket one member of a class with one of another, both elected by chance, and anew ``ELECTIONS`` times."""
+    chance = [F.xxhash64("node", F.lit(turn), F.lit(k)) for k in range(ELECTIONS)]
+    own = apart.groupBy("band", "comp").agg(*[F.min(F.struct(c.alias("chance"), "node")).alias(f"x{k}") for k, c in enumerate(chance)])
+    own = own.select("band", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("x")) for k in range(ELECTIONS)])).alias("e")).select("band", "e.k", "e.x")
+    hubs = own.groupBy("band", "k").agg(F.min("x").alias("hub"))
+    return _ordered(own.join(hubs, ["band", "k"]).filter("x.node <> hub.node").select(F.col("x.node").alias("x"), F.col("hub.node").alias("y")))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """``pairs(x, y)``, each once whatever its order, as (a, b, x, y) with a > b; y is what many pairs may share."""
+    return pairs.withColumns({"a": F.greatest("x", "y"), "b": F.least("x", "y")}).dropDuplicates(["a", "b"])
 
 
-def _prefixes(table, documents: int, threshold: float):
+def _prefixes(documents: int, threshold: float):
     """(node, comp, token, r1, w1, r2, w2): the shingles of which two similar texts share one at least.
 
     Shingles stand in one order for all texts, by falling inverse document frequency; w is the weight of the text by
     TF-IDF (1) and TF (2), r that of the shingle and all after it. Texts whose first common shingle is this one overlap
-    by the lesser r at most, which bounds their similarity. Shingles that the sketch knows from one document are left out.
+    by the lesser r at most, which bounds their similarity. Shingles of one document only are left out.
     """
-    once = frequency_weights(np.array([1.0, 2.0]), documents).mean()
+    once = inverse_frequency(np.array([1.0, 2.0]), documents).mean()
 
     def prefix(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
+        vectors = Vectors(documents, 1)
         for batch in slices(batches, "packed", 1 << 17):
-            for node, comp, packed in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "packed")), strict=True):
-                found, counts, _ = shingles([unpack(packed)])
-                tf, tf_idf = counts.astype(np.float64), weights_of(found, counts, table.value).astype(np.float64)
-                idf = weights_of(found, np.ones(len(found), np.int64), table.value)
+            for node, comp, packed, frequencies in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "packed", "frequencies")), strict=True):
+                found, tf_idf, tf, idf = vectors.of(node, packed, frequencies)
                 order = np.lexsort((found, -idf))
                 rest, whole = [], []
-                for w in (tf_idf, tf):
+                for w in (tf_idf.astype(np.float64), tf.astype(np.float64)):
                     rest.append(np.cumsum(w[order][::-1])[::-1])
                     whole.append(w.sum())
                 kept = (rest[0] >= (threshold - SLACK) * whole[0]) | (rest[1] >= (threshold - SLACK) * whole[1])
@@ -247,7 +236,7 @@ def _close_pairs(tokens: DataFrame, threshold: float) -> DataFrame:
     share = threshold / (1 + threshold) - SLACK
     near = [F.least(f"r{k}_a", f"r{k}_b") >= share * (F.col(f"w{k}_a").cast("double") + F.col(f"w{k}_b")) for k in (1, 2)]
     both = left.join(right, ["token", "part"]).filter((F.col("node_a") > F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (near[0] | near[1]))
-    return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    return _ordered(both.select(F.col("node_a").alias("x"), F.col("node_b").alias("y")))
 
 
 def _similarity(a: tuple, b: tuple) -> float:
@@ -266,56 +255,41 @@ def _similarity(a: tuple, b: tuple) -> float:
     return float(best)
 
 
-def _verifier(table, threshold: float):
+def _verifier(documents: int, threshold: float):
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        held: dict[int, tuple] = {}  # the last hubs: pairs come sorted by hub
-
-        def vector(node: int, packed: bytes) -> tuple:
-            if node not in held:
-                if len(held) >= 256:
-                    held.clear()
-                found, counts, _ = shingles([unpack(packed)])
-                held[node] = (found, weights_of(found, counts, table.value), counts.astype(np.float32))
-            return held[node]
-
+        vectors = Vectors(documents)  # hubs come again and again
         for batch in batches:
-            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-            found = np.array([_similarity(vector(i, p), vector(j, q)) for i, j, p, q in zip(a, b, x, y, strict=True)], float)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found), pa.array(found >= threshold)], names=["a", "b", "similarity", "linked"])
+            x, y = (batch.column(c).to_numpy() for c in ("x", "y"))
+            texts = zip(*(batch.column(c).to_pylist() for c in ("x", "packed_x", "frequencies_x", "y", "packed_y", "frequencies_y")), strict=True)
+            found = np.array([_similarity(vectors.of(*t[:3]), vectors.of(*t[3:])) for t in texts], float)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(found), pa.array(found >= threshold)], names=["a", "b", "similarity", "linked"])
 
     return verify
 
 
-def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text compressed) of ``nodes(node, key)``, each once; other texts stay where they are."""
-    marks, bits = bit_map(nodes.select(F.xxhash64("key").alias("print")))
+def _with_texts(pairs: DataFrame, texts: DataFrame, few_rows: int = FEW_ROWS) -> DataFrame:
+    """``pairs(x, y)`` with the texts of both.
 
-    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            found = [bytes(k) for k in batch.column("key").to_pylist()]
-            own = np.flatnonzero(in_bit_map(batch.column("print").to_numpy().astype(np.uint64), marks.value, bits))
-            raw = byte_texts(batch.column("text").take(pa.array(own)))
-            yield pa.RecordBatch.from_arrays([pa.array([found[i] for i in own], pa.binary()), pa.array([pack(t) for t in raw], pa.binary())], names=["key", "packed"])
-
-    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # 16 bytes a text of this task, so copies in it are sent once
-        for batch in slices(batches, "text", 4 << 20):
-            keys = [xxhash.xxh3_128_digest(t) for t in byte_texts(batch.column("text"))]
-            fresh = []
-            for i, k in enumerate(keys):
-                if k not in seen:
-                    seen.add(k)
-                    fresh.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in fresh], pa.binary()), batch.column("text").take(pa.array(fresh, pa.int64()))], names=["key", "text"])
-
-    sent = texts.select("text").mapInArrow(tidy(keyed), "key binary, text string").withColumn("print", F.xxhash64("key"))
-    sent = sent.mapInArrow(pick, "key binary, packed binary")
-    return sent.join(nodes, "key").groupBy("node").agg(F.first("packed").alias("packed"))
-
-
-def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, row: str | None = None) -> DataFrame:
+    Few pairs, and their hubs' texts if those are small, are broadcast to where the texts are. Of more, the pairs of a hub
+    y are dealt to tasks of ``HUB_PAIRS``.
+    """
+    pairs, seen = observed(pairs, "untested")
+    pairs = pairs.select("x", "y")
+    left, right = (texts.select(F.col("node").alias(c), F.col("packed").alias(f"packed_{c}"), F.col("frequencies").alias(f"frequencies_{c}")) for c in ("x", "y"))
+    if seen["n"] <= few_rows:
+        hubs, size = observed(right.join(F.broadcast(pairs.select("y").distinct()), "y"), "hubs", bytes=F.sum(F.length("packed_y") + F.length("frequencies_y")))
+        if (size["bytes"] or 0) <= FEW_BYTES:
+            return left.join(F.broadcast(pairs), "x").join(F.broadcast(hubs), "y")
+    hubs = stored(pairs.groupBy("y").agg(F.count(F.lit(1)).alias("n")), "hubs")
+    parts = F.ceil(F.col("n") / HUB_PAIRS).cast("int")
+    dealt = join_counted(pairs, hubs, "y", "n").select("x", "y", F.pmod(F.xxhash64("x"), parts).cast("int").alias("part"))
+    right = right.join(hubs, "y").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return dealt.join(left, "x").join(right, ["y", "part"])
+
+
+def near_duplicates(
+    docs: DataFrame, threshold: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, row: str | None = None, few_rows: int = FEW_ROWS
+) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, class_id, n_links, kept, class_size and ``row``.
 
     ``class_id`` is the least ``doc_id`` of the class (nulls last); ``n_links`` counts the other texts verified as
@@ -323,65 +297,73 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILAR, bands: int = BA
     texts, empty and null ones among them, are one class; a text without words is similar to no other. Other columns
     are not read; an empty table has no classes.
     """
-    spark = ready(docs.sparkSession)
-    texts = with_row(docs, row).withColumn("text", F.coalesce("text", F.lit("")))
-    documents = max(1, texts.select("doc_id").count())
-    table = spark.sparkContext.broadcast(frequency_weights(document_frequencies(texts), documents))
-    described = texts.mapInArrow(tidy(_describer(table, bands, rows)), "doc_id long, row long, key binary, bands array<long>")
-    rows_of = stored_rows(described, row, "signatures")
-    nodes = rows_of.groupBy("key").agg(F.min(F.struct("row", "bands")).alias("x")).select("key", F.col("x.row").alias("node"), F.col("x.bands").alias("bands"))
-    nodes = stored(nodes, "nodes")
+    ready(docs.sparkSession)
+    blocks = cut_blocks(docs, row)
+    documents = max(1, blocks.agg(F.sum(F.size("doc_ids"))).first()[0] or 0)
+    replies = count_keys(blocks, lambda texts: [shingles(texts)[0]], 64, words_in(blocks))
+    rows_of = stored_rows(with_totals(blocks, replies, _describer(documents, bands, rows), SIGNATURE), row, "signatures")
+    drop_stored(blocks, replies)
+    nodes = rows_of.select("key", "row", "bands").groupBy("key").agg(F.min(F.struct("row", "bands")).alias("x"), F.count(F.lit(1)).alias("copies"))
+    nodes = stored(nodes.select("key", F.col("x.row").alias("node"), F.col("x.bands").alias("bands"), "copies"), "nodes")
     every = nodes.select("node", F.explode("bands").alias("band"))
-    hubs = every.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").drop("last")
-    entries = stored(every.join(hubs, "band"), "entries")
-    candidates = nodes.select("node", "key").join(entries.select("node"), "node", "left_semi")
-    packed = stored(_texts_of(texts, stored(candidates, "candidates")), "texts")
+    hubs = every.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    entries = stored(join_counted(every, hubs, "band", "n", "inner").drop("n"), "entries")
+    texts = stored(only(rows_of.select("row", "packed", "frequencies"), "row", entries.select(F.col("node").alias("row")).distinct()).withColumnRenamed("row", "node"), "texts")
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, dict]:
+        """The pairs with their similarity, and how many there are and are linked."""
+        found = _with_texts(pairs, texts, few_rows).mapInArrow(tidy(_verifier(documents, threshold)), "a long, b long, similarity double, linked boolean")
+        return observed(found, "pairs", n=F.count(F.lit(1)), links=F.count_if("linked"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        left, right = (packed.select(F.col("node").alias(x), F.col("packed").alias(f"text_{x}")) for x in ("a", "b"))
-        return stored(pairs.join(left, "a").join(right, "b").mapInArrow(tidy(_verifier(table, threshold)), "a long, b long, similarity double, linked boolean"), "pairs")
+    def spread(stars: DataFrame) -> tuple[DataFrame, int]:
+        """The members of buckets of several classes, and their number."""
+        own, seen = observed(_apart(entries, stars.select(F.col("a").alias("node"), F.col("b").alias("comp"))), "apart")
+        return own, seen["n"]
 
-    tested = verified(entries.filter("node > hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    tested, seen = verified(_ordered(entries.filter("node > hub").select(F.col("node").alias("x"), F.col("hub").alias("y"))))
     stars = component_stars(_links(tested))
-    turn, linked = 0, True
-    while True:
-        if linked:
-            apart = stored(_apart(entries, stars.select(F.col("a").alias("node"), F.col("b").alias("comp"))), "apart")
-        if apart.isEmpty():
-            break
+    apart, members = spread(stars)
+    turn = 0
+    while members:
         last = turn == TURNS
         if last:
-            rest = packed.join(apart.select("node", "comp").distinct(), "node")
+            rest = texts.join(apart.select("node", "comp").distinct(), "node")
             columns = "node long, comp long, token long, r1 float, w1 float, r2 float, w2 float"
-            fresh = _close_pairs(rest.mapInArrow(tidy(_prefixes(table, documents, threshold)), columns), threshold)
+            fresh = _close_pairs(rest.mapInArrow(tidy(_prefixes(documents, threshold)), columns), threshold)
         else:
-            fresh = _class_pairs(apart, turn).distinct()
-        more = verified(stored(fresh.join(tested, ["a", "b"], "left_anti"), "fresh"))
-        tested = tested.unionByName(more)
-        linked = not more.filter("linked").isEmpty()
-        if linked:
+            fresh = _class_pairs(apart, turn)
+        past = tested.select("a", "b")
+        more, now = verified(fresh.join(F.broadcast(past) if seen["n"] <= few_rows else past, ["a", "b"], "left_anti"))
+        tested, seen, links = tested.unionByName(more), {"n": seen["n"] + now["n"]}, now["links"]
+        if links:
             stars = component_stars(_links(more).unionByName(stars.select("graph_id", F.col("a").alias("src"), F.col("b").alias("dst"))))
         if last:
             break
-        turn = turn + 1 if linked else TURNS
+        if links:
+            apart, members = spread(stars)
+        turn = turn + 1 if links else TURNS
     classes = stars.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     linked = tested.filter("linked")
     degree = linked.select(F.col("a").alias("node")).union(linked.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = nodes.select("key", "node").join(classes, "node", "left").join(degree, "node", "left")
-    named = named.select("key", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    placed = stored(rows_of.select("row", "doc_id", "key").join(named, "key"), "placed")
+    named = nodes.select("key", "node", "copies").join(classes, "node", "left").join(degree, "node", "left")
+    named = named.select("key", "copies", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    placed = stored(join_counted(rows_of.select("row", "doc_id", "key"), named, "key", "copies").drop("key", "copies"), "placed")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)), "doc_id", "row")).alias("first")
     heads = placed.groupBy("comp").agg(first, F.count(F.lit(1)).alias("class_size"))
-    return placed.join(heads, "comp").select(
+    return join_counted(placed, heads, "comp", "class_size").select(
         "doc_id", F.col("first.doc_id").alias("class_id"), "n_links", (F.col("row") == F.col("first.row")).alias("kept"), "class_size", "row"
     )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of which each class keeps one."""
+    """The rows of ``docs``, with all their columns, of which each class keeps one, as ``near_duplicates`` says.
+
+    Texts without words are no near duplicates unless they are equal; rows alike in all columns are one class, a null
+    ``doc_id`` gives way to any other, an empty table stays empty, and other columns, whatever their names, are only
+    carried.
+    """
     own, row = numbered(docs)
-    gone = near_duplicates(own, row=row).filter("not kept").select(F.col("row").alias(row))
-    return own.join(gone, row, "left_anti").select(*docs.columns)
+    return without(own, row, near_duplicates(own, row=row).filter("not kept").select("row"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
