@@ -39,7 +39,7 @@ CHECKSUM_FLAG = 0x80
 FOOTER = struct.Struct("<IBI")
 
 FRAME_BYTES, LEVEL, END_ID = 1 << 18, 3, 2
-MANIFEST = "file string, first_doc long, docs long, tokens long, frames long, bytes long, seek_crc32 long"
+MANIFEST = "file string, first_doc long, last_doc long, docs long, tokens long, frames long, bytes long, seek_crc32 long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -152,7 +152,7 @@ def _writer(path: str, vocabulary: str, end_id: int, level: int, frame_bytes: in
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
         system, folder = _open(path)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             if out is None:
                 # an attempt of its own name: a task that runs again never touches a file that another one wrote
                 name = f"tokens-{TaskContext.get().partitionId():09d}-{uuid.uuid4().hex}.zst"
@@ -160,12 +160,12 @@ def _writer(path: str, vocabulary: str, end_id: int, level: int, frame_bytes: in
                 sink = system.open_output_stream(f"{folder}/{name}", compression=None)
                 out, first = FrameWriter(sink, level, frame_bytes), batch.column("doc_id")[0].as_py()
             ids, bounds = encoder(vocabulary).encode(batch.column("text"))
-            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-                out.add(doc, np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id)))
+            for i, last in enumerate(batch.column("doc_id").to_pylist()):
+                out.add(last, np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end_id)))
         if out is not None:
             done = out.close()
             sink.close()
-            yield pa.RecordBatch.from_pylist([{"file": name, "first_doc": first, **done}], schema=_schema(MANIFEST))
+            yield pa.RecordBatch.from_pylist([{"file": name, "first_doc": first, "last_doc": last, **done}], schema=_schema(MANIFEST))
 
     return write
 
@@ -190,7 +190,8 @@ def write_token_files(
 def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None, with_ids: bool = False) -> DataFrame:
     """The documents in the files below ``path``: doc_id, start, n_tokens, ids_crc32 and, if asked, ids.
 
-    ``start`` counts the ids of all documents before. ``doc_ids`` limits reading to the frames of those documents.
+    ``start`` counts the ids of all documents before. ``doc_ids`` limits reading to the files whose range holds one of
+    them, and there to the frames of those documents.
     """
     ready(spark)
     ddl = READ + (", ids array<long>" if with_ids else "")
@@ -215,7 +216,12 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
     # one small row per file: what stands before a file is a running sum over them; then each file is read by one task
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
     earlier = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
-    files = manifest.select("file", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("before"))
+    files = manifest.select("file", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("before"), "first_doc", "last_doc")
+    if wanted is not None:
+        least = F.lit(-(2**63)).cast("long")  # nulls come first
+        ids = F.array(*[F.lit(-(2**63) if i is None else i).cast("long") for i in wanted]).cast("array<bigint>")
+        files = files.filter(F.exists(ids, lambda i: i.between(F.coalesce("first_doc", least), F.coalesce("last_doc", least))))
+    files = files.select("file", "before")
     return files.repartition(max(1, manifest.count())).mapInArrow(read, ddl)
 
 

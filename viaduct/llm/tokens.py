@@ -15,8 +15,8 @@ from viaduct.llm.arrow import hash_spans
 _CHUNK = re.compile(r"(?:[^\S\x1c-\x1f])*[\S\x1c-\x1f]+|(?:[^\S\x1c-\x1f])+")
 #: Any white space but single spaces and line ends that touch no space.
 _RARE = r"  | \n|\n |[\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Chunks whose ids a worker remembers, some 40 bytes each, and chunks encoded in one call.
-REMEMBERED, BLOCK = 3_000_000, 400
+#: Chunks whose ids a worker remembers, some 50 bytes each, and chunks encoded in one call.
+REMEMBERED, BLOCK = 600_000, 400
 #: Marks chunks that are not one space and a word without spaces.
 _ODD, _SECOND = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -43,9 +43,20 @@ class Encoder:
 
     def _clear(self) -> None:
         self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.starts, self.sizes, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
+    def _forget(self) -> None:
+        """Keep the chunks that more than one batch had; without many of those, keep none."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > self.remembered // 2:
+            return self._clear()
+        sizes = self.sizes[kept].astype(np.int64)
+        ends = np.cumsum(sizes)
+        pool = self.pool[np.repeat(self.starts[kept] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+        self.keys, self.checks, self.sizes, self.uses = (x[kept] for x in (self.keys, self.checks, self.sizes, self.uses))
+        self.starts, self.pool, self.used = ends - sizes, np.concatenate((pool, np.zeros(1 << 16, np.uint32))), len(pool)
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -83,9 +94,8 @@ class Encoder:
         self.used += total
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
-        self.keys, self.checks, self.starts, self.sizes = (
-            np.insert(old, at, new[order]) for old, new in ((self.keys, keys), (self.checks, checks), (self.starts, starts), (self.sizes, sizes))
-        )
+        new = ((self.keys, keys), (self.checks, checks), (self.starts, starts), (self.sizes, sizes), (self.uses, np.zeros(len(keys), np.int32)))
+        self.keys, self.checks, self.starts, self.sizes, self.uses = (np.insert(x, at, y[order]) for x, y in new)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and the bounds of each text in them; null counts as empty."""
@@ -104,7 +114,7 @@ class Encoder:
             odd = pa.concat_arrays([odd, pa.array(more, pa.large_string())])
         keys, checks = (np.concatenate(x) for x in zip(_hashed(coded.dictionary), _hashed(odd, _ODD), strict=True))
         if len(self.keys) > self.remembered:
-            self._clear()
+            self._forget()
         place, hit = self._places(keys, checks)
         if not hit.all():
             self._learn(np.flatnonzero(~hit), coded.dictionary, odd, keys, checks)
@@ -112,6 +122,7 @@ class Encoder:
             if not hit.all():  # two chunks share a hash: these texts are encoded as they are
                 found = self._ids(texts.to_pylist())
                 return np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int64)
+        self.uses[np.unique(place)] += 1
         at = place[index]
         sizes = self.sizes[at].astype(np.int64)
         ends = np.cumsum(sizes)
