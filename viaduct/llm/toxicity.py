@@ -21,7 +21,7 @@ from viaduct.llm.training import Adam, labelled_sample, sigmoid
 from viaduct.session import ready
 
 NGRAMS, BUCKET_BITS, WIDTH = (3, 4, 5), 17, 4
-EPOCHS, BATCH, RATE, DECAY, SCALE, SEED = 20, 64, 0.03, 3e-3, 30, 7
+EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY, SCALE, SEED = 20, 400, 64, 0.03, 3e-3, 30, 7
 #: Words as frequent as this weigh half as much as rare ones in the average (Arora et al. 2017).
 COMMON = 1e-3
 RESULT = "doc_id long, score double, predicted int"
@@ -58,7 +58,7 @@ class Subwords:
         total = table[self.whole].astype(np.float64)
         for n, buckets in self.grams.items():
             sums = np.concatenate(([0.0], np.cumsum(table[buckets], dtype=np.float64)))
-            first = self.starts - 1
+            first = np.minimum(self.starts - 1, len(buckets))  # a last word that is too short for n has no window
             total += sums[first + self.windows[n]] - sums[first]
         return total / self.sizes
 
@@ -119,7 +119,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: floa
     adams = [Adam(x.shape, rate) for x in (vectors, weights, bias)]
     share = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)
     target = np.stack([1 - labels, labels], axis=1).astype(np.float32)
-    steps = max(1, epochs * len(texts) // BATCH)
+    steps = max(LEAST_STEPS, epochs * len(texts) // BATCH)
     for step in range(steps):
         batch = rng.choice(len(texts), min(BATCH, len(texts)), replace=False)
         counts = bounds[batch + 1] - bounds[batch]
