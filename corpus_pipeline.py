@@ -9,7 +9,7 @@ from viaduct.llm.exact_dedup import drop_copies
 from viaduct.llm.near_dedup import drop_near_duplicates
 from viaduct.llm.packing import pack_documents
 from viaduct.llm.quality import keep_good, quality_model
-from viaduct.session import scratch
+from viaduct.session import clear, made, remove, scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,27 +17,37 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it is trained on the labels of ``documents``, as in its query."""
+    """Documents that the quality classifier accepts; it is trained on the labels of ``documents``, as in its query.
+
+    A null or empty text is one empty line and scored like any other. Here as in all stages but the last, null and
+    repeated ids are rows like any other, an empty table stays empty, and other columns are only carried.
+    """
     return keep_good(docs, quality_model(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of texts equal but for white space: the longest, then the least ``doc_id``, nulls last.
+
+    Null and empty texts are equal; of rows alike in all columns one stays.
+    """
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
+    """One document of each class of near duplicates: the least ``doc_id``, nulls last.
+
+    Texts without words are near duplicates of their equals only.
+    """
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
+    """Documents without any passage of the benchmark; null texts have no words, and items without any are not looked for."""
     return clean_of_benchmark(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents that are left, in sequences of 1024 ids."""
+    """Pieces of all documents that are left, in sequences of 1024 ids; a null text is packed as an empty one."""
     return pack_documents(docs)
 
 
@@ -48,15 +58,19 @@ STAGES = [
     ("decontamination", decontamination),
     ("packing", packing),
 ]
-#: Similarity classes, tokenizers and classifiers have no SQL; tests hold each stage against brute force.
+#: Similarity classes, tokenizers and classifiers have no SQL; tests hold each stage and the whole against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written as Parquet and read again."""
-    docs = _table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's result is written as Parquet and read again, and what it wrote on the
+    way, like the result before, is deleted then."""
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = scratch(spark, f"stage-{name}")
+        path, mark = scratch(spark, f"stage-{name}"), made(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        clear(spark, mark)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
