@@ -173,10 +173,11 @@ def test_language_model_against_brute_force(docs, empty):
 
 def test_decontamination_against_brute_force(spark, docs, empty):
     items = spark.createDataFrame([(1, "JUMPS over, the lazy dog! it ran away then came"), (2, "fox jumps"), (3, ""), (4, None), (None, "quick brown"), (5, "word word"), (6, "not here")], "item_id long, text string")
-    for block in (1 << 16, 2):  # several blocks must give what one gives
+    for block, most in ((1 << 16, 1 << 20), (2, 0)):  # several blocks and a salted join must give what one block gives
         index = decontamination.index_documents(docs, segment_bytes=60_000)
-        found = decontamination.search_index(index, decontamination.query_windows(items), block_windows=block)
-        by = {(r.doc_id, r.n_words): r for r in found.collect()}
+        windows, pairs = decontamination.number_windows(decontamination.query_windows(items))
+        found = decontamination.search_index(index, windows, block_windows=block)
+        by = {(r.doc_id, r.n_words): r for r in decontamination.named_items(found, pairs, most).collect()}
         own = by[(0, 15)]
         assert [(s.start, s.end) for s in own.spans] in ([(1, 14)], [(1, 3), (3, 5), (4, 14)], [(1, 5), (4, 14)], [(1, 3), (3, 14)]) and sorted(own.items) == ["1", "2"]
         assert sorted(by[(8, 3000)].items) == ["5"] and by[(2, 0)].items == []
@@ -199,6 +200,7 @@ def test_subwords_share_ngrams(spark, docs, empty):
     flat, edges = own.listed()
     table = np.arange(1 << toxicity.BUCKET_BITS, dtype=np.float32)
     assert np.allclose(own.word_means(table), [table[flat[a:b]].mean() for a, b in zip(edges[:-1], edges[1:], strict=True)])
+    assert all(0 <= x <= 1 for t in (b"a", b"ab", b"so a", b"", b"abc a") for x in model.scores([t]))
     assert toxicity.score_toxicity(docs, model).count() == docs.count() and toxicity.score_toxicity(empty, model).count() == 0
     assert 0 < toxicity.train([], np.zeros(0, int)).scores([b"x"])[0] < 1
 
@@ -290,11 +292,11 @@ def test_near_duplicates_against_brute_force(spark, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-def near_truth(spark, texts, bands, rows):
+def near_truth(texts, bands, rows):
     """Signatures of texts (as many as there are bands) and every pair of texts that is similar, by brute force."""
-    table = near_dedup.frequency_weights(near_dedup.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string")), len(texts))
     found, counts, bounds = near_dedup.shingles([t.encode() for t in texts])
-    weights = near_dedup.weights_of(found, counts, table)
+    times = Counter(found.tolist())
+    weights = counts.astype(np.float32) * near_dedup.inverse_frequency(np.array([times[x] for x in found.tolist()]), len(texts))
     drawn = near_dedup.samples(found, weights, bounds[:-1], bands * rows)
     keys = [[tuple(drawn[i, k::bands]) for k in range(bands)] for i in range(len(texts))]
     vectors = [tuple(x[a:b] for x in (found, weights, counts.astype(np.float32))) for a, b in zip(bounds, bounds[1:])]
@@ -317,11 +319,12 @@ def test_near_duplicates_among_texts_of_one_body(spark):
         if k % 4 == 0:
             texts.append(" ".join(body + own[:13] + [f"p{k}x{i}" for i in range(13)]))
     texts = [texts[i] for i in rng.permutation(len(texts))]
-    _, pairs = near_truth(spark, texts, near_dedup.BANDS, near_dedup.ROWS)
+    _, pairs = near_truth(texts, near_dedup.BANDS, near_dedup.ROWS)
     assert len(pairs) == 60
-    found = near_classes(spark, texts)
-    assert [p for p in pairs if found[p[0]] != found[p[1]]] == []
-    assert len(set(found.values())) == len(texts) - 60
+    for few in (near_dedup.FEW_ROWS, 0):  # pairs that are broadcast, and pairs that are dealt by their hubs
+        found = near_classes(spark, texts, few_rows=few)
+        assert [p for p in pairs if found[p[0]] != found[p[1]]] == []
+        assert len(set(found.values())) == len(texts) - 60
 
 
 def test_near_duplicates_in_a_chain_of_edits(spark):
@@ -330,7 +333,7 @@ def test_near_duplicates_in_a_chain_of_edits(spark):
         own = [f"c{k}x{i}" for i in range(100)]
         for at in (0, 6, 12):
             texts.append(" ".join([f"n{k}x{i}" for i in range(at)] + own[at:]))
-    keys, pairs = near_truth(spark, texts, 1, 1)
+    keys, pairs = near_truth(texts, 1, 1)
     assert len(pairs) == 60
     found = near_classes(spark, texts, bands=1, rows=1)
     assert sum(keys[3 * k] == keys[3 * k + 1] == keys[3 * k + 2] for k in range(30)) > 5
