@@ -182,10 +182,10 @@ def repeated(filters: DataFrame) -> DataFrame:
     return filters.mapInArrow(read, "print long, count long")
 
 
-def bit_map(prints: DataFrame):
+def bit_map(prints: DataFrame, bits: int | None = None):
     """A map of bits that are set for ``prints``, of bounded size, for all tasks; and its size in bits."""
     spark = prints.sparkSession
-    bits = min(MOST_MAP_BITS, max(LEAST_MAP_BITS, (16 * prints.count()).bit_length()))
+    bits = bits or min(MOST_MAP_BITS, max(LEAST_MAP_BITS, (16 * prints.count()).bit_length()))
 
     def put(table: pa.Table) -> pa.Table:
         marks = np.zeros(1 << SLICE_BITS, bool)
