@@ -1,9 +1,10 @@
 """Collocations: phrases that are more frequent than their parts make likely, mined as by Toivonen (1996).
 
-A sample of the documents is mined first, with a lowered threshold. What is frequent there is proposed; its negative
-border are the phrases not proposed whose parts, one word shorter at either end, all are. One pass over all documents
-counts both exactly. Where a phrase of the border turns out to be frequent, the border was drawn too close: it joins the
-proposed ones, and a further pass counts what their border has beyond the last one, until no pass finds another.
+A sample of the documents is mined first, length by length, with a lowered threshold. What is frequent there is proposed;
+its negative border are the phrases not proposed whose parts, one word shorter at either end, all are. One pass over all
+documents counts both exactly. Where a phrase of the border turns out to be frequent, the border was drawn too close, and
+an expansion pass goes on from there: it counts each phrase with such a failure inside whose parts are proposed, failed or
+counted by this pass themselves. A frequent phrase has frequent parts only, so that pass leaves none uncounted.
 
 The border is never listed. Tasks hold the proposed phrases as a map of bits of bounded size, and count an occurrence
 when the bits of both its parts are set. Bits that are set by chance make a pass count more than it must, never less, so
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from viaduct.llm.arrow import byte_texts, hash_spans, mix, slices, spans_of, tidy
-from viaduct.llm.exact_dedup import bit_map, in_bit_map
-from viaduct.session import join_counted, ready, stored
+from viaduct.llm.exact_dedup import LEAST_MAP_BITS, MOST_MAP_BITS, bit_map, in_bit_map
+from viaduct.session import join_counted, observed, ready, stored
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: One in so many documents is in the sample; its threshold is lowered by so many standard deviations.
@@ -54,31 +55,35 @@ class _Words:
         """Keys of phrases of ``k`` words: 61 bits of a hash of group and words, and the length."""
         return (mix(grams[at] ^ self.salt) & ~_LENGTH) | np.uint64(k)
 
-    def levels(self, longest: int, *held: Callable | None) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
-        """For each length: where phrases begin both parts of which each of ``held`` has, and for the last their keys.
+    def levels(self, longest: int, held: Callable | None, before: Callable | None = None, wide: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each length where the phrases begin that a pass counts, and their keys.
 
-        ``held`` tell of keys whether they are proposed, each of a superset of what the one before it does; None proposes
-        nothing. Of one word all phrases count as having their parts.
+        These are the phrases both parts of which are held, and all words. ``held`` tells of keys whether they are; None
+        holds nothing. With ``before``, what a pass with that counted is left out. With ``wide`` phrases that are counted
+        here are held as well.
         """
-        grams = self.hashes.copy()
-        n = len(grams)
-        places = [np.arange(n)] * len(held)
+        n = len(self.hashes)
+        grams, places, past = self.hashes.copy(), np.arange(n), np.zeros(n + 1, bool)
+        past[:n] = before is not None
         for k in range(1, longest + 1):
-            keys = self.keys(places[-1], grams, k)
-            yield k, places, keys
+            keys = self.keys(places, grams, k)
+            new = ~past[places]
+            yield k, places[new], keys[new]
             if k == longest:
                 return
-            nexts = []
-            for own, known in zip(places, held, strict=True):
-                flags = np.zeros(n + 1, bool)
-                if known is not None:
-                    mine = keys if own is places[-1] else keys[np.searchsorted(places[-1], own)]
-                    flags[own[known(mine)]] = True
-                both = np.flatnonzero(flags[:-1] & flags[1:])
-                nexts.append(both[self.joined[both]] if k == 1 else both)
-            places = nexts
-            at = places[-1]
-            grams[at] = grams[at] * _FACTOR + self.hashes[at + k]
+            flags = np.zeros(n + 1, bool)
+            flags[places] = held(keys) if held else False
+            if wide:
+                flags[places[new]] = True
+            if before is not None:
+                old = np.zeros(n + 1, bool)
+                old[places[~new]] = before(keys[~new])
+                past[:-1] = old[:-1] & old[1:]
+                if k == 1:
+                    past[: n - 1] &= self.joined
+            both = np.flatnonzero(flags[:-1] & flags[1:])
+            places = both[self.joined[both]] if k == 1 else both
+            grams[places] = grams[places] * _FACTOR + self.hashes[places + k]
 
 
 def _groups(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
@@ -96,69 +101,68 @@ def _held(marks: Marks | None) -> Callable | None:
     return lambda keys: in_bit_map(keys >> np.uint64(3), shared.value, bits).astype(bool)
 
 
-def _prints(keys: DataFrame) -> DataFrame:
-    return keys.select(F.shiftrightunsigned("key", 3).alias("print"))
+def _map(keys: DataFrame, count: int) -> Marks:
+    """The map of bits of ``count`` keys."""
+    return bit_map(keys.select(F.shiftrightunsigned("key", 3).alias("print")), _bits(count))
 
 
-def count_border(docs: DataFrame, before: Marks | None, now: Marks | None, least: int, longest: int = LONGEST) -> DataFrame:
-    """(key, count), stored: phrases of ``docs(lang, text)`` in ``now`` or its border with ``least`` occurrences or more.
+def _bits(count: int) -> int:
+    return min(MOST_MAP_BITS, max(LEAST_MAP_BITS, (16 * count).bit_length()))
 
-    Those in ``before`` or its border are left out; without ``before`` nothing is, and without ``now`` words are counted.
+
+def _grown(spark: SparkSession, marks: Marks | None, keys: DataFrame, count: int) -> Marks:
+    """``marks`` with the bits of ``keys`` set as well, and room for them."""
+    added, bits = _map(keys, count) if marks is None else bit_map(keys.select(F.shiftrightunsigned("key", 3).alias("print")), max(marks[1], _bits(count)))
+    if marks is None:
+        return added, bits
+    old = np.tile(marks[0].value, 1 << (bits - marks[1]))  # a bit's place there is the lower part of its place here
+    both = spark.sparkContext.broadcast(old | added.value)
+    added.destroy()
+    return both, bits
+
+
+def _counted(docs: DataFrame, least: int, longest: int, held: Marks | None, before: Marks | None = None, wide: bool = False, only: int = 0) -> tuple[DataFrame, int]:
+    """(key), stored: the phrases of ``docs(lang, text)`` that a pass counts ``least`` times or more; and their number.
+
+    What a pass counts ``_Words.levels`` says; with ``only`` it is the phrases of so many words.
     """
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old, new = _held(before), _held(now)
+        new, old = _held(held), _held(before)
         for batch in slices(batches, "text", 4 << 20):
             for group, texts in _groups(batch):
-                for k, places, keys in _Words(group, texts).levels(longest, old, new):
-                    if before is not None:
-                        keys = keys[np.isin(places[1], places[0], assume_unique=True, invert=True)] if k > 1 else keys[:0]
-                    if len(keys):
+                for k, _, keys in _Words(group, texts).levels(longest, new, old, wide):
+                    if len(keys) and only in (0, k):
                         some, counts = np.unique(keys, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(counts)], names=["key", "count"])
 
-    counted = docs.mapInArrow(tidy(count), "key long, count long")
-    return stored(counted.groupBy("key").agg(F.sum("count").alias("count")).filter(F.col("count") >= least), "border")
-
-
-def _more_marks(spark: SparkSession, marks: Marks, keys: DataFrame) -> Marks:
-    """``marks`` with the bits of ``keys`` set as well."""
-    shared, bits = marks
-    added, _ = bit_map(_prints(keys), bits)
-    both = spark.sparkContext.broadcast(shared.value | added.value)
-    added.destroy()
-    return both, bits
+    counted = docs.mapInArrow(tidy(count), "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
+    found, seen = observed(counted.filter(F.col("count") >= least).select("key"), "counted")
+    return found, seen["n"]
 
 
-def frequent_keys(docs: DataFrame, proposed: DataFrame | None, least: int, longest: int = LONGEST) -> DataFrame:
-    """(key): phrases with ``least`` occurrences or more, by their hashes, and the passes that it took.
+def frequent_keys(docs: DataFrame, sample: DataFrame, least: int, lowered: int, longest: int = LONGEST) -> DataFrame:
+    """(key): all phrases of ``docs(lang, text)`` with ``least`` occurrences or more, by their hashes; some more than once.
 
-    ``proposed(key)`` are expected to be frequent; any set that holds the parts of its members gives the same result.
+    Those with ``lowered`` occurrences in ``sample`` are proposed. Whatever the sample, the result is the same.
     """
-    spark = docs.sparkSession
-    inner = (F.col("key").bitwiseAND(7)) < longest
-    marks = bit_map(_prints(proposed.filter(inner))) if proposed is not None else None
-    known = proposed.select("key") if proposed is not None else None
-    found, before = [], None
-    while True:
-        found.append(count_border(docs, before, marks, least, longest).select("key"))
-        failed = found[-1].filter(inner)
-        failed = stored(failed.join(known, "key", "left_anti") if known is not None else failed, "failed")
-        if failed.isEmpty():
+    spark, known, marks = docs.sparkSession, None, None
+    for k in range(1, longest):
+        level, n = _counted(sample, lowered, k, marks, only=k)
+        known = level if known is None else known.unionByName(level)
+        marks = _grown(spark, marks, level, n)
+        if not n:
             break
-        known = failed if known is None else known.unionByName(failed)
-        if before is not None:
-            before[0].destroy()
-        # without marks only words were counted; an empty map says just that of phrases
-        before = marks or (spark.sparkContext.broadcast(np.zeros(1, np.uint8)), 0)
-        marks = _more_marks(spark, marks, failed) if marks else bit_map(_prints(failed))
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.unionByName(more)
-    for shared in (before, marks):
-        if shared:
-            shared[0].destroy()
-    return whole
+    found, _ = _counted(docs, least, longest, marks)
+    if known is None:
+        return found
+    inner = found.filter(F.col("key").bitwiseAND(7) < longest)
+    failed, seen = observed(inner.join(known, "key", "left_anti"), "failed")
+    count = seen["n"]
+    if not count:
+        return found
+    more, _ = _counted(docs, least, longest, _grown(spark, marks, failed, count), before=marks, wide=True)
+    return found.unionByName(more)
 
 
 def _gathered(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -173,7 +177,7 @@ def count_texts(docs: DataFrame, keys: DataFrame, least: int, longest: int = LON
 
     The row of each lang with k = 0 and no phrase has the number of its words.
     """
-    marks = bit_map(_prints(keys))
+    marks = _map(keys, keys.count())
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _held(marks)
@@ -188,7 +192,7 @@ def count_texts(docs: DataFrame, keys: DataFrame, least: int, longest: int = LON
                 starts = np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes + 1)))[:-1]
                 found = [(0, pa.array([b""], pa.large_binary()), [len(sizes)])]
                 for k, places, keys in own.levels(longest, known):
-                    at = places[-1][known(keys)]
+                    at = places[known(keys)]
                     counts = _gathered(plain, starts[at], starts[at + k - 1] + sizes[at + k - 1]).value_counts()
                     found.append((k, counts.field("values"), counts.field("counts")))
                 for k, phrases, counts in found:
@@ -211,12 +215,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     if not 1 <= longest <= 7:
         raise ValueError("phrases have from one to seven words")
     ready(docs.sparkSession)
-    own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_GROUP)).alias("lang"), F.col("text").cast("string").alias("text"))
     picked = F.pmod(F.xxhash64(*(c for c in ("doc_id", "text") if c in docs.columns)), F.lit(share)) == 0
-    sample = stored(docs.filter(picked).select(*(F.coalesce(F.col("lang").cast("string"), F.lit(NO_GROUP)).alias("lang"), F.col("text").cast("string").alias("text"))), "sample")
+    own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_GROUP)).alias("lang"), F.col("text").cast("string").alias("text"), picked.alias("picked"))
+    sample = stored(own.filter("picked"), "sample")
     mean = least / share
-    proposed = frequent_keys(sample, None, max(1, int(mean - DEVIATIONS * sqrt(mean))), longest)
-    return count_texts(own, frequent_keys(own, proposed, least, longest), least, longest)
+    keys = frequent_keys(own, sample, least, max(1, int(mean - DEVIATIONS * sqrt(mean))), longest)
+    return count_texts(own, keys, least, longest)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = SHARE) -> DataFrame:
