@@ -95,8 +95,10 @@ def test_pairs_and_manifest(spark, tmp_path):
     found = {r.scene_id: r.mask_path for r in files.pair_by_scene(paths("a_sat.tif", "b_sat.tif"), paths("m/a_mask.png", "z/a_mask.png")).collect()}
     assert found == {"a": "z/a_mask.png", "b": None}
     assert files.pair_by_suffix(paths("x/1_sat.jpg", "x/1_mask.png", "x/2_sat.jpg")).count() == 1
-    labels = files.match_labels(paths("rgb/img1.tif", "rgb/img7.tif"), paths("roads/q_img10.geojson"), "rgb", "roads")
-    assert {r.path: r.label_path for r in labels.collect()} == {"rgb/img1.tif": "roads/q_img10.geojson", "rgb/img7.tif": None}
+    named = ("/A/roads/q_img10.geojson", "/A/roads/y_img1.geojson", "/A/roads/z_img9.geojson", "/C/roads/y_img2.geojson", "/B/other/x_img1.geojson", "roads/a_img3.txt", "roads/b_img3.geojson", "/A/roads/rgb_img5.geojson")
+    asked = {"/A/rgb/x_img1.tif": "/A/roads/q_img10.geojson", "/B/rgb/x_img1.tif": None, "/C/rgb/img9_x_img2.tif": "/C/roads/y_img2.geojson", "rgb/u_img3.tif": "roads/b_img3.geojson", "/A/rgb/y_img1.tif": "/A/roads/y_img1.geojson", "/A/rgb/v_img77.tif": None}
+    labels = files.match_labels(paths(*asked), paths(*named), "rgb", "roads")
+    assert {r.path: r.label_path for r in labels.collect()} == asked
     chips = spark.createDataFrame([("a", "train", 0, 1, "i", None)], "scene_id string, split string, row int, col int, image_path string, mask_path string")
     files.write_manifest(chips, str(tmp_path / "m"))
     assert files.scan_manifest(spark, str(tmp_path / "m"), "train").count() == 1
@@ -113,7 +115,7 @@ def test_geojson_keeps_first_edge_and_all_ends(spark, tmp_path):
         feature("MultiLineString", [[[1, 2], [3, 4]], [[5, 6], [7, 8]]]),
     ]}
     (tmp_path / "n.json").write_text(json.dumps(doc))
-    lines = networks.read_lines(spark, str(tmp_path / "n.json"), "g")
+    lines = networks.read_geojson(spark, str(tmp_path / "n.json"), "g")
     nodes, edges = networks.geojson_network(lines)
     assert [r.edge_id for r in edges.collect()] == ["x"] and {r.node for r in nodes.collect()} == {"a", "b", "c"}
     assert networks.centerlines(lines).count() == 5 and networks.geojson_chain(lines).count() == 1

@@ -1,7 +1,8 @@
 """Weighted betweenness of nodes and edges (Brandes 2001) on DataFrames.
 
 The edges on shortest paths from a source form an acyclic graph. Path counts are pushed forward along it, round by
-round; the dependencies, divided by path counts, are a linear sum that is pushed backward in the same way.
+round; the dependencies, divided by path counts, are a linear sum that is pushed backward in the same way. Each target
+is worth 1, or what a table of demand says.
 """
 
 from __future__ import annotations
@@ -9,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.operators.paths import both_ways
-from viaduct.session import observed, stored
+from viaduct.operators.paths import both_ways, shortest_paths
+from viaduct.session import drop_stored, observed, stored
 
 KEY = ["graph_id", "s"]
 MOST_ROUNDS = 10_000
@@ -28,10 +29,13 @@ def _pushed(start: DataFrame, tight: DataFrame, on: str, to: str, value: str) ->
     total = levels[0]
     for level in levels[1:]:
         total = total.unionByName(level)
-    return stored(total.groupBy(*KEY, "v").agg(F.sum(value).alias(value)), value)
+    whole = stored(total.groupBy(*KEY, "v").agg(F.sum(value).alias(value)), value)
+    drop_stored(*levels[1:])
+    return whole
 
 
-def _flows(edges: DataFrame, dist: DataFrame, weight: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def tight_steps(edges: DataFrame, dist: DataFrame, weight: str = "w") -> DataFrame:
+    """(graph_id, s, src, dst), stored: the steps on shortest paths from each source; weights must be positive."""
     zero = edges.filter(F.col(weight) <= 0)
     if not zero.isEmpty():
         raise ValueError(f"betweenness needs positive weights; the first edge without is {zero.first()}")
@@ -39,10 +43,15 @@ def _flows(edges: DataFrame, dist: DataFrame, weight: str) -> tuple[DataFrame, D
     here = dist.select("graph_id", "s", F.col("v").alias("src"), F.col("dist").alias("d0"))
     there = dist.select("graph_id", "s", F.col("v").alias("dst"), F.col("dist").alias("d1"))
     tight = here.join(steps, ["graph_id", "src"]).join(there, [*KEY, "dst"]).filter("d0 + w = d1").select(*KEY, "src", "dst")
-    tight = stored(tight, "tight")
+    return stored(tight, "tight")
+
+
+def _flows(edges: DataFrame, dist: DataFrame, weight: str, demand: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    tight = tight_steps(edges, dist, weight)
     start = dist.filter("s = v").select(*KEY, "v", F.lit(1.0).alias("paths"))
     sigma = _pushed(start, tight, "src", "dst", "paths")
-    back = sigma.filter("s <> v").select(*KEY, "v", (1 / F.col("paths")).alias("share"))
+    back = sigma.filter("s <> v").withColumn("demand", F.lit(1.0)) if demand is None else sigma.filter("s <> v").join(demand, [*KEY, "v"])
+    back = back.select(*KEY, "v", (F.col("demand") / F.col("paths")).alias("share"))
     share = _pushed(back, tight, "dst", "src", "share")
     return tight, sigma, share
 
@@ -69,3 +78,29 @@ def betweenness(nodes: DataFrame, edges: DataFrame, dist: DataFrame, weight: str
     scale = F.when(F.col("n") > 1, 1 / (F.col("n") * (F.col("n") - 1))).otherwise(0.0)
     of_edges = pairs.join(used, ["graph_id", "src", "dst"], "left").join(n, "graph_id")
     return of_nodes, of_edges.select("graph_id", "src", "dst", (F.coalesce("raw", F.lit(0.0)) * scale * up).alias("betweenness"))
+
+
+def demand_loads(nodes: DataFrame, edges: DataFrame, demand: DataFrame, weight: str = "w") -> tuple[DataFrame, DataFrame]:
+    """(graph_id, node, load, share) and (graph_id, src, dst, load, share): what of ``demand`` passes a node or an edge.
+
+    ``demand(graph_id, s, t, demand)`` is split evenly over all shortest paths of a pair; rows of one pair are added up,
+    rows of a pair that no path joins, of s = t, or not above 0 carry nothing. ``share`` is of all that is carried, so
+    for a demand of 1 for every ordered pair of a connected network it is the normalised betweenness of edges. The ends of
+    a trip do not load themselves. Paths start only where demand does.
+    """
+    own = demand.filter("s <> t and demand > 0").groupBy("graph_id", "s", F.col("t").alias("v")).agg(F.sum("demand").cast("double").alias("demand"))
+    own = stored(own, "demand")
+    dist = stored(shortest_paths(edges, own.select("graph_id", "s").distinct(), weight), "dist")
+    carried = stored(own.join(dist, [*KEY, "v"]).select(*KEY, "v", "demand"), "carried")
+    tight, sigma, share = _flows(edges, dist, weight, carried)
+    total = carried.groupBy("graph_id").agg(F.sum("demand").alias("total"))
+    through = sigma.filter("s <> v").join(share, [*KEY, "v"]).join(carried, [*KEY, "v"], "left")
+    passed = through.groupBy("graph_id", F.col("v").alias("node")).agg(F.sum(F.col("paths") * F.col("share") - F.coalesce("demand", F.lit(0.0))).alias("load"))
+    used = tight.join(sigma.withColumnRenamed("v", "src"), [*KEY, "src"]).join(share.withColumnRenamed("v", "dst"), [*KEY, "dst"])
+    used = used.groupBy("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum(F.col("paths") * F.col("share")).alias("load"))
+    pairs = edges.select("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    out = []
+    for rows, found, names in ((nodes.select("graph_id", "node"), passed, ["node"]), (pairs, used, ["src", "dst"])):
+        loaded = rows.join(found, ["graph_id", *names], "left").join(total, "graph_id", "left").withColumn("load", F.coalesce("load", F.lit(0.0)))
+        out.append(loaded.select("graph_id", *names, "load", F.when(F.col("total") > 0, F.col("load") / F.col("total")).otherwise(0.0).alias("share")))
+    return out[0], out[1]

@@ -1,29 +1,20 @@
-"""Bridges and articulation points by blocks of a spanning tree (Tarjan and Vishkin 1985)."""
+"""Bridges and articulation points by blocks of a spanning tree (Tarjan and Vishkin 1985).
+
+The tree is any spanning tree, found by hooking and rooted by its Euler tour, so no step follows the network's diameter.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viaduct.operators.components import connected_components
-from viaduct.operators.paths import both_ways, shortest_paths
-from viaduct.session import observed, stored
+from viaduct.operators.forest import euler_tour, simple_pairs, spanning_forest
+from viaduct.session import drop_stored, observed, stored
 
 K = "graph_id"
 
 
-def _tree(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(graph_id, v, parent, level) of a breadth-first forest rooted at the least node of a component; simple edges."""
-    simple = edges.filter("src <> dst").select(K, F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    simple = stored(simple.withColumn("w", F.lit(1).cast("long")), "simple")
-    roots = connected_components(simple).select(K, F.col("comp").alias("s")).distinct()
-    level = shortest_paths(simple, roots).select(K, "v", F.col("dist").alias("level"))
-    above = level.select(K, F.col("v").alias("dst"), F.col("level").alias("up"))
-    steps = both_ways(simple).withColumnRenamed("src", "v").join(above, [K, "dst"]).select(K, "v", "dst", "up")
-    parents = level.join(steps, [K, "v"]).filter("up = level - 1").groupBy(K, "v").agg(F.min("dst").alias("parent"))
-    return stored(level.join(parents, [K, "v"], "left"), "tree"), simple
-
-
 def _jumps(tree: DataFrame) -> list[DataFrame]:
     """(graph_id, v, j) with j the ancestor 1, 2, 4, ... levels above, one stored table for each, until there is none."""
     jump, seen = observed(tree.filter("parent is not null").select(K, "v", F.col("parent").alias("j")), "jump")
@@ -42,53 +33,42 @@ def _from_below(values: DataFrame, jumps: list[DataFrame], how: dict) -> DataFra
     """
     for jump in jumps:
         below = values.join(jump, [K, "v"]).select(K, F.col("j").alias("v"), *how)
-        values = stored(values.unionByName(below).groupBy(K, "v").agg(*[f(c).alias(c) for c, f in how.items()]), "below")
-    return values
-
-
-def _from_above(values: DataFrame, jumps: list[DataFrame]) -> DataFrame:
-    """``values(graph_id, v, pre)`` with ``pre`` summed over v and all its ancestors, in as many rounds."""
-    for jump in jumps:
-        above = values.select(K, F.col("v").alias("j"), F.col("pre").alias("more"))
-        joined = values.join(jump, [K, "v"], "left").join(above, [K, "j"], "left")
-        values = stored(joined.select(K, "v", (F.col("pre") + F.coalesce("more", F.lit(0))).alias("pre")), "above")
+        before, values = values, stored(values.unionByName(below).groupBy(K, "v").agg(*[f(c).alias(c) for c, f in how.items()]), "below")
+        drop_stored(before)
     return values
 
 
 def blocks(edges: DataFrame) -> DataFrame:
     """(graph_id, src, dst, block) of every simple edge; a block is named by the least lower end of its tree edges."""
-    tree, simple = _tree(edges)
-    jumps = _jumps(tree)
-    size = _from_below(tree.select(K, "v", F.lit(1).cast("long").alias("size")), jumps, {"size": F.sum})
-    earlier = Window.partitionBy(K, "parent").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    sized = tree.join(size, [K, "v"])
-    offset = F.when(F.col("parent").isNull(), 0).otherwise(1 + F.coalesce(F.sum("size").over(earlier), F.lit(0)))
-    # numbers of different trees of a graph overlap, but only ends of one edge, so of one tree, are ever compared
-    order = _from_above(stored(sized.select(K, "v", offset.cast("long").alias("pre")), "offsets"), jumps)
-    nodes = stored(sized.join(order, [K, "v"]), "nodes")
-    tree_pairs = nodes.filter("parent is not null").select(K, F.least("v", "parent").alias("src"), F.greatest("v", "parent").alias("dst"))
-    others = simple.select(K, "src", "dst").join(tree_pairs, [K, "src", "dst"], "left_anti")
-    ends = nodes.select(K, F.col("v"), "pre", "size")
-    spans = others.join(ends.toDF(K, "src", "pre_a", "size_a"), [K, "src"]).join(ends.toDF(K, "dst", "pre_b", "size_b"), [K, "dst"])
-    first = F.col("pre_a") < F.col("pre_b")
+    simple = stored(simple_pairs(edges), "simple")
+    forest, labels = spanning_forest(simple)
+    nodes = euler_tour(forest, labels)
+    jumps = _jumps(nodes)
+    others = simple.join(forest, [K, "src", "dst"], "left_anti")
+    ends = nodes.select(K, "v", "first", "last")
+    spans = others.join(ends.toDF(K, "src", "first_a", "last_a"), [K, "src"]).join(ends.toDF(K, "dst", "first_b", "last_b"), [K, "dst"])
+    # u is the end that the tour meets first; times of different trees are never compared, as an edge lies in one
+    ahead = F.col("first_a") < F.col("first_b")
     spans = spans.select(
-        K, F.when(first, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(first, F.col("dst")).otherwise(F.col("src")).alias("x"),
-        F.least("pre_a", "pre_b").alias("pre_u"), F.when(first, F.col("size_a")).otherwise(F.col("size_b")).alias("size_u"),
-        F.greatest("pre_a", "pre_b").alias("pre_x"),
+        K, F.when(ahead, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(ahead, F.col("dst")).otherwise(F.col("src")).alias("x"),
+        F.least("first_a", "first_b").alias("first_u"), F.when(ahead, F.col("last_a")).otherwise(F.col("last_b")).alias("last_u"),
+        F.greatest("first_a", "first_b").alias("first_x"),
     )
     spans = stored(spans, "spans")
-    touched = spans.select(K, F.col("u").alias("v"), F.col("pre_x").alias("p")).union(spans.select(K, "x", "pre_u")).union(nodes.select(K, "v", "pre"))
-    touched = touched.groupBy(K, "v").agg(F.min("p").alias("low"), F.max("p").alias("high"))
+    touched = spans.select(K, F.col("u").alias("v"), F.col("first_x").alias("t")).union(spans.select(K, "x", "first_u")).union(nodes.select(K, "v", "first"))
+    touched = stored(touched.groupBy(K, "v").agg(F.min("t").alias("low"), F.max("t").alias("high")), "touched")
     reach = _from_below(touched, jumps, {"low": F.min, "high": F.max})
-    apart = spans.filter("pre_u + size_u <= pre_x").select(K, F.col("u").alias("src"), F.col("x").alias("dst"))
-    upper = nodes.select(K, F.col("v").alias("parent"), F.col("pre").alias("pre_p"), F.col("size").alias("size_p"), F.col("parent").alias("top"))
+    apart = spans.filter("last_u < first_x").select(K, F.col("u").alias("src"), F.col("x").alias("dst"))
+    upper = nodes.select(K, F.col("v").alias("parent"), F.col("first").alias("first_p"), F.col("last").alias("last_p"), F.col("parent").alias("top"))
     leaves = nodes.filter("parent is not null").join(reach, [K, "v"]).join(upper, [K, "parent"]).filter("top is not null")
-    past = leaves.filter("low < pre_p or high >= pre_p + size_p").select(K, F.col("v").alias("src"), F.col("parent").alias("dst"))
+    past = leaves.filter("low < first_p or high > last_p").select(K, F.col("v").alias("src"), F.col("parent").alias("dst"))
     lower = nodes.filter("parent is not null").select(K, F.col("v").alias("node"))
     named = connected_components(apart.union(past), lower)
     own = nodes.filter("parent is not null").select(K, F.col("v").alias("node"), F.least("v", "parent").alias("src"), F.greatest("v", "parent").alias("dst"))
     own = own.unionByName(spans.select(K, F.col("x").alias("node"), F.least("u", "x").alias("src"), F.greatest("u", "x").alias("dst")))
-    return stored(own.join(named, [K, "node"]).select(K, "src", "dst", F.col("comp").alias("block")), "blocks")
+    found = stored(own.join(named, [K, "node"]).select(K, "src", "dst", F.col("comp").alias("block")), "blocks")
+    drop_stored(*jumps)
+    return found
 
 
 def bridges(edges: DataFrame, found: DataFrame | None = None) -> DataFrame:

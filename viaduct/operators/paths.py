@@ -1,4 +1,9 @@
-"""Shortest paths from many sources in many graphs at once."""
+"""Shortest paths from many sources in many graphs at once.
+
+Roads are long rows of nodes with two neighbours. Such rows are contracted to one weighted edge before paths are sought,
+by doubling, and the distances inside them follow from those of their two ends; so rounds of the search follow the number
+of junctions on a path, not that of its nodes.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from viaduct.functions.scalars import hash_unit
+from viaduct.operators.forest import jumped
 from viaduct.session import drop_stored, observed, stored
 
 #: Rounds at most, and rounds after which what they improved is merged.
 MOST_ROUNDS, MERGE = 10_000, 8
+#: Nodes inside chains, as a share of all, from which chains are contracted: fewer are not worth the rounds it takes.
+LEAST_INSIDE = 0.2
 #: Sources that stand for all where a caller asks for a sample, and the seed of their draw.
 SAMPLED_SOURCES, SOURCE_SEED = 64, 5
 
@@ -21,41 +29,83 @@ def both_ways(edges: DataFrame, weight: str = "w") -> DataFrame:
     return own.groupBy("graph_id", "src", "dst").agg(F.min("w").alias("w"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "w", most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "w", most_rounds: int = MOST_ROUNDS, least_inside: float = LEAST_INSIDE) -> DataFrame:
     """(graph_id, s, v, dist) of all nodes that ``sources(graph_id, s)`` reach over undirected ``edges``.
 
-    Semi-naive Bellman-Ford: each round extends only what the last one improved, for all graphs and sources together,
-    combines candidates before they are shuffled, and writes only what it improves. Weights are whole and not negative.
+    Weights are whole and not negative. Chains are contracted where ``least_inside`` of the nodes lie inside of some.
     """
     steps = stored(both_ways(edges, weight), "steps")
-    start = sources.select("graph_id", "s", F.col("s").alias("v"), F.lit(0).cast("long").alias("dist")).distinct()
-    known = [stored(start, "dist")]
+    start = stored(sources.select("graph_id", "s", F.col("s").alias("v"), F.lit(0).cast("long").alias("dist")).distinct(), "sources")
+    kept = start.select("graph_id", F.col("v").alias("src")).distinct().withColumn("_kept", F.lit(True))
+    near = steps.groupBy("graph_id", "src").agg(F.count(F.lit(1)).alias("n")).join(kept, ["graph_id", "src"], "left")
+    inside = near.select("graph_id", F.col("src").alias("v"), ((F.col("n") == 2) & F.col("_kept").isNull()).alias("inside"))
+    marked, seen = observed(inside, "inside", n=F.count_if("inside"), all=F.count(F.lit(1)))
+    if seen["n"] == 0 or seen["n"] < least_inside * seen["all"]:
+        found = relaxed(start, steps, ["graph_id", "s"], ["graph_id"], most_rounds)
+        drop_stored(steps, start, marked)
+        return found
+    inside = marked.filter("inside").select("graph_id", "v")
+    arms = _chains(steps, inside)
+    middle = inside.withColumn("_in", F.lit(True))
+    outer = steps.join(middle.toDF("graph_id", "src", "_in"), ["graph_id", "src"], "left_anti")
+    direct = outer.join(middle.toDF("graph_id", "dst", "_in"), ["graph_id", "dst"], "left_anti").select("graph_id", "src", "dst", "w")
+    into = outer.join(arms.select("graph_id", F.col("at").alias("src"), F.col("v").alias("dst"), "to", "far"), ["graph_id", "src", "dst"])
+    short = into.filter("src <> to").select("graph_id", "src", F.col("to").alias("dst"), (F.col("w") + F.col("far")).alias("w"))
+    short = stored(direct.unionByName(short).groupBy("graph_id", "src", "dst").agg(F.min("w").alias("w")), "shortcuts")
+    ends = relaxed(start, short, ["graph_id", "s"], ["graph_id"], most_rounds)
+    along = ends.withColumnRenamed("v", "to").join(arms.select("graph_id", "v", "to", "far"), ["graph_id", "to"])
+    within = along.groupBy("graph_id", "s", "v").agg(F.min(F.col("dist") + F.col("far")).alias("dist"))
+    return ends.select("graph_id", "s", "v", "dist").unionByName(within)
+
+
+def _chains(steps: DataFrame, inside: DataFrame) -> DataFrame:
+    """(graph_id, v, at, to, far), stored: for each node inside a chain and each neighbour ``at``, the end ``to`` that lies
+    in the other direction, and how far.
+
+    The arc from ``at`` to v leads on to v's other neighbour; arcs are followed to the last one by doubling. Circles
+    without an end, which no source reaches, are left out.
+    """
+    pairs = steps.join(inside.withColumnRenamed("v", "src"), ["graph_id", "src"], "left_semi")
+    other = pairs.groupBy("graph_id", "src").agg(F.min(F.struct("dst", "w")).alias("a"), F.max(F.struct("dst", "w")).alias("b"))
+    turns = other.select("graph_id", F.col("src").alias("v"), F.explode(F.array(F.struct(F.col("a.dst").alias("at"), F.col("b.dst").alias("next"), F.col("b.w").alias("w")), F.struct(F.col("b.dst").alias("at"), F.col("a.dst").alias("next"), F.col("a.w").alias("w")))).alias("t"))
+    arc = lambda a, b: F.struct("graph_id", F.col(a).alias("at"), F.col(b).alias("v"))
+    links = turns.select(arc("t.at", "v").alias("arc"), arc("v", "t.next").alias("to"), F.col("t.w").alias("far"))
+    done = jumped(links, "arc", "to", ("far",))
+    return stored(done.select("arc.graph_id", "arc.v", "arc.at", F.col("to.v").alias("to"), "far"), "chains")
+
+
+def relaxed(start: DataFrame, steps: DataFrame, key: list[str], on: list[str], most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(*key, v, dist): the least of ``start(*key, v, dist)`` and of what ``steps(*on, src, dst, w)`` lead to from there.
+
+    Semi-naive Bellman-Ford: each round extends only what the last one improved, for all keys together, combines
+    candidates before they are shuffled, and writes only what it improves. ``on`` are columns of the key.
+    """
+    known = [stored(start.select(*key, "v", "dist"), "dist")]
     for k in range(most_rounds):
-        front = known[-1].select("graph_id", "s", F.col("v").alias("src"), "dist")
-        found = front.join(steps, ["graph_id", "src"]).select("graph_id", "s", F.col("dst").alias("v"), (F.col("dist") + F.col("w")).alias("dist"))
+        front = known[-1].withColumnRenamed("v", "src")
+        found = front.join(steps, [*on, "src"]).select(*key, F.col("dst").alias("v"), (F.col("dist") + F.col("w")).alias("dist"))
         none = F.lit(None).cast("long")
         both = found.withColumn("before", none)
         for part in known:
-            both = both.unionByName(part.select("graph_id", "s", "v", none.alias("dist"), F.col("dist").alias("before")))
-        both = both.groupBy("graph_id", "s", "v").agg(F.min("dist").alias("dist"), F.min("before").alias("before"))
+            both = both.unionByName(part.select(*key, "v", none.alias("dist"), F.col("dist").alias("before")))
+        both = both.groupBy(*key, "v").agg(F.min("dist").alias("dist"), F.min("before").alias("before"))
         fresh, seen = observed(both.filter("dist is not null and (before is null or dist < before)").drop("before"), "dist")
         known.append(fresh)
         if seen["n"] == 0:
-            drop_stored(steps)
-            return _merged(known[:-1])
+            return _merged(known[:-1], key)
         if k % MERGE == MERGE - 1:
-            whole = stored(_merged(known), "dist")
+            whole = stored(_merged(known, key), "dist")
             drop_stored(*known[:-1])
             known = [whole, known[-1]]
     raise RuntimeError(f"paths did not settle within {most_rounds} rounds")
 
 
-def _merged(known: list[DataFrame]) -> DataFrame:
+def _merged(known: list[DataFrame], key: list[str]) -> DataFrame:
     """The least distances of some tables."""
     whole = known[0]
     for part in known[1:]:
         whole = whole.unionByName(part)
-    return whole.groupBy("graph_id", "s", "v").agg(F.min("dist").alias("dist")) if len(known) > 1 else whole
+    return whole.groupBy(*key, "v").agg(F.min("dist").alias("dist")) if len(known) > 1 else whole
 
 
 def sampled_sources(nodes: DataFrame, most: int = SAMPLED_SOURCES, seed: int = SOURCE_SEED) -> DataFrame:

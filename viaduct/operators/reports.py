@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from viaduct.functions.scalars import clamp
+from viaduct.operators.annotate import top_edges
 
 CRITICAL = 0.75
 
@@ -53,3 +54,27 @@ def changes(before: DataFrame, after: DataFrame, kind: str, id_column: str) -> D
     a, b = (df.select(F.col(id_column).cast("string").alias("id")) for df in (before, after))
     lost, back = a.exceptAll(b).withColumn("change", F.lit("lost")), b.exceptAll(a).withColumn("change", F.lit("recovered"))
     return lost.unionByName(back).select(F.lit(kind).alias("kind"), "id", "change")
+
+
+def curve_area(curves: DataFrame) -> DataFrame:
+    """(graph_id, efficiency_area, giant_area): areas under ``curves(graph_id, step, removed_fraction, efficiency, giant)``.
+
+    Trapezoids over the share that is removed, so a network that keeps all until half of it is gone has 0.5; one point has 0.
+    """
+    on = Window.partitionBy("graph_id").orderBy("step")  # a row a step
+    ahead = curves.withColumns({f"_{c}": F.lead(c).over(on) for c in ("removed_fraction", "efficiency", "giant")})
+    width = F.col("_removed_fraction") - F.col("removed_fraction")
+    area = lambda c: F.coalesce(F.sum(width * (F.col(c) + F.col(f"_{c}")) / 2), F.lit(0.0))
+    return ahead.groupBy("graph_id").agg(area("efficiency").alias("efficiency_area"), area("giant").alias("giant_area"))
+
+
+def top_retention(before: DataFrame, after: DataFrame, k: int = 8) -> DataFrame:
+    """(graph_id, k, kept, retention): how many of a network's ``k`` most critical edges are among those of another view.
+
+    Both have (graph_id, edge_id, criticality); ties go to the least id, and a network of fewer edges counts all it has.
+    """
+    one, two = (top_edges(df, k).select("graph_id", "edge_id") for df in (before, after))
+    size = one.groupBy("graph_id").agg(F.count(F.lit(1)).alias("k"))
+    kept = one.join(two, ["graph_id", "edge_id"]).groupBy("graph_id").agg(F.count(F.lit(1)).alias("kept"))
+    both = size.join(kept, "graph_id", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    return both.select("graph_id", "k", "kept", (F.col("kept") / F.col("k")).alias("retention"))

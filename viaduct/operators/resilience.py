@@ -1,6 +1,7 @@
 """Resilience index, attack curves and what-if closures, for many graphs in one pass.
 
 Steps of a curve and scenarios become graphs of their own, rows of one key, so one run of each kernel serves all.
+Components of all steps of a curve come from one spanning forest; paths after closures from those before.
 """
 
 from __future__ import annotations
@@ -8,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viaduct.operators.closures import above_zero, changed_distances
 from viaduct.operators.components import connected_components
-from viaduct.operators.paths import all_pairs, global_efficiency, shortest_paths
+from viaduct.operators.forest import spanning_forest
+from viaduct.operators.paths import all_pairs, global_efficiency, sampled_sources, shortest_paths
 from viaduct.operators.sampling import ranked, sample_pairs
 from viaduct.session import stored
 
@@ -50,8 +53,10 @@ def resilience_curve(
 ) -> DataFrame:
     """(graph_id, step, removed_fraction, efficiency, giant) while the most critical edges are taken out.
 
-    Efficiency is relative to ``base(graph_id, base_efficiency)``, from all nodes or sampled sources of each step. A graph
-    without edges has one point, step 0.
+    Efficiency is relative to ``base(graph_id, base_efficiency)``, or, where that is not positive, to the graph's own, from
+    all nodes or sampled sources of each step. The last step may be the one that takes the last edge; a graph without
+    edges has one point, step 0. The components of a step are those of the edges of one forest, the last to go, that are
+    left then: an edge that closes a circle of edges that go later joins nothing at any step.
     """
     m = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("m")).withColumn("per", F.greatest(F.lit(1), F.floor(F.col("m") * most / steps)))
     order = attack_order(edges).join(m, "graph_id").withColumn("gone_at", F.ceil(F.col("rank") / F.col("per")))
@@ -59,17 +64,30 @@ def resilience_curve(
     sizes = order.groupBy("graph_id").agg(F.first("m").alias("m"), F.first("per").alias("per"))
     every = nodes.select("graph_id").distinct().join(sizes, "graph_id", "left").fillna(0, ["m", "per"])
     grid = every.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps)))).withColumn("removed", F.col("step") * F.col("per"))
-    grid = grid.filter("step = 0 or (m > 0 and removed < m)")
+    grid = grid.filter("step = 0 or (m > 0 and removed - per < m)")
     key = F.concat_ws("#", "graph_id", F.col("step").cast("string"))
     grid = stored(grid.withColumn("key", key), "steps")
     at = grid.select("graph_id", "step", "key")
-    own = order.join(at, "graph_id").filter(F.col("gone_at") > F.col("step")).select(F.col("key").alias("graph_id"), "src", "dst", "w")
-    there = nodes.select("graph_id", "node").join(at, "graph_id").select(F.col("key").alias("graph_id"), "node")
-    found = graph_state(stored(there, "nodes"), stored(own, "edges"), most_sources).withColumnRenamed("graph_id", "key")
+    left = lambda own, *more: own.join(at, "graph_id").filter(F.col("gone_at") > F.col("step")).select(F.col("key").alias("graph_id"), "src", "dst", *more)
+    there = stored(nodes.select("graph_id", "node").join(at, "graph_id").select(F.col("key").alias("graph_id"), "node"), "nodes")
+    eff = global_efficiency(there, all_pairs(there, stored(left(order, "w"), "edges"), most_sources=most_sources))
+    last = order.withColumn("early", -F.col("gone_at"))
+    forest = spanning_forest(last, "early")[0].join(_pairs_gone(order), ["graph_id", "src", "dst"])
+    conn = connectivity(there, connected_components(stored(left(forest), "forest"), there)).drop("n")
+    found = stored(eff.join(conn, "graph_id").withColumnRenamed("graph_id", "key").join(grid, "key"), "found")
+    own = found.filter("step = 0").select("graph_id", F.col("efficiency").alias("_own"))
+    whole = F.when(F.col("base_efficiency") > 0, F.col("base_efficiency")).otherwise(F.col("_own"))
     share = F.when(F.col("m") > 0, F.bround(F.col("removed") / F.col("m"), 3)).otherwise(0.0)
-    relative = F.when(F.col("base_efficiency") > 0, F.bround(F.round(F.col("efficiency") / F.col("base_efficiency"), 9), 3)).otherwise(0.0)
+    relative = F.when((F.col("m") > 0) & (F.col("_whole") > 0), F.bround(F.round(F.col("efficiency") / F.col("_whole"), 9), 3)).otherwise(0.0)
     giant = F.when(F.col("step") == 0, F.col("giant")).otherwise(F.bround("giant", 3))
-    return grid.join(found, "key").join(base, "graph_id").select("graph_id", "step", share.alias("removed_fraction"), relative.alias("efficiency"), giant.alias("giant"))
+    found = found.join(base, "graph_id", "left").join(own, "graph_id").withColumn("_whole", whole)
+    return found.select("graph_id", "step", share.alias("removed_fraction"), relative.alias("efficiency"), giant.alias("giant"))
+
+
+def _pairs_gone(order: DataFrame) -> DataFrame:
+    """When the last edge between two nodes goes."""
+    own = order.select("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "gone_at")
+    return own.groupBy("graph_id", "src", "dst").agg(F.max("gone_at").alias("gone_at"))
 
 
 def closed_networks(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,6 +106,16 @@ def closed_networks(nodes: DataFrame, edges: DataFrame, scenarios: DataFrame) ->
     return n, e
 
 
+def _edges_gone(edges: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """(case, graph_id, edge_id): the edges that scenarios close, those at closed nodes too."""
+    gone = scenarios.select(F.col("scenario_id").alias("case"), "graph_id", "kind", F.col("id").cast("string").alias("id"))
+    own = edges.select("graph_id", "edge_id", F.col("edge_id").cast("string").alias("id"))
+    ends = edges.select("graph_id", "edge_id", F.explode(F.array(F.col("src").cast("string"), F.col("dst").cast("string"))).alias("id"))
+    by_id = gone.filter("kind = 'edge'").join(own, ["graph_id", "id"])
+    by_end = gone.filter("kind = 'node'").join(ends, ["graph_id", "id"])
+    return by_id.unionByName(by_end).select("case", "graph_id", "edge_id").distinct()
+
+
 def simulate_removal(
     nodes: DataFrame, edges: DataFrame, scenarios: DataFrame, base: DataFrame, samples: int = SAMPLES, seed: int = SEED, most_sources: int | None = None
 ) -> DataFrame:
@@ -98,17 +126,34 @@ def simulate_removal(
     """
     n, e = closed_networks(nodes, edges, scenarios)
     key = F.col("scenario_id").alias("graph_id")
-    after_nodes, after_edges = stored(n.select(key, "node"), "nodes"), stored(e.select(key, "src", "dst", "w"), "edges")
-    after = graph_state(after_nodes, after_edges, most_sources).withColumnRenamed("graph_id", "scenario_id")
-    before = connectivity(nodes, connected_components(edges, nodes)).select("graph_id", F.col("components").alias("zones"))
+    after_nodes, after_edges = stored(n.select(key, "node"), "nodes"), stored(e.select(key, "src", "dst"), "edges")
+    cases = stored(scenarios.select("scenario_id", "graph_id").distinct(), "cases")
     drawn = stored(sample_pairs(nodes, samples, seed), "routes")
-    old = shortest_paths(edges, drawn.select("graph_id", "s")).withColumnRenamed("v", "t").withColumnRenamed("dist", "old")
+    # paths of a scenario start at nodes that it leaves, and at those where its routes do
+    starts = after_nodes.select("graph_id", F.col("node").alias("s")) if most_sources is None else sampled_sources(after_nodes, most_sources)
+    starts = stored(starts.withColumnRenamed("graph_id", "scenario_id").join(cases, "scenario_id"), "starts")
+    sources = starts.select("graph_id", "s").union(drawn.select("graph_id", "s")).distinct()
+    positive, bits = above_zero(edges)
+    dist = stored(shortest_paths(positive, sources), "dist")
+    changed = changed_distances(positive, dist, _edges_gone(edges, scenarios)).withColumnRenamed("case", "scenario_id")
+    dist = dist.withColumn("dist", F.shiftright("dist", bits))
+    changed = changed.withColumns({c: F.shiftright(c, bits) for c in ("old", "dist")})
+    near = lambda d: F.when(F.col(d) > 0, 10.0 / F.col(d)).otherwise(0.0)
+    whole = dist.groupBy("graph_id", "s").agg(F.sum(near("dist")).alias("sum"))
+    less = changed.groupBy("scenario_id", "graph_id", "s").agg(F.sum(F.coalesce(near("dist"), F.lit(0.0)) - near("old")).alias("change"))
+    total = starts.join(whole, ["graph_id", "s"]).join(less, ["scenario_id", "graph_id", "s"], "left").groupBy("scenario_id").agg(
+        F.sum(F.col("sum") + F.coalesce("change", F.lit(0.0))).alias("sum"), F.count(F.lit(1)).alias("k"))
+    size = after_nodes.groupBy(F.col("graph_id").alias("scenario_id")).agg(F.count(F.lit(1)).alias("n"))
+    value = F.when((F.col("n") > 1) & (F.col("k") > 0), F.coalesce("sum", F.lit(0.0)) / (F.col("k") * (F.col("n") - 1))).otherwise(0.0)
+    conn = connectivity(after_nodes, connected_components(after_edges, after_nodes)).drop("n").withColumnRenamed("graph_id", "scenario_id")
+    after = cases.join(size, "scenario_id").join(total, "scenario_id", "left").join(conn, "scenario_id").select("scenario_id", value.alias("efficiency"), "components", "giant")
+    before = connectivity(nodes, connected_components(edges, nodes)).select("graph_id", F.col("components").alias("zones"))
+    old = dist.select("graph_id", "s", F.col("v").alias("t"), F.col("dist").alias("old"))
     routes = drawn.join(old, ["graph_id", "s", "t"])
-    cases = stored(scenarios.select("scenario_id", "graph_id").distinct(), "cases")
-    starts = cases.join(drawn.select("graph_id", "s").distinct(), "graph_id").select(F.col("scenario_id").alias("graph_id"), "s")
-    starts = starts.join(after_nodes.withColumnRenamed("node", "s"), ["graph_id", "s"], "left_semi")
-    new = shortest_paths(after_edges, starts).toDF("scenario_id", "s", "t", "new")
-    both = cases.join(routes, "graph_id").join(new, ["scenario_id", "s", "t"], "left")
+    new = changed.select("scenario_id", "graph_id", "s", F.col("v").alias("t"), F.col("dist").alias("_new"), F.lit(True).alias("_changed"))
+    alive = after_nodes.select(F.col("graph_id").alias("scenario_id"), F.col("node").alias("s"), F.lit(True).alias("_alive"))
+    both = cases.join(routes, "graph_id").join(new, ["scenario_id", "graph_id", "s", "t"], "left").join(alive, ["scenario_id", "s"], "left")
+    both = both.withColumn("new", F.when(F.col("_alive").isNull(), None).when(F.col("_changed"), F.col("_new")).otherwise(F.col("old")))
     slower = F.when(F.col("old") > 0, (F.col("new") - F.col("old")) / F.col("old") * 100)
     routed = both.groupBy("scenario_id").agg(F.avg(slower).alias("pct"), F.count_if(F.col("new").isNull()).alias("broken_routes"))
     out = cases.join(after, "scenario_id").join(base, "graph_id").join(before, "graph_id").join(routed, "scenario_id", "left")

@@ -30,11 +30,11 @@ def ranked(df: DataFrame, by: list[str], *order, name: str = "rank") -> DataFram
 
 
 def sample_rows(df: DataFrame, by: list[str], key: str, keep: float | int, seed: int) -> DataFrame:
-    """Per group, ``keep`` rows, or that share of them rounded, without replacement."""
+    """Per group, ``keep`` rows, or that share of them cut to a whole number, without replacement."""
     own = ranked(df.withColumn("_u", hash_unit(F.lit(seed), key)), by, "_u", key, name="_rank")
     if isinstance(keep, int):
         return own.filter(F.col("_rank") <= keep).select(*df.columns)
-    quota = own.groupBy(*by).agg(F.bround(F.count(F.lit(1)) * keep, 0).alias("_quota"))
+    quota = own.groupBy(*by).agg(F.floor(F.count(F.lit(1)) * F.lit(float(keep))).alias("_quota"))
     return own.join(quota, by).filter(F.col("_rank") <= F.col("_quota")).select(*df.columns)
 
 

@@ -146,6 +146,25 @@ def user_network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return stored(nodes, "nodes"), stored(edges, "edges")
 
 
+def user_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(graph_id, s, t, demand): how often t follows s within an hour and type of event."""
+    own = table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("s"), "event_type", "ts", "event_id")
+    hour = Window.partitionBy("event_type", F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
+    steps = own.select("s", F.lead("s").over(hour).alias("t")).filter("s <> t")
+    return steps.groupBy(F.lit("users").alias("graph_id"), "s", "t").agg(F.count(F.lit(1)).alias("demand"))
+
+
+def trade_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(graph_id, s, t, demand): order lines of customers of nation s from suppliers of nation t."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("k"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("s"))
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("t"))
+    flows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    flows = flows.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).filter("s <> t")
+    return flows.groupBy(F.lit("trade").alias("graph_id"), "s", "t").agg(F.sum("k").alias("demand"))
+
+
 USER_SQL = """
 nodes AS (SELECT DISTINCT 'users' AS graph_id, user_id::BIGINT AS node FROM events),
 sq AS (SELECT user_id::BIGINT AS a, lead(user_id::BIGINT) OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS b FROM events),

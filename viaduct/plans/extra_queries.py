@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def osm_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit('{"elements":['), F.array_join(F.transform("points", lambda p: F.to_json(p)), ","), F.lit(","), F.to_json(way), F.lit("]}"))
     path = scratch(spark, "osm")
     ways.join(points, F.col("id") == F.col("way")).select(text.alias("value")).write.text(path)
-    _, found = networks.read_osm(spark, path, by_line=True)
+    _, found = networks.read_osm(spark, path)
     return networks.allowed_ways(found, ("motorway", "trunk", "primary", "primary_link")).select(F.element_at("nodes", 1).alias("first"), F.element_at("nodes", -1).alias("last"), F.size("nodes").alias("nodes"))
 
 
@@ -51,12 +53,17 @@ def suffix_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second image has a label of its name; of the others some have one that only shares the number's beginning."""
-    own = table(spark, sf_dir, "documents").select("doc_id")
-    images = own.select(F.concat(F.lit("/d/rgb/a_img"), "doc_id", F.lit(".tif")).alias("path"))
-    labels = own.filter("doc_id % 2 = 0").select(F.concat(F.lit("/d/roads/a_img"), "doc_id", F.lit(".tif")).alias("path"))
-    labels = labels.union(own.filter("doc_id % 10 = 1").select(F.concat(F.lit("/d/old/b_img"), "doc_id", F.lit("7.geojson"))))
-    return files.match_labels(images, labels, "/rgb/", "/roads/")
+    """Areas by source; every second image has a label of its name, some others one that only shares the number's beginning.
+
+    Each area has labels for all numbers of the next one too, which are not for its own images, and one outside its folder.
+    """
+    own = table(spark, sf_dir, "documents").select("doc_id", "source")
+    images = own.select(F.concat(F.lit("/d/"), "source", F.lit("/PS-RGB/a_PS-RGB_img"), "doc_id", F.lit(".tif")).alias("path"))
+    direct = own.filter("doc_id % 2 = 0").select(F.concat(F.lit("/d/"), "source", F.lit("/geojson_roads/a_geojson_roads_img"), "doc_id", F.lit(".geojson")).alias("path"))
+    near = own.filter("doc_id % 10 = 1").select(F.concat(F.lit("/d/"), "source", F.lit("/geojson_roads/b_img"), "doc_id", F.lit("7.geojson")))
+    apart = own.filter("doc_id % 10 = 3").select(F.concat(F.lit("/d/"), "source", F.lit("/old/c_img"), "doc_id", F.lit(".geojson")))
+    alien = own.select(F.concat(F.lit("/d/x"), "source", F.lit("/geojson_roads/a_geojson_roads_img"), "doc_id", F.lit(".geojson")))
+    return files.match_labels(images, direct.union(near).union(apart).union(alien))
 
 
 def chip_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +237,19 @@ def build_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "chips")
     masks = px.filter("target").select("scene_id", "r", "c", F.lit(1.0).alias("v"))
     files.build_chips(px.select("scene_id", "r", "c", F.col("prob").alias("v")), masks, scenes, path, 32, 8)
-    return files.read_chips(spark, path).groupBy("split", "kind", "tile_id").agg(F.count(F.lit(1)).alias("pixels"), F.round(F.sum("v"), 6).alias("total"))
+    found = files.read_chips(spark, path).filter("kind = 'images' or v > 0").groupBy("split", "kind", "tile_id")
+    return found.agg(F.count(F.lit(1)).alias("pixels"), F.round(F.sum(F.col("v").cast("double")), 3).alias("total"))
+
+
+def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chips of scenes of which every second has a mask, written, and the pairs that a training run would find."""
+    px, scenes = _scene_pixels(spark, sf_dir)
+    path = scratch(spark, "chips")
+    masks = px.filter("target").filter(F.substring("scene_id", -1, 1).cast("int") % 2 == 0).select("scene_id", "r", "c", F.lit(1.0).alias("v"))
+    files.build_chips(px.select("scene_id", "r", "c", F.col("prob").alias("v")), masks, scenes, path, 32, 8)
+    found = reduce(DataFrame.unionByName, [files.training_pairs(spark, path, split).withColumn("split", F.lit(split)) for split in ("train", "val", "test")])
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    return found.select("split", name("image_path").alias("image"), name("mask_path").alias("mask"))
 
 
 def padded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,7 +327,7 @@ QUERIES = {
     "plain_multigraph": plain_multigraph, "node_link": node_link, "distinct_pairs": distinct_pairs, "view_metrics": view_metrics,
     "view_network": view_network, "view_curve": view_curve, "view_changes": view_changes, "toggle_impact": toggle_impact,
     "critical_edges": critical_edges, "highest_edge": highest_edge, "curve_rows": curve_rows, "kpi_text": kpi_text, "heal_views": heal_views,
-    "tile_pixels": tile_pixels, "build_chips": build_chips, "padded": padded, "resized": resized, "normalised": normalised,
+    "tile_pixels": tile_pixels, "build_chips": build_chips, "training_pairs": training_pairs, "padded": padded, "resized": resized, "normalised": normalised,
     "masks_joined": masks_joined, "scaled_masks": scaled_masks, "skeleton_stats": skeleton_stats, "catalogue": catalogue, "transform_pairs": transform_pairs, "occluded_images": occluded_images,
     "building_cover": building_cover,
 }
@@ -332,7 +351,7 @@ _NOTED = "SELECT e.edge_id, e.src, e.dst, e.length_m, e.road_class, e.travel_tim
 _TOP = "SELECT node FROM (SELECT node, row_number() OVER (ORDER BY betweenness DESC, node) AS rk FROM nb2) WHERE rk<=8"
 _VCURVE = """
 ao AS (SELECT *, row_number() OVER (ORDER BY round(raw,9) DESC, edge_id) AS rank, count(*) OVER () AS m FROM eb2),
-steps AS (SELECT s.step, greatest(1, floor(m*0.5/10)) AS per, m FROM (SELECT unnest(generate_series(0,10)) AS step) s, (SELECT DISTINCT m FROM ao) WHERE s.step=0 OR s.step*greatest(1, floor(m*0.5/10))<m),
+steps AS (SELECT s.step, greatest(1, floor(m*0.5/10)) AS per, m FROM (SELECT unnest(generate_series(0,10)) AS step) s, (SELECT DISTINCT m FROM ao) WHERE s.step=0 OR (s.step-1)*greatest(1, floor(m*0.5/10))<m),
 cs AS (SELECT t.step, e.src, e.dst, x.w FROM steps t JOIN ao e ON ceil(e.rank/t.per)>t.step JOIN edges x ON x.edge_id=e.edge_id),
 csym AS (SELECT step, src, dst, w FROM cs UNION ALL SELECT step, dst, src, w FROM cs),
 cd(step, s, v, d) USING KEY (step, s, v) AS (SELECT t.step, n.node, n.node, 0::BIGINT FROM steps t, nodes n
@@ -400,7 +419,7 @@ ORACLE_SQL = {
     "area_filter": f"WITH RECURSIVE {GRID_SQL} SELECT node, lat, lng AS lon FROM nodes WHERE lat BETWEEN 12.005::DOUBLE AND 12.02::DOUBLE AND lng BETWEEN 77.003::DOUBLE AND 77.03::DOUBLE",
     "npy_scan": _E + "SELECT tile_id, r, round(sum(prob::FLOAT::DOUBLE),4) AS total, count(*) AS n FROM px GROUP BY ALL",
     "suffix_pairs": "SELECT '/d/'||source||'_'||doc_id AS key, '/d/'||source||'_'||doc_id||'_sat.jpg' AS image_path, '/d/'||source||'_'||doc_id||'_mask.png' AS mask_path FROM documents WHERE doc_id%3<>0",
-    "label_match": "WITH lb AS (SELECT '/d/roads/a_img'||doc_id||'.tif' AS p FROM documents WHERE doc_id%2=0 UNION ALL SELECT '/d/old/b_img'||doc_id||'7.geojson' FROM documents WHERE doc_id%10=1) SELECT '/d/rgb/a_img'||doc_id||'.tif' AS path, coalesce((SELECT p FROM lb WHERE p='/d/roads/a_img'||doc_id||'.tif'), (SELECT min(p) FROM lb WHERE contains(p, 'img'||doc_id))) AS label_path FROM documents",
+    "label_match": "WITH lb AS (SELECT source, '/d/'||source||'/geojson_roads/a_geojson_roads_img'||doc_id||'.geojson' AS p FROM documents WHERE doc_id%2=0 UNION ALL SELECT source, '/d/'||source||'/geojson_roads/b_img'||doc_id||'7.geojson' FROM documents WHERE doc_id%10=1) SELECT '/d/'||d.source||'/PS-RGB/a_PS-RGB_img'||doc_id||'.tif' AS path, coalesce((SELECT p FROM lb WHERE p='/d/'||d.source||'/geojson_roads/a_geojson_roads_img'||doc_id||'.geojson'), (SELECT min(p) FROM lb WHERE lb.source=d.source AND contains(p, 'img'||doc_id))) AS label_path FROM documents d",
     "chip_pairs": _CHIPS + " SELECT image_path, mask_path, count(*) AS chips FROM ch WHERE split='train' AND mask_path IS NOT NULL GROUP BY ALL",
     "manifest_csv": _CHIPS + " SELECT scene_id, row, col, image_path, coalesce(mask_path,'') AS mask_path FROM ch WHERE split='val'",
     "hold_out": f"WITH {_SC} SELECT scene_id, CASE WHEN row_number() OVER (ORDER BY ('0x'||substr(sha256('3|'||scene_id),1,8))::BIGINT, scene_id)<=greatest(1,round_even(count(*) OVER ()*0.1,0)) THEN 'val' ELSE 'train' END AS split FROM sc",
@@ -431,7 +450,8 @@ reach(k, comp) AS (SELECT k, ca FROM cand UNION SELECT r.k, CASE WHEN c.ca=r.com
 won AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.k=c.k AND r.comp=c.cb))
 SELECT 'closed' AS graph_id, 'heal-'||a||'-'||b AS edge_id, a AS src, b AS dst, round_even(dist_m,1) AS length_m FROM won""",
     "tile_pixels": _E + f",{_CUT32} SELECT tile_id, r, c, prob FROM tp",
-    "build_chips": _E + f",{_CUT32}, un AS (SELECT scene_id, ('0x'||substr(sha256('route-resilience:'||scene_id),1,16))::UBIGINT::DOUBLE/18446744073709551616.0 AS u FROM ss), sl AS (SELECT scene_id, CASE WHEN u<0.8 THEN 'train' WHEN u<0.9 THEN 'val' ELSE 'test' END AS split FROM un) SELECT split, 'images' AS kind, tile_id, count(*) AS pixels, round(sum(prob),6) AS total FROM tp JOIN sl USING (scene_id) GROUP BY ALL UNION ALL SELECT split, 'masks', tile_id, count(*), round(count(*)::DOUBLE,6) FROM tp JOIN sl USING (scene_id) WHERE target GROUP BY ALL",
+    "build_chips": _E + f",{_CUT32}, un AS (SELECT scene_id, ('0x'||substr(sha256(':'||scene_id),1,16))::UBIGINT::DOUBLE/18446744073709551616.0 AS u FROM ss), sl AS (SELECT scene_id, CASE WHEN u<0.8 THEN 'train' WHEN u<0.9 THEN 'val' ELSE 'test' END AS split FROM un) SELECT split, 'images' AS kind, tile_id, count(*) AS pixels, round(sum(prob::FLOAT::DOUBLE),3) AS total FROM tp JOIN sl USING (scene_id) GROUP BY ALL UNION ALL SELECT split, 'masks', tile_id, count(*), round(count(*)::DOUBLE,3) FROM tp JOIN sl USING (scene_id) WHERE target GROUP BY ALL",
+    "training_pairs": _E + f",{_CUT32}, un AS (SELECT scene_id, ('0x'||substr(sha256(':'||scene_id),1,16))::UBIGINT::DOUBLE/18446744073709551616.0 AS u FROM ss) SELECT DISTINCT CASE WHEN u<0.8 THEN 'train' WHEN u<0.9 THEN 'val' ELSE 'test' END AS split, tp.tile_id||'.npy' AS image, tp.tile_id||'.npy' AS mask FROM tp JOIN un USING (scene_id) WHERE right(scene_id,1)::INT%2=0",
     "padded": _E + "SELECT g.tile_id, y::INT AS r, x::INT AS c, coalesce(prob,0.0) AS v FROM (SELECT DISTINCT tile_id FROM px) g CROSS JOIN (SELECT unnest(generate_series(0,111)) AS y) CROSS JOIN (SELECT unnest(generate_series(0,111)) AS x) LEFT JOIN px ON px.tile_id=g.tile_id AND px.r=y AND px.c=x",
     "resized": _E + """, g AS (SELECT tile_id, y, x, greatest(0.0,least(99.0,(y+0.5)*100/40-0.5)) AS py, greatest(0.0,least(63.0,(x+0.5)*64/40-0.5)) AS qx FROM (SELECT DISTINCT tile_id FROM px) CROSS JOIN (SELECT unnest(generate_series(0,39)) AS y) CROSS JOIN (SELECT unnest(generate_series(0,39)) AS x)),
 f AS (SELECT *, floor(py)::INT AS y0, floor(qx)::INT AS x0 FROM g), c4 AS (SELECT tile_id, y, x, least(99,y0+dy)::INT AS r, least(63,x0+dx)::INT AS c, (CASE WHEN dy=0 THEN 1-(py-y0) ELSE py-y0 END)*(CASE WHEN dx=0 THEN 1-(qx-x0) ELSE qx-x0 END) AS s FROM f CROSS JOIN (VALUES (0,0),(0,1),(1,0),(1,1)) o(dy,dx)),

@@ -131,7 +131,7 @@ def _views(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _UNIT = "('0x'||substr(sha256('13|'||edge_id),1,8))::BIGINT/4294967296.0"
 VIEW_SQL = f"""
 ranked AS (SELECT *, row_number() OVER (PARTITION BY road_class ORDER BY {_UNIT}, edge_id) AS rk, count(*) OVER (PARTITION BY road_class) AS total FROM edges),
-vedges AS (SELECT 'intact' AS view, * FROM edges UNION ALL SELECT 'fragmented', * EXCLUDE (rk, total) FROM ranked WHERE rk > CASE WHEN road_class='local' THEN round_even(total*0.3,0) ELSE 2 END),
+vedges AS (SELECT 'intact' AS view, * FROM edges UNION ALL SELECT 'fragmented', * EXCLUDE (rk, total) FROM ranked WHERE rk > CASE WHEN road_class='local' THEN floor(total*0.3::DOUBLE) ELSE 2 END),
 vsym AS (SELECT view, src, dst, w FROM vedges UNION ALL SELECT view, dst, src, w FROM vedges),
 vnodes AS (SELECT v.view, n.node FROM nodes n, (VALUES ('intact'), ('fragmented')) v(view)),
 vdist(view, s, v, d) USING KEY (view, s, v) AS (SELECT view, node, node, 0::BIGINT FROM vnodes
@@ -232,7 +232,7 @@ def resilience_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CURVE_SQL = """
 ao AS (SELECT *, row_number() OVER (ORDER BY round(raw,9) DESC, edge_id) AS rank, count(*) OVER () AS m FROM eb2),
-steps AS (SELECT s.step, greatest(1, floor(m*0.5/10)) AS per, m FROM (SELECT unnest(generate_series(0,10)) AS step) s, (SELECT DISTINCT m FROM ao) WHERE s.step=0 OR s.step*greatest(1, floor(m*0.5/10))<m),
+steps AS (SELECT s.step, greatest(1, floor(m*0.5/10)) AS per, m FROM (SELECT unnest(generate_series(0,10)) AS step) s, (SELECT DISTINCT m FROM ao) WHERE s.step=0 OR (s.step-1)*greatest(1, floor(m*0.5/10))<m),
 cs AS (SELECT t.step, e.src, e.dst, x.w FROM steps t JOIN ao e ON ceil(e.rank/t.per)>t.step JOIN edges x ON x.edge_id=e.edge_id),
 csym AS (SELECT step, src, dst, w FROM cs UNION ALL SELECT step, dst, src, w FROM cs),
 cd(step, s, v, d) USING KEY (step, s, v) AS (SELECT t.step, n.node, n.node, 0::BIGINT FROM steps t, nodes n

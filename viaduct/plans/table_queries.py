@@ -30,7 +30,7 @@ def geojson_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = edges.withColumn("src", F.concat(F.lit("n"), "src")).withColumn("dst", F.concat(F.lit("n"), "dst"))
     path = scratch(spark, "geojson")
     networks.write_geojson(nodes.withColumn("node", F.concat(F.lit("n"), "node")), named, path)
-    _, edges = networks.geojson_network(networks.read_lines(spark, path, "trade"))
+    _, edges = networks.geojson_network(networks.read_geojson(spark, path, "trade"))
     return edges.select("edge_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "length_m", "road_class", "travel_time", "is_bridge")
 
 

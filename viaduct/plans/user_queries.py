@@ -96,7 +96,7 @@ eb AS (SELECT edges.*, coalesce(raw,0)*n/k/n/(n-1) AS raw FROM edges CROSS JOIN
 """
 _CURVE = """
 ao AS (SELECT *, row_number() OVER (ORDER BY round(raw,9) DESC, edge_id) AS rank, count(*) OVER () AS m FROM eb),
-steps AS (SELECT s.step, greatest(1, floor(m*0.5/10)) AS per, m FROM (SELECT unnest(generate_series(0,10)) AS step) s, (SELECT DISTINCT m FROM ao) WHERE s.step=0 OR s.step*greatest(1, floor(m*0.5/10))<m),
+steps AS (SELECT s.step, greatest(1, floor(m*0.5/10)) AS per, m FROM (SELECT unnest(generate_series(0,10)) AS step) s, (SELECT DISTINCT m FROM ao) WHERE s.step=0 OR (s.step-1)*greatest(1, floor(m*0.5/10))<m),
 cs AS (SELECT t.step, e.src, e.dst, e.w FROM steps t JOIN ao e ON ceil(e.rank/t.per)>t.step),
 csym AS (SELECT step, src, dst, w FROM cs UNION ALL SELECT step, dst, src, w FROM cs),
 cd(step, s, v, d) USING KEY (step, s, v) AS (SELECT t.step, s, s, 0::BIGINT FROM steps t, source

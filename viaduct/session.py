@@ -103,6 +103,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, on whatever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def drop_stored(*tables: DataFrame) -> None:
     """Delete tables made by ``stored`` that nothing will read again, such as those of an earlier round of a loop."""
     for table in tables:

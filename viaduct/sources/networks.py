@@ -7,23 +7,26 @@ from pyspark.sql import functions as F
 
 from viaduct.functions.scalars import class_by_stem, class_by_tag, first_present, haversine_m, travel_time_s
 from viaduct.session import ready
+from viaduct.sources.json_items import RANGE_BYTES, read_items
 
 FEATURE = (
     "type string, geometry struct<type:string,coordinates:string>, properties struct<id:string,source:string,target:string,"
     "criticality:double,travelTimeSec:double,lengthM:double,roadClass:string,isBridge:boolean>"
 )
 COORDINATES = "array<array<double>>"
-OSM = (
-    "elements array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>,tags:map<string,string>>>"
-)
+OSM_ELEMENT = "type string, id bigint, lat double, lon double, nodes array<bigint>, tags map<string,string>"
 
 
 def _features(lines: DataFrame) -> DataFrame:
-    """(graph_id, feature, f): features of collections or one feature a line, from ``lines(graph_id, line, value)``."""
+    """(graph_id, feature, pos, f): features of ``lines(graph_id, line, value)``, each a collection or one feature.
+
+    ``pos`` is the place in a collection, or what ``lines`` say; ``line`` is anything that orders them.
+    """
+    own = F.col("pos") if "pos" in lines.columns else F.lit(0)
     whole = F.from_json("value", f"type string, features array<struct<{_typed(FEATURE)}>>")
     parsed = lines.withColumn("c", whole).withColumn("one", F.from_json("value", FEATURE))
     many = parsed.filter("c.features is not null").select("graph_id", "line", F.posexplode("c.features").alias("pos", "f"))
-    single = parsed.filter("c.features is null and one.geometry is not null").select("graph_id", "line", F.lit(0).alias("pos"), F.col("one").alias("f"))
+    single = parsed.filter("c.features is null and one.geometry is not null").select("graph_id", "line", own.cast("int").alias("pos"), F.col("one").alias("f"))
     return many.unionByName(single).withColumn("feature", F.struct("line", "pos"))
 
 
@@ -40,9 +43,17 @@ def _typed(ddl: str) -> str:
     return ",".join(x.replace(" ", ":", 1) for x in [*out, word.strip()])
 
 
-def read_lines(spark: SparkSession, path: str, graph_id: str) -> DataFrame:
-    """Lines of text files, numbered, as one graph; a collection spread over lines is read by ``whole=True`` readers."""
-    return ready(spark).read.text(path).select(F.lit(graph_id).alias("graph_id"), F.monotonically_increasing_id().alias("line"), "value")
+def read_geojson(spark: SparkSession, path: str, graph_id: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(graph_id, line, pos, value): the features of GeoJSON files as one graph, in the order of path and place.
+
+    Collections and single features, indented or not, one or many in a file; a large file is read by many tasks
+    (``json_items``). What is neither is an error when it is read; an empty collection has no features.
+    """
+    items = read_items(spark, path, range_bytes)
+    kind = F.get_json_object("value", "$.type")
+    stray = (F.col("level") == 1) & ~F.coalesce(kind.isin("Feature", "FeatureCollection"), F.lit(False))
+    checked = items.withColumn("type", F.when(stray, F.raise_error(F.concat(F.col("path"), F.lit(" is no GeoJSON: byte "), F.col("at").cast("string")))).otherwise(kind))
+    return checked.filter("type = 'Feature'").select(F.lit(graph_id).alias("graph_id"), F.struct("path", "at").alias("line"), "pos", "value")
 
 
 def _lines_of(features: DataFrame) -> DataFrame:
@@ -99,12 +110,13 @@ def geojson_chain(lines: DataFrame, weight: str = "lengthM") -> DataFrame:
     return _first_pair(steps, last=True).drop("feature")
 
 
-def read_osm(spark: SparkSession, path: str, by_line: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_osm(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(id, lat, lon) of the nodes and (id, nodes, tags) of the ways, with two nodes at least, of OSM JSON documents.
 
-    A file holds one document, or, ``by_line``, one on each line.
+    A file holds one document or many, of any layout; a large one is read by many tasks (``json_items``). A document
+    without elements has neither nodes nor ways.
     """
-    e = ready(spark).read.schema(OSM).json(path, multiLine=not by_line).select(F.explode("elements").alias("e")).select("e.*")
+    e = read_items(spark, path, range_bytes).filter("level = 3").select(F.from_json("value", OSM_ELEMENT).alias("e")).select("e.*")
     return e.filter("type = 'node'").select("id", "lat", "lon"), e.filter("type = 'way' and size(nodes) >= 2").select("id", "nodes", "tags")
 
 
