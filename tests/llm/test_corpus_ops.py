@@ -6,12 +6,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from viaduct.llm import collocations, fill_middle, queries, rows, sharding
+from viaduct.llm import collocations, counts, fill_middle, near_dedup, queries, rows, sharding
+from viaduct.llm.arrow import squeezed, unsqueezed
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -96,9 +98,8 @@ def test_op11(spark, folder, docs, empty):
     assert collocations.collocations(empty).count() == 0
 
 
-def test_scores_beyond_64_bits():
+def test_scores_beyond_64_bits(spark):
     """Products of counts are decimals of 38 digits."""
-    spark = pytest.importorskip("pyspark.sql").SparkSession.active()
     row = spark.sql("SELECT (CAST(3e12 AS DECIMAL(18,0)) * CAST(9e12 AS DECIMAL(18,0)) * CAST(1000 AS DECIMAL(4,0))) div (CAST(4e12 AS DECIMAL(18,0)) * CAST(5e12 AS DECIMAL(18,0))) AS s").first()
     assert row.s == 3 * 9 * 1000 // 20
 
@@ -232,3 +233,43 @@ def test_exception_index(text):
     assert (index.byte_of(np.arange(len(text) + 1)) == starts).all()
     assert (index.char_of(starts) == np.arange(len(text) + 1)).all()
     assert len(index.chars) == sum(ord(c) > 127 for c in text)
+
+
+@pytest.mark.parametrize("words", [16 << 20, 4096 << 20, 3 * 10**12 // 2])
+def test_rows_of_counts_keep_their_length(words):
+    """Keys in a row from a block to a part, and so bytes a key: no fewer for 4,096 parts' worth of words than for 16."""
+    grown = counts.growth(words)
+    parts = max(1, words / (counts.PART_WORDS * grown))
+    assert counts.BLOCK_BYTES * grown / counts.WORD_SIZE / parts >= 60
+
+
+def test_parts_summed_in_ranges(monkeypatch):
+    rng = np.random.default_rng(2)
+    blocks = [np.sort(rng.choice(np.uint64(5000) * np.arange(1, 4000, dtype=np.uint64), int(n), replace=False)) for n in (3000, 1, 2500, 700)]
+    times = [rng.integers(1, 9, len(b)).astype("<u8") for b in blocks]
+    table = pa.table({
+        "part": [0] * 4, "n": [1] * 4, "block": [5, 6, 7, 8], "keys": [squeezed(np.diff(b, prepend=np.uint64(0))) for b in blocks],
+        "counts": [squeezed(t) for t in times],
+    })
+    want = Counter()
+    for b, t in zip(blocks, times, strict=True):
+        want.update(dict(zip(b.tolist(), t.tolist(), strict=True)))
+    for most in (1 << 22, 1000, 7):
+        monkeypatch.setattr(counts, "SORTED_KEYS", most)
+        found = counts._answer(table)
+        for b, raw in zip(blocks, found.column("totals").to_pylist(), strict=True):
+            assert unsqueezed(raw).tolist() == [want[x] for x in b.tolist()]
+
+
+@pytest.mark.parametrize("rows", [512, 3])
+def test_packed_pairs_of_crowded_tokens(spark, monkeypatch, rows):
+    """Cells hold each pair of different classes that shares a token, however a crowded token is dealt."""
+    monkeypatch.setattr(near_dedup, "TOKEN_ROWS", rows)
+    monkeypatch.setattr(near_dedup, "HELD_PAIRS", 50)
+    rng = np.random.default_rng(4)
+    nodes = [(int(n), int(n) % 9, int(t)) for n in range(60) for t in {0, *rng.choice(20, 3)}]
+    frame = spark.createDataFrame([(n, c, t, 10.0, 10.0, 10.0, 10.0) for n, c, t in nodes], "node long, comp long, token long, r1 float, w1 float, r2 float, w2 float")
+    found = set()
+    for r in near_dedup._close_pairs(frame, 0.8, 60).collect():
+        found |= {tuple(p) for p in unsqueezed(r.pairs).reshape(-1, 2).tolist()}
+    assert found == {(a, b) for a, c, t in nodes for b, d, u in nodes if a > b and c != d and t == u}

@@ -19,7 +19,9 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ from viaduct.session import join_counted, observed, ready, stored
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: One in so many documents is in the sample; its threshold is lowered by so many standard deviations.
 SHARE, DEVIATIONS = 8, 2.5
+#: Phrases to a part of the last count, and rows of it that a task holds.
+PART_PHRASES, HELD_PHRASES = 1 << 14, 1 << 18
 #: Parts in which the best phrases of a group are picked before they meet in one task.
 PICK_PARTS = 64
 NO_GROUP = "und"
@@ -172,15 +176,39 @@ def _gathered(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Ar
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(buffer[where])])
 
 
+def _packed(counted: pa.Table, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, packed): the rows of ``counted`` by a hash of their phrase, those of a part together and compressed."""
+    whose = np.array([xxhash.xxh3_64_intdigest(p) for p in counted.column("phrase").to_pylist()], np.uint64) % np.uint64(parts)
+    order = np.argsort(whose, kind="stable")
+    some, starts = np.unique(whose[order], return_index=True)
+    counted = counted.take(pa.array(order)).combine_chunks()
+    pack = zstandard.ZstdCompressor(level=1).compress
+    packed = []
+    for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, counted.schema) as out:
+            out.write_table(counted.slice(a, b - a))
+        packed.append(pack(sink.getvalue()))
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(packed, pa.binary())], names=["part", "packed"])
+
+
 def count_texts(docs: DataFrame, keys: DataFrame, least: int, longest: int = LONGEST) -> DataFrame:
     """(lang, k, phrase, f), stored: exact counts of phrases whose keys are given, with ``least`` occurrences or more.
 
-    The row of each lang with k = 0 and no phrase has the number of its words.
+    The row of each lang with k = 0 and no phrase has the number of its words. Each task sums up what it finds, as far as
+    it holds it, and sends it packed to the parts that its hash names, as most of these phrases are in most tasks.
     """
-    marks = _map(keys, keys.count())
+    count = keys.count()
+    marks = _map(keys, count)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // PART_PHRASES)
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        whole = pa.concat_tables(tables).group_by(["lang", "k", "phrase"]).aggregate([("f", "sum")])
+        return whole.select(["lang", "k", "phrase", "f_sum"]).rename_columns(["lang", "k", "phrase", "f"])
+
+    def count_in(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _held(marks)
+        held: list[pa.Table] = []
         for batch in slices(batches, "text", 4 << 20):
             for group, texts in _groups(batch):
                 own = _Words(group, texts)
@@ -197,11 +225,22 @@ def count_texts(docs: DataFrame, keys: DataFrame, least: int, longest: int = LON
                     found.append((k, counts.field("values"), counts.field("counts")))
                 for k, phrases, counts in found:
                     n = len(phrases)
-                    columns = [pa.array([group] * n, pa.string()), pa.array([k] * n, pa.int32()), phrases.cast(pa.large_string()).cast(pa.string()), pa.array(counts, pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "k", "phrase", "f"])
-
-    counted = docs.mapInArrow(tidy(count), "lang string, k int, phrase string, f long")
-    return stored(counted.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("k") == 0)), "phrases")
+                    held.append(pa.table({"lang": pa.array([group] * n, pa.string()), "k": pa.array(np.full(n, k, np.int32)), "phrase": phrases, "f": pa.array(counts, pa.int64())}))
+            if sum(map(len, held)) > HELD_PHRASES:
+                held = [summed(held)]
+                if len(held[0]) > HELD_PHRASES // 2:
+                    yield from _packed(held.pop(), parts)
+        if held:
+            yield from _packed(summed(held), parts)
+
+    def merge(table: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        whole = summed([pa.ipc.open_stream(unpack(raw)).read_all() for raw in table.column("packed").to_pylist()])
+        whole = whole.filter(pc.or_(pc.greater_equal(whole.column("f"), least), pc.equal(whole.column("k"), 0)))
+        return whole.set_column(2, "phrase", whole.column("phrase").cast(pa.large_string()).cast(pa.string()))
+
+    sent = docs.mapInArrow(tidy(count_in), "part long, packed binary")
+    return stored(sent.groupBy("part").applyInArrow(merge, "lang string, k int, phrase string, f long"), "phrases")
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share: int = SHARE) -> DataFrame:

@@ -3,8 +3,10 @@
 The corpus is cut into blocks of whole documents. Each block sends its distinct keys (hashes of n-grams or shingles),
 sorted and counted, to the parts of the table that their first bits name. A part sums up its keys and answers each block
 with the totals of what it sent, in the same order. Keys travel as packed sorted differences, a few bytes each, rather
-than as rows; a key that is everywhere is sent once a block. The number of parts follows the number of words, so a part
-stays of one size however large the corpus is.
+than as rows; a key that is everywhere is sent once a block. A block sends a row to each part that it touches. Were
+blocks and parts of one size for any corpus, a row would hold fewer and fewer keys, down to one; so both grow with the
+root of the corpus, and the bytes of a key stay the same. A part is summed up in ranges of keys, some at once, so it may
+be larger than what a task can sort in memory.
 """
 
 from __future__ import annotations
@@ -22,8 +24,13 @@ from viaduct.llm.arrow import WORD_BYTES, byte_texts, release, slices, spans_of,
 from viaduct.llm.rows import with_row
 from viaduct.session import ready, stored
 
-#: Bytes of a block, words to a part of a table, and parts at least.
+#: Bytes of a block, words to a part of a table, and parts at least, for small corpora.
 BLOCK_BYTES, PART_WORDS, LEAST_PARTS = 4 << 20, 1 << 20, 16
+#: Words of a corpus of which a row still holds some 80 keys, bytes of a word, and how much blocks and parts may grow.
+#: Beyond 256 times these words, 17 TB of text, rows get shorter again.
+EVEN_WORDS, WORD_SIZE, MOST_GROWTH = 10_000_000_000, 6.5, 16
+#: Keys of a part that are sorted at once.
+SORTED_KEYS = 1 << 22
 #: Keys of a part and words of a block after which a worker gives memory back.
 LARGE = 1 << 18
 BLOCK = "block long, words long, doc_ids array<long>, rows array<long>, sizes array<int>, texts binary"
@@ -33,9 +40,20 @@ REPLY = "block long, n int, part int, totals binary"
 Keys = Callable[[list[bytes]], list[np.ndarray]]
 
 
-def cut_blocks(docs: DataFrame, row: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The stored corpus ``docs(doc_id, text)`` in blocks of whole documents, texts compressed; null counts as empty."""
+def growth(words: float) -> float:
+    """How many times larger blocks and parts are for a corpus of so many words."""
+    return min(MOST_GROWTH, max(1.0, (words / EVEN_WORDS) ** 0.5))
+
+
+def cut_blocks(docs: DataFrame, row: str | None = None, block_bytes: int | None = None) -> DataFrame:
+    """The stored corpus ``docs(doc_id, text)`` in blocks of whole documents, texts compressed; null counts as empty.
+
+    The size of blocks follows the optimiser's estimate of the size of ``docs``; no result depends on it.
+    """
     ready(docs.sparkSession)
+    if block_bytes is None:
+        estimate = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        block_bytes = int(BLOCK_BYTES * growth(float(str(estimate)) / WORD_SIZE))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -64,12 +82,13 @@ def block_texts(row: dict) -> list[bytes]:
     return [whole[e - n : e] for e, n in zip(ends, row["sizes"], strict=True)]
 
 
-def count_keys(blocks: DataFrame, keys_of: Keys, bits: int, words: int, part_words: int = PART_WORDS) -> DataFrame:
+def count_keys(blocks: DataFrame, keys_of: Keys, bits: int, words: int, part_words: int | None = None) -> DataFrame:
     """The stored answers to all blocks: for each, kind n of key (from 1) and part, the totals of its keys in order.
 
     ``bits`` are those of a key; ``words`` those of the corpus.
     """
     spark = blocks.sparkSession
+    part_words = part_words or int(PART_WORDS * growth(words))
     parts = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")), words // part_words)
     parts = 1 << (parts - 1).bit_length()
     requests = blocks.select("block", "sizes", "texts").mapInArrow(tidy(_requester(keys_of, bits, parts)), REQUEST)
@@ -100,20 +119,35 @@ def _requester(keys_of: Keys, bits: int, parts: int):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Sum one part of a count table and tell each block the totals of its keys, in its order."""
+    """Sum one part of a count table and tell each block the totals of its keys, in its order.
+
+    Keys are sorted in each block, so a range of them is a piece of each; ranges hold ``SORTED_KEYS`` at most but for
+    what many blocks share.
+    """
     keys = [np.cumsum(unsqueezed(k), dtype=np.uint64) for k in table.column("keys").to_pylist()]
-    counts = np.concatenate([unsqueezed(c) for c in table.column("counts").to_pylist()])
-    edges = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
-    flat = np.concatenate(keys)
-    del keys
-    order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    first = np.append(True, flat[1:] != flat[:-1])
-    totals = np.empty(len(flat), np.uint64)
-    totals[order] = np.add.reduceat(counts[order], np.flatnonzero(first))[np.cumsum(first) - 1]
-    packed = [squeezed(totals[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    if len(flat) > LARGE:  # its worker outlives it
-        del flat, counts, order, first, totals
+    counts = [np.require(unsqueezed(c), requirements="W") for c in table.column("counts").to_pylist()]
+    size = sum(map(len, keys))
+    step = -(-size // SORTED_KEYS)
+    # bounds of the ranges: quantiles of some keys of each block
+    some = np.sort(np.concatenate([k[:: max(1, min(step, len(k)))] for k in keys]))
+    bounds = some[(np.arange(1, step) * len(some)) // step]
+    cuts = [np.concatenate(([0], np.searchsorted(k, bounds), [len(k)])) for k in keys]
+    for r in range(step):
+        edges = np.concatenate(([0], np.cumsum([c[r + 1] - c[r] for c in cuts])))
+        flat = np.concatenate([k[c[r] : c[r + 1]] for k, c in zip(keys, cuts, strict=True)])
+        if not len(flat):
+            continue
+        own = np.concatenate([n[c[r] : c[r + 1]] for n, c in zip(counts, cuts, strict=True)])
+        order = np.argsort(flat, kind="stable")
+        flat = flat[order]
+        first = np.append(True, flat[1:] != flat[:-1])
+        totals = np.empty(len(flat), np.uint64)
+        totals[order] = np.add.reduceat(own[order], np.flatnonzero(first))[np.cumsum(first) - 1]
+        for n, c, a, b in zip(counts, cuts, edges[:-1], edges[1:], strict=True):
+            n[c[r] : c[r + 1]] = totals[a:b]
+    packed = [squeezed(n) for n in counts]
+    del keys, counts
+    if size > LARGE:  # its worker outlives it
         release()
     return pa.table({"block": table.column("block"), "n": table.column("n"), "part": table.column("part"), "totals": pa.array(packed, pa.binary())})
 

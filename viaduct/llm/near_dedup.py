@@ -5,7 +5,8 @@
    weighted samples (Ioffe 2010) of two sets agree with the probability of their weighted Jaccard similarity.
 3. Bands of samples are buckets. In a bucket, members are compared with one hub, not with each other; classes that
    stay apart are compared once more by members elected anew, several at a time. Of what is then still apart in some
-   bucket, every pair is compared that an exact prefix filter cannot exclude.
+   bucket, every pair is compared that an exact prefix filter cannot exclude; these pairs are never rows: they travel
+   packed to cells of some hundred texts, each of which comes there once, and only links leave a cell.
 4. Each compared pair is verified on the whole texts; linked documents form classes (connected components).
 
 Equal texts are one node throughout, so thousands of copies cost as much as one text.
@@ -33,8 +34,10 @@ WORDS, SIMILAR = 5, 0.8
 #: Samples in a band and bands: a pair at the threshold meets with a probability of 1 - (1 - 0.8^3)^12 = 0.9998.
 ROWS, BANDS = 3, 12
 #: Hubs elected in a round, rounds before all pairs that may be similar are compared, rows of a token and pairs of a hub in
-#: a task, and what bounds are lowered by for rounding.
-ELECTIONS, TURNS, TOKEN_ROWS, HUB_PAIRS, SLACK = 3, 1, 512, 2000, 1e-5
+#: a task, texts in a side of a cell, and what bounds are lowered by for rounding.
+ELECTIONS, TURNS, TOKEN_ROWS, HUB_PAIRS, CELL_ROWS, SLACK = 3, 1, 512, 2000, 128, 1e-5
+#: Pairs that a task holds at once.
+HELD_PAIRS = 1 << 20
 #: Rows of a table of pairs or nodes, and bytes of hubs' texts, up to which they are broadcast.
 FEW_ROWS, FEW_BYTES = 200_000, 16 << 20
 SIGNATURE = "doc_id long, row long, key binary, bands array<long>, packed binary, frequencies binary"
@@ -177,17 +180,18 @@ def _links(tested: DataFrame) -> DataFrame:
 def _apart(entries: DataFrame, classes: DataFrame) -> DataFrame:
     """(band, comp, node) of the members of buckets that hold two classes or more."""
     own = entries.join(classes, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-    spread = own.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("last")).filter("least < last")
-    return own.join(spread.select("band"), "band")
+    spread = own.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("last"), F.count(F.lit(1)).alias("n")).filter("least < last")
+    return join_counted(own, spread.select("band", "n"), "band", "n", "inner").drop("n")
 
 
 def _class_pairs(apart: DataFrame, turn: int) -> DataFrame:
     """In each bucket one member of a class with one of another, both elected by chance, and anew ``ELECTIONS`` times."""
     chance = [F.xxhash64("node", F.lit(turn), F.lit(k)) for k in range(ELECTIONS)]
-    own = apart.groupBy("band", "comp").agg(*[F.min(F.struct(c.alias("chance"), "node")).alias(f"x{k}") for k, c in enumerate(chance)])
-    own = own.select("band", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("x")) for k in range(ELECTIONS)])).alias("e")).select("band", "e.k", "e.x")
-    hubs = own.groupBy("band", "k").agg(F.min("x").alias("hub"))
-    return _ordered(own.join(hubs, ["band", "k"]).filter("x.node <> hub.node").select(F.col("x.node").alias("x"), F.col("hub.node").alias("y")))
+    own = stored(apart.groupBy("band", "comp").agg(*[F.min(F.struct(c.alias("chance"), "node")).alias(f"x{k}") for k, c in enumerate(chance)]), "elected")
+    hubs = own.groupBy("band").agg(*[F.min(f"x{k}").alias(f"h{k}") for k in range(ELECTIONS)], F.count(F.lit(1)).alias("n"))
+    both = join_counted(own, hubs, "band", "n", "inner")
+    pairs = both.select(F.explode(F.array(*[F.struct(F.col(f"x{k}.node").alias("x"), F.col(f"h{k}.node").alias("y")) for k in range(ELECTIONS)])).alias("p"))
+    return _ordered(pairs.select("p.x", "p.y").filter("x <> y"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -225,18 +229,111 @@ def _prefixes(documents: int, threshold: float):
     return prefix
 
 
-def _close_pairs(tokens: DataFrame, threshold: float) -> DataFrame:
-    """Every pair of texts of different classes that the bounds of ``_prefixes`` cannot exclude."""
+def _close_pairs(tokens: DataFrame, threshold: float, texts: int) -> DataFrame:
+    """(ca, cb, pairs): every pair of texts of different classes that the bounds of ``_prefixes`` cannot exclude, packed.
+
+    The two texts of a pair, the greater first, lie in the blocks ca and cb of some ``CELL_ROWS`` of all ``texts``; a pair
+    may come more than once. A token with many texts is dealt to tasks that compare two parts of them each.
+    """
     tokens = stored(tokens, "tokens")
     groups = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("least"), F.max("comp").alias("last")).filter("least < last")
-    groups = groups.select("token", F.ceil(F.col("n") / TOKEN_ROWS).cast("int").alias("parts"))
-    own = stored(tokens.join(groups, "token"), "shared")  # a large group is dealt to several tasks, each with all of the other side
-    left = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", "part", *[F.col(c).alias(f"{c}_a") for c in ("node", "comp", "r1", "w1", "r2", "w2")])
-    right = own.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("token", "part", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "r1", "w1", "r2", "w2")])
-    share = threshold / (1 + threshold) - SLACK
-    near = [F.least(f"r{k}_a", f"r{k}_b") >= share * (F.col(f"w{k}_a").cast("double") + F.col(f"w{k}_b")) for k in (1, 2)]
-    both = left.join(right, ["token", "part"]).filter((F.col("node_a") > F.col("node_b")) & (F.col("comp_a") != F.col("comp_b")) & (near[0] | near[1]))
-    return _ordered(both.select(F.col("node_a").alias("x"), F.col("node_b").alias("y")))
+    own = join_counted(tokens, groups.select("token", "n"), "token", "n", "inner").withColumn("parts", F.ceil(F.col("n") / TOKEN_ROWS).cast("int"))
+    own = own.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    ends = {"i": F.least("part", "other"), "j": F.greatest("part", "other"), "side": (F.col("part") > F.col("other")).cast("int")}
+    columns = ["token", "i", "j", "side", "node", "comp", "r1", "w1", "r2", "w2"]
+    # both parts meet in (i, j); which of them a row is of, side tells
+    dealt = own.withColumns(ends).select(*columns).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    blocks = max(1, -(-texts // CELL_ROWS))
+    return dealt.mapInArrow(tidy(_pairs_of(threshold / (1 + threshold) - SLACK, blocks)), "ca long, cb long, pairs binary")
+
+
+def _pairs_of(share: float, blocks: int):
+    def block(nodes: np.ndarray) -> np.ndarray:
+        return (mix(nodes.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+
+    def close(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of the rows x and y those pairs that the bounds leave, as two columns of nodes."""
+        same = rows["i"][x] == rows["j"][x]
+        keep = (rows["comp"][x] != rows["comp"][y]) & (same | (rows["side"][x] != rows["side"][y]))
+        x, y = x[keep], y[keep]
+        near = np.zeros(len(x), bool)
+        for k in ("1", "2"):
+            w, r = rows["w" + k], rows["r" + k]
+            near |= np.minimum(r[x], r[y]) >= share * (w[x].astype(np.float64) + w[y])
+        a, b = rows["node"][x[near]], rows["node"][y[near]]
+        return np.unique(np.stack((np.maximum(a, b), np.minimum(a, b)), 1), axis=0)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            pairs = np.unique(np.concatenate(held), axis=0) if held else np.zeros((0, 2), np.int64)
+            held.clear()
+            if not len(pairs):
+                return
+            ca, cb = block(np.ascontiguousarray(pairs[:, 0])), block(np.ascontiguousarray(pairs[:, 1]))
+            order = np.lexsort((cb, ca))
+            pairs, ca, cb = pairs[order], ca[order], cb[order]
+            cuts = np.flatnonzero(np.append(True, (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])))
+            ends = np.append(cuts[1:], len(pairs))
+            packed = [squeezed(pairs[s:e].ravel().view(np.uint64)) for s, e in zip(cuts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ca[cuts]), pa.array(cb[cuts]), pa.array(packed, pa.binary())], names=["ca", "cb", "pairs"])
+
+        for rows in _whole_groups(batches):
+            first = np.flatnonzero(np.append(True, (rows["token"][1:] != rows["token"][:-1]) | (rows["i"][1:] != rows["i"][:-1]) | (rows["j"][1:] != rows["j"][:-1])))
+            sizes = np.diff(np.append(first, len(rows["token"])))
+            for size in np.unique(sizes[sizes > 1]):
+                a, b = np.triu_indices(size, 1)
+                starts = first[sizes == size]
+                step = max(1, HELD_PAIRS // len(a))
+                for k in range(0, len(starts), step):
+                    own = starts[k : k + step, None]
+                    held.append(close(rows, (own + a).ravel(), (own + b).ravel()))
+                    if sum(map(len, held)) > HELD_PAIRS:
+                        yield from flush()
+        yield from flush()
+
+    return run
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of sorted batches, cut where a new group of token, i and j begins; a group has two parts of rows at most."""
+    left: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        if left is not None:
+            rows = {c: np.concatenate((left[c], v)) for c, v in rows.items()}
+        last = (rows["token"] == rows["token"][-1]) & (rows["i"] == rows["i"][-1]) & (rows["j"] == rows["j"][-1])
+        cut = int(np.argmax(last))
+        if cut:
+            yield {c: v[:cut] for c, v in rows.items()}
+        left = {c: v[cut:] for c, v in rows.items()}
+    if left is not None:
+        yield left
+
+
+def _links_of_cells(cells: DataFrame, texts: DataFrame, documents: int, threshold: float) -> DataFrame:
+    """(a, b, similarity, linked) of the linked ones among the packed pairs; a text comes once to each cell that needs it."""
+    cells = stored(cells, "cells")
+
+    def nodes_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ca, cb, raw in zip(*(batch.column(c).to_pylist() for c in ("ca", "cb", "pairs")), strict=True):
+                own = np.unique(unsqueezed(raw)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), ca)), pa.array(np.full(len(own), cb)), pa.array(own)], names=["ca", "cb", "node"])
+
+    def verify(pairs: pa.Table, own: pa.Table) -> pa.Table:
+        held = {n: (p, f) for n, p, f in zip(*(own.column(c).to_pylist() for c in ("node", "packed", "frequencies")), strict=True)}
+        vectors = Vectors(documents, 2 * len(held) + 1)
+        both = np.unique(np.concatenate([unsqueezed(r).reshape(-1, 2) for r in pairs.column("pairs").to_pylist()]), axis=0).view(np.int64)
+        found = np.array([_similarity(vectors.of(a, *held[a]), vectors.of(b, *held[b])) for a, b in both.tolist()], float)
+        linked = found >= threshold
+        return pa.table({"a": both[linked, 0], "b": both[linked, 1], "similarity": found[linked], "linked": linked[linked]})
+
+    needed = cells.mapInArrow(nodes_of, "ca long, cb long, node long").distinct().join(texts, "node")
+    return cells.groupBy("ca", "cb").cogroup(needed.groupBy("ca", "cb")).applyInArrow(verify, "a long, b long, similarity double, linked boolean")
 
 
 def _similarity(a: tuple, b: tuple) -> float:
@@ -324,24 +421,25 @@ def near_duplicates(
     stars = component_stars(_links(tested))
     apart, members = spread(stars)
     turn = 0
-    while members:
-        last = turn == TURNS
-        if last:
-            rest = texts.join(apart.select("node", "comp").distinct(), "node")
-            columns = "node long, comp long, token long, r1 float, w1 float, r2 float, w2 float"
-            fresh = _close_pairs(rest.mapInArrow(tidy(_prefixes(documents, threshold)), columns), threshold)
-        else:
-            fresh = _class_pairs(apart, turn)
+    while members and turn < TURNS:
         past = tested.select("a", "b")
+        fresh = _class_pairs(apart, turn)
         more, now = verified(fresh.join(F.broadcast(past) if seen["n"] <= few_rows else past, ["a", "b"], "left_anti"))
-        tested, seen, links = tested.unionByName(more), {"n": seen["n"] + now["n"]}, now["links"]
-        if links:
-            stars = component_stars(_links(more).unionByName(stars.select("graph_id", F.col("a").alias("src"), F.col("b").alias("dst"))))
-        if last:
+        tested, seen = tested.unionByName(more), {"n": seen["n"] + now["n"]}
+        if not now["links"]:
             break
-        if links:
-            apart, members = spread(stars)
-        turn = turn + 1 if links else TURNS
+        stars = component_stars(_links(more).unionByName(stars.select("graph_id", F.col("a").alias("src"), F.col("b").alias("dst"))))
+        apart, members = spread(stars)
+        turn += 1
+    if members:
+        # pairs of different classes were not linked before, so none is linked twice
+        lone, count = observed(apart.select("node", "comp").distinct(), "lone")
+        columns = "node long, comp long, token long, r1 float, w1 float, r2 float, w2 float"
+        prefixes = texts.join(lone, "node").mapInArrow(tidy(_prefixes(documents, threshold)), columns)
+        more, now = observed(_links_of_cells(_close_pairs(prefixes, threshold, count["n"]), texts, documents, threshold), "pairs")
+        if now["n"]:
+            tested = tested.unionByName(more)
+            stars = component_stars(_links(more).unionByName(stars.select("graph_id", F.col("a").alias("src"), F.col("b").alias("dst"))))
     classes = stars.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     linked = tested.filter("linked")
     degree = linked.select(F.col("a").alias("node")).union(linked.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
