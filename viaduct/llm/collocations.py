@@ -31,7 +31,7 @@ from viaduct.session import join_counted, observed, ready, stored
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: One in so many documents is in the sample; its threshold is lowered by so many standard deviations.
-SHARE, DEVIATIONS = 8, 2.5
+SHARE, DEVIATIONS = 8, 1.5
 #: Phrases to a part of the last count, and rows of it that a task holds.
 PART_PHRASES, HELD_PHRASES = 1 << 14, 1 << 18
 #: Parts in which the best phrases of a group are picked before they meet in one task.

@@ -35,9 +35,9 @@ WORDS, SIMILAR = 5, 0.8
 ROWS, BANDS = 3, 12
 #: Hubs elected in a round, rounds before all pairs that may be similar are compared, rows of a token and pairs of a hub in
 #: a task, texts in a side of a cell, and what bounds are lowered by for rounding.
-ELECTIONS, TURNS, TOKEN_ROWS, HUB_PAIRS, CELL_ROWS, SLACK = 3, 1, 512, 2000, 128, 1e-5
+ELECTIONS, TURNS, TOKEN_ROWS, HUB_PAIRS, CELL_ROWS, SLACK = 3, 1, 256, 2000, 64, 1e-5
 #: Pairs that a task holds at once.
-HELD_PAIRS = 1 << 20
+HELD_PAIRS = 1 << 17
 #: Rows of a table of pairs or nodes, and bytes of hubs' texts, up to which they are broadcast.
 FEW_ROWS, FEW_BYTES = 200_000, 16 << 20
 SIGNATURE = "doc_id long, row long, key binary, bands array<long>, packed binary, frequencies binary"
