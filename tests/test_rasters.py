@@ -77,7 +77,7 @@ def test_scalars(spark):
 
 def test_samples_are_exact_in_size(spark):
     rows = spark.range(50).select((F.col("id") % 2).alias("g"), "id")
-    assert sample_rows(rows, ["g"], "id", 0.3, 1).count() == 16
+    assert sample_rows(rows, ["g"], "id", 0.3, 1).count() == 14  # a share is cut to a whole number: 7 of 25 in each group
     assert hold_out(rows, "id", 0.1, 1).filter("split = 'val'").count() == 5
     assert hold_out(rows.limit(0), "id", 0.1, 1).count() == 0
 
@@ -138,3 +138,57 @@ def test_half_width_reaches_across_the_tile(spark):
     assert len(found) == len(full)
     assert all(found[t, r, c] == pytest.approx((r * r + c * c) ** 0.5) for t, r, c in near)
     assert found["one", 95, 95] == pytest.approx(95 * 2**0.5) and found["none", 50, 50] is None
+
+
+def test_half_width_and_tolerance_against_brute_force(spark):
+    """Masks with holes, full rows and full tiles, searched in pieces of any size."""
+    rng = np.random.default_rng(9)
+    size = 23
+    tiles = {"a": rng.random((size, size)) < 0.9, "b": rng.random((size, size)) < 0.3, "full": np.ones((size, size), bool), "bar": np.pad(np.ones((size, 5), bool), ((0, 0), (9, 9)))}
+    rows = [(t, int(r), int(c)) for t, m in tiles.items() for r, c in zip(*np.nonzero(m), strict=True)]
+    frame = spark.createDataFrame(rows, "tile_id string, r int, c int")
+    for columns in (1, 100, 1 << 16):
+        found = {(x.tile_id, x.r, x.c): x.d for x in raster.half_width(frame, size, columns).collect()}
+        assert len(found) == len(rows)
+        for t, m in tiles.items():
+            y, x = np.nonzero(~m)
+            for r, c in zip(*np.nonzero(m), strict=True):
+                want = np.sqrt(((y - r) ** 2 + (x - c) ** 2).min()) if len(y) else None
+                assert found[t, r, c] == (pytest.approx(want) if want else None)
+    masks = {k: spark.createDataFrame([x for x in rows if x[0] == "b" and (x[1] + x[2]) % 3 == i] + [(f"only{k}", 1, 1)], "tile_id string, r int, c int") for k, i in (("p", 0), ("t", 1))}
+    cells_of = {k: {tuple(x) for x in df.collect() if x.tile_id == "b"} for k, df in masks.items()}
+    for tolerance in (0, 1, 2, 3):
+        near = {k: {a for a in cells_of[k] if any((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2 <= tolerance**2 for b in cells_of[o])} for k, o in (("p", "t"), ("t", "p"))}
+        found = {r.tile_id: (r.precision, r.recall, r.relaxed_iou) for r in raster.relaxed_iou(masks["p"], masks["t"], tolerance).collect()}
+        p, t, m, k = len(cells_of["p"]), len(cells_of["t"]), len(near["p"]), len(near["t"])
+        assert found == {"b": (pytest.approx(m / p), pytest.approx(k / t), pytest.approx(m / (p + t - k))), "onlyp": (0.0, 1.0, 0.0), "onlyt": (1.0, 0.0, 0.0)}
+
+
+@pytest.mark.parametrize(("block", "halo"), [(64, 16), (5, 2), (7, 6), (256, 4)])
+def test_thinning_in_blocks(spark, block, halo):
+    """The same lines however tiles are cut, with shapes that take many exchanges, and places below 0."""
+    shapes = {"disk": {(r, c) for r in range(-20, 21) for c in range(-20, 21) if r * r + c * c <= 380}, "bar": {(r, c) for r in range(9) for c in range(60)}, "dot": {(3, 3)}}
+    rows = [(t, r, c) for t, s in shapes.items() for r, c in s]
+    found = {(x.tile_id, x.r, x.c) for x in raster.thin(spark.createDataFrame(rows, "tile_id string, r int, c int"), block=block, halo=halo).collect()}
+    for t, s in shapes.items():
+        here = np.zeros((100, 100), bool)
+        for r, c in s:
+            here[r + 25, c + 25] = True
+        while True:
+            before = here.sum()
+            for half in (0, 1):
+                here &= ~raster._thinned(here, half)
+            if here.sum() == before:
+                break
+        assert {(r, c) for u, r, c in found if u == t} == {(int(r) - 25, int(c) - 25) for r, c in zip(*np.nonzero(here), strict=True)}
+
+
+def test_one_collection(spark, tmp_path):
+    nodes = spark.createDataFrame([("g", i, 12.0 + i, 77.0) for i in range(4)], "graph_id string, node long, lat double, lng double")
+    edges = spark.createDataFrame([("g", f"e{i}", i, i + 1) for i in range(3)], "graph_id string, edge_id string, src long, dst long")
+    networks.write_geojson(nodes, edges, str(tmp_path / "whole"), collection=True)
+    parts = [p for p in (tmp_path / "whole").iterdir() if p.suffix == ".txt"]
+    assert len(parts) == 1 and [f["properties"]["id"] for f in json.loads(parts[0].read_text())["features"]] == ["e0", "e1", "e2"]
+    networks.write_geojson(nodes, edges.limit(0), str(tmp_path / "none"), collection=True)
+    assert networks.read_geojson(spark, str(tmp_path / "none"), "g").count() == 0
+    assert networks.read_geojson(spark, str(tmp_path / "whole"), "g").count() == 3

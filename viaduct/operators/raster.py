@@ -1,23 +1,33 @@
 """Rasters as pixel rows (tile_id, r, c, ...): metrics, morphology, thinning and occlusion.
 
-Masks hold foreground pixels only. Every step is a join or an aggregate keyed by tile and place, so a large tile is
-spread over many tasks like many small ones.
+Masks hold foreground pixels only. Every step is a join or an aggregate keyed by tile and place, or works on blocks or
+columns of tiles, so a large tile is spread over many tasks like many small ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from viaduct.functions.scalars import hash_unit
 from viaduct.operators.components import connected_components
-from viaduct.session import stored
+from viaduct.session import drop_stored, observed, stored
 
 AT = ["tile_id", "r", "c"]
 EPS, MICRO_EPS = 1e-7, 1e-6
 EIGHT = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
 FOUR = [(-1, 0), (0, 1), (1, 0), (0, -1)]
 DISK2 = [(y, x) for y in range(-2, 3) for x in range(-2, 3) if y * y + x * x <= 4]
+#: Pixels of a side of a block and around it, and pixels whose columns a task searches at once.
+BLOCK, HALO, COLUMNS = 64, 16, 1 << 16
 #: Columns that a pixel's number leaves room for.
 BIG = 1 << 31
 
@@ -285,50 +295,137 @@ def fill_holes(mask: DataFrame, size: int, least: int = 64) -> DataFrame:
     return grid.join(drop_small(back, least), AT, "left_anti")
 
 
-def thin(mask: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """Thinned to lines by the two sub-iterations of Zhang and Suen (1984) until nothing changes."""
+def thin(mask: DataFrame, most_rounds: int = 1000, block: int = BLOCK, halo: int = HALO) -> DataFrame:
+    """Thinned to lines by the two sub-iterations of Zhang and Suen (1984) until nothing changes.
+
+    Tiles are cut into blocks of ``block`` x ``block`` pixels, each with what lies around it, ``halo`` wide. What a pixel
+    becomes in a sub-iteration depends on its neighbours only, so ``halo`` of them are right inside a block before its
+    surroundings have to be dealt anew: ``halo`` / 2 rounds cost one exchange, whatever the size of tiles.
+    """
+    kinds = {f.name: f.dataType for f in mask.schema.fields}
     own = stored(mask.select(*AT).distinct(), "thin")
-    for _ in range(most_rounds):
-        before = own.count()
-        for half in (0, 1):
-            around = shifted(own, [(-y, -x) for y, x in EIGHT]).groupBy(*AT).agg(F.sum(F.pow(F.lit(2), F.col("k"))).cast("int").alias("bits"))
-            p = [F.col("bits").bitwiseAND(1 << k) > 0 for k in range(8)]  # from the north, clockwise
-            b = sum(x.cast("int") for x in p)
-            a = sum((~p[k] & p[(k + 1) % 8]).cast("int") for k in range(8))
-            pairs = (~(p[0] & p[2] & p[4]) & ~(p[2] & p[4] & p[6])) if half == 0 else (~(p[0] & p[2] & p[6]) & ~(p[0] & p[4] & p[6]))
-            gone = own.join(around, AT).filter(b.between(2, 6) & (a == 1) & pairs).select(*AT)
-            own = stored(own.join(gone, AT, "left_anti"), "thin")
-        if own.count() == before:
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / block), F.floor((F.col(c) + halo) / block)))
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in AT] + [T.StructField("late", T.LongType())])
+
+    def run(key: tuple, pixels: pa.Table) -> pa.Table:
+        tile, top, left = (k.as_py() for k in key)
+        here = np.zeros((block + 2 * halo, block + 2 * halo), bool)
+        here[pixels.column("r").to_numpy() - (top * block - halo), pixels.column("c").to_numpy() - (left * block - halo)] = True
+        late = 0
+        for step in range(halo):
+            gone = _thinned(here, step % 2)
+            if step >= halo - 2:
+                late += int(gone[halo:-halo, halo:-halo].sum())
+            here &= ~gone
+        r, c = np.nonzero(here[halo:-halo, halo:-halo])
+        columns = [[tile] * (len(r) + 1), [*(r + top * block).tolist(), None], [*(c + left * block).tolist(), None], [*[0] * len(r), late]]
+        return pa.table({f.name: pa.array(x, to_arrow_type(f.dataType)) for f, x in zip(schema.fields, columns, strict=True)})
+
+    for _ in range(-(-2 * most_rounds // halo)):
+        dealt = own.withColumn("top", span("r")).withColumn("left", span("c"))
+        marked, seen = observed(dealt.groupBy("tile_id", "top", "left").applyInArrow(run, schema), "thin", late=F.coalesce(F.sum("late"), F.lit(0)))
+        drop_stored(own)
+        own = marked.filter("r is not null").drop("late")
+        if not seen["late"]:
             return own
     raise RuntimeError("thinning did not settle")
 
 
-def half_width(mask: DataFrame, size: int) -> DataFrame:
+def _thinned(here: np.ndarray, half: int) -> np.ndarray:
+    """What one sub-iteration deletes; beyond the array there is nothing."""
+    wide = np.pad(here, 1)
+    p = [wide[1 + y : wide.shape[0] - 1 + y, 1 + x : wide.shape[1] - 1 + x] for y, x in EIGHT]  # from the north, clockwise
+    count = np.sum(p, axis=0)
+    turns = np.sum([~p[k] & p[(k + 1) % 8] for k in range(8)], axis=0)
+    north, east, south, west = p[0], p[2], p[4], p[6]
+    free = ~(north & east & south) & ~(east & south & west) if half == 0 else ~(north & east & west) & ~(north & south & west)
+    return here & (count >= 2) & (count <= 6) & (turns == 1) & free
+
+
+def half_width(mask: DataFrame, size: int, columns: int = COLUMNS) -> DataFrame:
     """(tile_id, r, c, d): Euclidean distance to the nearest background pixel of the tile, null if it has none.
 
-    Only background next to the foreground matters; the search radius doubles for pixels without an answer, up to the
-    tile's diagonal.
+    Exact, in two passes (as Felzenszwalb and Huttenlocher 2012): the nearest background of a pixel's row, by the ends of its
+    run; then of each column the least of that, squared, and the squared distance of its row. Columns of many tiles are
+    searched outward together, until no row that far could be nearer.
+    """
+    row = Window.partitionBy("tile_id", "r").orderBy("c")
+    run = Window.partitionBy("tile_id", "r", "run")
+    own = mask.select(*AT).distinct().withColumn("run", F.col("c") - F.row_number().over(row))
+    before, behind = F.min("c").over(run) - 1, F.max("c").over(run) + 1
+    ends = own.withColumns({"a": F.when(before >= 0, F.col("c") - before), "b": F.when(behind < size, behind - F.col("c"))})
+    near = ends.select(*AT, F.least("a", "b").cast("double").alias("near")).repartition("tile_id", "c").sortWithinPartitions("tile_id", "c")
+    kinds = {f.name: f.dataType for f in mask.schema.fields}
+    schema = T.StructType([T.StructField(c, kinds[c]) for c in AT] + [T.StructField("d", T.DoubleType())])
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_columns(batches, columns):
+            tile, r, c = table.column("tile_id"), table.column("r").to_numpy(), table.column("c").to_numpy()
+            near = table.column("near").to_numpy(zero_copy_only=False)
+            new = np.append(True, (c[1:] != c[:-1]) | pc.not_equal(tile[1:], tile[:-1]).to_numpy(zero_copy_only=False))
+            which = np.cumsum(new) - 1
+            least = np.zeros((which[-1] + 1, size))  # background is 0 away
+            least[which, r] = np.where(np.isnan(near), np.inf, near * near)
+            first = least.copy()
+            for step in range(1, size):
+                if step * step >= least.max():
+                    break
+                np.minimum(least[:, step:], first[:, :-step] + step * step, out=least[:, step:])
+                np.minimum(least[:, :-step], first[:, step:] + step * step, out=least[:, :-step])
+            found = np.sqrt(least[which, r])
+            yield pa.RecordBatch.from_arrays([*(table.column(x).combine_chunks() for x in AT), pa.array(found, pa.float64(), mask=np.isinf(found))], names=[*AT, "d"])
+
+    return near.mapInArrow(search, schema)
+
+
+def _whole_columns(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Sorted pixels in tables of whole columns of tiles, some ``most`` pixels or one column in each."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+        if held.num_rows < most:
+            continue
+        last = pc.and_(pc.equal(held.column("tile_id"), held.column("tile_id")[-1]), pc.equal(held.column("c"), held.column("c")[-1]))
+        cut = int(np.argmax(last.to_numpy()))
+        if cut:
+            yield held.slice(0, cut).combine_chunks()
+            held = held.slice(cut)
+    if held is not None:
+        yield held.combine_chunks()
+
+
+def within(mask: DataFrame, other: DataFrame, tolerance: int) -> DataFrame:
+    """The pixels of ``mask`` that have a pixel of ``other`` at ``tolerance`` or less, as the crow flies.
+
+    Each pixel asks the rows up to ``tolerance`` above and below for their nearest pixel to the left and to the right.
+    """
+    ask = mask.select(*AT).distinct().withColumn("dy", F.explode(F.sequence(F.lit(-tolerance), F.lit(tolerance))))
+    ask = ask.select("tile_id", (F.col("r") + F.col("dy")).alias("r"), "c", F.col("dy").cast("int").alias("dy"))
+    both = ask.union(other.select(*AT).distinct().withColumn("dy", F.lit(None).cast("int")))
+    row = Window.partitionBy("tile_id", "r").orderBy("c", F.col("dy").isNotNull())
+    there = F.when(F.col("dy").isNull(), F.col("c"))
+    left = F.last(there, True).over(row.rowsBetween(Window.unboundedPreceding, 0))
+    right = F.first(there, True).over(row.rowsBetween(0, Window.unboundedFollowing))
+    away = F.least(F.col("c") - left, right - F.col("c"))
+    near = both.withColumn("away", away).filter(F.col("dy").isNotNull() & (F.col("away") * F.col("away") + F.col("dy") * F.col("dy") <= tolerance * tolerance))
+    return near.select("tile_id", (F.col("r") - F.col("dy")).alias("r"), "c").distinct()
+
+
+def relaxed_iou(pred: DataFrame, target: DataFrame, tolerance: int = 3) -> DataFrame:
+    """(tile_id, precision, recall, relaxed_iou) where a pixel is right if the other mask has one within ``tolerance``.
+
+    With m and k the pixels of prediction and target that are right so, relaxed IoU is m / (predicted + target - k): all
+    that is predicted, and what of the target is missed. Tiles that one mask lacks score 0; a share of nothing is 1.
     """
-    rim = dilate(mask, size, [(0, 0), *FOUR]).join(mask.select(*AT), AT, "left_anti")
-    rim = stored(rim, "rim")
-    left, radius, parts = stored(mask.select(*AT), "left"), 2, []
-    while True:
-        cell = lambda df: df.withColumn("cy", F.floor(F.col("r") / radius)).withColumn("cx", F.floor(F.col("c") / radius))  # noqa: B023,E731
-        near = cell(left).withColumn("o", _offsets([(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1)]))
-        near = near.select(*AT, (F.col("cy") + F.col("o.dy")).alias("cy"), (F.col("cx") + F.col("o.dx")).alias("cx"))
-        other = cell(rim).select("tile_id", "cy", "cx", F.col("r").alias("y"), F.col("c").alias("x"))
-        d2 = F.pow(F.col("r") - F.col("y"), 2) + F.pow(F.col("c") - F.col("x"), 2)
-        found = near.join(other, ["tile_id", "cy", "cx"]).groupBy(*AT).agg(F.min(d2).alias("d2")).filter(F.col("d2") <= radius * radius)
-        found = stored(found.select(*AT, F.sqrt("d2").alias("d")), "width")
-        parts.append(found)
-        left = stored(left.join(found, AT, "left_anti"), "left")
-        if radius * radius >= 2 * size * size or left.isEmpty():
-            break
-        radius *= 2
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.unionByName(left.withColumn("d", F.lit(None).cast("double")))
+    count = lambda df, name: df.groupBy("tile_id").agg(F.count(F.lit(1)).alias(name))
+    pred, target = (stored(df.select(*AT).distinct(), "mask") for df in (pred, target))
+    parts = [count(pred, "p"), count(target, "t"), count(within(pred, target, tolerance), "m"), count(within(target, pred, tolerance), "k")]
+    both = reduce(lambda a, b: a.join(b, "tile_id", "full"), parts).fillna(0, ["p", "t", "m", "k"])
+    share = lambda a, b: F.when(b == 0, 1.0).otherwise(a / b)
+    p, t, m, k = (F.col(x) for x in "ptmk")
+    return both.select("tile_id", share(m, p).alias("precision"), share(k, t).alias("recall"), share(m, p + t - k).alias("relaxed_iou"))
 
 
 def connectivity_labels(mask: DataFrame) -> DataFrame:

@@ -223,6 +223,20 @@ def half_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.half_width(mask, SIZE).select("tile_id", "r", "c", F.round("d", 9).alias("d"))
 
 
+def relaxed_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels from one half up against those from six tenths up, moved a row down, with a tolerance of three pixels."""
+    px = line_pixels(spark, sf_dir)
+    target = px.filter("prob >= 0.6 and r < 95").select("tile_id", (F.col("r") + 1).cast("int").alias("r"), "c")
+    found = raster.relaxed_iou(px.filter("prob >= 0.5"), target)
+    return found.select("tile_id", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "relaxed_iou")])
+
+
+def logit_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy of each vector's values, taken as logits, against their sign with a margin."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.explode("embedding").alias("v")).select("vec_id", (8 * F.col("v").cast("double")).alias("x"), (F.col("v").cast("double") >= 0.05).cast("double").alias("t"))
+    return own.groupBy("vec_id").agg(F.round(F.avg(raster.bce_with_logits(F.col("x"), F.col("t"))), 9).alias("bce"))
+
+
 def junction_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.junction_clusters(line_pixels(spark, sf_dir).filter(S.foreground("prob", 0.5)))
 
@@ -278,7 +292,7 @@ QUERIES = {
     "scene_pairs": scene_pairs, "split_summary": split_summary, "iou_dice_recall": iou_dice_recall, "micro_macro_metrics": micro_macro_metrics,
     "soft_losses": soft_losses, "consistency": consistency, "otsu": otsu, "seam_blend": seam_blend, "neighbour_count": neighbour_count,
     "node_pixels": node_pixels, "connectivity_labels": connectivity_labels, "closing": closing, "small_objects": small_objects,
-    "fill_holes": fill_holes, "thinning": thinning, "half_width": half_width, "junction_clusters": junction_clusters,
+    "fill_holes": fill_holes, "thinning": thinning, "half_width": half_width, "relaxed_iou": relaxed_iou, "logit_loss": logit_loss, "junction_clusters": junction_clusters,
     "mask_to_network": mask_to_network, "blob_mask": blob_mask, "overlay": overlay, "random_occlude": random_occlude, "score_tiles": score_tiles,
 }
 
@@ -340,6 +354,8 @@ SELECT l_orderkey, l_linenumber, CASE WHEN i>=80 THEN 'Resilient' WHEN i>=60 THE
     "small_objects": _L + ", lab(tile_id, r, c, comp) USING KEY (tile_id, r, c) AS (SELECT tile_id, r, c, r*100000+c FROM mask UNION SELECT m.tile_id, m.r, m.c, min(l.comp) FROM lab l JOIN (VALUES (-1,0),(0,1),(1,0),(0,-1)) o(dy,dx) ON true JOIN recurring.lab m ON m.tile_id=l.tile_id AND m.r=l.r+dy AND m.c=l.c+dx WHERE l.comp<m.comp GROUP BY ALL) SELECT tile_id, r, c FROM (SELECT *, count(*) OVER (PARTITION BY tile_id, comp) AS n FROM lab) WHERE n>=3",
     "fill_holes": _L.replace("prob>=0.5", "prob>=0") + f", dl AS (SELECT DISTINCT tile_id, (r+dy)::INT AS r, (c+dx)::INT AS c FROM mask CROSS JOIN {_DISK} WHERE r+dy BETWEEN 0 AND 95 AND c+dx BETWEEN 0 AND 95), bg AS (SELECT * FROM {_GRID96} EXCEPT SELECT * FROM dl), lab(tile_id, r, c, comp) USING KEY (tile_id, r, c) AS (SELECT tile_id, r, c, r*100000+c FROM bg UNION SELECT m.tile_id, m.r, m.c, min(l.comp) FROM lab l JOIN (VALUES (-1,0),(0,1),(1,0),(0,-1)) o(dy,dx) ON true JOIN recurring.lab m ON m.tile_id=l.tile_id AND m.r=l.r+dy AND m.c=l.c+dx WHERE l.comp<m.comp GROUP BY ALL) SELECT tile_id, r, c FROM dl UNION ALL SELECT tile_id, r, c FROM (SELECT *, count(*) OVER (PARTITION BY tile_id, comp) AS n FROM lab) WHERE n<6",
     "half_width": _L + f", dl AS (SELECT DISTINCT tile_id, (r+dy)::INT AS r, (c+dx)::INT AS c FROM mask CROSS JOIN {_DISK} WHERE r+dy BETWEEN 0 AND 95 AND c+dx BETWEEN 0 AND 95), bg AS (SELECT * FROM {_GRID96} EXCEPT SELECT * FROM dl) SELECT dl.tile_id, dl.r, dl.c, round(sqrt(min(pow(dl.r-bg.r,2)+pow(dl.c-bg.c,2))),9) AS d FROM dl JOIN bg ON bg.tile_id=dl.tile_id AND bg.r BETWEEN dl.r-24 AND dl.r+24 GROUP BY dl.tile_id, dl.r, dl.c",
+    "relaxed_iou": f"WITH {LINES_SQL}, p AS (SELECT tile_id, r, c FROM px WHERE prob>=0.5), t AS (SELECT tile_id, r+1 AS r, c FROM px WHERE prob>=0.6 AND r<95), o AS (SELECT y AS dy, x AS dx FROM (SELECT unnest(generate_series(-3,3)) AS y), (SELECT unnest(generate_series(-3,3)) AS x) WHERE y*y+x*x<=9), m AS (SELECT tile_id, count(*) AS m FROM (SELECT DISTINCT p.* FROM p CROSS JOIN o JOIN t ON t.tile_id=p.tile_id AND t.r=p.r+dy AND t.c=p.c+dx) GROUP BY 1), k AS (SELECT tile_id, count(*) AS k FROM (SELECT DISTINCT t.* FROM t CROSS JOIN o JOIN p ON p.tile_id=t.tile_id AND p.r=t.r+dy AND p.c=t.c+dx) GROUP BY 1), a AS (SELECT tile_id, coalesce(p,0) AS p, coalesce(t,0) AS t, coalesce(m,0) AS m, coalesce(k,0) AS k FROM (SELECT tile_id, count(*) AS p FROM p GROUP BY 1) FULL JOIN (SELECT tile_id, count(*) AS t FROM t GROUP BY 1) USING (tile_id) LEFT JOIN m USING (tile_id) LEFT JOIN k USING (tile_id)) SELECT tile_id, round(CASE WHEN p=0 THEN 1.0::DOUBLE ELSE m/p::DOUBLE END,9) AS precision, round(CASE WHEN t=0 THEN 1.0::DOUBLE ELSE k/t::DOUBLE END,9) AS recall, round(CASE WHEN p+t-k=0 THEN 1.0::DOUBLE ELSE m/(p+t-k)::DOUBLE END,9) AS relaxed_iou FROM a",
+    "logit_loss": "SELECT vec_id, round(avg(greatest(x,0)-x*t+ln(1+exp(-abs(x)))),9) AS bce FROM (SELECT vec_id, 8*v AS x, (v>=0.05)::INT::DOUBLE AS t FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings)) GROUP BY vec_id",
     "junction_clusters": _L + f", nc AS (SELECT m.tile_id, m.r, m.c, count(n.r) AS n FROM mask m CROSS JOIN {_EIGHT} LEFT JOIN mask n ON n.tile_id=m.tile_id AND n.r=m.r+dy AND n.c=m.c+dx GROUP BY ALL), np AS (SELECT tile_id, r, c FROM nc WHERE n=1 OR n>=3), lab(tile_id, r, c, comp) USING KEY (tile_id, r, c) AS (SELECT tile_id, r, c, r::BIGINT*2147483648+c FROM np UNION SELECT m.tile_id, m.r, m.c, min(l.comp) FROM lab l JOIN {_EIGHT} ON true JOIN recurring.lab m ON m.tile_id=l.tile_id AND m.r=l.r+dy AND m.c=l.c+dx WHERE l.comp<m.comp GROUP BY ALL), mi AS (SELECT tile_id, comp, avg(r) AS my, avg(c) AS mx, count(*) AS size FROM lab GROUP BY ALL), dd AS (SELECT lab.tile_id, comp, r, c, size, row_number() OVER (PARTITION BY lab.tile_id, comp ORDER BY round(pow(r-my,2)+pow(c-mx,2),9), r, c) AS k FROM lab JOIN mi USING (tile_id, comp)) SELECT tile_id, comp AS cluster, r, c, size FROM dd WHERE k=1",
     "blob_mask": _E + f", {_BL} SELECT tile_id, r, c, round(alpha,9) AS alpha, round(alpha,9)>=0.5 AS occluded FROM al",
     "overlay": _E + f", {_BL}, ov AS (SELECT tile_id, r, c, round(prob*255,3) AS v, round(alpha,6)*0.7 AS a FROM al) SELECT tile_id, r, c, floor(v*(1-a)+255*a)::INT AS cloud, floor(v*(1-a)+0*a)::INT AS shadow, floor(v*(1-a)+110*a)::INT AS canopy FROM ov",

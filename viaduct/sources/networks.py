@@ -230,9 +230,22 @@ def features_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.select("graph_id", F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties"))).alias("value"))
 
 
-def write_geojson(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Features as lines of text (GeoJSON text sequence)."""
-    features_of(nodes, edges).select("value").write.text(path)
+def write_geojson(nodes: DataFrame, edges: DataFrame, path: str, collection: bool = False) -> None:
+    """Features as lines of text (GeoJSON text sequence), or, as one ``collection``, a single document of a single file.
+
+    A collection passes through one task, feature by feature, in the order of graphs and texts; lines are written by all.
+    """
+    lines = features_of(nodes, edges)
+    if not collection:
+        lines.select("value").write.text(path)
+        return
+    head, tail = '{"type":"FeatureCollection","features":[', "]}"
+    spark = nodes.sparkSession
+    first = lines.select(F.min(F.struct("graph_id", "value")).alias("x"))
+    listed = lines.select(F.lit(1).alias("place"), "graph_id", "value").join(F.broadcast(first), F.lit(True), "left")  # one row
+    listed = listed.select("place", "graph_id", F.when(F.struct("graph_id", "value") == F.col("x"), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"), F.col("value").alias("by"))
+    ends = spark.createDataFrame([(0, "", head, ""), (2, "", tail, "")], "place int, graph_id string, value string, by string")
+    listed.unionByName(ends).repartition(1).sortWithinPartitions("place", "graph_id", "by").select("value").write.text(path)
 
 
 def node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
