@@ -316,7 +316,13 @@ def _whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, np.nd
 
 def _links_of_cells(cells: DataFrame, texts: DataFrame, documents: int, threshold: float) -> DataFrame:
     """(a, b, similarity, linked) of the linked ones among the packed pairs; a text comes once to each cell that needs it."""
-    cells = stored(cells, "cells")
+
+    def merged(pairs: pa.Table) -> pa.Table:
+        both = np.unique(np.concatenate([unsqueezed(r).reshape(-1, 2) for r in pairs.column("pairs").to_pylist()]), axis=0)
+        return pa.table({"ca": pairs.column("ca")[:1], "cb": pairs.column("cb")[:1], "pairs": pa.array([squeezed(both.ravel())], pa.binary())})
+
+    # tasks send parts of a cell; each is one row from here on
+    cells = stored(cells.groupBy("ca", "cb").applyInArrow(merged, "ca long, cb long, pairs binary"), "cells")
 
     def nodes_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,12 +333,12 @@ def _links_of_cells(cells: DataFrame, texts: DataFrame, documents: int, threshol
     def verify(pairs: pa.Table, own: pa.Table) -> pa.Table:
         held = {n: (p, f) for n, p, f in zip(*(own.column(c).to_pylist() for c in ("node", "packed", "frequencies")), strict=True)}
         vectors = Vectors(documents, 2 * len(held) + 1)
-        both = np.unique(np.concatenate([unsqueezed(r).reshape(-1, 2) for r in pairs.column("pairs").to_pylist()]), axis=0).view(np.int64)
+        both = unsqueezed(pairs.column("pairs")[0].as_py()).reshape(-1, 2).view(np.int64)
         found = np.array([_similarity(vectors.of(a, *held[a]), vectors.of(b, *held[b])) for a, b in both.tolist()], float)
         linked = found >= threshold
         return pa.table({"a": both[linked, 0], "b": both[linked, 1], "similarity": found[linked], "linked": linked[linked]})
 
-    needed = cells.mapInArrow(nodes_of, "ca long, cb long, node long").distinct().join(texts, "node")
+    needed = cells.mapInArrow(nodes_of, "ca long, cb long, node long").join(texts, "node")
     return cells.groupBy("ca", "cb").cogroup(needed.groupBy("ca", "cb")).applyInArrow(verify, "a long, b long, similarity double, linked boolean")
 
 
