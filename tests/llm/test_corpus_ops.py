@@ -263,13 +263,27 @@ def test_parts_summed_in_ranges(monkeypatch):
 
 @pytest.mark.parametrize("rows", [512, 3])
 def test_packed_pairs_of_crowded_tokens(spark, monkeypatch, rows):
-    """Cells hold each pair of different classes that shares a token, however a crowded token is dealt."""
+    """Cells hold each pair of different classes that shares a token, however a crowded token is dealt, by the homes of its texts."""
     monkeypatch.setattr(near_dedup, "TOKEN_ROWS", rows)
     monkeypatch.setattr(near_dedup, "HELD_PAIRS", 50)
     rng = np.random.default_rng(4)
     nodes = [(int(n), int(n) % 9, int(t)) for n in range(60) for t in {0, *rng.choice(20, 3)}]
-    frame = spark.createDataFrame([(n, c, t, 10.0, 10.0, 10.0, 10.0) for n, c, t in nodes], "node long, comp long, token long, r1 float, w1 float, r2 float, w2 float")
+    columns = "node long, comp long, home long, token long, r1 float, w1 float, r2 float, w2 float"
+    frame = spark.createDataFrame([(n, c, -(n % 4), t, 10.0, 10.0, 10.0, 10.0) for n, c, t in nodes], columns)
     found = set()
-    for r in near_dedup._close_pairs(frame, 0.8, 60).collect():
-        found |= {tuple(p) for p in unsqueezed(r.pairs).reshape(-1, 2).tolist()}
+    for r in near_dedup._close_pairs(frame, 0.8).collect():
+        own = {tuple(p) for p in unsqueezed(r.pairs).reshape(-1, 2).tolist()}
+        assert {(max(-(a % 4), -(b % 4)), min(-(a % 4), -(b % 4))) for a, b in own} == {(r.ca, r.cb)}
+        found |= own
     assert found == {(a, b) for a, c, t in nodes for b, d, u in nodes if a > b and c != d and t == u}
+
+
+def test_homes_of_texts_of_one_body(spark):
+    """Texts of one large bucket fill few homes, and every text has one, of ``CELL_ROWS`` texts or not many more."""
+    entries = [(b, n, n) for n in range(400) for b in (1, 2 + n % 2)] + [(50 + n // 2, n, n) for n in range(400, 440)]
+    apart = near_dedup._apart(spark.createDataFrame(entries, "band long, node long, x long").drop("x"), spark.createDataFrame([], "node long, comp long"))
+    found = near_dedup._homes(apart).collect()
+    assert sorted(r.node for r in found) == list(range(440)) and all(r.comp == r.node for r in found)
+    sizes = Counter(r.home for r in found)
+    assert len({r.home for r in found if r.node < 400}) <= -(-400 // near_dedup.CELL_ROWS)
+    assert max(sizes.values()) < 2 * near_dedup.CELL_ROWS and len({r.home for r in found if r.node >= 400}) == 20

@@ -6,7 +6,8 @@
 3. Bands of samples are buckets. In a bucket, members are compared with one hub, not with each other; classes that
    stay apart are compared once more by members elected anew, several at a time. Of what is then still apart in some
    bucket, every pair is compared that an exact prefix filter cannot exclude; these pairs are never rows: they travel
-   packed to cells of some hundred texts, each of which comes there once, and only links leave a cell.
+   packed to cells of some hundred texts of the same large buckets, each of which comes there once, and only links leave
+   a cell.
 4. Each compared pair is verified on the whole texts; linked documents form classes (connected components).
 
 Equal texts are one node throughout, so thousands of copies cost as much as one text.
@@ -178,10 +179,23 @@ def _links(tested: DataFrame) -> DataFrame:
 
 
 def _apart(entries: DataFrame, classes: DataFrame) -> DataFrame:
-    """(band, comp, node) of the members of buckets that hold two classes or more."""
+    """(band, comp, node, n) of the members of buckets that hold two classes or more, n members each."""
     own = entries.join(classes, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
     spread = own.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("last"), F.count(F.lit(1)).alias("n")).filter("least < last")
-    return join_counted(own, spread.select("band", "n"), "band", "n", "inner").drop("n")
+    return join_counted(own, spread.select("band", "n"), "band", "n", "inner")
+
+
+def _homes(apart: DataFrame) -> DataFrame:
+    """(node, comp, home) of the texts of ``apart``: a home is a block of some ``CELL_ROWS`` texts of one bucket.
+
+    Of its buckets each text takes the largest, so the texts of one body, whose pairs no bound excludes, share few homes
+    and their pairs fill few cells.
+    """
+    largest = apart.groupBy("node").agg(F.min("comp").alias("comp"), F.max(F.struct("n", "band")).alias("x"))
+    own = stored(largest.select("node", "comp", F.col("x.band").alias("band")), "lone")
+    sizes = own.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CELL_ROWS))
+    return join_counted(own, sizes, "band", "n", "inner").select("node", "comp", F.xxhash64("band", part).alias("home"))
 
 
 def _class_pairs(apart: DataFrame, turn: int) -> DataFrame:
@@ -200,7 +214,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _prefixes(documents: int, threshold: float):
-    """(node, comp, token, r1, w1, r2, w2): the shingles of which two similar texts share one at least.
+    """(node, comp, home, token, r1, w1, r2, w2): the shingles of which two similar texts share one at least.
 
     Shingles stand in one order for all texts, by falling inverse document frequency; w is the weight of the text by
     TF-IDF (1) and TF (2), r that of the shingle and all after it. Texts whose first common shingle is this one overlap
@@ -211,7 +225,7 @@ def _prefixes(documents: int, threshold: float):
     def prefix(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors(documents, 1)
         for batch in slices(batches, "packed", 1 << 17):
-            for node, comp, packed, frequencies in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "packed", "frequencies")), strict=True):
+            for node, comp, home, packed, frequencies in zip(*(batch.column(c).to_pylist() for c in ("node", "comp", "home", "packed", "frequencies")), strict=True):
                 found, tf_idf, tf, idf = vectors.of(node, packed, frequencies)
                 order = np.lexsort((found, -idf))
                 rest, whole = [], []
@@ -223,34 +237,31 @@ def _prefixes(documents: int, threshold: float):
                 n = int(kept.sum())
                 if n:
                     numbers = [x for r, w in zip(rest, whole, strict=True) for x in (r[kept], np.full(n, w))]
-                    columns = [pa.array(np.full(n, node)), pa.array(np.full(n, comp)), pa.array(found[order][kept].view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns + [pa.array(x.astype(np.float32)) for x in numbers], names=["node", "comp", "token", "r1", "w1", "r2", "w2"])
+                    columns = [pa.array(np.full(n, x)) for x in (node, comp, home)] + [pa.array(found[order][kept].view(np.int64))]
+                    names = ["node", "comp", "home", "token", "r1", "w1", "r2", "w2"]
+                    yield pa.RecordBatch.from_arrays(columns + [pa.array(x.astype(np.float32)) for x in numbers], names=names)
 
     return prefix
 
 
-def _close_pairs(tokens: DataFrame, threshold: float, texts: int) -> DataFrame:
+def _close_pairs(tokens: DataFrame, threshold: float) -> DataFrame:
     """(ca, cb, pairs): every pair of texts of different classes that the bounds of ``_prefixes`` cannot exclude, packed.
 
-    The two texts of a pair, the greater first, lie in the blocks ca and cb of some ``CELL_ROWS`` of all ``texts``; a pair
-    may come more than once. A token with many texts is dealt to tasks that compare two parts of them each.
+    Of the homes of a pair's two texts ca is the greater, cb the lesser; of the texts the greater comes first. A pair may
+    come more than once. A token with many texts is dealt to tasks that compare two parts of them each.
     """
     tokens = stored(tokens, "tokens")
     groups = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("least"), F.max("comp").alias("last")).filter("least < last")
     own = join_counted(tokens, groups.select("token", "n"), "token", "n", "inner").withColumn("parts", F.ceil(F.col("n") / TOKEN_ROWS).cast("int"))
     own = own.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     ends = {"i": F.least("part", "other"), "j": F.greatest("part", "other"), "side": (F.col("part") > F.col("other")).cast("int")}
-    columns = ["token", "i", "j", "side", "node", "comp", "r1", "w1", "r2", "w2"]
+    columns = ["token", "i", "j", "side", "node", "comp", "home", "r1", "w1", "r2", "w2"]
     # both parts meet in (i, j); which of them a row is of, side tells
     dealt = own.withColumns(ends).select(*columns).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    blocks = max(1, -(-texts // CELL_ROWS))
-    return dealt.mapInArrow(tidy(_pairs_of(threshold / (1 + threshold) - SLACK, blocks)), "ca long, cb long, pairs binary")
-
+    return dealt.mapInArrow(tidy(_pairs_of(threshold / (1 + threshold) - SLACK)), "ca long, cb long, pairs binary")
 
-def _pairs_of(share: float, blocks: int):
-    def block(nodes: np.ndarray) -> np.ndarray:
-        return (mix(nodes.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
 
+def _pairs_of(share: float):
     def close(rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Of the rows x and y those pairs that the bounds leave, as two columns of nodes."""
         same = rows["i"][x] == rows["j"][x]
@@ -265,13 +276,17 @@ def _pairs_of(share: float, blocks: int):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        homes: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             pairs = np.unique(np.concatenate(held), axis=0) if held else np.zeros((0, 2), np.int64)
-            held.clear()
+            nodes, home = np.concatenate(homes, axis=1) if homes else np.zeros((2, 0), np.int64)
+            held.clear(), homes.clear()
             if not len(pairs):
                 return
-            ca, cb = block(np.ascontiguousarray(pairs[:, 0])), block(np.ascontiguousarray(pairs[:, 1]))
+            nodes, at = np.unique(nodes, return_index=True)
+            both = home[at][np.searchsorted(nodes, pairs)]
+            ca, cb = both.max(1), both.min(1)
             order = np.lexsort((cb, ca))
             pairs, ca, cb = pairs[order], ca[order], cb[order]
             cuts = np.flatnonzero(np.append(True, (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])))
@@ -289,6 +304,8 @@ def _pairs_of(share: float, blocks: int):
                 for k in range(0, len(starts), step):
                     own = starts[k : k + step, None]
                     held.append(close(rows, (own + a).ravel(), (own + b).ravel()))
+                    some = np.unique((own + np.arange(size)).ravel())
+                    homes.append(np.stack((rows["node"][some], rows["home"][some])))
                     if sum(map(len, held)) > HELD_PAIRS:
                         yield from flush()
         yield from flush()
@@ -439,10 +456,9 @@ def near_duplicates(
         turn += 1
     if members:
         # pairs of different classes were not linked before, so none is linked twice
-        lone, count = observed(apart.select("node", "comp").distinct(), "lone")
-        columns = "node long, comp long, token long, r1 float, w1 float, r2 float, w2 float"
-        prefixes = texts.join(lone, "node").mapInArrow(tidy(_prefixes(documents, threshold)), columns)
-        more, now = observed(_links_of_cells(_close_pairs(prefixes, threshold, count["n"]), texts, documents, threshold), "pairs")
+        columns = "node long, comp long, home long, token long, r1 float, w1 float, r2 float, w2 float"
+        prefixes = texts.join(_homes(apart), "node").mapInArrow(tidy(_prefixes(documents, threshold)), columns)
+        more, now = observed(_links_of_cells(_close_pairs(prefixes, threshold), texts, documents, threshold), "pairs")
         if now["n"]:
             tested = tested.unionByName(more)
             stars = component_stars(_links(more).unionByName(stars.select("graph_id", F.col("a").alias("src"), F.col("b").alias("dst"))))
