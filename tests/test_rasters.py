@@ -192,3 +192,29 @@ def test_one_collection(spark, tmp_path):
     networks.write_geojson(nodes, edges.limit(0), str(tmp_path / "none"), collection=True)
     assert networks.read_geojson(spark, str(tmp_path / "none"), "g").count() == 0
     assert networks.read_geojson(spark, str(tmp_path / "whole"), "g").count() == 3
+
+
+def test_cover_takes_the_share_of_cover_first_as_its_sql_does(spark):
+    own = spark.createDataFrame([(110.0, 0.150237)], "v double, alpha double")
+    assert own.select(raster.cover(F.col("v"), F.col("alpha"), "canopy", 0.7).alias("x")).first().x == 110
+
+
+def test_resized_tiles_are_not_joined_and_match_numpy(spark):
+    rng = np.random.default_rng(3)
+    a = rng.random((10, 6))
+    own = spark.createDataFrame([("t", r, c, float(a[r, c])) for r in range(10) for c in range(6)], "tile_id string, r int, c int, v double")
+    for to in (4, 6, 9, 17):
+        near, smooth = raster.resize_nearest(own, 10, 6, to), raster.resize_bilinear(own, 10, 6, to)
+        assert all("Join" not in df._jdf.queryExecution().executedPlan().toString() for df in (near, smooth))
+        got = {(r.r, r.c): r.v for r in near.collect()}
+        assert got == {(y, x): a[y * 10 // to, x * 6 // to] for y in range(to) for x in range(to)}
+
+        def at(n, i):
+            place = min(max((i + 0.5) * n / to - 0.5, 0), n - 1)
+            return int(place), min(n - 1, int(place) + 1), place - int(place)
+
+        got = {(r.r, r.c): r.v for r in smooth.collect()}
+        assert len(got) == to * to
+        for (y, x), v in got.items():
+            (r0, r1, p), (c0, c1, q) = at(10, y), at(6, x)
+            assert v == pytest.approx((1 - p) * ((1 - q) * a[r0, c0] + q * a[r0, c1]) + p * ((1 - q) * a[r1, c0] + q * a[r1, c1]), abs=1e-8)

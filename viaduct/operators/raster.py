@@ -211,28 +211,41 @@ def padded(pixels: DataFrame, tiles: DataFrame, size: int, fill: float = 0.0) ->
     return grid.join(pixels, AT, "left").withColumn("v", F.coalesce("v", F.lit(fill)))
 
 
+def _targets(at: str, n: int, to: int, around: float) -> Column:
+    """The places of an axis of ``to`` whose centres may lie within ``around`` of place ``at`` of one of ``n``."""
+    low = F.when(F.col(at) <= 0, 0).otherwise(F.floor((F.col(at) + 0.5 - around) * to / n - 0.5))
+    high = F.when(F.col(at) >= n - 1, to - 1).otherwise(F.ceil((F.col(at) + 0.5 + around) * to / n + 0.5))
+    return F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(high, F.lit(to - 1)).cast("int"))
+
+
 def resize_nearest(pixels: DataFrame, height: int, width: int, to: int) -> DataFrame:
-    """A height x width tile resampled to ``to`` x ``to`` by the nearest pixel."""
-    span = F.explode(F.sequence(F.lit(0), F.lit(to - 1)))
-    grid = pixels.select("tile_id").distinct().withColumn("r2", span).withColumn("c2", span)
-    grid = grid.withColumn("r", F.floor(F.col("r2") * height / to).cast("int")).withColumn("c", F.floor(F.col("c2") * width / to).cast("int"))
-    return grid.join(pixels, AT).select("tile_id", F.col("r2").alias("r"), F.col("c2").alias("c"), "v")
+    """A height x width tile resampled to ``to`` x ``to`` by the nearest pixel.
+
+    Each pixel goes to the places that take it, so nothing is joined.
+    """
+    own = pixels.filter(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1))
+    own = own.withColumn("r2", F.explode(_targets("r", height, to, 0.5))).filter(F.floor(F.col("r2") * height / to) == F.col("r"))
+    own = own.withColumn("c2", F.explode(_targets("c", width, to, 0.5))).filter(F.floor(F.col("c2") * width / to) == F.col("c"))
+    return own.select("tile_id", F.col("r2").alias("r"), F.col("c2").alias("c"), "v")
 
 
 def resize_bilinear(pixels: DataFrame, height: int, width: int, to: int) -> DataFrame:
-    """A height x width tile resampled to ``to`` x ``to``: four neighbours of each pixel's centre, by nearness."""
-    span = F.explode(F.sequence(F.lit(0), F.lit(to - 1)))
-    grid = pixels.select("tile_id").distinct().withColumn("r2", span).withColumn("c2", span)
+    """A height x width tile resampled to ``to`` x ``to``: four neighbours of each pixel's centre, by nearness.
+
+    Each pixel goes to the places that take a share of it, so nothing is joined.
+    """
 
-    def sides(at: str, n: int) -> Column:
-        place = F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), (F.col(at) + 0.5) * n / to - 0.5))
+    def shares(at: str, target: str, n: int) -> Column:
+        place = F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), (F.col(target) + 0.5) * n / to - 0.5))
         low = F.floor(place).cast("int")
-        return F.array(F.struct(low.alias("at"), (1 - (place - low)).alias("share")), F.struct(F.least(F.lit(n - 1), low + 1).alias("at"), (place - low).alias("share")))
+        first, second = F.col(at) == low, F.col(at) == F.least(F.lit(n - 1), low + 1)
+        return F.when(first & second, 1.0).when(first, 1 - (place - low)).when(second, place - low)
 
-    four = grid.withColumn("y", F.explode(sides("r2", height))).withColumn("x", F.explode(sides("c2", width)))
-    four = four.select("tile_id", "r2", "c2", F.col("y.at").alias("r"), F.col("x.at").alias("c"), (F.col("y.share") * F.col("x.share")).alias("share"))
-    found = four.join(pixels.select(*AT, "v"), AT).groupBy("tile_id", F.col("r2").alias("r"), F.col("c2").alias("c"))
-    return found.agg(F.round(F.sum(F.col("v") * F.col("share")), 9).alias("v"))
+    own = pixels.filter(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1)).select(*AT, "v")
+    own = own.withColumn("r2", F.explode(_targets("r", height, to, 1))).withColumn("y", shares("r", "r2", height)).filter("y is not null")
+    own = own.withColumn("c2", F.explode(_targets("c", width, to, 1))).withColumn("x", shares("c", "c2", width)).filter("x is not null")
+    found = own.groupBy("tile_id", F.col("r2").alias("r"), F.col("c2").alias("c"))
+    return found.agg(F.round(F.sum(F.col("v") * (F.col("y") * F.col("x"))), 9).alias("v"))
 
 
 # --- morphology ----------------------------------------------------------------------------------------------------
@@ -463,7 +476,8 @@ COVER = {"cloud": 255.0, "shadow": 0.0, "canopy": 110.0}
 
 def cover(value: Column, alpha: Column, kind: str, strength: float = 1.0) -> Column:
     """A channel under cover, cut to a whole number."""
-    return F.floor(value * (1 - alpha * strength) + COVER[kind] * alpha * strength).cast("int")
+    share = alpha * strength
+    return F.floor(value * (1 - share) + COVER[kind] * share).cast("int")
 
 
 # How often each effect is drawn, and any at all.

@@ -262,7 +262,10 @@ def resized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles of 100 x 64 resampled to 40 x 40, by the nearest pixel and by four neighbours."""
     own = embedding_pixels(spark, sf_dir).select("tile_id", "r", "c", F.col("prob").alias("v"))
     near, smooth = raster.resize_nearest(own, 100, 64, 40), raster.resize_bilinear(own, 100, 64, 40)
-    return near.withColumnRenamed("v", "nearest").join(smooth.withColumnRenamed("v", "bilinear"), raster.AT)
+    none = F.lit(None).cast("double")
+    both = near.select(*raster.AT, F.col("v").alias("nearest"), none.alias("bilinear")).unionByName(smooth.select(*raster.AT, none.alias("nearest"), F.col("v").alias("bilinear")))
+    # grouped, not joined: what Spark guesses of exploded pixels lets it broadcast them
+    return both.groupBy(*raster.AT).agg(F.max("nearest").alias("nearest"), F.max("bilinear").alias("bilinear")).filter("nearest is not null and bilinear is not null")
 
 
 def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -270,7 +270,8 @@ def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = embedding_pixels(spark, sf_dir)
     found = raster.soft_blobs(px.select("tile_id", "r", "c", (F.col("prob") * 255).alias("v")), _blobs(px.select("tile_id").distinct()))
     a = F.round("alpha", 6)
-    return found.select("tile_id", "r", "c", *[raster.cover(F.round(F.col("v"), 3), a, k, 0.7).alias(k) for k in ("cloud", "shadow", "canopy")])
+    v = F.round(F.col("v") * 1000) / 1000  # as SQL rounds: ties go by the product, not by the shortest decimals
+    return found.select("tile_id", "r", "c", *[raster.cover(v, a, k, 0.7).alias(k) for k in ("cloud", "shadow", "canopy")])
 
 
 def random_occlude(spark: SparkSession, sf_dir: str) -> DataFrame:
