@@ -1,13 +1,12 @@
 """Rasters as pixel rows (tile_id, r, c, ...): metrics, morphology, thinning and occlusion.
 
-Masks hold foreground pixels only. Every step is a join or an aggregate keyed by tile and place, or works on blocks or
-columns of tiles, so a large tile is spread over many tasks like many small ones.
+Masks hold foreground pixels only, at places from 0 on. Every step is a join or an aggregate keyed by tile and place, or works
+on blocks or columns of tiles, so a large tile is spread over many tasks like many small ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from viaduct.functions.scalars import hash_unit
+from viaduct.operators import blocks as B
 from viaduct.operators.components import connected_components
 from viaduct.session import drop_stored, observed, stored
 
@@ -26,8 +26,8 @@ EPS, MICRO_EPS = 1e-7, 1e-6
 EIGHT = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
 FOUR = [(-1, 0), (0, 1), (1, 0), (0, -1)]
 DISK2 = [(y, x) for y in range(-2, 3) for x in range(-2, 3) if y * y + x * x <= 4]
-#: Pixels of a side of a block and around it, and pixels whose columns a task searches at once.
-BLOCK, HALO, COLUMNS = 64, 16, 1 << 16
+#: Pixels around a block that is thinned, and pixels whose columns a task searches at once.
+HALO, COLUMNS = 16, 1 << 16
 #: Columns that a pixel's number leaves room for.
 BIG = 1 << 31
 
@@ -251,10 +251,24 @@ def resize_bilinear(pixels: DataFrame, height: int, width: int, to: int) -> Data
 # --- morphology ----------------------------------------------------------------------------------------------------
 
 
+def _at_fields(mask: DataFrame) -> list[tuple[str, T.DataType]]:
+    return [(c, mask.schema[c].dataType) for c in ("r", "c")]
+
+
+def _counts(here: np.ndarray) -> np.ndarray:
+    """Of each pixel, how many of the eight around it are set."""
+    return sum(B.moved(here, y, x).astype(np.uint8) for y, x in EIGHT)
+
+
 def neighbour_count(mask: DataFrame) -> DataFrame:
     """(tile_id, r, c, n): foreground pixels among the eight around each foreground pixel."""
-    around = shifted(mask, EIGHT).groupBy(*AT).agg(F.count(F.lit(1)).alias("n"))
-    return mask.select(*AT).join(around, AT, "left").select(*AT, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+    def work(here, top, left):
+        core = B.inner(here, 1)
+        number, at = B.places(core, top, left)
+        return number, [*at, B.inner(_counts(here), 1)[core].astype(np.int64)]
+
+    return B.on_blocks(mask.select(*AT), 1, work, [*_at_fields(mask), ("n", T.LongType())])
 
 
 def node_pixels(mask: DataFrame, cluster: bool = True) -> DataFrame:
@@ -263,81 +277,181 @@ def node_pixels(mask: DataFrame, cluster: bool = True) -> DataFrame:
     return neighbour_count(mask).filter(((n == 1) | (n >= 3)) if cluster else (n != 2))
 
 
+def _shapes(mask: DataFrame, size: int, halo: int, work) -> DataFrame:
+    """What ``work(here, within)`` makes of blocks of tiles of side ``size``; ``within`` says which pixels lie in the tile."""
+
+    def run(here, top, left):
+        within = B.inside(here, top, left, halo, size)
+        return B.places(B.inner(work(here & within, within) & within, halo), top, left)
+
+    return B.on_blocks(mask.select(*AT), halo, run, _at_fields(mask))
+
+
+def _reach(steps) -> int:
+    return max(max(abs(y), abs(x)) for y, x in steps)
+
+
 def dilate(mask: DataFrame, size: int, steps=None) -> DataFrame:
-    inside = F.col("r").between(0, size - 1) & F.col("c").between(0, size - 1)
-    return shifted(mask, steps or DISK2).select(*AT).filter(inside).distinct()
+    steps = steps or DISK2
+    return _shapes(mask, size, _reach(steps), lambda here, _: B.widened(here, steps))
 
 
 def erode(mask: DataFrame, size: int, steps=None) -> DataFrame:
     """Pixels all of whose neighbours inside the tile are foreground."""
     steps = steps or DISK2
-    there = shifted(mask, [(-y, -x) for y, x in steps]).groupBy(*AT).agg(F.count(F.lit(1)).alias("n"))
-    want = sum(F.when(F.col("r").between(-y, size - 1 - y) & F.col("c").between(-x, size - 1 - x), 1).otherwise(0) for y, x in steps)
-    return mask.select(*AT).join(there, AT).filter(F.col("n") == want).select(*AT)
+    return _shapes(mask, size, _reach(steps), lambda here, within: B.narrowed(here, within, steps))
+
+
+def _closed(here: np.ndarray, within: np.ndarray) -> np.ndarray:
+    return B.narrowed(B.widened(here, DISK2) & within, within, DISK2)
 
 
 def closing(mask: DataFrame, size: int) -> DataFrame:
-    """Dilation, then erosion, with a disk of radius 2; ``size`` is the side of the tiles."""
-    return erode(stored(dilate(mask, size), "dilated"), size)
+    """Dilation, then erosion, with a disk of radius 2, in one pass over blocks; ``size`` is the side of the tiles."""
+    return _shapes(mask, size, 4, _closed)
 
 
-def pixel_components(mask: DataFrame, steps=None) -> DataFrame:
-    """(tile_id, r, c, comp) of connected pixels, over four neighbours or the given steps."""
-    node = F.col("r").cast("long") * F.lit(BIG).cast("long") + F.col("c")
-    own = mask.select(F.col("tile_id").alias("graph_id"), node.alias("node"))
+def _labelled(mask: DataFrame, steps=None, nodes: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(tile_id, r, c, comp, n) of pixels connected in each block, stored, and (graph_id, node, comp) of the ones that go on.
+
+    ``n`` counts the pixels of what ends in its block, and is null else. Blocks are linked by pixels on their borders only:
+    the second table renames ``comp``; it is null where no block goes on. With ``nodes`` only ``node_pixels`` count.
+    """
     half = [s for s in (steps or FOUR) if s > (0, 0)]
-    moved = shifted(mask, half).withColumn("dst", node)
-    back = F.element_at(F.array(*[F.lit(-(y * BIG + x)).cast("long") for y, x in half]), F.col("k") + 1)
-    edges = moved.select(F.col("tile_id").alias("graph_id"), (F.col("dst") + back).alias("src"), "dst").join(own.withColumnRenamed("node", "dst"), ["graph_id", "dst"], "left_semi")
-    found = connected_components(edges, own)
-    return found.select(F.col("graph_id").alias("tile_id"), F.expr(f"node div {BIG}").cast("int").alias("r"), (F.col("node") % BIG).cast("int").alias("c"), "comp")
+    around = half + [(-y, -x) for y, x in half]
+    halo = 2 if nodes else 1
+
+    def work(here, top, left):
+        if nodes:
+            n = _counts(here)
+            here = B.inner(here & ((n == 1) | (n >= 3)), 1)
+        core = B.inner(here, 1)
+        flat, root = B.connected(core, half)
+        block, place = np.divmod(flat, core.shape[1] * core.shape[2])
+        r, c = place // core.shape[2] + top[block], place % core.shape[2] + left[block]
+        node = r * BIG + c
+        ring = here.copy()
+        B.inner(ring, 1)[...] = False
+        mine, other = [], []
+        if ring.any():
+            number = np.full(core.shape, -1, np.int64)
+            number.ravel()[flat] = np.arange(len(flat))
+            for y, x in around:
+                on = core & B.inner(B.moved(ring, y, x), 1)
+                found = number[on]
+                mine.append(found)
+                other.append(node[found] + y * BIG + x)
+        mine, other = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (mine, other))
+        going = np.zeros(len(flat), bool)
+        going[root[mine]] = True
+        size = np.bincount(root, minlength=len(flat))[root]
+        k = len(flat)
+        blank = np.zeros(len(mine), np.int64)
+        gone = np.arange(k + len(mine)) >= k
+        columns = [pa.array(np.append(x, blank), pa.int32(), mask=gone) for x in (r, c)]
+        count = pa.array(np.append(size, blank), pa.int64(), mask=np.append(going[root], blank == 0))
+        link = [pa.array(np.append(np.zeros(k, np.int64), x), pa.int64(), mask=~gone) for x in (node[mine], other)]
+        return np.append(block, block[mine]), [*columns, np.append(node[root], node[root[mine]]), count, *link]
+
+    integer, long = T.IntegerType(), T.LongType()
+    fields = [("r", integer), ("c", integer), ("comp", long), ("n", long), ("src", long), ("dst", long)]
+    found, seen = observed(B.on_blocks(mask.select(*AT), halo, work, fields), "objects", links=F.count("src"))
+    pixels = found.filter("src is null").drop("src", "dst")
+    if not seen["links"]:
+        return pixels, None
+    links = found.filter("src is not null")
+    edges = links.select(F.col("tile_id").alias("graph_id"), F.col("comp").alias("src"), F.col("src").alias("dst")).union(links.select("tile_id", "src", "dst"))
+    return pixels, stored(connected_components(edges.distinct()), "joined")
+
+
+def _whole(pixels: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """``pixels`` of ``_labelled`` with the ``comp`` of their tile."""
+    if joined is None:
+        return pixels
+    new = joined.select(F.col("graph_id").alias("tile_id"), F.col("node").alias("comp"), F.col("comp").alias("_comp"))
+    return pixels.join(new.hint("merge"), ["tile_id", "comp"], "left").withColumn("comp", F.coalesce("_comp", "comp")).drop("_comp")
+
+
+def pixel_components(mask: DataFrame, steps=None) -> DataFrame:
+    """(tile_id, r, c, comp) of connected pixels, over four neighbours or the given steps, each with its opposite.
+
+    Connected in blocks first; what goes on beyond a block is joined by components of the pixels on its border.
+    """
+    return _whole(*_labelled(mask, steps)).select(*AT, "comp")
 
 
 def drop_small(mask: DataFrame, least: int = 64) -> DataFrame:
     """Without objects of fewer than ``least`` pixels."""
-    comps = stored(pixel_components(mask), "objects")
-    large = comps.groupBy("tile_id", "comp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return comps.join(large, ["tile_id", "comp"], "left_semi").select(*AT)
+    pixels, joined = _labelled(mask)
+    ended = pixels.filter(F.col("n") >= least).select(*AT)
+    if joined is None:
+        return ended
+    going = stored(_whole(pixels.filter("n is null"), joined), "going")
+    large = going.groupBy("tile_id", "comp").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= least)
+    return ended.union(going.join(large.hint("merge"), ["tile_id", "comp"], "left_semi").select(*AT))
+
+
+def _filled(here: np.ndarray, within: np.ndarray, least: int) -> np.ndarray:
+    return here | (within & ~here & ~B.without_small(within & ~here, [(0, 1), (1, 0)], least))
 
 
 def fill_holes(mask: DataFrame, size: int, least: int = 64) -> DataFrame:
-    """With background objects of fewer than ``least`` pixels filled."""
+    """With background objects of fewer than ``least`` pixels filled; tiles that fit into a block are filled there."""
+    if size <= B.BLOCK:
+        return _shapes(mask, size, 0, lambda here, within: _filled(here, within, least))
     span = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
     grid = mask.select("tile_id").distinct().withColumn("r", span).withColumn("c", span)
-    back = stored(grid.join(mask.select(*AT), AT, "left_anti"), "background")
-    return grid.join(drop_small(back, least), AT, "left_anti")
+    back = stored(grid.join(mask.select(*AT).hint("merge"), AT, "left_anti"), "background")
+    return grid.join(drop_small(back, least).hint("merge"), AT, "left_anti")
+
+
+def cleaned(mask: DataFrame, size: int, least: int = 64) -> DataFrame:
+    """Closing, then removal of small objects and of small holes; in one pass for tiles that fit into a block."""
+    if size > B.BLOCK:
+        return fill_holes(stored(drop_small(closing(mask, size), least), "large"), size, least)
+    return _shapes(mask, size, 0, lambda here, within: _filled_if(B.without_small(_closed(here, within), [(0, 1), (1, 0)], least), within, least))
 
 
-def thin(mask: DataFrame, most_rounds: int = 1000, block: int = BLOCK, halo: int = HALO) -> DataFrame:
+def _filled_if(here: np.ndarray, within: np.ndarray, least: int) -> np.ndarray:
+    """``_filled``, but tiles without a pixel stay empty."""
+    return _filled(here, within, least) & here.any(axis=(1, 2), keepdims=True)
+
+
+def thin(mask: DataFrame, most_rounds: int = 1000, block: int = B.BLOCK, halo: int = HALO) -> DataFrame:
     """Thinned to lines by the two sub-iterations of Zhang and Suen (1984) until nothing changes.
 
     Tiles are cut into blocks of ``block`` x ``block`` pixels, each with what lies around it, ``halo`` wide. What a pixel
     becomes in a sub-iteration depends on its neighbours only, so ``halo`` of them are right inside a block before its
-    surroundings have to be dealt anew: ``halo`` / 2 rounds cost one exchange, whatever the size of tiles.
+    surroundings have to be dealt anew: ``halo`` / 2 rounds cost one exchange, whatever the size of tiles. Blocks with
+    nothing around them are thinned to the end at once.
     """
-    kinds = {f.name: f.dataType for f in mask.schema.fields}
-    own = stored(mask.select(*AT).distinct(), "thin")
-    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / block), F.floor((F.col(c) + halo) / block)))
-    schema = T.StructType([T.StructField(c, kinds[c]) for c in AT] + [T.StructField("late", T.LongType())])
-
-    def run(key: tuple, pixels: pa.Table) -> pa.Table:
-        tile, top, left = (k.as_py() for k in key)
-        here = np.zeros((block + 2 * halo, block + 2 * halo), bool)
-        here[pixels.column("r").to_numpy() - (top * block - halo), pixels.column("c").to_numpy() - (left * block - halo)] = True
-        late = 0
-        for step in range(halo):
-            gone = _thinned(here, step % 2)
+
+    def work(here, top, left):
+        ring = here.copy()
+        B.inner(ring, halo)[...] = False
+        alone = ~ring.any(axis=(1, 2))
+        here[alone] = B.settled(here[alone], _thinned)
+        late = np.zeros(len(here), np.int64)
+        open_ = here[~alone]
+        for step in range(halo if len(open_) else 0):
+            gone = _thinned(open_, step % 2)
             if step >= halo - 2:
-                late += int(gone[halo:-halo, halo:-halo].sum())
-            here &= ~gone
-        r, c = np.nonzero(here[halo:-halo, halo:-halo])
-        columns = [[tile] * (len(r) + 1), [*(r + top * block).tolist(), None], [*(c + left * block).tolist(), None], [*[0] * len(r), late]]
-        return pa.table({f.name: pa.array(x, to_arrow_type(f.dataType)) for f, x in zip(schema.fields, columns, strict=True)})
-
-    for _ in range(-(-2 * most_rounds // halo)):
-        dealt = own.withColumn("top", span("r")).withColumn("left", span("c"))
-        marked, seen = observed(dealt.groupBy("tile_id", "top", "left").applyInArrow(run, schema), "thin", late=F.coalesce(F.sum("late"), F.lit(0)))
-        drop_stored(own)
+                late[~alone] += B.inner(gone, halo).sum(axis=(1, 2))
+            open_ &= ~gone
+        here[~alone] = open_
+        number, (r, c) = B.places(B.inner(here, halo), top, left)
+        odd = np.flatnonzero(late)
+        none = np.arange(len(r) + len(odd)) >= len(r)
+        columns = [pa.array(np.append(x, odd), to_arrow_type(kinds[k]), mask=none) for k, x in (("r", r), ("c", c))]
+        return np.append(number, odd), [*columns, np.append(np.zeros(len(r), np.int64), late[odd])]
+
+    kinds = dict(_at_fields(mask))
+    own = mask.select(*AT)
+    for k in range(-(-2 * most_rounds // halo)):
+        dealt = B.on_blocks(own, halo, work, [*_at_fields(mask), ("late", T.LongType())], block)
+        marked, seen = observed(dealt, "thin", late=F.coalesce(F.sum("late"), F.lit(0)))
+        if k:
+            drop_stored(own)
         own = marked.filter("r is not null").drop("late")
         if not seen["late"]:
             return own
@@ -345,11 +459,10 @@ def thin(mask: DataFrame, most_rounds: int = 1000, block: int = BLOCK, halo: int
 
 
 def _thinned(here: np.ndarray, half: int) -> np.ndarray:
-    """What one sub-iteration deletes; beyond the array there is nothing."""
-    wide = np.pad(here, 1)
-    p = [wide[1 + y : wide.shape[0] - 1 + y, 1 + x : wide.shape[1] - 1 + x] for y, x in EIGHT]  # from the north, clockwise
-    count = np.sum(p, axis=0)
-    turns = np.sum([~p[k] & p[(k + 1) % 8] for k in range(8)], axis=0)
+    """What one sub-iteration deletes; beyond the arrays there is nothing."""
+    p = [B.moved(here, y, x) for y, x in EIGHT]  # from the north, clockwise
+    count = sum(x.astype(np.uint8) for x in p)
+    turns = sum((~p[k] & p[(k + 1) % 8]).astype(np.uint8) for k in range(8))
     north, east, south, west = p[0], p[2], p[4], p[6]
     free = ~(north & east & south) & ~(east & south & west) if half == 0 else ~(north & east & west) & ~(north & south & west)
     return here & (count >= 2) & (count <= 6) & (turns == 1) & free
@@ -360,8 +473,10 @@ def half_width(mask: DataFrame, size: int, columns: int = COLUMNS) -> DataFrame:
 
     Exact, in two passes (as Felzenszwalb and Huttenlocher 2012): the nearest background of a pixel's row, by the ends of its
     run; then of each column the least of that, squared, and the squared distance of its row. Columns of many tiles are
-    searched outward together, until no row that far could be nearer.
+    searched outward together, until no row that far could be nearer. Tiles that fit into a block take both passes there.
     """
+    if size <= B.BLOCK:
+        return _half_width_in_blocks(mask, size)
     row = Window.partitionBy("tile_id", "r").orderBy("c")
     run = Window.partitionBy("tile_id", "r", "run")
     own = mask.select(*AT).distinct().withColumn("run", F.col("c") - F.row_number().over(row))
@@ -372,7 +487,7 @@ def half_width(mask: DataFrame, size: int, columns: int = COLUMNS) -> DataFrame:
     schema = T.StructType([T.StructField(c, kinds[c]) for c in AT] + [T.StructField("d", T.DoubleType())])
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_columns(batches, columns):
+        for table in B.whole_groups(batches, columns, ["tile_id", "c"]):
             tile, r, c = table.column("tile_id"), table.column("r").to_numpy(), table.column("c").to_numpy()
             near = table.column("near").to_numpy(zero_copy_only=False)
             new = np.append(True, (c[1:] != c[:-1]) | pc.not_equal(tile[1:], tile[:-1]).to_numpy(zero_copy_only=False))
@@ -391,22 +506,27 @@ def half_width(mask: DataFrame, size: int, columns: int = COLUMNS) -> DataFrame:
     return near.mapInArrow(search, schema)
 
 
-def _whole_columns(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
-    """Sorted pixels in tables of whole columns of tiles, some ``most`` pixels or one column in each."""
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
-        if held.num_rows < most:
-            continue
-        last = pc.and_(pc.equal(held.column("tile_id"), held.column("tile_id")[-1]), pc.equal(held.column("c"), held.column("c")[-1]))
-        cut = int(np.argmax(last.to_numpy()))
-        if cut:
-            yield held.slice(0, cut).combine_chunks()
-            held = held.slice(cut)
-    if held is not None:
-        yield held.combine_chunks()
+def _half_width_in_blocks(mask: DataFrame, size: int) -> DataFrame:
+    def work(here, top, left):
+        here = here[:, :size, :size]
+        at = np.arange(size)
+        far = 4 * size
+        before = np.maximum.accumulate(np.where(here, -far, at), axis=2)
+        behind = np.minimum.accumulate(np.where(here, at + far, at)[:, :, ::-1], axis=2)[:, :, ::-1]
+        behind = np.where(behind >= size, far + at, behind)
+        near = np.minimum(at - before, behind - at)
+        first = np.where(near >= size, 1 << 40, near * near)
+        least = first.copy()
+        for step in range(1, size):
+            if step * step >= least.max():
+                break
+            np.minimum(least[:, step:], first[:, :-step] + step * step, out=least[:, step:])
+            np.minimum(least[:, :-step], first[:, step:] + step * step, out=least[:, :-step])
+        number, places = B.places(here, top, left)
+        found = least[here]
+        return number, [*places, pa.array(np.sqrt(found), pa.float64(), mask=found >= 1 << 40)]
+
+    return B.on_blocks(mask.select(*AT), 0, work, [*_at_fields(mask), ("d", T.DoubleType())])
 
 
 def within(mask: DataFrame, other: DataFrame, tolerance: int) -> DataFrame:
@@ -432,10 +552,17 @@ def relaxed_iou(pred: DataFrame, target: DataFrame, tolerance: int = 3) -> DataF
     With m and k the pixels of prediction and target that are right so, relaxed IoU is m / (predicted + target - k): all
     that is predicted, and what of the target is missed. Tiles that one mask lacks score 0; a share of nothing is 1.
     """
-    count = lambda df, name: df.groupBy("tile_id").agg(F.count(F.lit(1)).alias(name))
-    pred, target = (stored(df.select(*AT).distinct(), "mask") for df in (pred, target))
-    parts = [count(pred, "p"), count(target, "t"), count(within(pred, target, tolerance), "m"), count(within(target, pred, tolerance), "k")]
-    both = reduce(lambda a, b: a.join(b, "tile_id", "full"), parts).fillna(0, ["p", "t", "m", "k"])
+    layer = lambda df, k: df.select(*AT, F.lit(k).alias("layer"))
+    disk = [(y, x) for y in range(-tolerance, tolerance + 1) for x in range(-tolerance, tolerance + 1) if y * y + x * x <= tolerance * tolerance]
+
+    def work(here, top, left):
+        own = B.inner(here, tolerance)
+        near = B.inner(np.stack([B.widened(here[:, 1], disk), B.widened(here[:, 0], disk)], axis=1), tolerance)
+        every, hits = own.sum(axis=(2, 3)), (own & near).sum(axis=(2, 3))
+        return np.arange(len(here)), [every[:, 0], every[:, 1], hits[:, 0], hits[:, 1]]
+
+    parts = B.on_blocks(layer(pred, 0).union(layer(target, 1)), tolerance, work, [(x, T.LongType()) for x in "ptmk"])
+    both = parts.groupBy("tile_id").agg(*[F.sum(x).alias(x) for x in "ptmk"])
     share = lambda a, b: F.when(b == 0, 1.0).otherwise(a / b)
     p, t, m, k = (F.col(x) for x in "ptmk")
     return both.select("tile_id", share(m, p).alias("precision"), share(k, t).alias("recall"), share(m, p + t - k).alias("relaxed_iou"))
@@ -444,8 +571,13 @@ def relaxed_iou(pred: DataFrame, target: DataFrame, tolerance: int = 3) -> DataF
 def connectivity_labels(mask: DataFrame) -> DataFrame:
     """(tile_id, r, c, n, ne, e, se, s, sw, w, nw): whether the neighbour in each direction is foreground too."""
     names = ["n", "ne", "e", "se", "s", "sw", "w", "nw"]
-    seen = shifted(mask, [(-y, -x) for y, x in EIGHT]).groupBy(*AT).agg(*[F.max(F.col("k") == k).alias(name) for k, name in enumerate(names)])
-    return mask.select(*AT).join(seen, AT, "left").select(*AT, *[F.coalesce(name, F.lit(False)).alias(name) for name in names])
+
+    def work(here, top, left):
+        core = B.inner(here, 1)
+        number, at = B.places(core, top, left)
+        return number, [*at, *[B.inner(B.moved(here, y, x), 1)[core] for y, x in EIGHT]]
+
+    return B.on_blocks(mask.select(*AT), 1, work, [*_at_fields(mask), *[(x, T.BooleanType()) for x in names]])
 
 
 # --- from lines to networks ----------------------------------------------------------------------------------------
@@ -453,10 +585,10 @@ def connectivity_labels(mask: DataFrame) -> DataFrame:
 
 def junction_clusters(mask: DataFrame) -> DataFrame:
     """(tile_id, cluster, r, c, size): adjacent node pixels as one node, at the member nearest their centroid."""
-    own = stored(pixel_components(node_pixels(mask), EIGHT), "clusters")
+    own = _whole(*_labelled(mask, EIGHT, nodes=True)).select(*AT, "comp")
     mid = own.groupBy("tile_id", "comp").agg(F.avg("r").alias("my"), F.avg("c").alias("mx"), F.count(F.lit(1)).alias("size"))
     d2 = F.round(F.pow(F.col("r") - F.col("my"), 2) + F.pow(F.col("c") - F.col("mx"), 2), 9)
-    best = own.join(mid, ["tile_id", "comp"]).groupBy("tile_id", F.col("comp").alias("cluster"), "size").agg(F.min(F.struct(d2, "r", "c")).alias("x"))
+    best = own.join(mid.hint("merge"), ["tile_id", "comp"]).groupBy("tile_id", F.col("comp").alias("cluster"), "size").agg(F.min(F.struct(d2, "r", "c")).alias("x"))
     return best.select("tile_id", "cluster", F.col("x.r").alias("r"), F.col("x.c").alias("c"), "size")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from viaduct.functions.scalars import class_by_geometry, class_by_length, geo_by_affine, geo_by_bbox, haversine_m, pixel_metres, place_by_pixel, tortuosity, travel_time_s, weight_ds
 from viaduct.operators.annotate import annotate_network
 from viaduct.operators.healing import WIDE_TOLERANCE_M, heal_network
-from viaduct.operators.raster import AT, BIG, EIGHT, closing, drop_small, fill_holes, half_width, junction_clusters, neighbour_count, node_pixels, otsu_foreground, pixel_components, shifted, thin
+from viaduct.operators.raster import AT, BIG, EIGHT, cleaned, half_width, junction_clusters, neighbour_count, node_pixels, otsu_foreground, pixel_components, shifted, thin
 from viaduct.session import stored
 
 
@@ -57,7 +57,7 @@ def skeletonize(pixels: DataFrame, size: int, threshold: float | None = None, le
     objects and small holes, thinning. Masks without a road give nothing.
     """
     marked = otsu_foreground(pixels) if threshold is None else pixels.filter(F.col("prob") >= threshold)
-    whole = stored(fill_holes(drop_small(closing(marked.select(*AT), size), least), size, least), "mask")
+    whole = stored(cleaned(marked.select(*AT), size, least), "mask")
     lines = thin(whole)
     return lines.join(half_width(whole, size), AT) if with_width else lines
 
@@ -88,6 +88,7 @@ def skeleton_to_network(
         members = stored(ends_at.select(*AT, (F.col("r").cast("long") * F.lit(BIG).cast("long") + F.col("c")).alias("cluster")), "members")
         nodes = members.withColumn("size", F.lit(1).cast("long"))
     placed = lambda df: df.join(tiles, "tile_id") if tiles is not None else df
+    shuffled = lambda df: df.hint("merge")  # noqa: E731 (pixels pack so well in files that Spark would broadcast them)
     metres = lambda a, b, c, d: projection.metres(F.col(a), F.col(b), F.col(c), F.col(d))
 
     chain_mask = stored(neighbour_count(mask).filter("n = 2").select(*AT), "chains")
@@ -95,18 +96,18 @@ def skeleton_to_network(
     y, x = _backwards("k")
     touch = shifted(chain_mask, EIGHT).withColumns({"py": y, "px": x}).drop("k")
     ids = chains.select("tile_id", F.col("r").alias("py"), F.col("c").alias("px"), "chain")
-    steps = touch.join(chain_mask, AT, "left_semi").filter("r > py or (r = py and c > px)").join(ids, ["tile_id", "py", "px"])
+    steps = touch.join(shuffled(chain_mask), AT, "left_semi").filter("r > py or (r = py and c > px)").join(shuffled(ids), ["tile_id", "py", "px"])
     inner = placed(steps).groupBy("tile_id", "chain").agg(F.sum(metres("py", "px", "r", "c")).alias("inner"))
     at = nodes.select("tile_id", "cluster", F.col("r").alias("y"), F.col("c").alias("x"))
-    hops = touch.join(members.select(*AT, "cluster"), AT).join(ids, ["tile_id", "py", "px"]).join(at, ["tile_id", "cluster"])
+    hops = touch.join(shuffled(members.select(*AT, "cluster")), AT).join(shuffled(ids), ["tile_id", "py", "px"]).join(shuffled(at), ["tile_id", "cluster"])
     hops = placed(hops).groupBy("tile_id", "chain", "cluster", "y", "x").agg(F.min(metres("py", "px", "y", "x")).alias("hop"))
     two = hops.groupBy("tile_id", "chain").agg(F.min(F.struct("cluster", "y", "x")).alias("a"), F.max(F.struct("cluster", "y", "x")).alias("b"), F.sum("hop").alias("hops")).filter("a.cluster < b.cluster")
-    made = two.join(inner, ["tile_id", "chain"], "left").withColumn("length", F.coalesce("inner", F.lit(0.0)) + F.col("hops"))
+    made = two.join(shuffled(inner), ["tile_id", "chain"], "left").withColumn("length", F.coalesce("inner", F.lit(0.0)) + F.col("hops"))
     made = made.select("tile_id", F.col("a.cluster").alias("src"), F.col("b.cluster").alias("dst"), F.col("a.y").alias("y1"), F.col("a.x").alias("x1"), F.col("b.y").alias("y2"), F.col("b.x").alias("x2"), "length", "chain")
     if not cluster:
         y, x = _backwards("k")
         half = shifted(ends_at, EIGHT).withColumns({"py": y, "px": x}).filter("r > py or (r = py and c > px)")
-        near = half.join(ends_at.select(*AT), AT, "left_semi")
+        near = half.join(shuffled(ends_at.select(*AT)), AT, "left_semi")
         number = lambda r, c: F.col(r).cast("long") * F.lit(BIG).cast("long") + F.col(c)
         near = placed(near).select("tile_id", number("py", "px").alias("src"), number("r", "c").alias("dst"), F.col("py").alias("y1"), F.col("px").alias("x1"), F.col("r").alias("y2"), F.col("c").alias("x2"), metres("py", "px", "r", "c").alias("length"), F.lit(-1).cast("long").alias("chain"))
         made = made.unionByName(near)
