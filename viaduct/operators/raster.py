@@ -395,10 +395,14 @@ def _filled(here: np.ndarray, within: np.ndarray, least: int) -> np.ndarray:
     return here | (within & ~here & ~B.without_small(within & ~here, [(0, 1), (1, 0)], least))
 
 
-def fill_holes(mask: DataFrame, size: int, least: int = 64) -> DataFrame:
-    """With background objects of fewer than ``least`` pixels filled; tiles that fit into a block are filled there."""
+def fill_holes(mask: DataFrame, size: int, least: int = 64, widen=()) -> DataFrame:
+    """With background objects of fewer than ``least`` pixels filled; tiles that fit into a block are filled there.
+
+    With steps ``widen`` the mask is dilated by them first, in the same pass.
+    """
     if size <= B.BLOCK:
-        return _shapes(mask, size, 0, lambda here, within: _filled(here, within, least))
+        return _shapes(mask, size, 0, lambda here, within: _filled(B.widened(here, widen) & within if widen else here, within, least))
+    mask = stored(dilate(mask, size, widen), "mask") if widen else mask
     span = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
     grid = mask.select("tile_id").distinct().withColumn("r", span).withColumn("c", span)
     back = stored(grid.join(mask.select(*AT).hint("merge"), AT, "left_anti"), "background")
@@ -468,15 +472,17 @@ def _thinned(here: np.ndarray, half: int) -> np.ndarray:
     return here & (count >= 2) & (count <= 6) & (turns == 1) & free
 
 
-def half_width(mask: DataFrame, size: int, columns: int = COLUMNS) -> DataFrame:
+def half_width(mask: DataFrame, size: int, columns: int = COLUMNS, widen=()) -> DataFrame:
     """(tile_id, r, c, d): Euclidean distance to the nearest background pixel of the tile, null if it has none.
 
     Exact, in two passes (as Felzenszwalb and Huttenlocher 2012): the nearest background of a pixel's row, by the ends of its
     run; then of each column the least of that, squared, and the squared distance of its row. Columns of many tiles are
     searched outward together, until no row that far could be nearer. Tiles that fit into a block take both passes there.
+    With steps ``widen`` the mask is dilated by them first.
     """
     if size <= B.BLOCK:
-        return _half_width_in_blocks(mask, size)
+        return _half_width_in_blocks(mask, size, widen)
+    mask = stored(dilate(mask, size, widen), "mask") if widen else mask
     row = Window.partitionBy("tile_id", "r").orderBy("c")
     run = Window.partitionBy("tile_id", "r", "run")
     own = mask.select(*AT).distinct().withColumn("run", F.col("c") - F.row_number().over(row))
@@ -506,9 +512,10 @@ def half_width(mask: DataFrame, size: int, columns: int = COLUMNS) -> DataFrame:
     return near.mapInArrow(search, schema)
 
 
-def _half_width_in_blocks(mask: DataFrame, size: int) -> DataFrame:
+def _half_width_in_blocks(mask: DataFrame, size: int, widen) -> DataFrame:
     def work(here, top, left):
         here = here[:, :size, :size]
+        here = B.widened(here, widen) if widen else here
         at = np.arange(size)
         far = 4 * size
         before = np.maximum.accumulate(np.where(here, -far, at), axis=2)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from viaduct.functions import scalars as S
 from viaduct.operators import raster, vectorize
 from viaduct.plans.derived import EMB_SQL, GRID_SQL, LINES_SQL, TRADE_SQL, _hav, customer_grid, embedding_pixels, line_pixels, table, trade_network
-from viaduct.session import scratch, stored
+from viaduct.session import scratch
 from viaduct.sources import files, networks
 
 SIZE = 96
@@ -211,7 +211,7 @@ def small_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.fill_holes(stored(raster.dilate(line_pixels(spark, sf_dir), SIZE), "mask"), SIZE, 6)
+    return raster.fill_holes(line_pixels(spark, sf_dir), SIZE, 6, raster.DISK2)
 
 
 def thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,8 +219,8 @@ def thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def half_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = stored(raster.dilate(line_pixels(spark, sf_dir).filter(S.foreground("prob", 0.5)), SIZE), "mask")
-    return raster.half_width(mask, SIZE).select("tile_id", "r", "c", F.round("d", 9).alias("d"))
+    mask = line_pixels(spark, sf_dir).filter(S.foreground("prob", 0.5))
+    return raster.half_width(mask, SIZE, widen=raster.DISK2).select("tile_id", "r", "c", F.round("d", 9).alias("d"))
 
 
 def relaxed_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
