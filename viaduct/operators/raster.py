@@ -1,7 +1,7 @@
 """Rasters as pixel rows (tile_id, r, c, ...): metrics, morphology, thinning and occlusion.
 
-Masks hold foreground pixels only, at places from 0 on. Every step is a join or an aggregate keyed by tile and place, or works
-on blocks or columns of tiles, so a large tile is spread over many tasks like many small ones.
+Masks hold foreground pixels only. Every step is a join or an aggregate keyed by tile and place, or works on blocks or
+columns of tiles, so a large tile is spread over many tasks like many small ones.
 """
 
 from __future__ import annotations
@@ -431,6 +431,7 @@ def thin(mask: DataFrame, most_rounds: int = 1000, block: int = B.BLOCK, halo: i
     """
 
     def work(here, top, left):
+        here[~B.inner(here, halo).any(axis=(1, 2))] = False  # nothing to delete
         ring = here.copy()
         B.inner(ring, halo)[...] = False
         alone = ~ring.any(axis=(1, 2))
