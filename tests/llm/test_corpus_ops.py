@@ -83,6 +83,14 @@ def test_collocations(frame, docs, least, longest, top, share):
     assert sorted(map(tuple, found)) == sorted(collocations_of(docs, least, longest, top))
 
 
+def test_collocations_when_tasks_hold_few_keys(frame, docs, monkeypatch):
+    """Sums are sent packed, many times and to many parts; and keys of a pass are a few bytes each."""
+    monkeypatch.setattr(collocations, "HELD_KEYS", 50)
+    monkeypatch.setattr(collocations, "PART_BYTES", 64)
+    found = collocations.collocations(frame, 2).drop("k").collect()
+    assert sorted(map(tuple, found)) == sorted(collocations_of(docs, 2, 5, 2000))
+
+
 def test_collocations_with_a_crowded_map(frame, docs, monkeypatch):
     """Chance bits make passes count more, never other results."""
     monkeypatch.setattr(collocations, "LEAST_MAP_BITS", 16)

@@ -8,8 +8,8 @@ counted by this pass themselves. A frequent phrase has frequent parts only, so t
 
 The border is never listed. Tasks hold the proposed phrases as a map of bits of bounded size, and count an occurrence
 when the bits of both its parts are set. Bits that are set by chance make a pass count more than it must, never less, so
-a map that gets crowded costs time only. Passes count 61-bit hashes; a last one counts the texts of all phrases whose
-hashes are frequent, so results do not depend on hashes.
+a map that gets crowded costs time only. Passes count 45-bit hashes, which each task sums up and sends as packed sorted
+differences; a last one counts the texts of all phrases whose hashes are frequent, so results do not depend on hashes.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from viaduct.llm.arrow import byte_texts, hash_spans, mix, slices, spans_of, tidy
+from viaduct.llm.arrow import byte_texts, hash_spans, mix, release, slices, spans_of, squeezed, tidy, unsqueezed
+from viaduct.llm.counts import WORD_SIZE, growth
 from viaduct.llm.exact_dedup import LEAST_MAP_BITS, MOST_MAP_BITS, bit_map, in_bit_map
 from viaduct.session import join_counted, observed, ready, stored
 
@@ -34,6 +35,8 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 SHARE, DEVIATIONS = 8, 1.5
 #: Phrases to a part of the last count, and rows of it that a task holds.
 PART_PHRASES, HELD_PHRASES = 1 << 14, 1 << 18
+#: Bits of a key, keys of a pass that a task holds, and bytes of input to a part of its sums.
+KEY_BITS, HELD_KEYS, PART_BYTES = 48, 1 << 21, 4 << 20
 #: Parts in which the best phrases of a group are picked before they meet in one task.
 PICK_PARTS = 64
 NO_GROUP = "und"
@@ -56,8 +59,8 @@ class _Words:
         self.salt = np.uint64(xxhash.xxh3_64_intdigest(group.encode()))
 
     def keys(self, at: np.ndarray, grams: np.ndarray, k: int) -> np.ndarray:
-        """Keys of phrases of ``k`` words: 61 bits of a hash of group and words, and the length."""
-        return (mix(grams[at] ^ self.salt) & ~_LENGTH) | np.uint64(k)
+        """Keys of phrases of ``k`` words: 45 bits of a hash of group and words, and the length."""
+        return ((mix(grams[at] ^ self.salt) >> np.uint64(64 - KEY_BITS)) & ~_LENGTH) | np.uint64(k)
 
     def levels(self, longest: int, held: Callable | None, before: Callable | None = None, wide: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each length where the phrases begin that a pass counts, and their keys.
@@ -125,23 +128,62 @@ def _grown(spark: SparkSession, marks: Marks | None, keys: DataFrame, count: int
     return both, bits
 
 
+def _summed_keys(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of all, sorted, and their counts."""
+    keys, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
 def _counted(docs: DataFrame, least: int, longest: int, held: Marks | None, before: Marks | None = None, wide: bool = False, only: int = 0) -> tuple[DataFrame, int]:
     """(key), stored: the phrases of ``docs(lang, text)`` that a pass counts ``least`` times or more; and their number.
 
     What a pass counts ``_Words.levels`` says; with ``only`` it is the phrases of so many words.
     """
 
+    spark = docs.sparkSession
+    size = float(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / (PART_BYTES * growth(size / WORD_SIZE))))
+    parts = 1 << (parts - 1).bit_length()
+    shift = np.uint64(KEY_BITS - parts.bit_length() + 1)
+
+    def packed(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        edges = np.searchsorted(keys >> shift, np.arange(parts + 1, dtype=np.uint64))
+        some = np.flatnonzero(np.diff(edges))
+        cuts = [slice(edges[p], edges[p + 1]) for p in some]
+        columns = [squeezed(np.diff(keys[c], prepend=np.uint64(0))) for c in cuts], [squeezed(counts[c]) for c in cuts]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), *(pa.array(x, pa.binary()) for x in columns)], names=["part", "keys", "counts"])
+
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new, old = _held(held), _held(before)
+        own: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in slices(batches, "text", 4 << 20):
             for group, texts in _groups(batch):
                 for k, _, keys in _Words(group, texts).levels(longest, new, old, wide):
                     if len(keys) and only in (0, k):
                         some, counts = np.unique(keys, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(counts)], names=["key", "count"])
-
-    counted = docs.mapInArrow(tidy(count), "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
-    found, seen = observed(counted.filter(F.col("count") >= least).select("key"), "counted")
+                        own.append((some, counts.astype(np.uint64)))
+            if sum(len(k) for k, _ in own) > HELD_KEYS:
+                own = [_summed_keys(own)]
+                if len(own[0][0]) > HELD_KEYS // 2:
+                    yield packed(*own.pop())
+        if own:
+            yield packed(*_summed_keys(own))
+
+    def total(table: pa.Table) -> pa.Table:
+        found = [(np.cumsum(unsqueezed(k), dtype=np.uint64), unsqueezed(n)) for k, n in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True)]
+        keys, counts = _summed_keys(found)
+        del found
+        keys = keys[counts >= least]
+        if len(counts) > HELD_KEYS:
+            release()
+        return pa.table({"key": pa.array(keys.view(np.int64))})
+
+    sent = docs.mapInArrow(tidy(count), "part long, keys binary, counts binary")
+    counted = sent.groupBy("part").applyInArrow(total, "key long")
+    found, seen = observed(counted, "counted")
     return found, seen["n"]
 
 
