@@ -86,7 +86,7 @@ def test_collocations(frame, docs, least, longest, top, share):
 def test_collocations_when_tasks_hold_few_keys(frame, docs, monkeypatch):
     """Sums are sent packed, many times and to many parts; and keys of a pass are a few bytes each."""
     monkeypatch.setattr(collocations, "HELD_KEYS", 50)
-    monkeypatch.setattr(collocations, "PART_BYTES", 64)
+    monkeypatch.setattr(collocations, "PART_BYTES", 512)
     found = collocations.collocations(frame, 2).drop("k").collect()
     assert sorted(map(tuple, found)) == sorted(collocations_of(docs, 2, 5, 2000))
 

@@ -35,8 +35,8 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 SHARE, DEVIATIONS = 8, 1.5
 #: Phrases to a part of the last count, and rows of it that a task holds.
 PART_PHRASES, HELD_PHRASES = 1 << 14, 1 << 18
-#: Bits of a key, keys of a pass that a task holds, and bytes of input to a part of its sums.
-KEY_BITS, HELD_KEYS, PART_BYTES = 48, 1 << 21, 4 << 20
+#: Bits of a key, keys of a pass that a task holds, and bytes of text to a part of its sums.
+KEY_BITS, HELD_KEYS, PART_BYTES = 48, 1 << 21, 8 << 20
 #: Parts in which the best phrases of a group are picked before they meet in one task.
 PICK_PARTS = 64
 NO_GROUP = "und"
@@ -143,8 +143,7 @@ def _counted(docs: DataFrame, least: int, longest: int, held: Marks | None, befo
     What a pass counts ``_Words.levels`` says; with ``only`` it is the phrases of so many words.
     """
 
-    spark = docs.sparkSession
-    size = float(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    spark, size = docs.sparkSession, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(size / (PART_BYTES * growth(size / WORD_SIZE))))
     parts = 1 << (parts - 1).bit_length()
     shift = np.uint64(KEY_BITS - parts.bit_length() + 1)
