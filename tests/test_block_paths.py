@@ -35,3 +35,24 @@ def test_a_grid_of_one_block_takes_one_round(spark, monkeypatch):
     steps = both_ways(spark.createDataFrame(edges, "graph_id string, src long, dst long, w long"))
     found = own.block_paths(spark.createDataFrame([("g", 0, 0, 0)], "graph_id string, s long, v long, dist long"), steps, 10)
     assert made.count("dist") == 1 and found.filter(f"dist = v % {side} + floor(v / {side})").count() == side * side
+
+
+@pytest.mark.parametrize("most", [3, 1 << 18])
+def test_components_start_from_stars_of_ranges(spark, monkeypatch, most):
+    """A street of 3,000 nodes with names or numbers: one round and the one that sees no change, where it fits a range."""
+    from pyspark.sql import functions as F
+
+    from viaduct.operators import components
+
+    made, observed = [], components.observed
+    monkeypatch.setattr(components, "TASK_EDGES", most)
+    monkeypatch.setattr(components, "observed", lambda df, name="table", **m: made.append(name) or observed(df, name, **m))
+    edges = spark.range(3000).select(F.lit("p").alias("graph_id"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).filter("src <> 1499")
+    edges = edges.union(spark.createDataFrame([("q", 7, 1499), ("q", 1500, 7)], edges.schema))
+    found = components.connected_components(edges)
+    want = F.when(F.col("graph_id") == "q", 7).when(F.col("node") <= 1499, 0).otherwise(1500)
+    assert found.count() == 3004 and found.filter(F.col("comp") != want).isEmpty()
+    assert most == 3 or len(made) <= 5
+    named = edges.select("graph_id", *[F.format_string("%04d", c).alias(c) for c in ("src", "dst")])
+    found = components.connected_components(named)
+    assert found.count() == 3004 and found.filter(F.col("comp").cast("long") != want).isEmpty()
