@@ -116,3 +116,16 @@ def test_rasters_in_pieces(spark, tmp_path, piece):
     np.save(tmp_path / "d.npy", np.zeros(4))
     with pytest.raises(Exception, match="no raster"):
         files.read_raster_npy(spark, str(tmp_path)).collect()
+
+
+def test_small_rasters_share_a_task(spark, tmp_path):
+    """Every file was a task of its own."""
+    for i in range(40):
+        np.save(tmp_path / f"t{i}.npy", np.full((2, 3), i, np.float32))
+    before = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("rasters", "rasters")
+    found = files.read_raster_npy(spark, str(tmp_path)).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [before.getStageInfo(k) for j in before.getJobIdsForGroup("rasters") for k in before.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) < 40
+    assert sorted((r.tile_id, r.r, r.vals) for r in found) == sorted((f"t{i}", r, [float(i)] * 3) for i in range(40) for r in (0, 1))

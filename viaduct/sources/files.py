@@ -8,6 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,14 +19,15 @@ from viaduct.sources.json_items import list_files, read_range
 from viaduct.sources.named_files import write_files
 
 ROWS = "tile_id string, r int, vals array<float>"
-#: Bytes of a raster that a task reads at once; the folder of the manifest.
-PIECE_BYTES, MANIFEST = 8 << 20, "manifest.csv"
+#: Bytes of a raster that a task reads at once; the folder of the manifest; files whose headers a task reads.
+PIECE_BYTES, MANIFEST, TASK_FILES = 8 << 20, "manifest.csv", 512
 
 
 def read_raster_npy(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """(tile_id, r, vals): the rows of .npy rasters at or below ``path``; three-dimensional ones become the mean of three.
 
-    A large raster is read by many tasks, some rows each; only one in column order is read by a single one.
+    A large raster is read by many tasks, some rows each; only one in column order is read by a single one. Of small ones
+    a task reads many.
     """
     listed = [(name, size) for name, size in list_files(path) if name.endswith(".npy")]
     if not listed:
@@ -52,7 +54,7 @@ def read_raster_npy(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYT
                 r = np.arange(row["first"], row["first"] + len(a), dtype=np.int32)
                 yield pd.DataFrame({"path": row["path"], "r": r, "vals": list(a.astype(np.float32))})
 
-    files = ready(spark).createDataFrame(listed, "path string, size long").repartition(max(1, min(len(listed), 10_000)))
+    files = ready(spark).createDataFrame(listed, "path string, size long").repartition(-(-len(listed) // TASK_FILES))
     cut = files.mapInPandas(pieces, "path string, start long, first long, rows long, shape array<long>, by_column boolean, kind string")
     rows = cut.repartition("path", "first").mapInPandas(load, "path string, r int, vals array<float>")
     return rows.select(scene_id("path").alias("tile_id"), "r", "vals")
@@ -169,20 +171,19 @@ def build_chips(images: DataFrame, masks: DataFrame, scenes: DataFrame, path: st
     own = stored(own.select("scene_id", "split", "row", "col", "chip", F.coalesce("_has", F.lit(False)).alias("has")), "chips")
     name = lambda kind: F.concat_ws("/", "split", F.lit(kind), F.concat("chip", F.lit(".npy")))
 
-    def save(chips: pd.DataFrame, pixels: pd.DataFrame) -> pd.DataFrame:
-        if chips.empty:
-            return pd.DataFrame({"name": [], "content": []})
+    def save(chips: pa.Table, pixels: pa.Table) -> pa.Table:
         a = np.zeros((size, size), np.float32)
-        a[pixels["r"], pixels["c"]] = pixels["v"]
+        a[pixels.column("r").to_numpy(), pixels.column("c").to_numpy()] = pixels.column("v").to_numpy()
         held = io.BytesIO()
         np.save(held, a)
-        return pd.DataFrame({"name": [chips["name"].iloc[0]], "content": [held.getvalue()]})
+        names = chips.column("name").slice(0, 1)
+        return pa.table({"name": names, "content": pa.array([held.getvalue()] * len(names), pa.binary())})
 
     files = []
     for kind, pixels in (("images", images), ("masks", masks)):
         chips = own.filter("has" if kind == "masks" else "true").select("chip", name(kind).alias("name"))
         cut = cut_tiles(pixels, scenes, size, overlap).select(F.col("tile_id").alias("chip"), "r", "c", F.col("v").cast("float").alias("v"))
-        files.append(chips.groupBy("chip").cogroup(cut.groupBy("chip")).applyInPandas(save, "name string, content binary"))  # one chip at a time
+        files.append(chips.groupBy("chip").cogroup(cut.groupBy("chip")).applyInArrow(save, "name string, content binary"))  # one chip at a time
     write_files(files[0].unionByName(files[1]), path)
     at = lambda kind: F.concat(F.lit(path.rstrip("/") + "/"), name(kind))
     found = own.select("scene_id", "split", "row", "col", at("images").alias("image_path"), F.when(F.col("has"), at("masks")).alias("mask_path"))
