@@ -5,24 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.operators.centrality import tight_steps
-from viaduct.operators.paths import shortest_paths
+from viaduct.operators.block_flows import Flows
+from viaduct.operators.centrality import positive
+from viaduct.operators.paths import both_ways, shortest_paths
 from viaduct.session import drop_stored, observed, stored
 
 KEY = ["graph_id", "s"]
 
 
-def predecessors(edges: DataFrame, dist: DataFrame, weight: str = "w") -> DataFrame:
-    """(graph_id, s, v, parent, edge_id), stored: the step into each node on one shortest path from each source.
+def predecessors(edges: DataFrame, dist: DataFrame, pairs: DataFrame, weight: str = "w") -> DataFrame:
+    """(graph_id, s, v, parent, edge_id), stored: the steps on one shortest path to each of ``pairs(graph_id, s, t)``.
 
-    Of all steps on shortest paths the one from the least node counts, and of its parallel edges the least id among the
-    lightest; so the steps of a source form a tree.
+    Of all steps on shortest paths into a node the one from the least node counts, and of its parallel edges the least id
+    among the lightest; so the steps of a source form a tree. They are followed back by blocks (``block_flows``), so only
+    those that routes use become rows.
     """
-    tight = tight_steps(edges, dist, weight)
-    parent = tight.groupBy(*KEY, F.col("dst").alias("v")).agg(F.min("src").alias("parent"))
+    flows = Flows(stored(both_ways(positive(edges, weight), weight), "steps"), dist, least=True)
+    parent = flows.ways_to(pairs.join(dist.select(*KEY, F.col("v").alias("t")), [*KEY, "t"], "left_semi").select(*KEY, F.col("t").alias("v")))
+    flows.drop()
     ends = edges.select("graph_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.struct(F.col(weight).alias("w"), F.col("edge_id")).alias("x"))
-    best = ends.groupBy("graph_id", "a", "b").agg(F.min("x").alias("x")).select("graph_id", "a", "b", "x.edge_id")
     keyed = parent.withColumns({"a": F.least("v", "parent"), "b": F.greatest("v", "parent")})
+    ends = ends.join(keyed.select("graph_id", "a", "b").distinct(), ["graph_id", "a", "b"], "left_semi")
+    best = ends.groupBy("graph_id", "a", "b").agg(F.min("x").alias("x")).select("graph_id", "a", "b", "x.edge_id")
     return stored(keyed.join(best, ["graph_id", "a", "b"]).select(*KEY, "v", "parent", "edge_id"), "parents")
 
 
@@ -54,7 +58,7 @@ def route_steps(pairs: DataFrame, parents: DataFrame) -> DataFrame:
 def routes(edges: DataFrame, pairs: DataFrame, weight: str = "w") -> DataFrame:
     """``route_steps`` of ``pairs(route, graph_id, s, t)`` over ``edges(graph_id, edge_id, src, dst, w)``."""
     dist = stored(shortest_paths(edges, pairs.select("graph_id", "s").distinct(), weight), "dist")
-    return route_steps(pairs, predecessors(edges, dist, weight))
+    return route_steps(pairs, predecessors(edges, dist, pairs, weight))
 
 
 def listed(steps: DataFrame) -> DataFrame:
