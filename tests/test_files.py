@@ -129,3 +129,15 @@ def test_small_rasters_share_a_task(spark, tmp_path):
     stages = [before.getStageInfo(k) for j in before.getJobIdsForGroup("rasters") for k in before.getJobInfo(j).stageIds]
     assert max(s.numTasks for s in stages if s) < 40
     assert sorted((r.tile_id, r.r, r.vals) for r in found) == sorted((f"t{i}", r, [float(i)] * 3) for i in range(40) for r in (0, 1))
+
+
+def test_labels_are_dealt_out(spark, monkeypatch):
+    """The pieces of all names were sorted by the tasks that read them, however few these were."""
+    own, dealt = type(spark.range(1)), []
+    repartition = own.repartition
+    monkeypatch.setattr(files, "TASK_LABELS", 5)
+    monkeypatch.setattr(own, "repartition", lambda df, *a: dealt.append(a) or repartition(df, *a))
+    images = spark.createDataFrame([(f"/d/PS-RGB/a_PS-RGB_img{k}.tif",) for k in range(40)], "path string").coalesce(1)
+    labels = spark.createDataFrame([(f"/d/geojson_roads/b_img{k}.geojson",) for k in range(40)], "path string").coalesce(1)
+    found = {r.path: r.label_path for r in files.match_labels(images, labels).collect()}
+    assert dealt == [(8, "label_path")] and found["/d/PS-RGB/a_PS-RGB_img17.tif"] == "/d/geojson_roads/b_img17.geojson" and len(found) == 40

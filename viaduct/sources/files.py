@@ -21,6 +21,8 @@ from viaduct.sources.named_files import write_files
 ROWS = "tile_id string, r int, vals array<float>"
 #: Bytes of a raster that a task reads at once; the folder of the manifest; files whose headers a task reads.
 PIECE_BYTES, MANIFEST, TASK_FILES = 8 << 20, "manifest.csv", 512
+#: Labels whose names a task cuts into pieces, about.
+TASK_LABELS = 10_000
 
 
 def read_raster_npy(spark: SparkSession, path: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
@@ -119,7 +121,9 @@ def match_labels(images: DataFrame, labels: DataFrame, image_dir: str = "PS-RGB"
     there = labels.select(F.col("path").alias("label_path"), F.regexp_replace("path", r"/[^/]*$", "").alias("_dir"), name.alias("_label")).filter(F.col("_label").endswith(".geojson"))
     found = own.join(there.select("_dir", F.col("_label").alias("_same"), F.col("label_path").alias("_direct")), ["_dir", "_same"], "left")
     sizes = own.select(F.length("_token").alias("_size")).distinct()  # as many as names have lengths
-    stems = there.crossJoin(F.broadcast(sizes)).withColumn("_stem", F.expr("substr(_label, 1, length(_label) - 8)")).filter("length(_stem) >= _size")
+    parts = max(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-there.count() // TASK_LABELS))
+    dealt = there.repartition(parts, "label_path")  # a label has very many pieces, which are sorted in its task
+    stems = dealt.crossJoin(F.broadcast(sizes)).withColumn("_stem", F.expr("substr(_label, 1, length(_label) - 8)")).filter("length(_stem) >= _size")
     starts = F.sequence(F.lit(1), F.length("_stem") - F.col("_size") + 1)
     pieces = stems.select("_dir", "label_path", F.explode(F.array_distinct(F.transform(starts, lambda i: F.col("_stem").substr(i, F.col("_size"))))).alias("_token"))
     other = pieces.groupBy("_dir", "_token").agg(F.min("label_path").alias("_other"))
