@@ -90,6 +90,12 @@ def test_npy_and_default_scorer(spark, tmp_path):
     assert cells(files.score_tiles(rows).filter("tile_id = 'one'")) == {(i, i) for i in range(4)}
 
 
+def test_default_scorer_means_are_doubles(spark):
+    """The mean of floats as a float rounds up to the last value here; the last value lies above it."""
+    rows = spark.createDataFrame([("t", 0, [0.269786, 0.307829, 0.28880751])], "tile_id string, r int, vals array<float>")
+    assert cells(files.score_tiles(rows)) == {(0, 1), (0, 2)}
+
+
 def test_pairs_and_manifest(spark, tmp_path):
     paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
     found = {r.scene_id: r.mask_path for r in files.pair_by_scene(paths("a_sat.tif", "b_sat.tif"), paths("m/a_mask.png", "z/a_mask.png")).collect()}

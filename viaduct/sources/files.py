@@ -81,8 +81,11 @@ def to_pixels(rows: DataFrame) -> DataFrame:
 
 
 def score_tiles(rows: DataFrame, predict: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """Masks (tile_id, r, c) that ``predict(image)`` makes of each tile; by default what is brighter than its mean."""
-    model = predict or (lambda image: image > image.mean())
+    """Masks (tile_id, r, c) that ``predict(image)`` makes of each tile; by default what is brighter than its mean.
+
+    The mean is a double: one in the values' own precision may round past a pixel next to it.
+    """
+    model = predict or (lambda image: image > image.mean(dtype=np.float64))
 
     def score(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("r")
