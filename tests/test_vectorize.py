@@ -3,6 +3,7 @@
 import heapq
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from viaduct.operators.components import connected_components
 from viaduct.operators.occlusion import OCCLUDERS, random_occlude
 from viaduct.operators.reports import changes, curve_rows, highest_edge, toggle_impact
 from viaduct.operators.sampling import ranked, sample_pairs
+from viaduct.plans.table_queries import QUERIES
 from viaduct.session import join_counted, shared_dir
 from viaduct.sources import files
 
@@ -160,6 +162,17 @@ def test_skeletons_with_otsu_and_width(spark):
     assert found["a"].road_fraction == 0.125 and found["a"].skeleton_pixels == lines.count() and found["b"].road_fraction == 0
 
 
+def test_the_query_cleans_masks_before_it_thins_them(spark, tmp_path):
+    """A road of five rows with a gap of two columns is one edge, and a speck beside it none; both were as they came."""
+    road = [(r, c) for r in range(40, 45) for c in range(10, 80) if c not in (40, 41)] + [(70, c) for c in range(10, 18)]
+    rows = [(r + 96 * k, 7, c, 0.09 if k else 0.05) for r, c in road for k in (0, 1)] + [(5, 8, 5, 0.01)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = QUERIES["mask_to_network"](spark, str(tmp_path)).collect()
+    assert len(found) == 1 and found[0].graph_id == "t7"
+    y1, x1, y2, x2 = (int(x) for x in re.findall(r"\d+", found[0].edge_id))
+    assert 40 <= y1 <= 44 and 40 <= y2 <= 44 and min(x1, x2) < 16 and max(x1, x2) > 73
+
+
 def dijkstra(edges, s):
     near, best, todo = {}, {}, [(0, s)]
     for a, b, w in edges:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from viaduct.functions.scalars import class_by_geometry, class_by_length, geo_by_affine, geo_by_bbox, haversine_m, pixel_metres, place_by_pixel, tortuosity, travel_time_s, weight_ds
+from viaduct.functions.scalars import class_by_geometry, class_by_length, foreground, geo_by_affine, geo_by_bbox, haversine_m, pixel_metres, place_by_pixel, tortuosity, travel_time_s, weight_ds
 from viaduct.operators.annotate import annotate_network
 from viaduct.operators.healing import WIDE_TOLERANCE_M, heal_network
 from viaduct.operators.raster import AT, BIG, EIGHT, cleaned, half_width, junction_clusters, neighbour_count, node_pixels, otsu_foreground, pixel_components, shifted, thin
@@ -56,7 +56,7 @@ def skeletonize(pixels: DataFrame, size: int, threshold: float | None = None, le
     Foreground is what reaches ``threshold``, or lies above each tile's Otsu threshold; then closing, removal of small
     objects and small holes, thinning. Masks without a road give nothing.
     """
-    marked = otsu_foreground(pixels) if threshold is None else pixels.filter(F.col("prob") >= threshold)
+    marked = otsu_foreground(pixels) if threshold is None else pixels.filter(foreground("prob", threshold))
     whole = stored(cleaned(marked.select(*AT), size, least), "mask")
     lines = thin(whole)
     return lines.join(half_width(whole, size), AT) if with_width else lines

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from viaduct.functions import scalars as S
 from viaduct.operators import raster, vectorize
 from viaduct.plans.derived import EMB_SQL, GRID_SQL, LINES_SQL, TRADE_SQL, _hav, customer_grid, embedding_pixels, line_pixels, table, trade_network
-from viaduct.session import scratch
+from viaduct.session import scratch, stored
 from viaduct.sources import files, networks
 
 SIZE = 96
@@ -242,9 +242,12 @@ def junction_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_to_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Networks of all tiles of lineitem, each in a box of its own on earth."""
-    lines = raster.thin(line_pixels(spark, sf_dir).filter(S.foreground("prob", 0.5)))
-    edges = vectorize.skeleton_to_network(lines, vectorize.Projection.bbox(), _boxes(lines))[1]
+    """Networks of all tiles of lineitem, each in a box of its own on earth: closed, cleaned, thinned and traced.
+
+    Objects and holes of fewer than 16 pixels go, as in ``skeleton_stats``; of the default, 64, these sparse tiles have none.
+    """
+    px = stored(line_pixels(spark, sf_dir), "pixels")
+    edges = vectorize.mask_to_network(px, SIZE, vectorize.Projection.bbox(), stored(_boxes(px), "boxes"), 0.5, 16)[1]
     return edges.select("graph_id", "edge_id", "length_m", "straight_m", "road_class", "travel_time")
 
 
