@@ -23,7 +23,7 @@ def scored_network(nodes: DataFrame, edges: DataFrame, weight: str = "w", most_s
 
     Paths start at all nodes, or at ``most_sources`` sampled ones of each graph.
     """
-    of_nodes, of_edges = betweenness(nodes, edges, all_pairs(nodes, edges, weight, most_sources), weight)
+    of_nodes, of_edges = betweenness(nodes, edges, None if most_sources is None else all_pairs(nodes, edges, weight, most_sources), weight)
     marked = nodes.join(max_normalised(of_nodes, "betweenness", "betweenness"), ["graph_id", "node"])
     scored = max_normalised(of_edges.withColumnRenamed("betweenness", "raw"), "raw", "criticality").select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b"), "raw", "criticality")
     keyed = edges.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst"))
