@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from viaduct.operators import chain_flows
-from viaduct.plans import user_queries
-from viaduct.plans.derived import user_network
+from viaduct.plans import route_queries, user_queries
+from viaduct.plans.derived import user_demand, user_network
 
 
 def brandes(n, edges, sources, demand=None):
@@ -105,3 +105,12 @@ def test_all_users_count_for_betweenness_of_nodes(spark, users):
     want = brandes(n, edges, range(n))[0]
     found = {r.node: r.betweenness for r in user_queries.user_node_betweenness(spark, folder).collect()}
     assert n > 64 and found == {v: pytest.approx(x / (n - 1) / (n - 2), abs=1e-8) for v, x in zip(names, want, strict=True)}
+
+
+def test_all_users_count_for_loads_of_nodes(spark, users):
+    folder, names, edges = users
+    sent = {(names.index(r.s), names.index(r.t)): float(r.demand) for r in user_demand(spark, folder).collect()}
+    want, _, far = brandes(len(names), edges, range(len(names)), sent)
+    total = sum(x for (s, t), x in sent.items() if t in far[s])
+    found = {r.node: (r.load, r.share) for r in route_queries.user_node_loads(spark, folder).collect()}
+    assert found == {v: (pytest.approx(x, abs=1e-5), pytest.approx(x / total, abs=1e-8)) for v, x in zip(names, want, strict=True)}
