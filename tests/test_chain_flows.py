@@ -114,3 +114,18 @@ def test_all_users_count_for_loads_of_nodes(spark, users):
     total = sum(x for (s, t), x in sent.items() if t in far[s])
     found = {r.node: (r.load, r.share) for r in route_queries.user_node_loads(spark, folder).collect()}
     assert found == {v: (pytest.approx(x, abs=1e-5), pytest.approx(x / total, abs=1e-8)) for v, x in zip(names, want, strict=True)}
+
+
+def test_all_users_count_for_the_curve(spark, users):
+    """Betweenness that ranks the links, and the efficiency of each step."""
+    folder, names, edges = users
+    n = len(names)
+    raw = [round(x / n / (n - 1), 9) for x in brandes(n, edges, range(n))[1]]
+    order = sorted(range(len(edges)), key=lambda i: (-raw[i], f"u_{names[edges[i][0]]}_{names[edges[i][1]]}"))
+    per = max(1, int(len(edges) * 0.5 / 10))
+    near = []
+    for step in range(11):
+        far = brandes(n, [edges[i] for i in order[step * per :]], range(n))[2]
+        near.append(sum(10 / d for found in far.values() for d in found.values() if d))
+    found = {r.step: r.efficiency for r in user_queries.user_curve(spark, folder).collect()}
+    assert found == {step: pytest.approx(x / near[0], abs=0.00051) for step, x in enumerate(near)}
