@@ -6,10 +6,12 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from test_graphs import network
 
-from viaduct.operators import chain_flows
+from viaduct.operators import chain_flows, resilience
 from viaduct.plans import route_queries, user_queries
 from viaduct.plans.derived import user_demand, user_network
+from viaduct.session import made
 
 
 def brandes(n, edges, sources, demand=None):
@@ -129,3 +131,19 @@ def test_all_users_count_for_the_curve(spark, users):
         near.append(sum(10 / d for found in far.values() for d in found.values() if d))
     found = {r.step: r.efficiency for r in user_queries.user_curve(spark, folder).collect()}
     assert found == {step: pytest.approx(x / near[0], abs=0.00051) for step, x in enumerate(near)}
+
+
+def test_closures_take_no_round_a_node(spark, monkeypatch):
+    """A street of 40 nodes closed near one end wrote tables for each node behind; large networks still get the same that way."""
+    nodes, edges = network(spark, {"street": (40, [(k, k + 1, 1 + k % 3) for k in range(39)] + [(3, 30, 9)])})
+    edges = edges.withColumn("edge_id", F.concat("src", F.lit("_"), "dst"))
+    cases = spark.createDataFrame([("a", "street", "node", "2"), ("b", "street", "edge", "3_30"), ("c", "street", "node", "20"), ("c", "street", "node", "39")], "scenario_id string, graph_id string, kind string, id string")
+    tables, found = [], []
+    for most in (chain_flows.MOST_EDGES, 0):
+        monkeypatch.setattr(chain_flows, "MOST_EDGES", most)
+        since = made(spark)
+        base = resilience.graph_state(nodes, edges, 5).select("graph_id", F.col("efficiency").alias("base_efficiency"))
+        found.append(sorted(resilience.simulate_removal(nodes, edges, cases, base, most_sources=5).collect()))
+        tables.append(made(spark) - since)
+    assert found[0] == found[1] and len(found[0]) == 3 and any(r.broken_routes for r in found[0])
+    assert tables[0] < 45 < tables[1], tables
